@@ -78,7 +78,7 @@ windows AS (SELECT DISTINCT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FRO
 hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
 repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM hits, range(0, 5) r(k) GROUP BY doc_id),
 counts AS (
-  SELECT doc_id, t, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  SELECT doc_id, t, w, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
     len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))::BIGINT AS n_lines,
     len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))))::BIGINT AS n_distinct,
@@ -86,8 +86,8 @@ counts AS (
   FROM texts LEFT JOIN repeats USING (doc_id)),
 based AS (SELECT *, n_lines - n_distinct AS n_dup_lines, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM counts)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > 2 * n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-    OR 2 * (length(t) - length(replace(t, '!', ''))) > n_words OR 2 * length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) < word_chars) AS kept
+  NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+    OR 2 * (length(t) - length(replace(t, '!', ''))) > n_words OR 10 * len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) > 3 * n_words OR 2 * length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) < word_chars) AS kept
 FROM based
 """
 
@@ -128,7 +128,7 @@ levels AS (
   SELECT *, sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER w, 0) AS avail, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS open
   FROM weighed WINDOW w AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 filled AS (SELECT *, most * open <= weight * avail AS is_full FROM levels),
-targets AS (SELECT source, source_size, CASE WHEN is_full THEN most ELSE weight * (min(CASE WHEN NOT is_full THEN avail / open END) OVER ()) END AS target FROM filled),
+targets AS (SELECT source, source_size, CASE WHEN is_full THEN most ELSE weight * (max(CASE WHEN NOT is_full THEN avail / open END) OVER ()) END AS target FROM filled),
 plan AS (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END + 1e-9)::BIGINT AS whole FROM targets),
 rests AS (SELECT *, greatest(0, target - whole * source_size) AS rest FROM plan),
 ranked AS (

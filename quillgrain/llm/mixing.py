@@ -46,7 +46,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
         .withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0)))
         .withColumn("full", F.col("most") * F.col("open") <= F.col("weight") * F.col("left"))
     )
-    level = F.min(F.when(~F.col("full"), F.col("left") / F.col("open"))).over(everything)
+    # Of the sources that stay open the first one has the greatest level, which holds for all of them.
+    level = F.max(F.when(~F.col("full"), F.col("left") / F.col("open"))).over(everything)
     return levels.withColumn("target", F.when(F.col("full"), F.col("most")).otherwise(F.col("weight") * level)).select("source", "source_size", "target")
 
 

@@ -4,7 +4,7 @@ Fitting takes a bounded sample of labelled rows (``sample_rows``, by a hash of
 the id). Every word has a fixed sparse random index vector; a word's vector is
 the sum of the index vectors found within two words of it over the sample. A
 document is the weighted mean of its words' vectors, with the length of that
-mean and two counts: one word over and over points one way, prose doesn't. A
+mean, variety, size, capitals and immediate repeats beside it. A
 network of one hidden layer, in numpy, gives a logit, and a temperature fitted
 on rows kept from its training turns that into a probability.
 
@@ -18,6 +18,8 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Sequence
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -36,14 +38,16 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 PIECE = 1 << 20
 
 
-def counted(text: str | None) -> tuple[Counter, int, int]:
-    """Tokens of the whole text, words in capitals and all tokens, read piece by piece."""
+def counted(text: str | None) -> tuple[Counter, int, int, int]:
+    """Tokens of the whole text, words in capitals, tokens said twice running and all tokens."""
     found: Counter = Counter()
-    text = text or ""
+    text, again = text or "", 0
     for at in range(0, len(text), PIECE):
-        found.update(TOKEN.findall(text[at : at + PIECE]))
+        part = TOKEN.findall(text[at : at + PIECE])
+        found.update(part)
+        again += sum(map(eq, part, islice(part, 1, None)))
     loud = sum(n for t, n in found.items() if len(t) > 1 and t.isupper())
-    return found, loud, sum(found.values())
+    return found, loud, again, sum(found.values())
 
 
 def bucket(token: str) -> int:
@@ -75,14 +79,14 @@ class QualityModel:
         return at
 
     def features(self, text: str | None) -> np.ndarray:
-        found, loud, total = counted(text)
-        out = np.zeros(DIMS + 4, np.float32)
+        found, loud, again, total = counted(text)
+        out = np.zeros(DIMS + 5, np.float32)
         if total:
             ids = np.fromiter(map(self._id, found), np.int64, len(found))
             counts = np.fromiter(found.values(), np.float32, len(found)) * self.weight[ids]
             mean = (counts @ self.vectors[ids]) / max(float(counts.sum()), 1e-9)
             out[:DIMS] = mean
-            out[DIMS:] = (float(np.linalg.norm(mean)), len(found) / total**0.75, math.log1p(total), loud / total)
+            out[DIMS:] = (float(np.linalg.norm(mean)), len(found) / total**0.75, math.log1p(total), loud / total, again / total)
         return out
 
     def _learn_vectors(self, texts: Sequence[str]) -> None:

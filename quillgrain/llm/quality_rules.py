@@ -83,12 +83,14 @@ def default_rules(text_col: str = "text", prefix: str = "q_") -> list[Rule]:
     """The rules beside the base ones; all ratios are taken over the whole text."""
     c = lambda n: F.col(prefix + n)
     text = F.coalesce(F.col(text_col), F.lit(""))
+    stutters = let(words(text), lambda w: F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
     return [
-        Rule("symbols", 10 * c("n_symbols") > 2 * c("n_words")),
-        Rule("repeated_lines", 10 * c("n_dup_lines") > 3 * c("n_lines")),
+        Rule("symbols", 10 * c("n_symbols") > c("n_words")),
+        Rule("repeated_lines", 2 * c("n_dup_lines") > c("n_lines")),
         Rule("word_length", (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 20 * c("n_words"))),
         Rule("shouting", 2 * F.regexp_count(text, F.lit("!")) > c("n_words"), char_cost=6.0),
+        Rule("stutter", 10 * stutters > 3 * c("n_words"), char_cost=8.0, word_cost=60.0),
         Rule("letters", 2 * letters < c("word_chars"), char_cost=9.0),
     ]
 
