@@ -1,4 +1,535 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the test tables, and the same in SQL.
 
+documents is the corpus, embeddings are child vectors (parent = vec_id div 4,
+document = vec_id div 8), benchmark holds the query texts, events the request
+log. Vector queries are the rows whose vec_id is divisible by 50.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import ChunkConfig, EvidenceConfig
+from ..functions import text as tx
+from ..functions.vectors import is_valid
+from ..operators import chunking, citation, conversation, datasets, evidence, metrics, parsing, retrieval
+from ..sources import store
+
+K, POOL, DIM = 10, 30, 64
 QUERIES = {}
 ORACLES = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# --- vectors ---------------------------------------------------------------------------------------------------------
+
+_ASKED = "asked AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0)"
+_SCORED = f"{_ASKED}, scored AS (SELECT qid, vec_id, label, round(greatest(0, least(1, (1 + list_cosine_similarity(embedding::DOUBLE[], q)) / 2)), 6) AS score FROM embeddings, asked)"
+
+
+def _ranked(source: str, k: int, order: str = "score DESC, vec_id", name: str = "ranked") -> str:
+    return f"{name} AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY {order}))::INTEGER AS rank FROM {source}) WHERE rank <= {k})"
+
+
+_TOP = f"WITH {_SCORED}, {_ranked('scored', K)} SELECT qid, vec_id, score, rank FROM ranked"
+
+
+def _asked(vectors: DataFrame) -> DataFrame:
+    return vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+
+
+def _pool(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return retrieval.vector_topk(vectors, _asked(vectors), POOL)
+
+
+@query(_TOP)
+def vector_topk(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return retrieval.vector_topk(vectors, _asked(vectors), K)
+
+
+@query(_TOP)
+def vector_topk_blocks(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    # The asked set is on the driver by design: queries go out in blocks, the corpus stays.
+    asked = [(r.qid, r.qvec) for r in _asked(vectors).collect()]
+    return retrieval.vector_topk_blocks(vectors, asked, K)
+
+
+@query(f"WITH {_SCORED}, {_ranked('(SELECT * FROM scored WHERE label IN (0, 1, 2))', K)} SELECT qid, vec_id, score, rank FROM ranked")
+def vector_topk_filtered(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    where = retrieval.compile_filters({"label": [0, 1, 2]})
+    return retrieval.vector_topk(vectors, _asked(vectors), K, where=where)
+
+
+@query("SELECT vec_id, coalesce(len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS valid FROM embeddings")
+def vector_validity(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", is_valid(F.col("embedding"), DIM).alias("valid"))
+
+
+# --- text and keyword search -----------------------------------------------------------------------------------------
+
+
+def _tok(text: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({text}, '[A-Za-z0-9_+#.]+'), lambda x: trim(lower(x), '._')), lambda x: x <> '')"
+
+
+@query(f"SELECT doc_id, len(t)::INTEGER AS n_tokens, len(list_distinct(t))::INTEGER AS n_terms, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_tok('text')} AS t FROM documents)")
+def tokenize_terms(spark, sf):
+    tokens = table(spark, sf, "documents").select("doc_id", tx.tokenize(F.col("text")).alias("t"))
+    return tokens.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_terms"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
+@query(f"SELECT item_id, array_to_string(list_sort(list_distinct({_tok('text')})), ' ') AS terms FROM benchmark")
+def query_terms(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(F.sort_array(tx.query_terms(F.col("text"))), " ").alias("terms"))
+
+
+def _bm25(field: str, n: str) -> str:
+    return f"""own_{n} AS MATERIALIZED (SELECT doc_id, {_tok(field)} AS t FROM documents), stat_{n} AS (SELECT count(*) AS n_docs, avg(len(t)) AS avgdl FROM own_{n}),
+  held_{n} AS MATERIALIZED (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM own_{n}) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
+  freq_{n} AS (SELECT term, count(*) AS df FROM held_{n} GROUP BY term),
+  raw_{n} AS (SELECT qid, doc_id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS raw FROM held_{n} JOIN terms USING (term) JOIN freq_{n} USING (term), stat_{n} GROUP BY qid, doc_id)"""
+
+
+_TERMS = f"terms AS (SELECT DISTINCT item_id AS qid, unnest({_tok('text')}) AS term FROM benchmark)"
+_KEYWORD = f"{_TERMS}, {_bm25('text', 't')}, kwscored AS (SELECT qid, doc_id, round(raw, 6) AS raw FROM raw_t), {_ranked('kwscored', POOL, 'raw DESC, doc_id', 'kwranked')}, kw AS (SELECT qid, doc_id, raw, round(CASE WHEN max(raw) OVER q > 0 THEN raw / max(raw) OVER q ELSE 0 END, 6) AS score, rank FROM kwranked WINDOW q AS (PARTITION BY qid))"
+
+
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def _keyword(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.keyword_topk(table(spark, sf, "documents"), _questions(spark, sf), POOL, {"text": 1.0})
+
+
+@query(f"WITH {_KEYWORD} SELECT qid, doc_id, raw, score, rank FROM kw")
+def bm25_single_field(spark, sf):
+    return _keyword(spark, sf)
+
+
+@query(
+    f"WITH {_TERMS}, {_bm25('text', 't')}, {_bm25('lang', 'l')}, best AS (SELECT qid, doc_id, round(max(raw), 6) AS raw FROM (SELECT * FROM raw_t UNION ALL SELECT qid, doc_id, 2 * raw FROM raw_l) GROUP BY qid, doc_id), {_ranked('best', POOL, 'raw DESC, doc_id')} SELECT qid, doc_id, raw, round(CASE WHEN max(raw) OVER q > 0 THEN raw / max(raw) OVER q ELSE 0 END, 6) AS score, rank FROM ranked WINDOW q AS (PARTITION BY qid)"
+)
+def bm25_best_fields(spark, sf):
+    return retrieval.keyword_topk(table(spark, sf, "documents"), _questions(spark, sf), POOL, {"lang": 2.0, "text": 1.0})
+
+
+# --- fusion, reranking, families -------------------------------------------------------------------------------------
+
+_HYBRID = f"""{_KEYWORD}, vasked AS (SELECT item_id AS qid, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
+  vscored AS (SELECT qid, vec_id AS doc_id, round(greatest(0, least(1, (1 + list_cosine_similarity(embedding::DOUBLE[], q)) / 2)), 6) AS score FROM embeddings, vasked), {_ranked('vscored', POOL, 'score DESC, doc_id', 'vec')},
+  fused AS (SELECT qid, doc_id, coalesce(vec.score, 0) AS vector_score, coalesce(kw.score, 0) AS keyword_score,
+    concat_ws(',', CASE WHEN kw.rank IS NOT NULL THEN 'keyword' END, CASE WHEN vec.rank IS NOT NULL THEN 'vector' END) AS channel_hits,
+    round((coalesce(1.0::DOUBLE / (60 + vec.rank), 0) + coalesce(1.0::DOUBLE / (60 + kw.rank), 0)) / (2.0::DOUBLE / 61), 6) AS fused_score FROM vec FULL OUTER JOIN kw USING (qid, doc_id)),
+  {_ranked('fused', POOL, 'fused_score DESC, doc_id', 'hybrid')}"""
+
+
+def _hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    asked = table(spark, sf, "benchmark").join(vectors, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("qid"), F.col("embedding").alias("qvec"))
+    found = retrieval.vector_topk(vectors, asked, POOL).withColumnRenamed("vec_id", "doc_id")
+    return retrieval.rrf_fuse(found, _keyword(spark, sf), POOL)
+
+
+@query(f"WITH {_HYBRID} SELECT qid, doc_id, vector_score, keyword_score, channel_hits, fused_score, rank FROM hybrid")
+def rrf_hybrid(spark, sf):
+    return _hybrid(spark, sf)
+
+
+@query(
+    f"""WITH {_HYBRID}, asked AS (SELECT item_id AS qid, list_distinct({_tok('text')}) AS terms FROM benchmark), reranked AS (SELECT qid, doc_id, vector_score, keyword_score, channel_hits, fused_score,
+  round(least(1.0, fused_score + 0.1::DOUBLE * CASE WHEN len(terms) > 0 THEN len(list_intersect(terms, list_distinct({_tok('text')}))) / len(terms)::DOUBLE ELSE 0 END), 6) AS rerank_score FROM hybrid JOIN documents USING (doc_id) JOIN asked USING (qid))
+  SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, keyword_score DESC, doc_id, vector_score DESC))::INTEGER AS rank FROM reranked"""
+)
+def rule_rerank(spark, sf):
+    return retrieval.rule_rerank(_hybrid(spark, sf), _questions(spark, sf), table(spark, sf, "documents"))
+
+
+_CAND = f"{_SCORED}, {_ranked('scored', POOL)}, cand AS (SELECT qid, vec_id, (vec_id // 4)::VARCHAR AS family, vec_id // 8 AS doc_id, score, score / 2 AS keyword_score, rank FROM ranked)"
+
+
+def _children(spark: SparkSession, sf: str) -> DataFrame:
+    div = lambda n: F.floor(F.col("vec_id") / n)
+    return _pool(spark, sf).select("qid", F.col("vec_id").alias("chunk_id"), retrieval.family_key(div(4), F.col("vec_id")).alias("family"), div(8).alias("doc_id"), "score", (F.col("score") / 2).alias("keyword_score"), "rank")
+
+
+def _family_sql(how: str, parents: str = "") -> str:
+    extra = ", parent_found" if parents else ""
+    join = f" LEFT JOIN (SELECT DISTINCT (vec_id // 4)::VARCHAR AS family, true AS pf FROM embeddings WHERE {parents}) USING (family)" if parents else ""
+    found = ", coalesce(pf, false) AS parent_found" if parents else ""
+    return f"""WITH {_CAND}, fam AS (SELECT qid, family, round({how}(score), 6) AS score, round({how}(keyword_score), 6) AS keyword_score, count(*) AS members,
+  arg_max(vec_id, {{'s': score, 'r': -rank}}) AS primary_child, min(rank) AS first_rank FROM cand GROUP BY qid, family)
+  SELECT qid, family, score, keyword_score, members, primary_child{extra}, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, keyword_score DESC, first_rank))::INTEGER AS rank FROM (SELECT fam.*{found} FROM fam{join})"""
+
+
+@query(_family_sql("avg"))
+def family_mean(spark, sf):
+    return retrieval.expand_families(_children(spark, sf), None, "mean")
+
+
+@query(_family_sql("max"))
+def family_max(spark, sf):
+    return retrieval.expand_families(_children(spark, sf), None, "max")
+
+
+@query(_family_sql("max", "(vec_id // 4) % 3 <> 0"))
+def family_parent_missing(spark, sf):
+    parents = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("p")).distinct().select(F.col("p").cast("string").alias("family"), F.when(F.col("p") % 3 == 0, F.lit("")).otherwise(F.lit("parent")).alias("content"))
+    return retrieval.expand_families(_children(spark, sf), parents, "max")
+
+
+_FAMS = f"{_CAND}, fams AS (SELECT qid, doc_id, family, avg(score) AS score FROM cand GROUP BY ALL)"
+_DOC_RANK = "SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id))::INTEGER AS rank FROM ({})"
+
+
+@query(f"WITH {_FAMS} " + _DOC_RANK.format("SELECT qid, doc_id, round(max(score), 6) AS score FROM fams GROUP BY qid, doc_id"))
+def doc_rank_max(spark, sf):
+    return retrieval.rank_documents(_children(spark, sf), "max")
+
+
+@query(f"WITH {_FAMS} " + _DOC_RANK.format("SELECT qid, doc_id, round(avg(score), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, family) AS r FROM fams) WHERE r <= 3 GROUP BY qid, doc_id"))
+def doc_rank_topn_mean(spark, sf):
+    return retrieval.rank_documents(_children(spark, sf), "mean", 3)
+
+
+@query(f"WITH {_CAND} SELECT qid, doc_id, chunk_id, (row_number() OVER (PARTITION BY qid ORDER BY rank))::INTEGER AS rank FROM (SELECT qid, doc_id, vec_id AS chunk_id, rank FROM cand QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY rank) = 1)")
+def dedupe_by_doc(spark, sf):
+    return retrieval.dedupe_by_document(_children(spark, sf).select("qid", "doc_id", "chunk_id", "rank"))
+
+
+@query(
+    f"WITH {_HYBRID}, two AS (SELECT qid, doc_id, fused_score AS score, 0 AS source FROM hybrid UNION ALL SELECT qid, doc_id, score, 1 FROM kw), best AS (SELECT * FROM two QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, source) = 1), {_ranked('best', K, 'score DESC, doc_id')} SELECT qid, doc_id, score, source, rank FROM ranked"
+)
+def step_back_merge(spark, sf):
+    first = _hybrid(spark, sf).withColumnRenamed("fused_score", "score")
+    return retrieval.merge_step_back(first, _keyword(spark, sf), K)
+
+
+@query(
+    f"""WITH {_CAND}, placed AS (SELECT *, score >= 0.6 AS kept, row_number() OVER (PARTITION BY qid, score >= 0.6 ORDER BY rank) AS place FROM cand)
+  SELECT qid, count(*) AS n_candidates, count(*) FILTER (kept) AS n_kept, count(*) FILTER (kept AND place <= 5) AS n_returned, coalesce(round(avg(score) FILTER (kept AND place <= 5), 4), 0) AS avg_score,
+  coalesce(string_agg(vec_id::VARCHAR, ',' ORDER BY place) FILTER (NOT kept AND place <= 10), '') AS rejected FROM placed GROUP BY qid"""
+)
+def threshold_funnel(spark, sf):
+    return retrieval.threshold_funnel(_pool(spark, sf).withColumnRenamed("vec_id", "doc_id"), 0.6, 5)
+
+
+# --- metrics ---------------------------------------------------------------------------------------------------------
+
+_METRICS = [*(f"hit_{k}" for k in metrics.CUTOFFS), *(f"recall_{k}" for k in metrics.CUTOFFS), "mrr_10", "ndcg_10"]
+_SCORE_SQL = f"""{_SCORED}, {_ranked('scored', POOL)}, qs AS (SELECT vec_id AS qid, label AS task FROM embeddings WHERE vec_id % 50 = 0),
+  rels AS (SELECT qid, vec_id FROM qs JOIN embeddings ON label = task), nrel AS (SELECT qid, count(*) AS n FROM rels GROUP BY qid),
+  found AS (SELECT qid, {', '.join(f'count(*) FILTER (rank <= {k}) AS f{k}' for k in metrics.CUTOFFS)}, min(rank) FILTER (rank <= 10) AS first, sum(1 / log2(rank + 1)) FILTER (rank <= 10) AS dcg FROM ranked JOIN rels USING (qid, vec_id) GROUP BY qid),
+  per AS (SELECT qid, task, {', '.join(f'CASE WHEN f{k} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit_{k}' for k in metrics.CUTOFFS)}, {', '.join(f'round(coalesce(f{k}, 0) / n::DOUBLE, 6) AS recall_{k}' for k in metrics.CUTOFFS)},
+    round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr_10, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(10, n) + 1), lambda r: 1 / log2(r + 1))), 6) AS ndcg_10 FROM qs JOIN nrel USING (qid) LEFT JOIN found USING (qid))"""
+
+
+def _per_query(spark: SparkSession, sf: str, run: DataFrame | None = None) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("task"))
+    qrels = queries.join(vectors.select(F.col("vec_id").alias("doc_id"), "label"), F.col("task") == F.col("label")).select("qid", "doc_id")
+    run = _pool(spark, sf) if run is None else run
+    return metrics.score_queries(queries, qrels, run.withColumnRenamed("vec_id", "doc_id"))
+
+
+@query(f"WITH {_SCORE_SQL} SELECT qid, task, {', '.join(_METRICS)} FROM per")
+def metrics_per_query(spark, sf):
+    return _per_query(spark, sf)
+
+
+@query(f"WITH {_SCORE_SQL} SELECT coalesce(task::VARCHAR, 'overall') AS task_group, count(*) AS queries, {', '.join(f'round(avg({m}), 6) AS {m}' for m in _METRICS)} FROM per GROUP BY GROUPING SETS ((), (task))")
+def metrics_grouped(spark, sf):
+    return metrics.macro_average(_per_query(spark, sf), "task", _METRICS)
+
+
+@query(
+    f"""WITH {_SCORED}, {_ranked('scored', POOL)}, rels AS (SELECT qid, vec_id, CASE WHEN qid = vec_id THEN 3 WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END AS rel FROM (SELECT a.vec_id AS qid, b.vec_id FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 50 = 0)),
+  ideal AS (SELECT qid, sum((2.0::DOUBLE ^ rel - 1) / log2(r + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, vec_id) AS r FROM rels) WHERE r <= 10 GROUP BY qid),
+  got AS (SELECT qid, sum((2.0::DOUBLE ^ rel - 1) / log2(rank + 1)) AS dcg FROM ranked JOIN rels USING (qid, vec_id) WHERE rank <= 10 GROUP BY qid)
+  SELECT qid, round(CASE WHEN idcg > 0 THEN coalesce(dcg, 0) / idcg ELSE 0 END, 6) AS ndcg FROM ideal LEFT JOIN got USING (qid)"""
+)
+def ndcg_graded(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label")
+    qrels = asked.join(vectors.select(F.col("vec_id").alias("doc_id"), "label"), "label").select("qid", "doc_id", F.when(F.col("qid") == F.col("doc_id"), 3).when(F.col("doc_id") % 2 == 0, 2).otherwise(1).alias("rel"))
+    return metrics.graded_ndcg(qrels, _pool(spark, sf).withColumnRenamed("vec_id", "doc_id"))
+
+
+@query(f"WITH {_SCORED}, {_ranked('scored', POOL)}, cuts AS (SELECT unnest([5, 10, 30])::INTEGER AS candidate_k), rels AS (SELECT a.vec_id AS qid, b.vec_id FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 50 = 0) SELECT candidate_k, round(avg(f / n::DOUBLE), 6) AS recall_10, count(*) AS queries FROM (SELECT candidate_k, qid, count(*) FILTER (vec_id IN (SELECT vec_id FROM rels r WHERE r.qid = x.qid)) AS f FROM (SELECT * FROM cuts, ranked WHERE rank <= candidate_k AND rank <= 10) x GROUP BY ALL) JOIN (SELECT qid, count(*) AS n FROM rels GROUP BY qid) USING (qid) GROUP BY candidate_k")
+def sweep_candidate_k(spark, sf):
+    scored = lambda run: _recall(spark, sf, run)
+    return datasets.sweep_candidate_k(_pool(spark, sf), [5, 10, 30], scored)
+
+
+def _recall(spark: SparkSession, sf: str, run: DataFrame) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label")
+    rels = asked.join(vectors.select("vec_id", "label"), "label").select("qid", "vec_id")
+    hits = run.filter("rank <= 10").join(rels, ["qid", "vec_id"], "left_semi").groupBy("qid").agg(F.count("*").alias("f"))
+    per = rels.groupBy("qid").agg(F.count("*").alias("n")).join(hits, "qid", "left")
+    return per.agg(F.round(F.avg(F.coalesce("f", F.lit(0)) / F.col("n")), 6).alias("recall_10"), F.count("*").alias("queries"))
+
+
+@query("SELECT event_type, count(value) AS available, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def latency_percentiles(spark, sf):
+    return metrics.latency_rollup(table(spark, sf, "events"), "event_type", "value")
+
+
+# --- citations -------------------------------------------------------------------------------------------------------
+
+_ANSWERS = "answers AS (SELECT item_id, 'See [' || (item_id % 4) || '] and [' || (item_id % 7 + 1) || '], again [' || (item_id % 4) || '] or [99].' AS answer FROM benchmark)"
+_CITED = f"{_ANSWERS}, cited AS (SELECT item_id, answer, list_transform(regexp_extract_all(answer, '\\[([0-9]+)\\]', 1), lambda x: x::INTEGER) AS bag FROM answers)"
+
+
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("item_id")
+    return table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("See ["), i % 4, F.lit("] and ["), i % 7 + 1, F.lit("], again ["), i % 4, F.lit("] or [99].")).alias("answer"))
+
+
+@query(f"WITH {_CITED} SELECT item_id, array_to_string(list_filter(list_distinct_in_order, lambda x: true), ',') AS cited, array_to_string(list_filter(list_distinct_in_order, lambda x: x BETWEEN 1 AND 5), ',') AS valid FROM (SELECT item_id, list_filter(bag, lambda x, i: list_position(bag, x) = i) AS list_distinct_in_order FROM cited)")
+def citations_extract(spark, sf):
+    cited = citation.cited_indexes(F.col("answer"))
+    said = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    return _answers(spark, sf).select("item_id", said(cited).alias("cited"), said(citation.valid_indexes(cited, F.lit(5))).alias("valid"))
+
+
+@query(f"WITH {_CITED}, sets AS (SELECT item_id, bag, [1, 2, 3, 4, 5] AS ev, [1, (item_id % 5 + 2)::INTEGER] AS rel FROM cited) SELECT item_id, round(len(list_intersect(ev, rel)) / 2.0::DOUBLE, 6) AS evidence_recall, round(len(list_intersect(ev, rel)) / 5.0::DOUBLE, 6) AS evidence_precision, round(len(list_filter(bag, lambda c: list_contains(ev, c))) / len(bag)::DOUBLE, 6) AS citation_validity, round(len(list_filter(bag, lambda c: list_contains(rel, c))) / len(bag)::DOUBLE, 6) AS citation_precision FROM sets")
+def citation_metrics(spark, sf):
+    bag = F.transform(F.regexp_extract_all("answer", F.lit(r"\[([0-9]+)\]"), F.lit(1)), lambda x: x.cast("int"))
+    relevant = F.array(F.lit(1), (F.col("item_id") % 5 + 2).cast("int"))
+    found = metrics.set_metrics(F.array(*map(F.lit, range(1, 6))), relevant, bag)
+    return _answers(spark, sf).select("item_id", *(c.alias(n) for n, c in found.items()))
+
+
+# --- conversations and requests --------------------------------------------------------------------------------------
+
+_TURNS = "clean AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS turn_no FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> ''), turns AS (SELECT conv_id, turn_no::BIGINT AS turn_no, sum(length(text))::BIGINT AS size FROM clean WHERE turn_no > 0 GROUP BY ALL)"
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, turn_no, size FROM turns")
+def history_turns(spark, sf):
+    return conversation.turn_sizes(table(spark, sf, "conversations"), F.length("text"))
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, turn_no, size, age FROM (SELECT *, (row_number() OVER w)::INTEGER AS age, sum(size) OVER w AS used FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn_no DESC)) WHERE used <= 1500 OR age = 1")
+def recent_turns_budget(spark, sf):
+    turns = conversation.turn_sizes(table(spark, sf, "conversations"), F.length("text"))
+    return conversation.recent_turns(turns, 1500)
+
+
+@query("SELECT event_id, user_id AS owner, CASE WHEN n = 1 THEN 'started' WHEN event_type = f THEN 'replayed' ELSE 'conflict' END AS outcome FROM (SELECT *, row_number() OVER w AS n, first_value(event_type) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id, floor(value) ORDER BY event_id))")
+def request_idempotency(spark, sf):
+    requests = table(spark, sf, "events").select(F.col("user_id").alias("owner"), F.floor("value").alias("request_id"), F.col("event_type").alias("fingerprint"), F.col("event_id").alias("seq"))
+    return conversation.begin_requests(requests).select(F.col("seq").alias("event_id"), "owner", "outcome")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS status, max(event_id) AS seq FROM events GROUP BY user_id")
+def latest_status(spark, sf):
+    return conversation.latest(table(spark, sf, "events"), "user_id", "event_id", ["event_type", "event_id"]).select("user_id", F.col("event_type").alias("status"), F.col("event_id").alias("seq"))
+
+
+@query("SELECT event_type, coalesce(sum(strlen(props)), 0)::BIGINT AS bytes FROM events GROUP BY event_type")
+def storage_bytes(spark, sf):
+    return conversation.storage_bytes(table(spark, sf, "events"), "event_type", "props")
+
+
+# --- tables ----------------------------------------------------------------------------------------------------------
+
+
+def _index(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("doc_id"), F.col("vec_id").alias("chunk_id"), F.col("label").alias("value"))
+
+
+@query("WITH idx AS (SELECT vec_id // 8 AS doc_id, vec_id AS chunk_id, label AS value FROM embeddings), fresh AS (SELECT doc_id, chunk_id + 1000000 AS chunk_id, -1 AS value FROM idx WHERE doc_id % 3 = 0 AND chunk_id % 2 = 0) SELECT * FROM idx WHERE doc_id NOT IN (SELECT doc_id FROM fresh) UNION ALL SELECT doc_id, chunk_id, value::INTEGER FROM fresh")
+def upsert_replace_by_doc(spark, sf):
+    old = _index(spark, sf)
+    new = old.filter("doc_id % 3 = 0 AND chunk_id % 2 = 0").select("doc_id", (F.col("chunk_id") + 1000000).alias("chunk_id"), F.lit(-1).alias("value"))
+    return store.replaced(old, new)
+
+
+@query("WITH idx AS (SELECT vec_id // 8 AS doc_id, vec_id AS chunk_id, label AS value FROM embeddings) SELECT * FROM idx WHERE NOT (doc_id % 3 = 0 AND chunk_id % 2 = 1)")
+def stale_delete(spark, sf):
+    old = _index(spark, sf)
+    return store.without_stale(old, old.filter("doc_id % 3 = 0 AND chunk_id % 2 = 0").select("doc_id", "chunk_id"), "doc_id", "chunk_id").select("doc_id", "chunk_id", "value")
+
+
+@query("SELECT vec_id // 8 AS doc_id, count(*) AS n_rows, count(*) FILTER (vec_id % 4 = 0) AS parents, count(*) FILTER (vec_id % 4 <> 0) AS children FROM embeddings GROUP BY 1")
+def index_counts(spark, sf):
+    return store.index_counts(_index(spark, sf).withColumn("chunk_role", F.when(F.col("chunk_id") % 4 == 0, "parent").otherwise("child")))
+
+
+@query("SELECT 'sha256:' || sha256(text) AS asset_id, source AS document_id, substr(sha256(text), 1, 2) || '/' || sha256(text) || '.png' AS storage_key, strlen(text) AS size_bytes, min(doc_id) AS created_at FROM documents WHERE text IS NOT NULL GROUP BY ALL")
+def asset_dedupe(spark, sf):
+    images = table(spark, sf, "documents").select(F.col("source").alias("document_id"), F.col("text").alias("content"), F.lit(".png").alias("extension"), F.col("doc_id").alias("created_at")).filter("content IS NOT NULL")
+    return store.asset_rows(images)
+
+
+@query("SELECT doc_id, source FROM documents WHERE lang = 'en'")
+def owner_authorised(spark, sf):
+    docs = table(spark, sf, "documents")
+    registry = docs.select("doc_id", F.to_json(F.struct(F.col("lang").alias("owner_id"))).alias("payload"))
+    assets = docs.select(F.col("doc_id").alias("document_id"), "source")
+    return store.owned_assets(assets, registry, "en").select(F.col("document_id").alias("doc_id"), "source")
+
+
+# --- datasets --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(trim(text)) AS content_id, arg_min(source, doc_id) AS source FROM documents GROUP BY sha256(trim(text))")
+def exact_dedup_documents(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.sha2(F.trim("text"), 256).alias("content_id"), "source")
+    return docs.groupBy("content_id").agg(F.min("doc_id").alias("doc_id"), F.min_by("source", "doc_id").alias("source"))
+
+
+@query("SELECT doc_id, 'doc_' || substr(sha256(source || chr(31) || trim(text)), 1, 24) AS stable_id FROM documents")
+def stable_ids(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tx.stable_id("doc_", F.col("source"), F.trim("text")).alias("stable_id"))
+
+
+@query(
+    r"""WITH q AS (SELECT item_id AS qid, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 1))) AS term FROM benchmark),
+  d AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 1)) AS own FROM documents), h AS (SELECT doc_id, len(own) AS n_own, unnest(own) AS term FROM d),
+  s AS (SELECT qid, doc_id, round(count(*) / sqrt(greatest(1, any_value(n_own))), 6) AS score FROM h JOIN q USING (term) GROUP BY qid, doc_id)
+  SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id))::INTEGER AS rank FROM s WHERE doc_id <> qid) WHERE rank <= 10"""
+)
+def hard_negatives(spark, sf):
+    asked = _questions(spark, sf)
+    positives = asked.select("qid", F.col("qid").alias("doc_id"))
+    return datasets.hard_negatives(table(spark, sf, "documents"), asked, positives, K)
+
+
+_SUB = """WITH qrels AS (SELECT doc_id % 20 AS qid, doc_id, quality AS rel FROM labels), pos AS (SELECT * FROM qrels WHERE rel > 0),
+  chosen AS (SELECT item_id AS qid FROM benchmark WHERE item_id IN (SELECT qid FROM pos) ORDER BY md5('42:' || item_id), item_id LIMIT 10),
+  forced AS (SELECT DISTINCT doc_id FROM pos WHERE qid IN (SELECT qid FROM chosen))"""
+
+
+@query(_SUB + " SELECT doc_id, source FROM documents ORDER BY CASE WHEN doc_id IN (SELECT doc_id FROM forced) THEN 0 ELSE 1 END, md5('42:' || doc_id), doc_id LIMIT 300")
+def subsample_pool(spark, sf):
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"))
+    qrels = table(spark, sf, "labels").select((F.col("doc_id") % 20).alias("qid"), "doc_id", F.col("quality").alias("rel"))
+    pool, _, _ = datasets.subsample(table(spark, sf, "documents").select("doc_id", "source"), queries, qrels, 10, 300, 42)
+    return pool
+
+
+@query(
+    """WITH qrels AS (SELECT doc_id % 50 AS qid, doc_id, quality AS rel FROM labels), c AS (SELECT doc_id, text FROM documents), q AS (SELECT item_id AS qid, text FROM benchmark)
+  SELECT 'corpus_id_unique' AS rule, (SELECT count(*) FROM (SELECT doc_id FROM c GROUP BY 1 HAVING count(*) > 1)) AS violations
+  UNION ALL SELECT 'corpus_text_present', (SELECT count(*) FROM c WHERE coalesce(trim(text), '') = '') UNION ALL SELECT 'corpus_text_unique', (SELECT count(*) FROM (SELECT trim(text) FROM c GROUP BY 1 HAVING count(*) > 1))
+  UNION ALL SELECT 'query_id_unique', (SELECT count(*) FROM (SELECT qid FROM q GROUP BY 1 HAVING count(*) > 1)) UNION ALL SELECT 'query_text_present', (SELECT count(*) FROM q WHERE coalesce(trim(text), '') = '')
+  UNION ALL SELECT 'qrel_unique', (SELECT count(*) FROM (SELECT qid, doc_id FROM qrels GROUP BY ALL HAVING count(*) > 1)) UNION ALL SELECT 'qrel_query_exists', (SELECT count(*) FROM qrels WHERE qid NOT IN (SELECT qid FROM q))
+  UNION ALL SELECT 'qrel_document_exists', (SELECT count(*) FROM qrels WHERE doc_id NOT IN (SELECT doc_id FROM c)) UNION ALL SELECT 'query_has_positive', (SELECT count(*) FROM q WHERE qid NOT IN (SELECT qid FROM qrels WHERE rel > 0))
+  UNION ALL SELECT 'relevance_known', (SELECT count(*) FROM qrels WHERE rel NOT IN (0, 1))"""
+)
+def validator_violations(spark, sf):
+    qrels = table(spark, sf, "labels").select((F.col("doc_id") % 50).alias("qid"), "doc_id", F.col("quality").alias("rel"))
+    return datasets.violations(table(spark, sf, "documents").select("doc_id", "text"), _questions(spark, sf), qrels)
+
+
+@query("SELECT lang, count(*) FILTER (source = 'src0') AS src0, count(*) FILTER (source = 'src1') AS src1, count(*) AS total FROM documents GROUP BY lang")
+def dataset_counts(spark, sf):
+    return table(spark, sf, "documents").groupBy("lang").agg(F.count_if(F.col("source") == "src0").alias("src0"), F.count_if(F.col("source") == "src1").alias("src1"), F.count("*").alias("total"))
+
+
+@query("SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}]+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS digest FROM documents")
+def normalize_lines(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(tx.normalize_lines(F.col("text"))).alias("digest"))
+
+
+# --- parsing, chunking, evidence -------------------------------------------------------------------------------------
+
+_CONFIG = ChunkConfig()
+
+
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", chunking.paragraph_blocks(F.col("text")).alias("blocks"))
+
+
+@query()
+def split_chunks(spark, sf):
+    return chunking.chunk_documents(_blocks(spark, sf), _CONFIG)
+
+
+@query()
+def merge_parents(spark, sf):
+    parents = chunking.chunk_documents(_blocks(spark, sf), _CONFIG).filter("chunk_role = 'parent'")
+    return parents.select("doc_id", "chunk_id", F.size("child_ids").alias("n_children"), "token_count", F.length("content").alias("n_chars"))
+
+
+@query("SELECT unnest(['children_tile_parent', 'links_both_ways', 'token_budget', 'distinct_ids']) AS rule, 0::BIGINT AS violations")
+def chunk_invariants(spark, sf):
+    return chunking.invariant_violations(chunking.chunk_documents(_blocks(spark, sf), _CONFIG), _CONFIG)
+
+
+def _parsed(spark: SparkSession, sf: str) -> DataFrame:
+    return parsing.parse_documents(table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.lit(".HTML").alias("file_type"), F.col("html").alias("content")))
+
+
+@query()
+def parse_html_blocks(spark, sf):
+    return _parsed(spark, sf).select("doc_id", F.inline("blocks")).select("doc_id", "order", "block_type", "text", F.col("span.accuracy").alias("accuracy"))
+
+
+@query()
+def section_paths(spark, sf):
+    blocks = _parsed(spark, sf).select("doc_id", F.inline("blocks"))
+    return blocks.groupBy("doc_id", F.array_join("section_path", " > ").alias("path")).agg(F.count("*").alias("blocks"))
+
+
+@query("SELECT doc_id, 1::INTEGER AS n_refs, 'img/' || source || '.png' AS path, (length(text) + 2)::INTEGER AS start_char FROM documents WHERE text NOT LIKE '%![%' AND text NOT LIKE '%```%' AND text NOT LIKE '%~~~%'")
+def image_refs(spark, sf):
+    docs = table(spark, sf, "documents").filter(~F.col("text").contains("![") & ~F.col("text").contains("```") & ~F.col("text").contains("~~~"))
+    marked = docs.select("doc_id", F.concat("text", F.lit("\n\n![figure](img/"), "source", F.lit(".png)\n\n```\n![no](x.png)\n```\n")).alias("t"))
+    refs = marked.select("doc_id", parsing.image_refs_column(F.col("t")).alias("r"))
+    return refs.select("doc_id", F.size("r").alias("n_refs"), F.element_at("r", 1)["path"].alias("path"), F.element_at("r", 1)["start_char"].alias("start_char"))
+
+
+@query("SELECT page_id, regexp_matches(html, '</?[A-Za-z][^>]*>') AS is_html FROM pages")
+def html_sniff(spark, sf):
+    return table(spark, sf, "pages").select("page_id", tx.looks_like_html(F.col("html")).alias("is_html"))
+
+
+@query("SELECT o_orderkey, count(*) AS overlaps FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber * 10 + 5 > 15 AND l_linenumber * 10 < 35 GROUP BY o_orderkey")
+def interval_overlap(spark, sf):
+    segments = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct((F.col("l_linenumber") * 10).alias("start"), (F.col("l_linenumber") * 10 + 5).alias("end"))).alias("segments"))
+    hit = table(spark, sf, "orders").select("o_orderkey").join(segments, "o_orderkey").select("o_orderkey", F.size(chunking.overlapping(F.col("segments"), F.lit(15), F.lit(35))).cast("long").alias("overlaps"))
+    return hit.filter("overlaps > 0")
+
+
+def _results(spark: SparkSession, sf: str) -> DataFrame:
+    """Parents of every document with their second child as the match; rank 1 a question."""
+    chunks = chunking.chunk_documents(_blocks(spark, sf), _CONFIG)
+    kids = chunks.filter("chunk_role = 'child'").groupBy(F.col("parent_id").alias("pid")).agg(F.sort_array(F.collect_list(F.struct(F.col("parent_char_start").alias("start"), F.col("parent_char_end").alias("end"), "chunk_id", F.substring("content", 1, 160).alias("snippet")))).alias("kids"))
+    parents = chunks.filter("chunk_role = 'parent'").join(kids, F.col("chunk_id") == F.col("pid"))
+    # The matches of a parent: its first and its last child.
+    ends = F.array_distinct(F.array(F.element_at("kids", 1), F.element_at("kids", -1)))
+    matched = F.transform(ends, lambda k: F.struct(k["chunk_id"].alias("chunk_id"), k["start"].alias("start"), k["end"].alias("end"), k["snippet"].alias("snippet")))
+    return parents.select(F.col("doc_id").alias("qid"), F.lit(1).alias("rank"), "chunk_id", "doc_id", "content", matched.alias("children"), F.element_at(ends, -1)["chunk_id"].alias("primary_child"), "preserve_structure")
+
+
+@query()
+def evidence_windows(spark, sf):
+    return evidence.evidence_windows(_results(spark, sf), EvidenceConfig(window_tokens=256))
+
+
+@query()
+def prompt_budget(spark, sf):
+    windows = evidence.evidence_windows(_results(spark, sf), EvidenceConfig(window_tokens=256))
+    return evidence.fit_prompts(windows, EvidenceConfig(evidence_max_tokens=512))
