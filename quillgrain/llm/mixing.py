@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import cut, unused, word_count
 
 CELLS = 4096
+#: Cells are summed in groups first, so no source's running sum has more than this many rows.
+CELL_GROUP = 64
 
 
 def random_key(id_col: str, text_col: str, seed: int) -> Column:
@@ -61,6 +63,13 @@ def _cell(rank: Column) -> Column:
     return F.least(F.floor(rank * CELLS), F.lit(CELLS - 1)).cast("int")
 
 
+def _first_over(cells: DataFrame, base: Column) -> DataFrame:
+    """of, cut: each source's first cell at whose end more words than its rest are reached."""
+    upto = base + F.sum("words").over(Window.partitionBy("source").orderBy("cell"))
+    over = cells.withColumn("upto", upto).filter("upto > rest")
+    return over.groupBy(F.col("source").alias("of")).agg(F.min_by(F.struct("cell", (F.col("upto") - F.col("words")).alias("before")), "cell").alias("cut"))
+
+
 def plan_mix(rows: DataFrame, weights: Sequence[float], share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """One row a source: target, whole copies, words left for the sample, its cut cell.
 
@@ -78,14 +87,12 @@ def plan_mix(rows: DataFrame, weights: Sequence[float], share: float = 1.5, cap:
     )
     plan = cut(plan, "mix-targets")
     own = plan.select(F.col("source").alias("of"), "rest", "chance")
-    cells = rows.join(own, F.col("source").eqNullSafe(F.col("of"))).groupBy("source", "rest", _cell(_rank(F.col("u"), F.col("chance"))).alias("cell")).agg(F.sum("size").alias("words"))
-    running = F.sum("words").over(Window.partitionBy("source").orderBy("cell"))
-    cuts = (
-        cells.withColumn("upto", running)
-        .filter("upto > rest")
-        .groupBy(F.col("source").alias("of"))
-        .agg(F.min_by(F.struct("cell", (F.col("upto") - F.col("words")).alias("before")), "cell").alias("cut"))
-    )
+    cells = cut(rows.join(own, F.col("source").eqNullSafe(F.col("of"))).groupBy("source", "rest", _cell(_rank(F.col("u"), F.col("chance"))).alias("cell")).agg(F.sum("size").alias("words")), "mix-cells")
+    group = F.floor(F.col("cell") / CELL_GROUP)
+    groups = cells.groupBy("source", "rest", group.alias("cell")).agg(F.sum("words").alias("words"))
+    coarse = _first_over(groups, F.lit(0)).select("of", F.col("cut.cell").alias("group"), F.col("cut.before").alias("base"))
+    inside = cells.join(coarse, F.col("source").eqNullSafe(F.col("of")) & (group == F.col("group"))).drop("of")
+    cuts = _first_over(inside, F.col("base"))
     return cut(
         plan.join(cuts, F.col("source").eqNullSafe(F.col("of")), "left").select(
             "source", "source_size", "target", "whole", "rest", "chance", F.coalesce("cut.cell", F.lit(CELLS)).alias("cut_cell"), F.coalesce("cut.before", F.lit(0)).alias("cut_before")
