@@ -20,7 +20,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import cut, let
 
 MAX_STRINGS = 64
 
@@ -220,7 +220,8 @@ def scan(docs: DataFrame, rules: Sequence[Rule], id_col: str = "doc_id", text_co
         anchor = F.lit(False)
         for t in sorted({index.trigrams[c[0]] for q in index.clauses if q for c in q}):
             anchor = anchor | F.contains(F.lower(F.col("text")), F.lit(t))
-        hits = candidates(postings(docs, index, text, key), index)
+        # Written out, so that the join below reads plain rows: a group of copies can then be split.
+        hits = cut(candidates(postings(docs, index, text, key), index), "secret-candidates")
         rows = rows.withColumn("text", F.when(anchor, F.col("text"))).join(hits, "key", "left")
         asked = [F.when(F.array_contains("rules", n), number(spans(F.col("text"), r), n)).otherwise(no_spans) for n, r in enumerate(rules) if index.clauses[n]]
         rows = rows.withColumn("found", F.when(F.col("rules").isNull() | F.col("text").isNull(), F.col("full")).otherwise(F.concat("full", *asked)))
