@@ -106,10 +106,12 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text",
     At most ``SAMPLE_ROWS`` rows, taken from one row in ``SAMPLE_ONE_IN`` by a
     hash of the text; this only sets the order of evaluation.
     """
-    sample = measure(docs.filter(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE_ONE_IN)) == 0).select(text_col).limit(SAMPLE_ROWS), text_col, prefix)
+    sample = measure(docs.filter(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE_ONE_IN)) == 0).select(text_col), text_col, prefix)
     chars, n = F.length(F.coalesce(F.col(text_col), F.lit(""))), F.col(prefix + "n_words")
-    each = [x for r in rules for x in (F.avg(r.rejects.cast("double")), F.avg(50 + r.char_cost * chars + r.word_cost * n))]
-    got = [x or 0.0 for x in sample.agg(*(e.alias(f"x{i}") for i, e in enumerate(each))).first()]
+    each = [x for r in rules for x in (F.coalesce(r.rejects.cast("double"), F.lit(0.0)), 50 + r.char_cost * chars + r.word_cost * n)]
+    # Partitions are read one after the other until there are enough rows; only their figures leave the executors.
+    rows = sample.select(*(e.alias(f"x{i}") for i, e in enumerate(each))).head(SAMPLE_ROWS)
+    got = [sum(r[i] for r in rows) / max(1, len(rows)) for i in range(len(each))]
     worth = {r.name: got[2 * i] / (got[2 * i + 1] or 1.0) for i, r in enumerate(rules)}
     cost = {r.name: got[2 * i + 1] for i, r in enumerate(rules)}
     return sorted(rules, key=lambda r: (-worth[r.name], cost[r.name], r.name))
