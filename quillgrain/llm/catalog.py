@@ -50,7 +50,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     forged = spark.createDataFrame(FORGED, rows.schema)
-    return chat_format.chat_digests(chat_format.format_chats(rows.unionByName(forged)))
+    return chat_format.chat_digests(rows.unionByName(forged))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,9 @@ FORMATTED = T.StructType(
         T.StructField("n_turns", T.LongType()),
     ]
 )
-DIGESTS = T.StructType([T.StructField("turns", T.StringType()), T.StructField("loss_chars", T.LongType()), T.StructField("loss", T.StringType())])
+DIGESTS = T.StructType(
+    [T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()), T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType())]
+)
 
 
 def escape(text: str) -> str:
@@ -156,28 +158,45 @@ def text_part(text: Column) -> Column:
 def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts: Column | None = None) -> DataFrame:
     """conv_id, formatted, loss, attachments, n_turns: one row a conversation.
 
+    ``parts`` is an array of part structs; without it the column text is one text part.
+
     A conversation is one training sample and one row, so its turns meet in one
     task. Turns go by (turn, role, text), null turns first; repeated rows are
     turns of their own; null roles and texts are empty; null conversation ids
     are one conversation. An empty table gives no rows.
     """
+    return gather_turns(rows, conv_col, turn_col, role_col, parts).select("conv_id", _format_column("turns").alias("f")).select("conv_id", "f.*")
+
+
+def gather_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts: Column | None = None) -> DataFrame:
+    """conv_id, turns: the turns of each conversation in order."""
     parts = text_part(F.col("text")) if parts is None else parts
     turns = rows.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), parts.cast(f"array<{PART}>").alias("parts")).alias("t"))
-    return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("conv_id", _format_column("turns").alias("f")).select("conv_id", "f.*")
+    return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
 
 @pandas_udf(DIGESTS)
-def _digests(formatted: pd.Series, loss: pd.Series) -> pd.DataFrame:
+def _digests(chats: pd.DataFrame) -> pd.DataFrame:
     from hashlib import sha256
 
     digest = lambda text: sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-    turns = [digest("".join(f"{r}\n{t}\n" for r, t in read_back(f))) for f in formatted]
-    trained = [trained_text(f, [(s["first"], s["last"]) for s in spans]) for f, spans in zip(formatted, loss)]
-    return pd.DataFrame({"turns": turns, "loss_chars": [len(t) for t in trained], "loss": [digest(t) for t in trained]})
+    turns = [read_back(f) for f in chats["formatted"]]
+    trained = [trained_text(f, [(s["first"], s["last"]) for s in spans]) for f, spans in zip(chats["formatted"], chats["loss"])]
+    return pd.DataFrame(
+        {
+            "n_turns": [len(t) for t in turns],
+            "turns_sha256": [digest("".join(f"{r}\n{t}\n" for r, t in conv)) for conv in turns],
+            "loss_chars": [len(t) for t in trained],
+            "loss_sha256": [digest(t) for t in trained],
+            "formatted_chars": [len(f) for f in chats["formatted"]],
+        }
+    )
 
 
-def chat_digests(chats: DataFrame) -> DataFrame:
-    """What the formatted conversations say when they are read back."""
-    return chats.select("conv_id", "n_turns", _digests("formatted", "loss").alias("d"), F.length("formatted").cast("long").alias("formatted_chars")).select(
-        "conv_id", "n_turns", F.col("d.turns").alias("turns_sha256"), "d.loss_chars", F.col("d.loss").alias("loss_sha256"), "formatted_chars"
-    )
+def chat_digests(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts: Column | None = None) -> DataFrame:
+    """What the conversations of ``format_chats`` say when they are read back, one row each.
+
+    Formatting and reading back run in one Python worker, batch by batch.
+    """
+    turns = gather_turns(rows, conv_col, turn_col, role_col, parts)
+    return turns.select("conv_id", _digests(_format_column("turns")).alias("d")).select("conv_id", "d.*")
