@@ -8,7 +8,7 @@ verdict is a conjunction, so the order changes the work, never the result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -23,10 +23,10 @@ SAMPLE_ONE_IN = 64
 
 
 class Rule(NamedTuple):
-    """``rejects`` may use the columns of ``measure``; costs are ns a character and a word."""
+    """``rejects`` takes the measures and the text; costs are ns a character and a word."""
 
     name: str
-    rejects: Column
+    rejects: Callable[[Column, Column], Column]
     char_cost: float = 0.0
     word_cost: float = 0.0
 
@@ -59,56 +59,51 @@ def repeated_words(tokens: Column) -> Column:
     return let(tokens, lambda w: F.when(F.size(w) <= WINDOW, F.lit(0).cast("long")).otherwise(of(w)))
 
 
-def measure(docs: DataFrame, text_col: str = "text", prefix: str = "q_") -> DataFrame:
-    """``docs`` with the base counts of the whole text in columns ``prefix + name``.
-
-    A null text is an empty one: all counts 0.
-    """
-    text, p = F.coalesce(F.col(text_col), F.lit("")), prefix
+def measures(text: Column) -> Column:
+    """struct of the counts of a whole text; a null text is an empty one. One expression, so plans can't double it."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.withColumns({p + "words": words(text), p + "lines": lines})
-    return df.withColumns(
-        {
-            p + "n_words": F.size(p + "words").cast("long"),
-            p + "word_chars": F.length(F.array_join(p + "words", "")).cast("long"),
-            p + "n_symbols": F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long"),
-            p + "n_lines": F.size(p + "lines").cast("long"),
-            p + "n_dup_lines": (F.size(p + "lines") - F.size(F.array_distinct(p + "lines"))).cast("long"),
-            p + "n_repeat_words": repeated_words(F.col(p + "words")),
-        }
-    ).drop(p + "words", p + "lines")
-
-
-def default_rules(text_col: str = "text", prefix: str = "q_") -> list[Rule]:
+
+    def counts(w: Column, own: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long").alias("n_symbols"),
+            F.size(own).cast("long").alias("n_lines"),
+            (F.size(own) - F.size(F.array_distinct(own))).cast("long").alias("n_dup_lines"),
+            repeated_words(w).alias("n_repeat_words"),
+            F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))).cast("long").alias("n_stutters"),
+        )
+
+    return let(words(text), lambda w: let(lines, lambda own: counts(w, own)))
+
+
+def default_rules() -> list[Rule]:
     """The rules beside the base ones; all ratios are taken over the whole text."""
-    c = lambda n: F.col(prefix + n)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    stutters = let(words(text), lambda w: F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+    letters = lambda text: F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
     return [
-        Rule("symbols", 10 * c("n_symbols") > c("n_words")),
-        Rule("repeated_lines", 2 * c("n_dup_lines") > c("n_lines")),
-        Rule("word_length", (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 20 * c("n_words"))),
-        Rule("shouting", 2 * F.regexp_count(text, F.lit("!")) > c("n_words"), char_cost=6.0),
-        Rule("stutter", 10 * stutters > 3 * c("n_words"), char_cost=8.0, word_cost=60.0),
-        Rule("letters", 2 * letters < c("word_chars"), char_cost=9.0),
+        Rule("symbols", lambda m, text: 10 * m["n_symbols"] > m["n_words"]),
+        Rule("repeated_lines", lambda m, text: 2 * m["n_dup_lines"] > m["n_lines"]),
+        Rule("stutter", lambda m, text: 10 * m["n_stutters"] > 3 * m["n_words"]),
+        Rule("word_length", lambda m, text: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"])),
+        Rule("shouting", lambda m, text: 2 * F.regexp_count(text, F.lit("!")) > m["n_words"], char_cost=6.0),
+        Rule("letters", lambda m, text: 2 * letters(text) < m["word_chars"], char_cost=9.0),
     ]
 
 
-def base_failed(prefix: str = "q_") -> Column:
-    n, r = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
-    return (n < 10) | (100 * r > 20 * n)
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", prefix: str = "q_") -> list[Rule]:
+def order_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text") -> list[Rule]:
     """Rules by rejected documents per cost on a sample of ``docs`` (plain documents).
 
     At most ``SAMPLE_ROWS`` rows, taken from one row in ``SAMPLE_ONE_IN`` by a
     hash of the text; this only sets the order of evaluation.
     """
-    sample = measure(docs.filter(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE_ONE_IN)) == 0).select(text_col), text_col, prefix)
-    chars, n = F.length(F.coalesce(F.col(text_col), F.lit(""))), F.col(prefix + "n_words")
-    each = [x for r in rules for x in (F.coalesce(r.rejects.cast("double"), F.lit(0.0)), 50 + r.char_cost * chars + r.word_cost * n)]
+    sample = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE_ONE_IN)) == 0).select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), measures(F.col(text_col)).alias("m"))
+    m, text = F.col("m"), F.col("t")
+    each = [x for r in rules for x in (F.coalesce(r.rejects(m, text).cast("double"), F.lit(0.0)), 50 + r.char_cost * F.length(text) + r.word_cost * m["n_words"])]
     # Partitions are read one after the other until there are enough rows; only their figures leave the executors.
     rows = sample.select(*(e.alias(f"x{i}") for i, e in enumerate(each))).head(SAMPLE_ROWS)
     got = [sum(r[i] for r in rows) / max(1, len(rows)) for i in range(len(each))]
@@ -117,11 +112,11 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text",
     return sorted(rules, key=lambda r: (-worth[r.name], cost[r.name], r.name))
 
 
-def cascade(rules: Sequence[Rule], prefix: str = "q_") -> Column:
+def cascade(rules: Sequence[Rule], m: Column, text: Column) -> Column:
     """Name of the first rule, in the given order, that rejects; null if none does."""
-    chain = F.when(base_failed(prefix), F.lit("base"))
+    chain = F.when(base_failed(m), F.lit("base"))
     for r in rules:
-        chain = chain.when(r.rejects, F.lit(r.name))
+        chain = chain.when(r.rejects(m, text), F.lit(r.name))
     return chain
 
 
@@ -131,16 +126,16 @@ def judge_documents(docs: DataFrame, rules: Sequence[Rule] | None = None, id_col
     Null, empty and blank texts have no words and fail. Repeated rows are judged
     each. An empty table gives no rows.
     """
-    ordered = order_rules(docs, rules or default_rules(text_col), text_col)
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    found = measure(docs.select(F.col(id_col).alias("doc_id"), text_col), text_col)
-    return found.select("doc_id", *(F.col("q_" + n).alias(n) for n in counts), base_failed().alias("base_failed"), cascade(ordered).isNull().alias("kept"))
+    ordered = order_rules(docs, rules or default_rules(), text_col)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), measures(F.col(text_col)).alias("m"))
+    m = F.col("m")
+    return found.select("doc_id", *(m[n].alias(n) for n in names), base_failed(m).alias("base_failed"), cascade(ordered, m, F.col("t")).isNull().alias("kept"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that no rule rejects, columns unchanged; a filter without a shuffle."""
-    prefix = "q_"
-    while any(c.lower().startswith(prefix) for c in docs.columns):
-        prefix = "_" + prefix
-    ordered = order_rules(docs, default_rules(text_col, prefix), text_col, prefix)
-    return measure(docs, text_col, prefix).filter(cascade(ordered, prefix).isNull()).select(*docs.columns)
+    ordered = order_rules(docs, default_rules(), text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.filter(let(measures(text), lambda m: cascade(ordered, m, text).isNull()))
