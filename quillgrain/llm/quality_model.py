@@ -4,7 +4,8 @@ Fitting takes a bounded sample of labelled rows (``sample_rows``, by a hash of
 the id). Every word has a fixed sparse random index vector; a word's vector is
 the sum of the index vectors found within two words of it over the sample. A
 document is the weighted mean of its words' vectors, with the length of that
-mean, variety, size, capitals and immediate repeats beside it. A
+mean, variety, size, capitals, immediate repeats, the share of
+the commonest token and of marks beside it. A
 network of one hidden layer, in numpy, gives a logit, and a temperature fitted
 on rows kept from its training turns that into a probability.
 
@@ -32,6 +33,7 @@ BUCKETS = 1 << 15
 DIMS = 48
 NONZERO = 4
 WINDOW = 2
+MIN_DOCUMENTS = 5
 HIDDEN = 24
 COMMON = 1e-3
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -80,17 +82,17 @@ class QualityModel:
 
     def features(self, text: str | None) -> np.ndarray:
         found, loud, again, total = counted(text)
-        out = np.zeros(DIMS + 5, np.float32)
+        out = np.zeros(DIMS + 7, np.float32)
         if total:
             ids = np.fromiter(map(self._id, found), np.int64, len(found))
             counts = np.fromiter(found.values(), np.float32, len(found)) * self.weight[ids]
             mean = (counts @ self.vectors[ids]) / max(float(counts.sum()), 1e-9)
             out[:DIMS] = mean
-            out[DIMS:] = (float(np.linalg.norm(mean)), len(found) / total**0.75, math.log1p(total), loud / total, again / total)
+            out[DIMS:] = (float(np.linalg.norm(mean)), len(found) / total**0.75, math.log1p(total), loud / total, again / total, max(found.values()) / total, sum(n for t, n in found.items() if not t[0].isalnum()) / total)
         return out
 
     def _learn_vectors(self, texts: Sequence[str]) -> None:
-        sums, seen = np.zeros((BUCKETS, DIMS), np.float32), np.zeros(BUCKETS, np.int64)
+        sums, seen, docs = np.zeros((BUCKETS, DIMS), np.float32), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for text in texts:
             ids = np.array([self._id(t) for t in TOKEN.findall(text or "")], np.int64)
             for at in range(0, len(ids), PIECE // 16):
@@ -104,10 +106,10 @@ class QualityModel:
                 which, starts = np.unique(part[order], return_index=True)
                 sums[which] += np.add.reduceat(around[order], starts, axis=0)
                 seen += np.bincount(part, minlength=BUCKETS)
+            docs[np.unique(ids)] += 1
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
-        # A word that the sample lacks keeps its index vector.
-        plain = self.index / np.maximum(np.linalg.norm(self.index, axis=1, keepdims=True), 1e-9)
-        self.vectors = np.where(norms > 0, sums / np.maximum(norms, 1e-9), plain).astype(np.float32)
+        # A word of few documents would know their labels; it says nothing, like one that the sample lacks.
+        self.vectors = np.where((docs >= MIN_DOCUMENTS)[:, None], sums / np.maximum(norms, 1e-9), 0).astype(np.float32)
         share = seen / max(1, seen.sum())
         self.weight = (COMMON / (COMMON + share)).astype(np.float32)
 
@@ -121,7 +123,7 @@ class QualityModel:
         rng = np.random.default_rng(self.seed)
         order = rng.permutation(len(y))
         kept, train = order[: max(2, len(y) // 5)], order[max(2, len(y) // 5) :]
-        mean, scale = x[train].mean(axis=0), x[train].std(axis=0) + 1e-6
+        mean, scale = x[train].mean(axis=0), x[train].std(axis=0) + 1e-3
         net = {
             "mean": mean,
             "scale": scale,
@@ -130,7 +132,7 @@ class QualityModel:
             "w2": rng.normal(0, 1 / math.sqrt(HIDDEN), HIDDEN).astype(np.float32),
             "b2": np.zeros(1, np.float32),
         }
-        self._train(net, (x[train] - mean) / scale, y[train], rng)
+        self._train(net, self._standard(net, x[train]), y[train], rng)
         self.net = net
         logits, kept_y = self._logits(x[kept]), y[kept]
         loss = lambda t: float(np.mean(np.logaddexp(0, logits / t) - kept_y * logits / t))
@@ -138,7 +140,10 @@ class QualityModel:
         return self
 
     @staticmethod
-    def _train(net: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int = 40, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4) -> None:
+    def _train(net: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int = 40, steps: int = 2500, batch: int = 64, rate: float = 3e-3, prior: float = 0.3) -> None:
+        """Adam for the given epochs, or as many as make the given steps; the fewer rows, the more the prior weighs."""
+        decay = prior / len(y)
+        epochs = max(epochs, -(-steps * batch // len(y)))
         learnt = ("w1", "b1", "w2", "b2")
         first, second, step = {k: np.zeros_like(net[k]) for k in learnt}, {k: np.zeros_like(net[k]) for k in learnt}, 0
         for _ in range(epochs):
@@ -157,7 +162,12 @@ class QualityModel:
 
     def _logits(self, x: np.ndarray) -> np.ndarray:
         net = self.net
-        return np.tanh((x - net["mean"]) / net["scale"] @ net["w1"] + net["b1"]) @ net["w2"] + net["b2"]
+        return np.tanh(self._standard(net, x) @ net["w1"] + net["b1"]) @ net["w2"] + net["b2"]
+
+    @staticmethod
+    def _standard(net: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+        """Features in standard units; clipped, as a feature that hardly varies in the sample may be far out elsewhere."""
+        return np.clip((x - net["mean"]) / net["scale"], -6, 6)
 
     def score(self, texts: Sequence[str | None]) -> np.ndarray:
         if not len(texts):
