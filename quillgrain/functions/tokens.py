@@ -22,8 +22,14 @@ def approximate_tokens(text: str) -> int:
 
 
 def longest_prefix(text: str, start: int, stop: int, budget: int, count: Counter) -> int:
-    """The furthest end at which ``text[start:end]`` stays within the budget."""
-    return start + bisect.bisect_right(range(start + 1, stop + 1), budget, key=lambda end: count(text[start:end]))
+    """The furthest end at which ``text[start:end]`` stays within the budget.
+
+    The reach is doubled before it is searched, so the work follows the piece, not the text.
+    """
+    reach = min(stop, start + max(16, 4 * budget))
+    while reach < stop and count(text[start:reach]) <= budget:
+        reach = min(stop, 2 * reach - start)
+    return start + bisect.bisect_right(range(start + 1, reach + 1), budget, key=lambda end: count(text[start:end]))
 
 
 def token_count(text: Column, count: Counter = approximate_tokens) -> Column:

@@ -54,15 +54,21 @@ def top_by(df: DataFrame, k: int, *order: Column, rank: str = "rank") -> DataFra
 def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
     """qid, id, score and rank of exact cosine search, score (1 + cos) / 2.
 
-    Queries come in ``qid`` and ``qvec``. Filters apply before the search.
+    Queries come in ``qid`` and ``qvec``, and go to the workers in blocks of at
+    most about ``QUERY_BLOCK``. Filters apply before the search.
     """
     base = corpus if where is None else corpus.filter(where)
     # The norm of a vector is found once, not once a query.
     own = base.select(F.col(id_col), doubles(F.col(vector)).alias("v")).withColumn("n", norm(F.col("v")))
     asked = queries.select("qid", doubles(F.col("qvec")).alias("q")).withColumn("qn", norm(F.col("q")))
     cosine = dot(F.col("v"), F.col("q")) / (F.col("n") * F.col("qn"))
-    scored = own.join(asked.hint("broadcast") if asked.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK else asked, how="cross").select("qid", id_col, F.round(unit_score(cosine), 6).alias("score"))
-    return top_by(scored, k, F.desc("score"), F.asc(id_col))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    found = []
+    for b in range(blocks):
+        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        scored = own.crossJoin(F.broadcast(part)).select("qid", id_col, F.round(unit_score(cosine), 6).alias("score"))
+        found.append(top_by(scored, k, F.desc("score"), F.asc(id_col)))
+    return reduce(DataFrame.unionByName, found)
 
 
 def vector_topk_blocks(corpus: DataFrame, queries: list[tuple[Any, list[float]]], k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -240,3 +246,23 @@ def threshold_funnel(candidates: DataFrame, threshold: float, top_k: int, sample
         F.coalesce(F.round(F.avg(F.when(returned, F.col("score"))), 4), F.lit(0.0)).alias("avg_score"),
         F.array_join(F.transform(sample, lambda s: s["doc_id"].cast("string")), ",").alias("rejected"),
     )
+
+
+def vector_topk_lsh(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", bucket: float = 1.0, tables: int = 6, radius: float = 1.6) -> DataFrame:
+    """Approximate batch search: random projections of unit vectors, joined by bucket and verified.
+
+    Both sides are hashed and joined, so nothing is broadcast; ``radius`` bounds
+    the distance of pairs. Every row is indexed.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    from ..functions.vectors import normalized
+
+    own = corpus.select(F.col(id_col), array_to_vector(normalized(doubles(F.col(vector)))).alias("features"))
+    asked = queries.select("qid", array_to_vector(normalized(doubles(F.col("qvec")))).alias("features"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(own)
+    near = model.approxSimilarityJoin(own, asked, radius, "distance")
+    # Of unit vectors: distance^2 = 2 - 2 cos.
+    scored = near.select(F.col("datasetB.qid").alias("qid"), F.col(f"datasetA.{id_col}").alias(id_col), F.round(unit_score(1 - F.col("distance") * F.col("distance") / 2), 6).alias("score"))
+    return top_by(scored, k, F.desc("score"), F.asc(id_col))

@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ChunkConfig, EvidenceConfig
+from ..config import ChunkConfig, EvidenceConfig, RetrievalConfig
 from ..functions import text as tx
 from ..functions.vectors import is_valid
-from ..operators import chunking, citation, conversation, datasets, evidence, metrics, parsing, retrieval
-from ..sources import store
+from ..functions.tokens import token_count
+from ..operators import chunking, citation, conversation, datasets, evidence, images, metrics, parsing, retrieval, retrieve, rewriting, runs, sessions
+from ..sources import registry, store
 
 K, POOL, DIM = 10, 30, 64
 QUERIES = {}
@@ -101,8 +102,8 @@ def query_terms(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_join(F.sort_array(tx.query_terms(F.col("text"))), " ").alias("terms"))
 
 
-def _bm25(field: str, n: str) -> str:
-    return f"""own_{n} AS MATERIALIZED (SELECT doc_id, {_tok(field)} AS t FROM documents), stat_{n} AS (SELECT count(*) AS n_docs, avg(len(t)) AS avgdl FROM own_{n}),
+def _bm25(field: str, n: str, source: str = "documents") -> str:
+    return f"""own_{n} AS MATERIALIZED (SELECT doc_id, {_tok(field)} AS t FROM {source}), stat_{n} AS (SELECT count(*) AS n_docs, avg(len(t)) AS avgdl FROM own_{n}),
   held_{n} AS MATERIALIZED (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM own_{n}) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
   freq_{n} AS (SELECT term, count(*) AS df FROM held_{n} GROUP BY term),
   raw_{n} AS (SELECT qid, doc_id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS raw FROM held_{n} JOIN terms USING (term) JOIN freq_{n} USING (term), stat_{n} GROUP BY qid, doc_id)"""
@@ -533,3 +534,131 @@ def evidence_windows(spark, sf):
 def prompt_budget(spark, sf):
     windows = evidence.evidence_windows(_results(spark, sf), EvidenceConfig(window_tokens=256))
     return evidence.fit_prompts(windows, EvidenceConfig(evidence_max_tokens=512))
+
+
+# --- end to end, registry, sessions, providers -------------------------------------------------------------------------
+
+_CHUNKS = "chunks AS (SELECT vec_id AS doc_id, 'p' || (vec_id // 4) AS family, text, embedding FROM embeddings JOIN documents ON doc_id = vec_id)"
+_RETRIEVE = f"""{_CHUNKS}, {_TERMS}, {_bm25('text', 't', 'chunks')}, kwscored AS (SELECT qid, doc_id, round(raw, 6) AS raw FROM raw_t), {_ranked('kwscored', POOL, 'raw DESC, doc_id', 'kwranked')},
+  kw AS (SELECT qid, doc_id, round(CASE WHEN max(raw) OVER q > 0 THEN raw / max(raw) OVER q ELSE 0 END, 6) AS score, rank FROM kwranked WINDOW q AS (PARTITION BY qid)), vasked AS (SELECT item_id AS qid, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
+  vscored AS (SELECT qid, doc_id, round(greatest(0, least(1, (1 + list_cosine_similarity(embedding::DOUBLE[], q)) / 2)), 6) AS score FROM chunks, vasked), {_ranked('vscored', POOL, 'score DESC, doc_id', 'vec')},
+  fused AS (SELECT qid, doc_id, coalesce(kw.score, 0) AS keyword_score, round((coalesce(1.0::DOUBLE / (60 + vec.rank), 0) + coalesce(1.0::DOUBLE / (60 + kw.rank), 0)) / (2.0::DOUBLE / 61), 6) AS score FROM vec FULL OUTER JOIN kw USING (qid, doc_id)), {_ranked('fused', POOL, 'score DESC, doc_id', 'hybrid')},
+  eligible AS (SELECT * FROM hybrid JOIN (SELECT doc_id, family FROM chunks) USING (doc_id) WHERE score >= 0.3),
+  fam AS (SELECT qid, family, round(max(score), 6) AS score, round(max(keyword_score), 6) AS keyword_score, count(*) AS members, arg_max(doc_id, {{'s': score, 'k': keyword_score, 'r': -rank}}) AS primary_child, min(rank) AS first_rank FROM eligible GROUP BY qid, family),
+  ordered AS (SELECT qid, family, score, keyword_score, members, primary_child, substr(family, 2)::INTEGER % 3 <> 0 AS parent_found, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, keyword_score DESC, first_rank))::INTEGER AS rank FROM fam), results AS (SELECT * FROM ordered WHERE rank <= 5)"""
+
+
+def _chunk_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Children from vectors and texts of equal id; every third parent is missing."""
+    vectors, docs = table(spark, sf, "embeddings"), table(spark, sf, "documents")
+    parent = F.concat(F.lit("p"), F.floor(F.col("vec_id") / 4))
+    kids = vectors.join(docs, F.col("vec_id") == F.col("doc_id")).select(
+        F.col("vec_id").cast("string").alias("chunk_id"), "vec_id", "doc_id", parent.alias("parent_id"), F.lit("child").alias("chunk_role"), F.lit(True).alias("retrieval_eligible"), F.col("vec_id").cast("int").alias("chunk_order"), F.lit("").alias("doc_name"), F.array().cast("array<string>").alias("section_path"), F.col("text").alias("content"), "embedding"
+    )
+    heads = kids.select("parent_id").distinct().filter("cast(substring(parent_id, 2) AS int) % 3 <> 0").select(F.col("parent_id").alias("chunk_id"), F.lit("parent").alias("chunk_role"), F.lit(False).alias("retrieval_eligible"), F.lit("whole parent").alias("content"))
+    return kids.drop("vec_id").unionByName(heads, allowMissingColumns=True)
+
+
+def _retrieved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    # Ids are compared as strings here, so they are padded to sort as numbers do.
+    chunks = _chunk_table(spark, sf).withColumn("chunk_id", F.when(F.col("chunk_role") == "child", F.lpad("chunk_id", 12, "0")).otherwise(F.col("chunk_id")))
+    questions = table(spark, sf, "benchmark").join(table(spark, sf, "embeddings"), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("qid"), "text", F.col("embedding").alias("qvec"))
+    return retrieve.retrieve(questions, chunks, RetrievalConfig(threshold=0.3))
+
+
+@query(f"WITH {_RETRIEVE} SELECT qid, family, score, keyword_score, members, primary_child, parent_found, rank FROM results")
+def retrieve_families(spark, sf):
+    return _retrieved(spark, sf)[0].withColumn("primary_child", F.col("primary_child").cast("long"))
+
+
+@query(
+    f"WITH {_RETRIEVE} SELECT item_id AS qid, coalesce(c.n, 0) AS n_candidates, coalesce(e.n, 0) AS n_eligible, coalesce(r.n, 0) AS n_returned, coalesce(r.s, 0) AS avg_score, CASE WHEN coalesce(r.n, 0) > 0 THEN 'ok' ELSE 'no_evidence' END AS status FROM benchmark LEFT JOIN (SELECT qid, count(*) AS n FROM hybrid GROUP BY qid) c ON c.qid = item_id LEFT JOIN (SELECT qid, count(*) AS n FROM eligible GROUP BY qid) e ON e.qid = item_id LEFT JOIN (SELECT qid, count(*) AS n, round(avg(score), 4) AS s FROM results GROUP BY qid) r ON r.qid = item_id"
+)
+def retrieve_trace(spark, sf):
+    return _retrieved(spark, sf)[1]
+
+
+@query()
+def vector_topk_lsh(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return retrieval.vector_topk_lsh(vectors, _asked(vectors), K)
+
+
+@query(
+    """WITH up AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'A.MD' WHEN 1 THEN 'b.bin' WHEN 2 THEN ' ' WHEN 3 THEN 'noext' ELSE source || '.tar.html' END AS name, CASE WHEN doc_id % 2 = 0 THEN 'TEXT/plain' END AS mime, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE strlen(text) END AS size FROM documents),
+  typed AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN 'md' WHEN doc_id % 5 = 4 THEN 'html' WHEN mime IS NOT NULL THEN 'txt' END AS file_type FROM up)
+  SELECT doc_id, file_type, CASE WHEN trim(name) = '' THEN 'INVALID_FILE_NAME' WHEN size = 0 THEN 'EMPTY_FILE' WHEN size > 5000 THEN 'FILE_TOO_LARGE' WHEN file_type IS NULL THEN 'INVALID_FILE_TYPE' END AS error FROM typed"""
+)
+def upload_gates(spark, sf):
+    d = F.col("doc_id")
+    name = F.when(d % 5 == 0, "A.MD").when(d % 5 == 1, "b.bin").when(d % 5 == 2, " ").when(d % 5 == 3, "noext").otherwise(F.concat("source", F.lit(".tar.html")))
+    mime, size = F.when(d % 2 == 0, "TEXT/plain"), F.when(d % 7 == 0, 0).otherwise(F.octet_length("text"))
+    return table(spark, sf, "documents").select("doc_id", registry.upload_type(name, mime).alias("file_type"), registry.upload_error(name, mime, size, 5000).alias("error"))
+
+
+@query("SELECT user_id AS doc_id, arg_max(event_type, event_id) AS status, min(event_id) AS entered FROM events GROUP BY user_id HAVING arg_max(value, event_id) >= 10")
+def registry_listing(spark, sf):
+    log = table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.when(F.col("value") < 10, "delete").otherwise("put").alias("op"), F.col("event_type").alias("status"), F.lit("/p").alias("file_path"))
+    return registry.public_view(registry.current(log)).select("doc_id", "status", "entered")
+
+
+@query(
+    "SELECT doc_id, CASE WHEN doc_id % 11 = 0 OR source IS NULL OR source = '' THEN 400 WHEN doc_id % 3 = 0 THEN 404 WHEN lang <> 'en' THEN 403 ELSE 200 END AS outcome FROM documents"
+)
+def asset_access(spark, sf):
+    asset = F.when(F.col("doc_id") % 11 == 0, F.lit("sha256:x")).otherwise(F.concat(F.lit("sha256:"), F.sha2("text", 256)))
+    return table(spark, sf, "documents").select("doc_id", registry.preview_outcome(asset, F.col("source"), F.col("doc_id") % 3 != 0, F.col("lang"), F.lit("en")).alias("outcome"))
+
+
+@query(
+    """SELECT doc_id, '[图片] ' || source || CASE WHEN lang <> source THEN chr(10) || '替代文本：' || lang ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '图内文字：' || 'n ' || doc_id ELSE '' END || chr(10) || '主体：a、' || lang
+  || CASE WHEN doc_id % 3 = 0 THEN '' ELSE chr(10) || '图表趋势：up' END AS said FROM documents"""
+)
+def image_text(spark, sf):
+    d = F.col("doc_id")
+    ocr = F.when(d % 2 == 0, F.concat(F.lit('"n '), d, F.lit('"'))).otherwise(F.lit("5"))
+    reply = F.concat(F.lit('Here: ```json\n{"ocr_text": '), ocr, F.lit(', "subjects": [" a ", "", "'), F.col("lang"), F.lit('"], "key_facts": "none", "chart_trends": "'), F.when(d % 3 == 0, "不适用").otherwise("up"), F.lit('"}\n```'))
+    return table(spark, sf, "documents").select("doc_id", images.page_text(images.description(reply), F.col("lang"), F.col("source")).alias("said"))
+
+
+@query(f"WITH {_HYBRID}, best AS (SELECT qid, doc_id // 2 AS d, min(rank) AS rank, arg_min(fused_score, rank) AS score FROM hybrid GROUP BY ALL) SELECT qid AS query_id, count(*)::INTEGER AS n_docs, string_agg(d || ':' || printf('%.4f', score), ',' ORDER BY rank, d) AS said FROM best GROUP BY qid")
+def run_rows(spark, sf):
+    results = _hybrid(spark, sf).select("qid", F.floor(F.col("doc_id") / 2).cast("string").alias("doc_id"), F.col("fused_score").alias("score"), "rank")
+    rows = runs.run_rows(_questions(spark, sf).withColumnRenamed("text", "question"), results, "hybrid")
+    said = F.array_join(F.transform("retrieved", lambda x: F.concat(x["doc_id"], F.lit(":"), F.format_string("%.4f", x["score"]))), ",")
+    return rows.select("query_id", F.size("retrieved").alias("n_docs"), said.alias("said"))
+
+
+@query("SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'fallback' ELSE 'success' END AS status, CASE WHEN item_id % 3 = 0 THEN 'ValueError' END AS reason, CASE WHEN item_id % 3 = 0 THEN text ELSE 'question ' || item_id END AS asked FROM benchmark")
+def rewrite_status(spark, sf):
+    def stand_in():
+        def model(prompts: list[str]) -> list[str]:
+            return ['<think>x</think>{"standalone_query": "question %s"}' % p if int(p) % 3 else '{"other": 1}' for p in prompts]
+
+        return model
+
+    made = rewriting.rewrite(F.col("item_id").cast("string"), F.col("text"), stand_in)
+    return table(spark, sf, "benchmark").select("item_id", made.alias("r")).select("item_id", "r.status", "r.reason", F.col("r.query").alias("asked"))
+
+
+@query()
+def session_commits(spark, sf):
+    log = table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.floor(F.col("value") / 20).cast("long").alias("expected_version"), F.octet_length("props").cast("long").alias("bytes"), F.col("ts").cast("timestamp").cast("double").alias("at"))
+    return sessions.replay_commits(log, max_turns=50)
+
+
+@query()
+def embedding_budget(spark, sf):
+    tokens = token_count(F.col("text"))
+    counted = table(spark, sf, "documents").select("doc_id", tokens.alias("tokens"), (F.trim("text") == "").alias("blank"))
+    return counted.select("doc_id", "tokens", F.when(F.col("blank"), "blank").when(F.col("tokens") > 3072, "over_model_limit").when(F.col("tokens") > 192, "over_chunk_budget").otherwise("ok").alias("outcome"))
+
+
+@query()
+def build_dataset(spark, sf):
+    """A dataset whose questions are benchmark texts and whose references are documents."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    tasks = table(spark, sf, "benchmark").join(docs.withColumnRenamed("text", "news1"), F.col("item_id") == F.col("doc_id"))
+    rows = tasks.select(F.concat(F.lit("task"), F.col("item_id") % 2).alias("task"), F.col("item_id").alias("position"), F.col("item_id").alias("ID"), F.lit("event").alias("event"), F.col("text").alias("questions"), F.lit("answer").alias("answers"), "news1")
+    built = runs.build_dataset(rows, docs.select(tx.normalize_lines(F.col("text")).alias("text")), {"task0": 1, "task1": 1}, 5, 2, 100, 20)
+    return built["corpus"].select("doc_id", "source")

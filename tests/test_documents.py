@@ -90,8 +90,8 @@ def test_image_stands_alone():
 
 
 def test_images(spark):
-    text = "![a](x.png) ```\n![no](y.png)\n```\n![b](<p q.jpg> \"t\")\n~~~\n![open](z.png)"
-    assert [(r["alt"], r["path"], r["start_line"]) for r in p.image_refs(text)] == [("a", "x.png", 1), ("no", "y.png", 2), ("b", "p q.jpg", 4)]
+    text = "![a](x.png) ```\n```\n![no](y.png)\n```\n![b](<p q.jpg> \"t\")\n~~~\n![open](z.png)"
+    assert [(r["alt"], r["path"], r["start_line"]) for r in p.image_refs(text)] == [("a", "x.png", 1), ("b", "p q.jpg", 5)]
     rows = [("", "empty_path"), ("http://x/a.png", "external_url"), ("#a", "anchor"), ("/a.png", "absolute_path"), ("../a.png", "path_traversal"), ("a.svg", "unsupported_type"), ("a.PNG", None)]
     df = spark.createDataFrame([(x,) for x, _ in rows], "p string")
     assert [r[0] for r in df.select(p.skip_reason(F.col("p"), F.lit(True))).collect()] == [y for _, y in rows]
