@@ -93,9 +93,11 @@ def plan_mix(rows: DataFrame, weights: Sequence[float], share: float = 1.5, cap:
     coarse = _first_over(groups, F.lit(0)).select("of", F.col("cut.cell").alias("group"), F.col("cut.before").alias("base"))
     inside = cells.join(coarse, F.col("source").eqNullSafe(F.col("of")) & (group == F.col("group"))).drop("of")
     cuts = _first_over(inside, F.col("base"))
+    # Without a sample there is no cut, and no row needs to be put in order.
+    at = F.when(F.col("chance") > 0, F.col("cut.cell"))
     return cut(
         plan.join(cuts, F.col("source").eqNullSafe(F.col("of")), "left").select(
-            "source", "source_size", "target", "whole", "rest", "chance", F.coalesce("cut.cell", F.lit(CELLS)).alias("cut_cell"), F.coalesce("cut.before", F.lit(0)).alias("cut_before")
+            "source", "source_size", "target", "whole", "rest", "chance", F.coalesce(at, F.lit(CELLS)).alias("cut_cell"), F.coalesce("cut.before", F.lit(0)).alias("cut_before")
         ),
         "mix-plan",
     )
