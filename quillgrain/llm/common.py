@@ -15,6 +15,7 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 _written: list[tuple[SparkSession, str]] = []
+_private: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +42,12 @@ def let(value: Column, body) -> Column:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a private one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quillgrain-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _private:
+            _private[application] = "file://" + tempfile.mkdtemp(prefix="quillgrain-")
+        folder = _private[application]
     return folder.rstrip("/")
 
 

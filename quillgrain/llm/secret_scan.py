@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import cut, let
 
 MAX_STRINGS = 64
+FOLD = 256
 
 
 class Rule(NamedTuple):
@@ -139,14 +140,26 @@ def spans(text: Column, rule: Rule) -> Column:
         # The text between matches and the matches themselves tile the text.
         gaps = F.split(text, rule.pattern, -1)
         tiles = F.transform(F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g")), lambda t: F.struct(F.length(t["g"]).alias("g"), F.length(t["m"]).alias("m")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,last:int>>").alias("out"))
+        nothing = F.array().cast("array<struct<first:int,last:int>>")
 
-        def step(acc: Column, t: Column) -> Column:
-            first = acc["at"] + t["g"]
-            last = first + t["m"]
-            return F.struct(last.alias("at"), F.concat(acc["out"], F.array(F.struct(first.alias("first"), last.alias("last")))).alias("out"))
+        def fold(block: Column, base: Column) -> Column:
+            """Spans of a block of tiles that starts at ``base``."""
 
-        return F.aggregate(tiles, start, step, lambda acc: acc["out"])
+            def step(acc: Column, t: Column) -> Column:
+                first = acc["at"] + t["g"]
+                last = first + t["m"]
+                return F.struct(last.alias("at"), F.concat(acc["out"], F.array(F.struct(first.alias("first"), last.alias("last")))).alias("out"))
+
+            return F.aggregate(block, F.struct(base.alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])
+
+        def in_blocks(t: Column) -> Column:
+            # A fold copies what it has gathered; blocks keep that short in texts with many matches.
+            n = F.size(found)
+            blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / FOLD).cast("int")), lambda b: F.slice(t, b * FOLD + 1, F.lit(FOLD)))
+            sizes = lambda bs: F.transform(bs, lambda b: F.struct(F.aggregate(b, F.lit(0), lambda s, x: s + x["g"] + x["m"]).alias("g"), F.lit(0).alias("m")))
+            return let(blocks, lambda bs: let(fold(sizes(bs), F.lit(0)), lambda ends: F.flatten(F.transform(bs, lambda b, i: fold(b, F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1)["last"]))))))
+
+        return let(tiles, in_blocks)
 
     empty = F.array().cast("array<struct<first:int,last:int,kind:string,n:int>>")
 
