@@ -15,6 +15,7 @@ CJK_STOP = "的了吗呢啊是我你他她它们为请可以和及在对给把
 #: Terms dropped from queries (fixed values).
 QUERY_STOP = ["介", "绍", "介绍", "讲", "说", "说明", "请", "请问", "一下", "可以", "能", "不能", "能否", "帮", "帮我"]
 
+#: What a token is, and what is CJK in one (fixed values).
 TOKEN_PATTERN = r"[A-Za-z0-9_+#.]+|[\x{4e00}-\x{9fff}]+"
 CJK_PATTERN = r"[\x{4e00}-\x{9fff}]"
 

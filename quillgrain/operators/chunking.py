@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ..config import ChunkConfig
 from ..functions.tokens import Counter, approximate_tokens, longest_prefix
 
+#: Name of the chunk profile, and where a text may be cut (fixed values).
 PROFILE = "parent-child-v3"
 _BREAK = re.compile(r"[。！？!?；;\n]|\s")
 _ALONE_BEFORE = {"heading", "frontmatter", "hr"}

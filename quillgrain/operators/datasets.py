@@ -42,6 +42,20 @@ def hard_negatives(corpus: DataFrame, queries: DataFrame, positives: DataFrame,
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))).filter(F.col("rank") <= n)
 
 
+def demo_cases(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, n: int) -> DataFrame:
+    """qid, doc_id, kind, place: each query's positives, then the ``n`` documents that share most with it otherwise."""
+    positive = qrels.filter("rel > 0").select("qid", "doc_id").distinct().join(corpus.select("doc_id"), "doc_id", "left_semi")
+    first = positive.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))).select("qid", "doc_id", F.lit("positive").alias("kind"), "place")
+    other = hard_negatives(corpus, queries, positive, n).select("qid", "doc_id", F.lit("distractor").alias("kind"), F.col("rank").alias("place"))
+    return first.unionByName(other)
+
+
+def same_set(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(side, rows): rows that only one of two tables has; both 0 for equal ones, repeats counted."""
+    only = lambda x, y, name: x.exceptAll(y).agg(F.count("*").alias("rows")).select(F.lit(name).alias("side"), "rows")
+    return only(a, b, "left").unionByName(only(b, a, "right"))
+
+
 def subsample(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, n_queries: int, n_docs: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Queries with positives first, all their positives in the pool, the rest filled at random; qrels restricted."""
     positive = qrels.filter("rel > 0")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import EvidenceConfig
 from ..functions.tokens import Counter, approximate_tokens
 
+#: Tokens left free when a window is narrowed (fixed value).
 SLACK = 24
 WINDOWS = "qid string, chunk_id string, doc_id string, window_no int, content string, first int, last int, children array<string>"
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.text import query_terms, tokenize
 from ..functions.vectors import dot, doubles, norm, unit_score
 
+#: Parameters of BM25 and of rank fusion, and the place of a chunk without one (fixed values).
 K1, B = 1.2, 0.75
 RRF_K = 60
 DEFAULT_ORDER = 1_000_000

@@ -14,6 +14,10 @@ from ..sources.store import fingerprint
 from .datasets import choose, first_by_content, keep_rerank, quota, sample_order
 
 
+#: Prefixes of stable ids (fixed values).
+QUERY_PREFIX, DOCUMENT_PREFIX = "crud_q_", "crud_"
+
+
 def run_rows(queries: DataFrame, results: DataFrame, channel: str) -> DataFrame:
     """(qid, question) and (qid, doc_id, score, rank) to query_id, retrieved, evidence_doc_ids, status.
 
@@ -63,11 +67,11 @@ def build_dataset(rows: DataFrame, distractors: DataFrame, task_docs: dict[str,
     usable = usable.filter((F.col("event_id") != "") & (F.col("question") != "") & (F.col("answer") != "") & F.forall("texts", lambda t: t != ""))
     chosen = quota(usable, per_task, list(task_docs), seed)
     place = F.row_number().over(Window.partitionBy("task").orderBy(sample_order(F.col("event_id"), seed), "event_id"))
-    queries = chosen.withColumn("split", F.when(place <= dev_per_task, "dev").otherwise("test")).withColumn("query_id", stable_id("crud_q_", F.col("task"), F.col("event_id"), F.col("question")))
-    qrels = queries.select("query_id", F.explode("texts").alias("text")).select("query_id", stable_id("crud_", F.col("text")).alias("doc_id"), F.lit(1).alias("relevance"), "text").distinct()
+    queries = chosen.withColumn("split", F.when(place <= dev_per_task, "dev").otherwise("test")).withColumn("query_id", stable_id(QUERY_PREFIX, F.col("task"), F.col("event_id"), F.col("question")))
+    qrels = queries.select("query_id", F.explode("texts").alias("text")).select("query_id", stable_id(DOCUMENT_PREFIX, F.col("text")).alias("doc_id"), F.lit(1).alias("relevance"), "text").distinct()
     positives = qrels.groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("source", F.lit("positive"))
     asked = queries.agg(F.array_distinct(F.flatten(F.collect_set(builder_tokens(F.col("question"))))).alias("asked"))
-    pool = first_by_content(distractors.select(stable_id("crud_", F.col("text")).alias("doc_id"), "text"), F.col("doc_id"), [F.col("text")]).join(positives.select("doc_id"), "doc_id", "left_anti")
+    pool = first_by_content(distractors.select(stable_id(DOCUMENT_PREFIX, F.col("text")).alias("doc_id"), "text"), F.col("doc_id"), [F.col("text")]).join(positives.select("doc_id"), "doc_id", "left_anti")
     scored = pool.crossJoin(F.broadcast(asked)).select("doc_id", "text", F.round(overlap_score(builder_tokens(F.col("text")), F.col("asked")), 6).alias("score"))
     need = max(0, corpus_size - positives.count())
     hard = scored.orderBy(F.desc("score"), "doc_id").limit(min(n_hard, need))

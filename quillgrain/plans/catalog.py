@@ -662,3 +662,48 @@ def build_dataset(spark, sf):
     rows = tasks.select(F.concat(F.lit("task"), F.col("item_id") % 2).alias("task"), F.col("item_id").alias("position"), F.col("item_id").alias("ID"), F.lit("event").alias("event"), F.col("text").alias("questions"), F.lit("answer").alias("answers"), "news1")
     built = runs.build_dataset(rows, docs.select(tx.normalize_lines(F.col("text")).alias("text")), {"task0": 1, "task1": 1}, 5, 2, 100, 20)
     return built["corpus"].select("doc_id", "source")
+
+
+_DOC_SCORE = _SCORE_SQL.replace("rels AS (SELECT qid, vec_id FROM qs JOIN embeddings ON label = task)", "rels AS (SELECT DISTINCT qid, embeddings.vec_id // 8 AS vec_id FROM qs JOIN embeddings ON label = task)").replace(
+    "FROM ranked JOIN rels", "FROM docs JOIN rels"
+).replace(
+    ", qs AS (",
+    ", fams AS (SELECT qid, vec_id // 8 AS vec_id, vec_id // 4 AS family, avg(score) AS score FROM ranked GROUP BY ALL), docs AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM (SELECT qid, vec_id, round(max(score), 6) AS score FROM fams GROUP BY qid, vec_id)), qs AS (",
+    1,
+)
+
+
+@query(f"WITH {_DOC_SCORE} SELECT coalesce(task::VARCHAR, 'overall') AS task_group, count(*) AS queries, {', '.join(f'round(avg({m}), 6) AS {m}' for m in _METRICS)} FROM per GROUP BY GROUPING SETS ((), (task))")
+def evaluate_documents(spark, sf):
+    """Search, family and document ranking, and metrics, end to end."""
+    vectors = table(spark, sf, "embeddings")
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("task"))
+    doc = F.floor(F.col("vec_id") / 8).alias("doc_id")
+    qrels = queries.join(vectors.select(doc, "label").distinct(), F.col("task") == F.col("label")).select("qid", "doc_id")
+    run = retrieval.rank_documents(_children(spark, sf))
+    return metrics.macro_average(metrics.score_queries(queries, qrels, run), "task", _METRICS)
+
+
+@query(
+    ORACLES["hard_negatives"].replace("SELECT * FROM (SELECT *,", "SELECT qid, doc_id, 'distractor' AS kind, rank AS place FROM (SELECT *,", 1)
+    + " UNION ALL SELECT item_id, doc_id, 'positive', 1::INTEGER FROM benchmark JOIN documents ON doc_id = item_id"
+)
+def demo_cases(spark, sf):
+    asked = _questions(spark, sf)
+    return datasets.demo_cases(table(spark, sf, "documents"), asked, asked.select("qid", F.col("qid").alias("doc_id"), F.lit(1).alias("rel")), K)
+
+
+@query("SELECT 'left' AS side, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels)) AS rows UNION ALL SELECT 'right', (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents))")
+def set_equality(spark, sf):
+    return datasets.same_set(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id"))
+
+
+@query("SELECT doc_id, (length(substr(text, 1, length(text) // 2)) - length(replace(substr(text, 1, length(text) // 2), chr(10), '')) + 1)::INTEGER AS line FROM documents")
+def line_numbers(spark, sf):
+    half = F.floor(F.length("text") / 2)
+    return table(spark, sf, "documents").select("doc_id", tx.line_of(F.col("text"), half).cast("int").alias("line"))
+
+
+@query("SELECT item_id, CASE WHEN length(f) > 160 THEN rtrim(substr(f, 1, 160)) || '...' ELSE f END AS snippet FROM (SELECT item_id, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS f FROM benchmark)")
+def snippets(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", tx.snippet(F.col("text")).alias("snippet"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Types that may be uploaded, and MIME types that stand for them (fixed values).
 ALLOWED = ["md", "markdown", "txt", "text", "html", "htm", "pdf"]
 BY_MIME = {"text/markdown": "md", "text/plain": "txt", "text/html": "html", "application/pdf": "pdf"}
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -79,6 +80,53 @@ def index_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("chunk_role") == "parent").alias("parents"), F.count_if(F.col("chunk_role") == "child").alias("children"))
 
 
+def validate_index(chunks: DataFrame, expected: DataFrame) -> DataFrame:
+    """Documents whose rows don't add up: doc_id, n_rows, parents, children, indexed.
+
+    ``expected`` has doc_id and indexed, the rows that ingestion counted. Rows must
+    be parents and children, and as many as were counted.
+    """
+    joined = index_counts(chunks).join(expected.select("doc_id", "indexed"), "doc_id", "full_outer").fillna(0, ["n_rows", "parents", "children", "indexed"])
+    return joined.filter((F.col("n_rows") != F.col("parents") + F.col("children")) | (F.col("n_rows") != F.col("indexed")))
+
+
+def rebuild(table: VersionedTable, documents: DataFrame, chunk: Callable[[DataFrame], DataFrame], dry_run: bool = False) -> dict[str, int]:
+    """A new index from the registry (doc_id, status, content), in a table that has no version yet.
+
+    Documents being indexed or without content stop it before anything is
+    written; what was written is validated, and the pointer moves last.
+    """
+    if table.version():
+        raise ValueError("the index exists")
+    if not documents.filter("status = 'indexing'").isEmpty():
+        raise ValueError("a document is being indexed")
+    missing = documents.filter(F.col("content").isNull()).count()
+    if missing:
+        raise ValueError(f"{missing} documents have no content")
+    counts = {"documents": documents.count(), "rows": 0}
+    if not dry_run:
+        table.write(chunk(documents))
+        counts["rows"] = table.read().count()
+        if table.read().select("doc_id").distinct().count() != counts["documents"]:
+            raise ValueError("documents are missing from the new index")
+    return counts
+
+
+class CachedChunks:
+    """The chunk table kept in memory until its version changes."""
+
+    def __init__(self, table: VersionedTable):
+        self.table, self.version, self.frame = table, 0, None
+
+    def read(self) -> DataFrame:
+        now = self.table.version()
+        if self.frame is None or now != self.version:
+            if self.frame is not None:
+                self.frame.unpersist()
+            self.version, self.frame = now, self.table.read(now).cache()
+        return self.frame
+
+
 def asset_rows(images: DataFrame) -> DataFrame:
     """(document_id, content, extension, created_at) to content-addressed assets, one row an asset and document.
 

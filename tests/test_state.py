@@ -22,6 +22,26 @@ def test_versioned_table(spark, tmp_path):
         t.upsert(row(("b", "b1", 5), ("b", "b1", 6)), "chunk_id")
 
 
+def test_rebuild_and_cache(spark, tmp_path):
+    t = store.VersionedTable(spark, str(tmp_path / "r"))
+    docs = spark.createDataFrame([("a", "ready", "x y"), ("b", "ready", "z")], "doc_id string, status string, content string")
+    chunk = lambda d: d.select("doc_id", F.explode(F.split("content", " ")).alias("chunk_id"), F.lit("child").alias("chunk_role"))
+    with pytest.raises(ValueError):
+        store.rebuild(t, docs.withColumn("content", F.lit(None).cast("string")), chunk)
+    with pytest.raises(ValueError):
+        store.rebuild(t, docs.withColumn("status", F.lit("indexing")), chunk)
+    assert store.rebuild(t, docs, chunk, dry_run=True)["rows"] == 0 and t.version() == 0
+    assert store.rebuild(t, docs, chunk) == {"documents": 2, "rows": 3}
+    with pytest.raises(ValueError):
+        store.rebuild(t, docs, chunk)
+    cache = store.CachedChunks(t)
+    assert cache.read() is cache.read() and cache.read().count() == 3
+    t.delete(docs.filter("doc_id = 'b'"), "doc_id")
+    assert cache.read().count() == 2
+    expected = spark.createDataFrame([("a", 2), ("c", 1)], "doc_id string, indexed long")
+    assert [r.doc_id for r in store.validate_index(t.read(), expected).collect()] == ["c"]
+
+
 def test_bad_vectors_fail(spark):
     rows = spark.createDataFrame([("x", True, [1.0, 0.0]), ("y", False, None)], "chunk_id string, retrieval_eligible boolean, embedding array<float>")
     assert store.check_index_rows(rows, 2).count() == 2
