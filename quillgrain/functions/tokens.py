@@ -24,14 +24,28 @@ def approximate_tokens(text: str) -> int:
 def longest_prefix(text: str, start: int, stop: int, budget: int, count: Counter) -> int:
     """The furthest end at which ``text[start:end]`` stays within the budget.
 
-    The reach is doubled before it is searched, so the work follows the piece, not the text.
+    The default counter is walked once; for any other the reach is doubled before
+    it is searched, so the work follows the piece, not the text.
     """
+    if count is approximate_tokens:
+        return _walk(text, start, stop, budget)
     reach = min(stop, start + max(16, 4 * budget))
     while reach < stop and count(text[start:reach]) <= budget:
         reach = min(stop, 2 * reach - start)
     return start + bisect.bisect_right(range(start + 1, reach + 1), budget, key=lambda end: count(text[start:end]))
 
 
+def _walk(text: str, start: int, stop: int, budget: int) -> int:
+    for piece in _PIECE.finditer(text, start, stop):
+        letters = piece.end() - piece.start()
+        cost = 1 if letters == 1 else -(-letters // 4)
+        if cost > budget:
+            # White space before the piece is free, and so are letters of tokens already begun.
+            return piece.start() + (4 * budget if letters > 1 else 0)
+        budget -= cost
+    return stop
+
+
 def token_count(text: Column, count: Counter = approximate_tokens) -> Column:
     @pandas_udf(T.IntegerType())
     def counted(texts: pd.Series) -> pd.Series:

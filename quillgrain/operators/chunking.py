@@ -141,10 +141,11 @@ def merge_parents(pieces: Sequence[Piece], config: ChunkConfig, count: Counter)
             continue
         if kind == "image" or (config.align_to_boundary and kind in _ALONE_BEFORE):
             close()
-        if held and count("\n\n".join(x.text for x in [*held, p])) > config.parent_target_tokens:
+        size = count("\n\n".join(x.text for x in [*held, p]))
+        if held and size > config.parent_target_tokens:
             close()
+            size = count(p.text)
         held.append(p)
-        size = count("\n\n".join(x.text for x in held))
         if size > config.parent_max_tokens:
             raise ValueError("a parent passed its budget")
         if kind == "image" or size >= config.parent_target_tokens:
@@ -231,23 +232,26 @@ def paragraph_blocks(text: Column) -> Column:
 
 def invariant_violations(chunks: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """(rule, violations): children tile their parents, budgets hold, ids are distinct, links go both ways."""
-    parents = chunks.filter("chunk_role = 'parent'")
-    children = chunks.filter("chunk_role = 'child'")
-    pieces = F.sort_array(F.collect_list(F.struct("parent_char_start", "content", "chunk_id")))
-    rebuilt = children.groupBy(F.col("parent_id").alias("pid")).agg(F.array_join(F.transform(pieces, lambda p: p["content"]), "").alias("joined"), F.sort_array(F.collect_list("chunk_id")).alias("ids"))
-    linked = parents.join(rebuilt, F.col("chunk_id") == F.col("pid"), "left")
-    budget = F.col("preserve_structure") | (F.col("token_count") <= F.when(F.col("chunk_role") == "parent", config.parent_max_tokens).otherwise(config.child_max_tokens))
-    counts = [
-        ("children_tile_parent", linked.filter(~F.col("joined").eqNullSafe(F.col("content")))),
-        ("links_both_ways", linked.filter(~F.col("ids").eqNullSafe(F.sort_array("child_ids")))),
-        ("token_budget", chunks.filter(~budget)),
-        ("distinct_ids", chunks.groupBy("chunk_id").count().filter("count > 1")),
-    ]
-    out = None
-    for name, bad in counts:
-        one = bad.agg(F.count("*").alias("violations")).select(F.lit(name).alias("rule"), "violations")
-        out = one if out is None else out.unionByName(one)
-    return out
+    is_parent = F.col("chunk_role") == "parent"
+    budget = F.col("preserve_structure") | (F.col("token_count") <= F.when(is_parent, config.parent_max_tokens).otherwise(config.child_max_tokens))
+    piece = F.struct(F.col("parent_char_start").alias("at"), F.col("content").alias("content"), F.col("chunk_id").alias("id"))
+    # A family is a parent and its children; one pass over the chunks gathers all that is asked.
+    families = chunks.groupBy(F.coalesce("parent_id", "chunk_id").alias("family")).agg(
+        F.max(F.when(is_parent, F.col("content"))).alias("content"),
+        F.max_by("child_ids", F.when(is_parent, F.lit(1))).alias("child_ids"),
+        F.sort_array(F.collect_list(F.when(~is_parent, piece))).alias("pieces"),
+        F.count_if(~budget).alias("over"),
+        (F.count("*") - F.size(F.collect_set("chunk_id"))).alias("repeated"),
+    )
+    joined = F.array_join(F.transform("pieces", lambda p: p["content"]), "")
+    ids = F.sort_array(F.transform("pieces", lambda p: p["id"]))
+    counts = families.agg(
+        F.count_if(~joined.eqNullSafe(F.col("content"))).alias("children_tile_parent"),
+        F.count_if(~ids.eqNullSafe(F.sort_array("child_ids"))).alias("links_both_ways"),
+        F.coalesce(F.sum("over"), F.lit(0)).cast("long").alias("token_budget"),
+        F.coalesce(F.sum("repeated"), F.lit(0)).cast("long").alias("distinct_ids"),
+    )
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(c).alias("rule"), F.col(c).alias("violations")) for c in counts.columns))))
 
 
 def overlapping(segments: Column, start: Column, end: Column) -> Column:

@@ -119,9 +119,11 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame, id_col: str, text_col: st
     tf = own.select(id_col, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy(id_col, "term").agg(F.first("dl").alias("dl"), F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(df, "term").crossJoin(F.broadcast(lengths)).select("qid", "term", "avgdl", idf.alias("idf"))
-    part = F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return tf.join(weights, "term").groupBy("qid", id_col).agg(F.sum(part).alias("raw"))
+    part = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    # What a term gives a document is the same for all queries, so it is found before they multiply the rows.
+    weighed = df.crossJoin(F.broadcast(lengths)).select("term", "avgdl", idf.alias("idf"))
+    given = tf.join(weighed, "term").select("term", id_col, (F.col("idf") * part).alias("part"))
+    return given.join(asked, "term").groupBy("qid", id_col).agg(F.sum("part").alias("raw"))
 
 
 def keyword_topk(corpus: DataFrame, queries: DataFrame, k: int, fields: dict[str, float], id_col: str = "doc_id") -> DataFrame:
