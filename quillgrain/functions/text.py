@@ -17,6 +17,8 @@ QUERY_STOP = ["介", "绍", "介绍", "讲", "说", "说明", "请", "请问", "
 
 #: What a token is, and what is CJK in one (fixed values).
 TOKEN_PATTERN = r"[A-Za-z0-9_+#.]+|[\x{4e00}-\x{9fff}]+"
+#: An ASCII run from its first to its last character that isn't a dot or low line.
+STRIPPED_RUN = r"[A-Za-z0-9+#](?:[A-Za-z0-9_+#.]*[A-Za-z0-9+#])?"
 CJK_PATTERN = r"[\x{4e00}-\x{9fff}]"
 
 
@@ -34,7 +36,11 @@ def tokenize(text: Column) -> Column:
         ascii_token = F.regexp_replace(F.lower(run), r"^[._]+|[._]+$", "")
         return F.when(run.rlike(CJK_PATTERN), _grams(kept)).when(ascii_token != "", F.array(ascii_token)).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN_PATTERN), F.lit(0)), of))
+    whole = F.coalesce(text, F.lit(""))
+    # Without CJK the stripped runs are one expression; no function runs for each token.
+    plain = F.array_join(F.regexp_extract_all(whole, F.lit(STRIPPED_RUN), F.lit(0)), " ")
+    fast = F.array_remove(F.split(F.lower(plain), " "), "")
+    return F.when(whole.rlike(CJK_PATTERN), F.flatten(F.transform(F.regexp_extract_all(whole, F.lit(TOKEN_PATTERN), F.lit(0)), of))).otherwise(fast)
 
 
 def query_terms(text: Column) -> Column:
