@@ -178,24 +178,34 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, that of the smallest id.
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of ``docs`` of the smallest id in each group, null last; then that whose text hash is least.
 
-    Columns are kept as they are. Rows that share the id they would stay by
-    count as one document: the one whose text sorts first stays.
+    ``found`` has doc_id, said (XXH64 of the text) and label for every row.
+    Rows of one id and text in one group count as one.
     """
-    found = cut(near_duplicates(docs, id_col, text_col), "components")
-    gone, many, key = (unused(docs, n) for n in ("gone_id", "many_id", "fp_key"))
-    # A row goes if its component is named by another row; null ids stay apart from any join.
-    drop = found.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone), F.col("fp").alias(key)).distinct()
-    shared = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(many))
-    if drop.filter(F.col(gone).isNull()).isEmpty() and found.groupBy("doc_id", "component_id").count().groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = docs.join(drop.select(gone).distinct(), F.col(id_col) == F.col(gone), "left_anti")
-    else:
-        # An id with texts of several components: the fingerprint tells its rows apart.
-        kept = docs.withColumn(key + "_own", fingerprint_column(F.col(text_col))).join(drop, F.col(id_col).eqNullSafe(F.col(gone)) & (F.col(key + "_own") == F.col(key)), "left_anti").drop(key + "_own")
-    if shared.isEmpty():
-        return kept
+    gone, said, picked, many = (unused(docs, n) for n in ("gone_id", "said_key", "picked_row", "many_id"))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "said")
+    rows = cut(found.groupBy("label", "doc_id", "said").agg(F.count("*").alias("rows")), "group-rows")
+    firsts = cut(rows.groupBy("label").agg(F.min(row).alias("first")), "group-firsts")
+    judged = cut(rows.join(firsts, "label").select("doc_id", "said", "rows", (row == F.col("first")).alias("stays")), "judged")
+    as_docs = lambda df, name: df.select(F.col("doc_id").alias(name), F.col("said").alias(said + "_of"))
+    same = lambda name: F.col(id_col).eqNullSafe(F.col(name)) & (F.col(said) == F.col(said + "_of"))
+    kept = docs.withColumn(said, F.xxhash64(text_col)).join(as_docs(judged.filter(~F.col("stays")), gone), same(gone), "left_anti")
+    twice = as_docs(judged.filter(F.col("stays") & (F.col("rows") > 1)), many)
+    if twice.isEmpty():
+        return kept.drop(said)
     rest = [c for c in docs.columns if c != id_col]
-    one = kept.join(shared, F.col(id_col).eqNullSafe(F.col(many)), "left_semi").groupBy(id_col).agg(F.min_by(F.struct(*rest), F.struct(F.xxhash64(text_col), *rest)).alias(many))
-    return kept.join(shared, F.col(id_col).eqNullSafe(F.col(many)), "left_anti").unionByName(one.select(id_col, *(F.col(many)[c].alias(c) for c in rest)).select(*docs.columns))
+    one = kept.join(twice, same(many), "left_semi").groupBy(id_col, said).agg(F.min_by(F.struct(*rest), F.struct(F.xxhash64(text_col), *rest)).alias(picked))
+    return kept.join(twice, same(many), "left_anti").select(*docs.columns).unionByName(one.select(id_col, *(F.col(picked)[c].alias(c) for c in rest)).select(*docs.columns))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: exactly one of each component, that of the smallest id, null last.
+
+    Columns are kept as they are. Components are those of the fingerprints, so
+    unlike texts under one id, or under none, each stay.
+    """
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("said"), fingerprint_column(F.col(text_col)).alias("fp")), "fingerprints")
+    labels = components(links(rows.select("fp").distinct()))
+    return one_of_each(docs, rows.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")), id_col, text_col)

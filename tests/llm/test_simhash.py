@@ -104,6 +104,12 @@ def test_an_id_with_two_texts(spark):
     assert sorted((r.doc_id, r.text == b) for r in simhash.drop_near_duplicates(docs).collect()) == [(1, False), (2, True)]
 
 
+def test_unlike_texts_without_or_under_one_id_stay(spark):
+    rows = [(None, prose(900 + i, 40)) for i in range(5)] + [(None, prose(900, 40)), (7, prose(950, 40)), (7, prose(951, 40)), (7, prose(951, 40))]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, kept)) == sorted({str(r) for r in spark.createDataFrame(rows, "doc_id long, text string").collect()})
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert simhash.drop_near_duplicates(empty(spark)).count() == 0
