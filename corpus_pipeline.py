@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrain.llm import catalog, decontaminate, mixing, quality_rules, sharding, simhash
+from quillgrain.llm import catalog, decontaminate, mixing, near_copies, quality_rules, sharding
 from quillgrain.llm.common import DOCUMENT_COLUMNS, cut, table
 
 
@@ -14,8 +14,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near copies: five-word shingles at 0.8 or more, or fingerprints within two bits."""
+    return near_copies.drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
