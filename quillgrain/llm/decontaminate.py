@@ -117,7 +117,7 @@ class Benchmark:
         return min(self.min_match, len(ids))
 
     def search(self, text: str | None) -> list[dict[str, Any]]:
-        """Items that the text's tiles cover to the threshold, by item id."""
+        """Items that the text's tiles cover to the threshold, by item id, null last."""
         get = self.vocabulary.get
         ids = np.array([get(t, 0) for t in tokens(text)], np.uint64)
         found = []
@@ -142,12 +142,12 @@ class Benchmark:
                 covered = sum(t.length for t in tiles)
                 if covered >= self.threshold * len(item):
                     found.append({"item_id": item_id, "n_tiles": len(tiles), "covered_tokens": covered, "item_tokens": len(item), "coverage": covered / len(item)})
-        return sorted(found, key=lambda f: f["item_id"])
+        return sorted(found, key=lambda f: (f["item_id"] is None, f["item_id"] or 0))
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> list[list[tuple[Any, str]]]:
-    """The items in blocks of about ``block_chars`` characters; null ids and wordless items are left out."""
-    items = benchmark.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).distinct()
+    """The items in blocks of about ``block_chars`` characters; null texts are left out, null ids are kept."""
+    items = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).distinct()
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-total // block_chars)
     return [[tuple(r) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()] for b in range(blocks)]

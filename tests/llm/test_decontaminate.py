@@ -81,3 +81,11 @@ def test_blocks_see_every_item(spark):
     bench = spark.createDataFrame([(i, prose(i, 20)) for i in range(30)], "item_id long, text string")
     blocks = d.benchmark_blocks(bench, block_chars=500)
     assert len(blocks) > 3 and sorted(i for b in blocks for i, _ in b) == list(range(30))
+
+
+def test_items_without_an_id_count(spark):
+    a, b = prose(100, 30), prose(101, 30)
+    bench = spark.createDataFrame([(1, a), (None, b)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, b), (2, f"{b} {a} {b}"), (3, prose(5, 30))], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in d.contaminations(docs, bench).orderBy("doc_id").collect()] == [(1, None), (2, 1), (2, None)]
+    assert [r.doc_id for r in d.drop_contaminated(docs, bench).collect()] == [3]
