@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -41,34 +43,59 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a private one only where none is set (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir.
+
+    Where none is set, a local master (as in tests) gets a private one; a cluster
+    would read back what little each machine wrote, so there it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        application = spark.sparkContext.applicationId
-        if application not in _private:
-            _private[application] = "file://" + tempfile.mkdtemp(prefix="quillgrain-")
-        folder = _private[application]
+        context = spark.sparkContext
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _private:
+            _private[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quillgrain-")
+        folder = _private[context.applicationId]
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which ends its lineage.
 
-    A lost executor then costs a re-read, never a re-run of the plan above.
+    A lost executor then costs a re-read, never a re-run of the plan above. After
+    a ``large`` one the driver collects its garbage, as Spark keeps the shuffle
+    files of a finished plan until then.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillgrain/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    if large:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what ``cut`` wrote for these frames; nothing that is still to be computed may read them."""
+    for df in frames:
+        entry = (df.sparkSession, df.cut_path)
+        if entry in _written:
+            _written.remove(entry)
+            _delete(*entry)
 
 
 def release() -> None:
-    """Delete what ``cut`` wrote; results not yet read are gone afterwards."""
+    """Delete all that ``cut`` wrote; results not yet read are gone afterwards."""
     while _written:
-        spark, path = _written.pop()
-        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+        _delete(*_written.pop())
 
 
 def unused(df: DataFrame, name: str) -> str:

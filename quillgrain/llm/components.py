@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,10 @@ def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     for _ in range(max_rounds):
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == state or not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        state = now
-        edges = cut(_small_star(_large_star(edges)), "edges")
+            named = edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+            named.cut_path = edges.cut_path
+            return named
+        state, before = now, edges
+        edges = cut(_small_star(_large_star(before)), "edges")
+        forget(before)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -1,147 +1,196 @@
-"""Near copies by word shingles: all pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies by word shingles: all groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 Candidates come from prefix filtering. Shingles stand in one order for all
-texts (that of their hashes); of n shingles the first n - ceil(0.8 n) + k are
-the text's keys, and two texts at 0.8 or more share k of them (or all that they
-have in common, if fewer). Candidates are held against each other's whole sets.
-
-A shingle of more than ``MAX_BUCKET`` texts is common; common ones are put last
-in the order, so a passage in a third of a corpus is no key of texts that have
-words of their own. Texts that are common shingles to four fifths (a large
-group of near copies) still have such keys. They are first compared with a few
-leaders a key (one common key is enough for these); then all pairs of a key that are not yet in one component are
-compared. No key is skipped or capped.
+texts; of n shingles the first n - ceil(0.8 n) + 1 are the text's keys, and two
+texts at 0.8 or more share a key. The order is that of the hashes, but shingles
+found in many texts of a sample come last, so a passage in a third of a corpus
+is no key of texts that have words of their own. The order never changes which
+pairs are found.
+
+Large groups are linked by stars first: in each round a key has one leader, each
+text is compared with the two leaders that most of its keys name, and links are
+merged into components. What is left are pairs of a key in unlike components.
+All of them are counted, none is skipped or capped: with c keys in common, texts
+of a and b shingles can share c + max(a - keys of a, b - keys of b) at most, and
+those that could still reach 0.8 are held against each other's whole sets.
 """
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .common import cut
+from .common import cut, forget
 from .components import components
-from .simhash import fingerprint, links, one_of_each
+from .simhash import ascii_lower, fingerprint_of, links, one_of_each, window_digests
 
 WORDS = 5
-MAX_BUCKET = 64
-LEADERS = 3
+ROUNDS = 3
+#: Leaders that a text is compared with in a round.
+LEADERS = 2
 SAMPLE_ONE_IN = 16
-#: Candidates share so many keys, or all that their sizes ask for; prefixes are longer by as many less one.
-SHARED = 12
+#: A shingle of more rows than this is put last, as far as the sample tells.
+COMMON_ROWS = 64
 #: So many common shingles are put last; more stay in place, which costs work and no pair.
 MOST_COMMON = 50_000
-SKETCH = T.StructType([T.StructField("fp", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+#: Bytes of a shingle's hash that whole sets are compared by.
+HASH_BYTES = 5
+SKETCH = T.StructType(
+    [
+        T.StructField("fp", T.LongType()),
+        T.StructField("sig", T.LongType()),
+        T.StructField("n", T.IntegerType()),
+        T.StructField("keys", T.ArrayType(T.LongType())),
+        T.StructField("hashes", T.BinaryType()),
+    ]
+)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct hashes (int64) of the lower-cased five-word windows; a shorter text is one shingle."""
-    w = [x.encode("utf-8", "surrogatepass") for x in (text or "").lower().split()]
-    if not w:
-        return np.zeros(0, np.int64)
-    digest = xxhash.xxh64_digest
-    return np.unique(np.frombuffer(b"".join([digest(b" ".join(w[i : i + WORDS])) for i in range(max(1, len(w) - WORDS + 1))]), np.int64))
-
-
-def _cut_large(df: DataFrame, name: str) -> DataFrame:
-    """``cut``; then the driver collects garbage, else the large shuffle files stay until it happens to."""
-    out = cut(df, name)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    parts = (text or "").lower().encode("utf-8", "surrogatepass").split()
+    return np.unique(np.concatenate([np.frombuffer(d, np.int64) for d in window_digests(parts, WORDS)])) if parts else np.zeros(0, np.int64)
+
+
+def prefix_length(n: int) -> int:
+    """Keys of a text of n shingles; two texts of fewer than nine in all are only alike if they are equal."""
+    return n - (4 * n + 4) // 5 + 1 if n > 4 else 0
+
+
+def _prefix_column(n: Column) -> Column:
+    return n - F.floor((4 * n + 4) / 5) + 1
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+    late = np.isin(shingles, common)
+    return np.concatenate([shingles[~late], shingles[late]])[: prefix_length(len(shingles))]
+
+
+def pack(shingles: np.ndarray) -> bytes:
+    """The highest 40 bits of each hash, which is what whole sets are compared by."""
+    return np.ascontiguousarray(shingles.astype(">i8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // HASH_BYTES, 8), np.uint8)
+    wide[:, :HASH_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, HASH_BYTES)
+    return wide.view(">i8").ravel()
+
+
+@pandas_udf(T.BooleanType())
+def _near(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Of a and b shingles at least 4 (a + b) / 9 are common: Jaccard 0.8 or more."""
+
+    def alike(x: bytes, y: bytes) -> bool:
+        return 9 * len(np.intersect1d(unpack(x), unpack(y))) >= 4 * (len(x) + len(y)) // HASH_BYTES
+
+    return pd.Series([alike(x, y) for x, y in zip(a, b)], dtype=bool)
+
 
+def common_shingles(docs: DataFrame, text_col: str = "text", one_in: int = SAMPLE_ONE_IN, rows: int = COMMON_ROWS, most: int = MOST_COMMON) -> np.ndarray:
+    """Hashes of shingles that more than about ``rows`` rows have, by a sample of the texts: at most ``most``, so they fit anywhere."""
 
-def _one_each(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sig, shingles of the wanted texts, one row each."""
-    return _cut_large(sets.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("shingles").alias("shingles")), "sets")
+    @pandas_udf(T.ArrayType(T.LongType()))
+    def shingles(text: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t) for t in text], dtype=object)
 
+    some = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(one_in)) == 0).select(F.explode(shingles(F.col(text_col))).alias("key"))
+    often = some.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > max(1, rows // one_in))
+    return np.array([r.key for r in often.orderBy(F.desc("rows"), "key").select("key").head(most)], np.int64)
 
-def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets reach 0.8: of a and b shingles at least 4 (a + b) / 9 are common."""
+
+def sketches(docs: DataFrame, text_col: str, common: np.ndarray) -> Column:
+    """struct<fp, sig, n, keys, hashes> of each text; sig names the set of shingles."""
+    import xxhash
+
+    late = docs.sparkSession.sparkContext.broadcast(common)
+
+    @pandas_udf(SKETCH)
+    def sketch(text: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in text:
+            s = shingle_set(t)
+            rows.append((fingerprint_of(ascii_lower(t)), xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), len(s), prefix(s, late.value), pack(s)))
+        fp, sig, n, keys, hashes = zip(*rows) if rows else ((), (), (), (), ())
+        return pd.DataFrame({"fp": np.array(fp, np.int64), "sig": np.array(sig, np.int64), "n": np.array(n, np.int32), "keys": pd.Series(keys, dtype=object), "hashes": pd.Series(hashes, dtype=object)})
+
+    return sketch(F.col(text_col))
+
+
+def _verified(made: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The distinct pairs (u, v) whose whole sets reach 0.8. Only sets that some pair needs are moved, each once a pair."""
     pairs = cut(pairs, "candidates")
-    one = _one_each(sets, pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct())
-    a, b = one.select(F.col("sig").alias("u"), F.col("shingles").alias("a")), one.select(F.col("sig").alias("v"), F.col("shingles").alias("b"))
-    common = F.size(F.array_intersect("a", "b"))
-    return _cut_large(pairs.join(a, "u").join(b, "v").filter(9 * common >= 4 * (F.size("a") + F.size("b"))).select("u", "v"), "near-pairs")
-
-
-def _pairs(left: DataFrame, right: DataFrame, least: int = 1, extra=None) -> DataFrame:
-    """Distinct (u < v) on ``least`` common keys, or four fifths of the larger, whose sizes allow 0.8."""
-    a, b = left.alias("a"), right.alias("b")
-    size = F.greatest("a.n", "b.n")
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.sig") != F.col("b.sig")) & (5 * F.least("a.n", "b.n") >= 4 * size)
-    on = on if extra is None else on & extra
-    if least == 1:
-        return a.join(b, on).select(F.least("a.sig", "b.sig").alias("u"), F.greatest("a.sig", "b.sig").alias("v")).distinct()
-    both = a.join(b, on & (F.col("a.sig") < F.col("b.sig"))).select(F.col("a.sig").alias("u"), F.col("b.sig").alias("v"), size.alias("n"))
-    return both.groupBy("u", "v", "n").count().filter(F.col("count") >= F.least(F.lit(least), F.floor((4 * F.col("n") + 4) / 5))).select("u", "v")
-
-
-def _shared(keys: DataFrame) -> DataFrame:
-    """Distinct (sig, n, key) of the keys that two texts or more have."""
-    shared = cut(keys.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo < hi").select("key"), "shared-keys")
-    return _cut_large(keys.join(shared, "key", "left_semi").distinct(), "postings")
-
-
-def _late_last(last: list[int]):
-    """keys: the prefix if these shingles stand last; own: how many of the keys are others."""
-    common = np.array(last, np.int64)
-
-    @pandas_udf(T.StructType([T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("own", T.IntegerType())]))
-    def ordered(shingles: pd.Series) -> pd.DataFrame:
-        keys, own = [], []
-        for s in shingles:
-            late = np.isin(s, common)
-            keys.append(np.concatenate([s[~late], s[late]])[: len(s) - (4 * len(s) + 4) // 5 + SHARED])
-            own.append(int((~late).sum()))
-        return pd.DataFrame({"keys": pd.Series(keys, dtype=object), "own": np.array(own, np.int32)})
-
-    return ordered
-
-
-def near_links(sets: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """Links (u, v) that connect all texts at 0.8 or more; ``sets`` has sig and shingles, rows may repeat."""
-    n = F.size("shingles")
-    prefix = F.least(n, n - F.floor((4 * n + 4) / 5).cast("int") + SHARED)
-    keys = sets.filter(n > 0).select("sig", n.alias("n"), F.explode(F.slice("shingles", F.lit(1), prefix)).alias("key"))
-    posted = _shared(keys)
-    common = cut(posted.groupBy("key").count().filter(F.col("count") > max_bucket).select("key"), "common-keys")
-    if common.isEmpty():
-        return _verified(sets, _pairs(posted, posted, SHARED))
-
-    # Which shingles are common is estimated on some of the texts that have one; every order gives the same pairs.
-    some = _one_each(sets.filter(F.pmod(F.xxhash64("sig"), F.lit(SAMPLE_ONE_IN)) == 0), posted.join(common, "key", "left_semi").select("sig").distinct())
-    often = some.select(F.explode("shingles").alias("key")).groupBy("key").count().filter(F.col("count") > max(1, max_bucket // SAMPLE_ONE_IN))
-    counts = often.select("key", F.col("count") * SAMPLE_ONE_IN).union(posted.groupBy("key").count().filter(F.col("count") > max_bucket)).toDF("key", "rows")
-    last = [r.key for r in counts.groupBy("key").agg(F.max("rows").alias("rows")).orderBy(F.desc("rows"), "key").select("key").head(MOST_COMMON)]
-    ordered = cut(sets.filter(n > 0).select("sig", n.alias("n"), _late_last(last)(F.col("shingles")).alias("o")), "reordered")
-    again = ordered.select("sig", "n", "o.own", F.posexplode("o.keys").alias("at", "key"))
-    posted = _shared(again.filter("at < own").select("sig", "n", "key"))
-    links = _verified(sets, _pairs(posted, posted, SHARED))
-
-    late = cut(again.filter("at >= own").select("sig", "n", "key").distinct(), "common-postings")
-    if late.isEmpty():
-        return links
-    leaders = late.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by(F.struct("sig", "n"), F.xxhash64("sig", F.lit(i))) for i in range(LEADERS)))).alias("l")).select("key", F.inline("l"))
-    links = links.union(_verified(sets, _pairs(late, leaders)))
-    labels = components(links).withColumnRenamed("node", "sig")
-    known = cut(late.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig")), "labelled")
-    most = known.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", "count").alias("most"))
-    rest = known.join(most, "key").filter("label <> most").drop("most")
-    return links.union(_verified(sets, _pairs(rest, known, extra=F.col("a.label") != F.col("b.label"))))
-
-
-@pandas_udf(SKETCH)
-def _sketch(text: pd.Series) -> pd.DataFrame:
-    sets = [shingle_set(t) for t in text]
-    sigs = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
-    return pd.DataFrame({"fp": np.array([fingerprint(t) for t in text], np.int64), "sig": np.array(sigs, np.int64), "shingles": pd.Series(sets, dtype=object)})
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
+    sets = cut(made.select("sig", "hashes").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("hashes").alias("hashes")), "sets", large=True)
+    a, b = (sets.select(F.col("sig").alias(x), F.col("hashes").alias(x + "_set")) for x in ("u", "v"))
+    found = cut(pairs.join(a, "u").join(b, "v").filter(_near("u_set", "v_set")).select("u", "v"), "near-pairs", large=True)
+    forget(pairs, sets)
+    return found
+
+
+def _sizes_allow(a: Column, b: Column) -> Column:
+    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+
+
+def _labelled(postings: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """The postings (key, sig, n) of keys in more than one component, with their component."""
+    labels = components(found)
+    known = postings.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", "n", F.coalesce("label", "sig").alias("label"))
+    mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+    out = cut(known.join(mixed, "key", "left_semi"), name, large=True)
+    forget(labels)
+    return out
+
+
+def _stars(known: DataFrame, turn: int) -> DataFrame:
+    """(u, v): each text with the leaders that most of its keys name, another leader a key in each turn."""
+    lead = F.min_by(F.struct(F.col("sig").alias("l_sig"), F.col("n").alias("l_n"), F.col("label").alias("l_label")), F.xxhash64("sig", F.lit(turn)))
+    leaders = known.groupBy("key").agg(lead.alias("l")).select("key", "l.*")
+    named = known.join(leaders, "key").filter((F.col("label") != F.col("l_label")) & _sizes_allow(F.col("n"), F.col("l_n"))).groupBy("sig", "l_sig").agg(F.count("*").alias("keys"))
+    best = named.groupBy("sig").agg(F.slice(F.sort_array(F.collect_list(F.struct("keys", "l_sig")), asc=False), 1, LEADERS).alias("best"))
+    pair = best.select("sig", F.explode("best").alias("b")).select("sig", F.col("b.l_sig").alias("other"))
+    return pair.select(F.least("sig", "other").alias("u"), F.greatest("sig", "other").alias("v")).distinct()
+
+
+def _across(known: DataFrame) -> DataFrame:
+    """(u, v): all pairs of unlike components that share enough keys to reach 0.8.
+
+    The members of a key's largest component meet the others of the key, never
+    each other.
+    """
+    most = known.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
+    placed = known.join(most, "key").select("key", "sig", "n", "label", (F.col("label") == F.col("most")).alias("main"))
+    a, b = placed.filter("not main").alias("a"), placed.alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & (F.col("b.main") | (F.col("a.sig") < F.col("b.sig"))) & _sizes_allow(F.col("a.n"), F.col("b.n")))
+    rest = F.greatest(F.col("a.n") - _prefix_column(F.col("a.n")), F.col("b.n") - _prefix_column(F.col("b.n")))
+    need = F.ceil(4 * (F.col("a.n") + F.col("b.n")) / 9) - rest
+    pair = met.select(F.least("a.sig", "b.sig").alias("u"), F.greatest("a.sig", "b.sig").alias("v"), need.alias("need"))
+    return pair.groupBy("u", "v", "need").count().filter("count >= need").select("u", "v")
+
+
+def near_links(made: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Links (u, v) that connect all texts at 0.8 or more; ``made`` has sig, n, keys and hashes, rows may repeat."""
+    one = cut(made.filter(F.size("keys") > 0).groupBy("sig").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "prefixes", large=True)
+    keys = one.select("sig", "n", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("texts")).filter("texts > 1").select("key")
+    postings = cut(keys.join(shared, "key", "left_semi"), "postings", large=True)
+    forget(one)
+    found = made.sparkSession.createDataFrame([], "u long, v long")
+    for turn in range(rounds):
+        known = _labelled(postings, found, f"round-{turn}")
+        new = _verified(made, _stars(known, turn))
+        forget(known)
+        if new.isEmpty():
+            break
+        found = found.union(new)
+    known = _labelled(postings, found, "rest")
+    found = found.union(_verified(made, _across(known)))
+    forget(known, postings)
+    return found
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,13 +199,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Groups are connected by shingle similarity of 0.8 or more and by
     fingerprints at most two bits apart. Texts without words are one group.
     """
-    sketched = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("said"), _sketch(F.col(text_col)).alias("s"))
-    rows = cut(sketched.select("doc_id", "said", "s.*"), "sketches")
+    sketched = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("said"), sketches(docs, text_col, common_shingles(docs, text_col)).alias("s"))
+    rows = cut(sketched.select("doc_id", "said", "s.*"), "sketches", large=True)
     # A fingerprint is stood for by the least of its texts.
     own = cut(rows.select("fp", "sig").distinct(), "own-fingerprints")
     stands = cut(own.groupBy("fp").agg(F.min("sig").alias("rep")), "distinct-fingerprints")
     a, b = (stands.select(F.col("fp").alias(x), F.col("rep").alias(f"{x}_rep")) for x in ("u", "v"))
     by_print = own.join(stands, "fp").filter("sig <> rep").select("sig", "rep").union(links(stands.select("fp")).join(a, "u").join(b, "v").select("u_rep", "v_rep"))
-    labels = components(by_print.toDF("u", "v").union(near_links(rows.select("sig", "shingles"))))
+    labels = components(by_print.toDF("u", "v").union(near_links(rows.select("sig", "n", "keys", "hashes"))))
     found = cut(rows.select("doc_id", "said", "sig").join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", "said", F.coalesce("label", "sig").alias("label")), "grouped")
+    forget(rows, own, stands)
     return one_of_each(docs, found, id_col, text_col)

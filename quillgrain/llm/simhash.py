@@ -24,6 +24,7 @@ share one. That is exact and linear, so no key is skipped or capped.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .common import cut, unused
+from .common import cut, forget, unused
 from .components import components
 
 SEED = 42
@@ -46,23 +47,38 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (shift, bits)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None) -> int:
-    """Signed 64-bit SimHash of one text; 0 for a text without words."""
+def ascii_lower(text: str | None) -> list[bytes]:
+    """The words of a text, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
+def window_digests(parts: list[bytes], width: int) -> Iterator[bytes]:
+    """XXH64 digests (8 bytes each) of all runs of ``width`` words, in blocks; a shorter sequence is one run."""
     import xxhash
 
-    parts = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not parts:
-        return 0
-    joined = b" ".join(parts)
+    digest, joined = xxhash.xxh64_digest, b" ".join(parts)
     ends = [e - 1 for e in accumulate(len(w) + 1 for w in parts)]
     starts = [0, *(e + 1 for e in ends[:-1])]
-    stops = ends[SHINGLE - 1 :] or ends[-1:]
-    digest, counts = xxhash.xxh64_digest, np.zeros(64, np.int64)
+    stops = ends[width - 1 :] or ends[-1:]
     for at in range(0, len(stops), BLOCK):
-        hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + BLOCK], stops[at : at + BLOCK])])
+        yield b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + BLOCK], stops[at : at + BLOCK])])
+
+
+def fingerprint_of(parts: list[bytes]) -> int:
+    """Signed 64-bit SimHash of words; 0 for none."""
+    if not parts:
+        return 0
+    counts, total = np.zeros(64, np.int64), 0
+    for hashes in window_digests(parts, SHINGLE):
         bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
         counts += bits.sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(counts * 2 > len(stops)).tobytes(), "big", signed=True)
+        total += len(bits)
+    return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big", signed=True)
+
+
+def fingerprint(text: str | None) -> int:
+    """Signed 64-bit SimHash of one text; 0 for a text without words."""
+    return fingerprint_of(ascii_lower(text))
 
 
 @pandas_udf(T.LongType())
@@ -189,6 +205,7 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -
     rows = cut(found.groupBy("label", "doc_id", "said").agg(F.count("*").alias("rows")), "group-rows")
     firsts = cut(rows.groupBy("label").agg(F.min(row).alias("first")), "group-firsts")
     judged = cut(rows.join(firsts, "label").select("doc_id", "said", "rows", (row == F.col("first")).alias("stays")), "judged")
+    forget(rows, firsts)
     as_docs = lambda df, name: df.select(F.col("doc_id").alias(name), F.col("said").alias(said + "_of"))
     same = lambda name: F.col(id_col).eqNullSafe(F.col(name)) & (F.col(said) == F.col(said + "_of"))
     kept = docs.withColumn(said, F.xxhash64(text_col)).join(as_docs(judged.filter(~F.col("stays")), gone), same(gone), "left_anti")

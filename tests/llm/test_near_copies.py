@@ -46,17 +46,29 @@ def corpus():
     return texts + ["one two", "One  TWO", "one three", prose(5, 5), prose(5, 6)]
 
 
-@pytest.mark.parametrize("max_bucket", [64, 3])
-def test_links_against_all_pairs(spark, max_bucket):
+@pytest.mark.parametrize(("rows", "rounds"), [(64, 3), (3, 3), (3, 0), (64, 0)])
+def test_links_against_all_pairs(spark, rows, rounds):
+    """Neither what counts as common nor the star rounds change which texts are linked."""
     texts = corpus()
-    by_sig = {}
-    for t in texts:
-        s = near_copies.shingle_set(t)
-        by_sig.setdefault(tuple(s.tolist()), t)
-    sigs = list(by_sig)
-    sets = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sigs) for _ in range(2)], "sig long, shingles array<long>")
-    labels = {r.node: r.label for r in components.components(near_copies.near_links(sets, max_bucket)).collect()}
-    assert [labels.get(i, i) for i in range(len(sigs))] == groups(len(sigs), brute_pairs([by_sig[s] for s in sigs]))
+    docs = spark.createDataFrame([(t,) for t in texts for _ in range(2)], "text string")
+    common = near_copies.common_shingles(docs, one_in=1, rows=rows)
+    made = docs.select("text", near_copies.sketches(docs, "text", common).alias("s")).select("text", "s.*").cache()
+    sig = {r.text: r.sig for r in made.collect()}
+    labels = {r.node: r.label for r in components.components(near_copies.near_links(made, rounds)).collect()}
+    sets, label = [sig[t] for t in texts], lambda s: labels.get(s, s)
+    found = groups(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if label(sets[i]) == label(sets[j])])
+    assert found == groups(len(texts), brute_pairs(texts))
+
+
+def test_prefix_and_packing():
+    import numpy as np
+
+    s = near_copies.shingle_set(prose(9, 200))
+    common = s[::3]
+    keys = near_copies.prefix(s, common)
+    assert len(keys) == len(s) - -(-4 * len(s) // 5) + 1 and not np.isin(keys, common).any()
+    assert (near_copies.unpack(near_copies.pack(s)) == s >> 24 << 24).all()
+    assert near_copies.prefix_length(4) == 0 and near_copies.prefix_length(5) == 2
 
 
 def test_stage_drops_near_copies_beyond_two_bits(spark):
