@@ -10,16 +10,17 @@ pairs are found.
 Large groups are linked by stars first: in each round a key has one leader, each
 text is compared with the two leaders that most of its keys name, and links are
 merged into components. What is left are pairs of a key in unlike components.
-All of them are counted, none is skipped or capped: with c keys in common, texts
-of a and b shingles can share c + max(a - keys of a, b - keys of b) at most, and
-those that could still reach 0.8 are held against each other's whole sets.
+All of them count, none is skipped or capped: with c keys in common, texts of a
+and b shingles can share c + max(a - keys of a, b - keys of b) at most, and c is
+at most the keys that either shares with any other component. Pairs that could
+still reach 0.8 are held against each other's whole sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -29,7 +30,7 @@ from .components import components
 from .simhash import ascii_lower, fingerprint_of, links, one_of_each, window_digests
 
 WORDS = 5
-ROUNDS = 3
+ROUNDS = 2
 #: Leaders that a text is compared with in a round.
 LEADERS = 2
 SAMPLE_ONE_IN = 16
@@ -132,27 +133,52 @@ def _verified(made: DataFrame, pairs: DataFrame) -> DataFrame:
     return found
 
 
+def _needed(a: Column, b: Column) -> Column:
+    """Common shingles of texts of a and b shingles at Jaccard 0.8."""
+    return F.ceil(4 * (a + b) / 9)
+
+
 def _sizes_allow(a: Column, b: Column) -> Column:
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
 def _labelled(postings: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """The postings (key, sig, n) of keys in more than one component, with their component."""
+    """The postings (key, sig, n) of keys in more than one component, with their component and how many such keys the text holds."""
     labels = components(found)
     known = postings.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", "n", F.coalesce("label", "sig").alias("label"))
     mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    out = cut(known.join(mixed, "key", "left_semi"), name, large=True)
+    out = cut(known.join(mixed, "key", "left_semi").withColumn("held", F.count("*").over(Window.partitionBy("sig"))), name, large=True)
     forget(labels)
     return out
 
 
+def _beyond(a: Column, b: Column) -> Column:
+    """Shingles that may be common though they are no common key.
+
+    The prefix that ends first in the order is wholly decided by common keys, so
+    only what follows it in its own text is open.
+    """
+    return F.greatest(a - _prefix_column(a), b - _prefix_column(b))
+
+
+def _may_meet(a: str, b: str) -> Column:
+    """Whether postings a and b are of unlike components and hold enough keys of others to reach 0.8."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    return (x("label") != y("label")) & _sizes_allow(x("n"), y("n")) & (F.least(x("held"), y("held")) + _beyond(x("n"), y("n")) >= _needed(x("n"), y("n")))
+
+
 def _stars(known: DataFrame, turn: int) -> DataFrame:
-    """(u, v): each text with the leaders that most of its keys name, another leader a key in each turn."""
-    lead = F.min_by(F.struct(F.col("sig").alias("l_sig"), F.col("n").alias("l_n"), F.col("label").alias("l_label")), F.xxhash64("sig", F.lit(turn)))
-    leaders = known.groupBy("key").agg(lead.alias("l")).select("key", "l.*")
-    named = known.join(leaders, "key").filter((F.col("label") != F.col("l_label")) & _sizes_allow(F.col("n"), F.col("l_n"))).groupBy("sig", "l_sig").agg(F.count("*").alias("keys"))
-    best = named.groupBy("sig").agg(F.slice(F.sort_array(F.collect_list(F.struct("keys", "l_sig")), asc=False), 1, LEADERS).alias("best"))
-    pair = best.select("sig", F.explode("best").alias("b")).select("sig", F.col("b.l_sig").alias("other"))
+    """(u, v): each text with the leaders that most of its keys name.
+
+    The first turn's leader of a key is the text most of whose keys others hold,
+    which is the middle of a group of edited copies; later ones go by a hash of
+    the turn.
+    """
+    by = F.struct(-(F.col("held") / F.col("n")), F.xxhash64("sig")) if turn == 0 else F.xxhash64("sig", F.lit(turn))
+    leaders = known.groupBy("key").agg(F.min_by(F.struct("sig", "n", "label", "held"), by).alias("l")).select("key", "l.*")
+    named = known.alias("a").join(leaders.alias("b"), (F.col("a.key") == F.col("b.key")) & _may_meet("a", "b")).select(F.col("a.sig").alias("sig"), F.col("b.sig").alias("other")).groupBy("sig", "other").agg(F.count("*").alias("keys"))
+    best = named.groupBy("sig").agg(F.slice(F.sort_array(F.collect_list(F.struct("keys", "other")), asc=False), 1, LEADERS).alias("best"))
+    pair = best.select("sig", F.explode("best").alias("b")).select("sig", F.col("b.other").alias("other"))
     return pair.select(F.least("sig", "other").alias("u"), F.greatest("sig", "other").alias("v")).distinct()
 
 
@@ -162,13 +188,11 @@ def _across(known: DataFrame) -> DataFrame:
     The members of a key's largest component meet the others of the key, never
     each other.
     """
-    most = known.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
-    placed = known.join(most, "key").select("key", "sig", "n", "label", (F.col("label") == F.col("most")).alias("main"))
+    largest = known.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
+    placed = known.join(largest, "key").select("key", "sig", "n", "label", "held", (F.col("label") == F.col("largest")).alias("main"))
     a, b = placed.filter("not main").alias("a"), placed.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & (F.col("b.main") | (F.col("a.sig") < F.col("b.sig"))) & _sizes_allow(F.col("a.n"), F.col("b.n")))
-    rest = F.greatest(F.col("a.n") - _prefix_column(F.col("a.n")), F.col("b.n") - _prefix_column(F.col("b.n")))
-    need = F.ceil(4 * (F.col("a.n") + F.col("b.n")) / 9) - rest
-    pair = met.select(F.least("a.sig", "b.sig").alias("u"), F.greatest("a.sig", "b.sig").alias("v"), need.alias("need"))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("b.main") | (F.col("a.sig") < F.col("b.sig"))) & _may_meet("a", "b"))
+    pair = met.select(F.least("a.sig", "b.sig").alias("u"), F.greatest("a.sig", "b.sig").alias("v"), (_needed(F.col("a.n"), F.col("b.n")) - _beyond(F.col("a.n"), F.col("b.n"))).alias("need"))
     return pair.groupBy("u", "v", "need").count().filter("count >= need").select("u", "v")
 
 

@@ -46,7 +46,7 @@ def corpus():
     return texts + ["one two", "One  TWO", "one three", prose(5, 5), prose(5, 6)]
 
 
-@pytest.mark.parametrize(("rows", "rounds"), [(64, 3), (3, 3), (3, 0), (64, 0)])
+@pytest.mark.parametrize(("rows", "rounds"), [(64, 2), (3, 2), (3, 0)])
 def test_links_against_all_pairs(spark, rows, rounds):
     """Neither what counts as common nor the star rounds change which texts are linked."""
     texts = corpus()
