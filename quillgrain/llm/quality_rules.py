@@ -1,14 +1,16 @@
 """Document quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule has a rejecting predicate and a cost model (time a character and a
-word). One job over a bounded sample estimates every rule's cost and how many
-documents it rejects; rules are then tried in order of rejection per cost. The
-verdict is a conjunction, so the order changes the work, never the result.
+A rule is a rejecting predicate over counts of the text; a count is made where a
+rule asks for it, so what lies behind the first rejection is never computed. One
+job over a bounded sample times every rule on every sampled text and counts how
+many documents it rejects; rules are then tried in order of rejection per cost.
+The verdict is a conjunction, so the order changes the work, never the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from statistics import median
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -20,15 +22,16 @@ SYMBOLS = r"[^#*$%&|<>]+"
 WINDOW = 5
 SAMPLE_ROWS = 2000
 SAMPLE_ONE_IN = 64
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+Counts = Mapping[str, Column]
 
 
 class Rule(NamedTuple):
-    """``rejects`` takes the measures and the text; costs are ns a character and a word."""
+    """``rejects`` takes the counts by name (see ``counts``)."""
 
     name: str
-    rejects: Callable[[Column, Column], Column]
-    char_cost: float = 0.0
-    word_cost: float = 0.0
+    rejects: Callable[[Counts], Column]
 
 
 def repeated_words(tokens: Column) -> Column:
@@ -59,83 +62,127 @@ def repeated_words(tokens: Column) -> Column:
     return let(tokens, lambda w: F.when(F.size(w) <= WINDOW, F.lit(0).cast("long")).otherwise(of(w)))
 
 
-def measures(text: Column) -> Column:
-    """struct of the counts of a whole text; a null text is an empty one. One expression, so plans can't double it."""
-    text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+def line_counts(text: Column) -> Column:
+    """struct<n_lines, n_dup_lines>: lines with a word, and those equal to an earlier one."""
+    own = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    return let(own, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+
+
+def counts(w: Column, text: Column) -> dict[str, Column]:
+    """Every count as an expression of its own over the words and the text; unused ones cost nothing."""
+    return {
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long"),
+        "lines": line_counts(text),
+        "n_repeat_words": repeated_words(w),
+        "n_stutters": F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))).cast("long"),
+        "n_marks": F.regexp_count(text, F.lit("!")),
+        "n_letters": F.length(F.regexp_replace(text, r"[^\p{L}]+", "")),
+    }
 
-    def counts(w: Column, own: Column) -> Column:
-        return F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long").alias("n_symbols"),
-            F.size(own).cast("long").alias("n_lines"),
-            (F.size(own) - F.size(F.array_distinct(own))).cast("long").alias("n_dup_lines"),
-            repeated_words(w).alias("n_repeat_words"),
-            F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))).cast("long").alias("n_stutters"),
-        )
 
-    return let(words(text), lambda w: let(lines, lambda own: counts(w, own)))
+def base_rules() -> list[Rule]:
+    return [
+        Rule("too_short", lambda m: m["n_words"] < 10),
+        Rule("repeated_words", lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"]),
+    ]
 
 
-def default_rules() -> list[Rule]:
+def more_rules() -> list[Rule]:
     """The rules beside the base ones; all ratios are taken over the whole text."""
-    letters = lambda text: F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
     return [
-        Rule("symbols", lambda m, text: 10 * m["n_symbols"] > m["n_words"]),
-        Rule("repeated_lines", lambda m, text: 2 * m["n_dup_lines"] > m["n_lines"]),
-        Rule("stutter", lambda m, text: 10 * m["n_stutters"] > 3 * m["n_words"]),
-        Rule("word_length", lambda m, text: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"])),
-        Rule("shouting", lambda m, text: 2 * F.regexp_count(text, F.lit("!")) > m["n_words"], char_cost=6.0),
-        Rule("letters", lambda m, text: 2 * letters(text) < m["word_chars"], char_cost=9.0),
+        Rule("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"]),
+        Rule("repeated_lines", lambda m: let(m["lines"], lambda x: 2 * x["n_dup_lines"] > x["n_lines"])),
+        Rule("stutter", lambda m: 10 * m["n_stutters"] > 3 * m["n_words"]),
+        Rule("word_length", lambda m: let(m["word_chars"], lambda n: (n < 2 * m["n_words"]) | (n > 20 * m["n_words"]))),
+        Rule("shouting", lambda m: 2 * m["n_marks"] > m["n_words"]),
+        Rule("letters", lambda m: 2 * m["n_letters"] < m["word_chars"]),
     ]
 
 
-def base_failed(m: Column) -> Column:
-    return (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+def _now() -> Column:
+    return F.java_method(F.lit("java.lang.System"), F.lit("nanoTime")).cast("long")
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text") -> list[Rule]:
-    """Rules by rejected documents per cost on a sample of ``docs`` (plain documents).
+class Estimate(NamedTuple):
+    """Of a rule on the sample: nanoseconds of a text (median) and share of rejected texts."""
+
+    nanoseconds: float
+    rejected: float
+
+
+def estimates(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text") -> dict[str, Estimate]:
+    """Each rule timed and tried on a sample of ``docs`` (plain documents).
 
     At most ``SAMPLE_ROWS`` rows, taken from one row in ``SAMPLE_ONE_IN`` by a
-    hash of the text; this only sets the order of evaluation.
+    hash of the text. A text goes through the rules one after the other, with
+    the clock read between them, inside one expression.
     """
-    sample = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE_ONE_IN)) == 0).select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), measures(F.col(text_col)).alias("m"))
-    m, text = F.col("m"), F.col("t")
-    each = [x for r in rules for x in (F.coalesce(r.rejects(m, text).cast("double"), F.lit(0.0)), 50 + r.char_cost * F.length(text) + r.word_cost * m["n_words"])]
-    # Partitions are read one after the other until there are enough rows; only their figures leave the executors.
-    rows = sample.select(*(e.alias(f"x{i}") for i, e in enumerate(each))).head(SAMPLE_ROWS)
-    got = [sum(r[i] for r in rows) / max(1, len(rows)) for i in range(len(each))]
-    worth = {r.name: got[2 * i] / (got[2 * i + 1] or 1.0) for i, r in enumerate(rules)}
-    cost = {r.name: got[2 * i + 1] for i, r in enumerate(rules)}
-    return sorted(rules, key=lambda r: (-worth[r.name], cost[r.name], r.name))
-
-
-def cascade(rules: Sequence[Rule], m: Column, text: Column) -> Column:
-    """Name of the first rule, in the given order, that rejects; null if none does."""
-    chain = F.when(base_failed(m), F.lit("base"))
+    text = F.col("t")
+
+    def timed(w: Column) -> Column:
+        m, fields = counts(w, text), [_now().alias("c0")]
+        for i, r in enumerate(rules):
+            fields += [F.coalesce(r.rejects(m), F.lit(False)).alias(f"r{i}"), _now().alias(f"c{i + 1}")]
+        return F.struct(*fields)
+
+    sample = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE_ONE_IN)) == 0).select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    # Partitions are read one after the other until there are enough rows; only clocks and verdicts leave the executors.
+    rows = [r.x for r in sample.select(let(words(text), timed).alias("x")).head(SAMPLE_ROWS)]
+    if not rows:
+        return {r.name: Estimate(1.0, 0.0) for r in rules}
+    return {r.name: Estimate(max(1.0, median(x[f"c{i + 1}"] - x[f"c{i}"] for x in rows)), sum(x[f"r{i}"] for x in rows) / len(rows)) for i, r in enumerate(rules)}
+
+
+def order_rules(rules: Sequence[Rule], found: Mapping[str, Estimate]) -> list[Rule]:
+    """Rules by rejected documents per cost, cheaper ones first among equals."""
+    return sorted(rules, key=lambda r: (-found[r.name].rejected / found[r.name].nanoseconds, found[r.name].nanoseconds, r.name))
+
+
+def cascade(rules: Sequence[Rule], m: Counts) -> Column:
+    """Name of the first rule, in the given order, that rejects; null if none does. Later rules are then not computed."""
+    chain = F.when(F.lit(False), F.lit(""))
     for r in rules:
-        chain = chain.when(r.rejects(m, text), F.lit(r.name))
+        chain = chain.when(r.rejects(m), F.lit(r.name))
     return chain
 
 
 def judge_documents(docs: DataFrame, rules: Sequence[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the five counts, base_failed and kept of every row.
 
+    The counts are results, so they are made for every row and rules read them;
+    the other rules are tried in order, for rows that the base rules pass.
     Null, empty and blank texts have no words and fail. Repeated rows are judged
     each. An empty table gives no rows.
     """
-    ordered = order_rules(docs, rules or default_rules(), text_col)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    rules = more_rules() if rules is None else rules
+    ordered = order_rules(rules, estimates(docs, rules, text_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), measures(F.col(text_col)).alias("m"))
-    m = F.col("m")
-    return found.select("doc_id", *(m[n].alias(n) for n in names), base_failed(m).alias("base_failed"), cascade(ordered, m, F.col("t")).isNull().alias("kept"))
 
+    def judged(w: Column) -> Column:
+        lazy = counts(w, text)
+        made = F.struct(*(lazy[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "lines")))
+
+        def verdict(c: Column) -> Column:
+            m = lazy | {n: c[n] for n in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "lines")}
+            base = cascade(base_rules(), m).isNotNull()
+            shown = [(c["lines"]["n_dup_lines"] if n == "n_dup_lines" else c[n]).alias(n) for n in COUNTS]
+            return let(base, lambda failed: F.struct(*shown, failed.alias("base_failed"), F.when(failed, False).otherwise(cascade(ordered, m).isNull()).alias("kept")))
 
-def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, columns unchanged; a filter without a shuffle."""
-    ordered = order_rules(docs, default_rules(), text_col)
+        return let(made, verdict)
+
+    # One expression a row, so plans can't compute a count twice.
+    return docs.select(F.col(id_col).alias("doc_id"), let(words(text), judged).alias("j")).select("doc_id", *(F.col("j")[n].alias(n) for n in [*COUNTS, "base_failed", "kept"]))
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None = None) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, columns unchanged; a filter without a shuffle.
+
+    Base rules are ordered among the others, and a rejected text costs no more
+    than the rules up to the one that rejects it.
+    """
+    rules = [*base_rules(), *more_rules()] if rules is None else rules
+    ordered = order_rules(rules, estimates(docs, rules, text_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.filter(let(measures(text), lambda m: cascade(ordered, m, text).isNull()))
+    return docs.filter(let(words(text), lambda w: cascade(ordered, counts(w, text)).isNull()))

@@ -2,10 +2,12 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from data import crowded, document_rows, documents, empty
 from pyspark.sql import functions as F
 
 from quillgrain.llm import quality_rules as r
+from quillgrain.llm.common import let, words
 
 
 def plain(text):
@@ -29,11 +31,25 @@ def test_counts_against_definition(spark):
         assert not (g.kept and g.base_failed)
 
 
+def _first_rejections(spark, rules):
+    text = F.coalesce("text", F.lit(""))
+    return [x[0] for x in documents(spark).select(let(words(text), lambda w: r.cascade(rules, r.counts(w, text)))).collect()]
+
+
 def test_verdict_is_the_same_in_any_order(spark):
-    rules = r.default_rules()
-    df = documents(spark).select(F.coalesce("text", F.lit("")).alias("t"), r.measures(F.col("text")).alias("m"))
-    verdicts = [[x[0] for x in df.select(r.cascade(order, F.col("m"), F.col("t")).isNull()).collect()] for order in (rules, rules[::-1])]
-    assert verdicts[0] == verdicts[1] and True in verdicts[0] and False in verdicts[0]
+    rules = [*r.base_rules(), *r.more_rules()]
+    forth, back = _first_rejections(spark, rules), _first_rejections(spark, rules[::-1])
+    assert [x is None for x in forth] == [x is None for x in back] and forth != back
+    assert None in forth and len(set(forth)) >= 3
+
+
+def test_cascade_stops_at_the_first_rejection(spark):
+    """A rule behind a rejecting one is never computed: here it would fail the job."""
+    broken = r.Rule("broken", lambda m: F.raise_error(F.concat(F.lit("computed "), m["n_words"].cast("string"))).isNotNull())
+    everything = r.Rule("all", lambda m: m["n_words"] >= 0)
+    assert set(_first_rejections(spark, [everything, broken])) == {"all"}
+    with pytest.raises(Exception, match="computed"):
+        _first_rejections(spark, [broken, everything])
 
 
 def test_rules_catch_junk(spark):
@@ -44,10 +60,18 @@ def test_rules_catch_junk(spark):
     assert 0 in kept and not kept & {1, 2, 3, 5}
 
 
-def test_order_by_rejection_per_cost(spark):
-    docs = spark.range(3000).select(F.lit(None).cast("string").alias("n"), F.concat(F.lit("text "), F.col("id")).alias("text"))
-    rules = [r.Rule("dear", lambda m, t: F.lit(True), char_cost=1000.0), r.Rule("never", lambda m, t: F.lit(False)), r.Rule("cheap", lambda m, t: F.lit(True))]
-    assert [x.name for x in r.order_rules(docs, rules)] == ["cheap", "dear", "never"]
+def test_order_by_rejection_per_measured_cost(spark):
+    docs = spark.range(3000).select(F.concat(F.lit("text "), F.col("id"), F.repeat(F.lit(" of words that come again"), 30)).alias("text"))
+    rules = [
+        r.Rule("dear", lambda m: (m["n_repeat_words"] >= 0) & (m["n_letters"] >= 0)),
+        r.Rule("never", lambda m: m["n_words"] < 0),
+        r.Rule("cheap", lambda m: m["n_words"] >= 0),
+    ]
+    found = r.estimates(docs, rules)
+    assert found["dear"].nanoseconds > 5 * found["cheap"].nanoseconds and [found[n].rejected for n in ("dear", "never", "cheap")] == [1.0, 0.0, 1.0]
+    assert [x.name for x in r.order_rules(rules, found)] == ["cheap", "dear", "never"]
+    # A dear rule that rejects much goes before a cheap one that rejects little.
+    assert [x.name for x in r.order_rules(rules[:2], {"dear": r.Estimate(100.0, 0.5), "never": r.Estimate(10.0, 0.01)})] == ["dear", "never"]
 
 
 def test_filter_keeps_columns(spark):
