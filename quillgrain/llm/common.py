@@ -6,8 +6,10 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space between words: space and the controls from tab to carriage return.
@@ -98,6 +100,23 @@ def release() -> None:
         _delete(*_written.pop())
 
 
+def numbered(rows: DataFrame, keys: Sequence[str], name: str, table_name: str) -> DataFrame:
+    """``rows`` with ``name``, gapless from 0 within equal ``keys``, in the order the rows come in.
+
+    Rows are numbered within their task and the tasks' counts are summed, so a
+    group of any size never meets in one task. Rows are written out first, as
+    their order must not change in between.
+    """
+    task, at, before, of = (unused(rows, n) for n in ("in_task", "at_row", "rows_before", "of_task"))
+    placed = cut(rows.withColumn(task, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()), table_name)
+    earlier = Window.partitionBy(*keys).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*keys, task).agg(F.count("*").alias(before)).withColumn(before, F.coalesce(F.sum(before).over(earlier), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy(*keys, task).orderBy(at)) - 1
+    sides = counts.select(F.col(task).alias(of), before, *(F.col(k).alias(f"{of}_{k}") for k in keys))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{of}_{k}")) for k in keys), F.col(task) == F.col(of))
+    return placed.withColumn(at, own).join(sides, same).withColumn(name, (F.col(before) + F.col(at)).cast("long")).select(*rows.columns, name)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have yet, built from the given one."""
     taken = {c.lower() for c in df.columns}

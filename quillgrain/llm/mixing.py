@@ -2,27 +2,43 @@
 
 Each source has a target in words, its share of a budget by weight; no target
 passes ``cap`` times its source, what it can't take is shared again by weight.
-A source of target r times its size gives floor(r) whole copies of every
-document for certain. The rest is a Pareto sample: documents are ranked by
-their random odds u / (1 - u) over their inclusion odds p / (1 - p) and taken
-in that order up to the rest in words (the cut is the one nearest to it).
 
-Ranks need no sort of a source: ranks fall into cells, cells are summed, and
-only the cell in which the cut lies is put in order.
+Within a source a document is due a number of copies by its size class: class k
+holds sizes from 16^k, and its copies are in proportion to 2^k (about the fourth
+root of the size), up to ``cap``, so that the copies' words make the target. The
+whole part of these copies is certain. The fraction p is an inclusion
+probability: documents are ranked by their random odds u / (1 - u) over their
+inclusion odds p / (1 - p), and taken in that order up to the words that whole
+copies leave (the cut is the one nearest to it).
+
+Ranks need no sort of a source: ranks fall into cells, cells are summed, the cell
+with the cut is divided again, and only its few rows are put in order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, unused, word_count
+from .common import cut, numbered, unused, word_count
 
+#: A cell is divided in so many, ``MOST_DEPTH`` times at most.
 CELLS = 4096
-#: Cells are summed in groups first, so no source's running sum has more than this many rows.
-CELL_GROUP = 64
+MOST_DEPTH = 4
+#: Rows of a source that may be put in order.
+EDGE_ROWS = 2000
+
+
+class Plan(NamedTuple):
+    """``classes`` has source, k, source_size, target, whole, chance; ``cuts`` source, rest, cell, before; cells are of ``depth``."""
+
+    classes: DataFrame
+    cuts: DataFrame
+    depth: int
+    edge_rows: int
 
 
 def random_key(id_col: str, text_col: str, seed: int) -> Column:
@@ -31,91 +47,134 @@ def random_key(id_col: str, text_col: str, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(said), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def size_class(size: Column) -> Column:
+    return F.floor((F.length(F.bin(size)) - 1) / 4).cast("int")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
     """From (source, source_size): target of each source.
 
-    Sources take the weights in turn, in order of code point, null last. Filling
-    stops level by level: in order of size over weight, a source is full if the
-    level at which it would fill is at most what the budget allows.
+    Sources take the weights in turn, in order of code point, null last. The
+    level (words a unit of weight) rises until no source below its limit would
+    pass it; each step is one aggregate, so any number of sources will do.
+    """
+    ordered = sizes.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    turn = F.pmod(F.col("turn"), F.lit(len(weights)))
+    weighed = numbered(ordered, [], "turn", "mix-sources").withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (turn + 1).cast("int")))
+    weighed = weighed.select("source", "source_size", "weight", (F.col("source_size") * F.lit(float(cap))).alias("most"))
+    budget = (weighed.agg(F.sum("source_size")).first()[0] or 0) * float(share)
+    full, left, open_weight = F.lit(False), budget, -1.0
+    while True:
+        taken, weight = weighed.agg(F.sum(F.when(full, F.col("most")).otherwise(F.lit(0.0))), F.sum(F.when(full, F.lit(0.0)).otherwise(F.col("weight")))).first()
+        left, before, open_weight = budget - (taken or 0.0), open_weight, weight or 0.0
+        if open_weight in (before, 0.0):
+            break
+        full = full | (F.col("most") * F.lit(open_weight) <= F.col("weight") * F.lit(left))
+    level = left / open_weight if open_weight else 0.0
+    return weighed.select("source", "source_size", F.when(full, F.col("most")).otherwise(F.col("weight") * F.lit(level)).alias("target"))
+
+
+def due_copies(classes: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
+    """(source, k, words) to source, k, source_size, target, whole, chance: what a document of the class is due.
+
+    Classes are filled from the greatest weight down: one is full if the level
+    that the words left allow would give it ``cap`` copies or more. A source has
+    a handful of classes.
     """
-    turn = F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(weights)))
-    weighed = sizes.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (turn + 1).cast("int"))).withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    order = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    upto, everything = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    weight = F.pow(F.lit(2.0), F.col("k"))
+    of = targets.select(F.col("source").alias("of"), "source_size", "target")
+    own = Window.partitionBy("source")
+    earlier = own.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    weighed = classes.join(of, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("weight", weight).withColumn("load", F.col("weight") * F.col("words"))
     levels = (
-        weighed.withColumn("budget", F.sum("source_size").over(everything) * F.lit(float(share)))
-        .withColumn("left", F.col("budget") - F.coalesce(F.sum("most").over(upto), F.lit(0.0)))
-        .withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0)))
-        .withColumn("full", F.col("most") * F.col("open") <= F.col("weight") * F.col("left"))
+        weighed.withColumn("left", F.col("target") - F.lit(float(cap)) * F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+        .withColumn("open", F.sum("load").over(own) - F.coalesce(F.sum("load").over(earlier), F.lit(0.0)))
+        .withColumn("full", F.col("weight") * F.col("left") >= F.lit(float(cap)) * F.col("open"))
     )
-    # Of the sources that stay open the first one has the greatest level, which holds for all of them.
-    level = F.max(F.when(~F.col("full"), F.col("left") / F.col("open"))).over(everything)
-    return levels.withColumn("target", F.when(F.col("full"), F.col("most")).otherwise(F.col("weight") * level)).select("source", "source_size", "target")
+    level = F.max(F.when(~F.col("full"), F.col("left") / F.col("open"))).over(own)
+    copies = F.when(F.col("full"), F.lit(float(cap))).otherwise(F.col("weight") * level)
+    whole = F.floor(F.col("copies") + F.lit(1e-9)).cast("int")
+    part = F.col("copies") - F.col("whole")
+    due = levels.withColumn("copies", copies).withColumn("whole", whole)
+    return due.select("source", "k", "words", "source_size", "target", "whole", F.when(part < 1e-9, F.lit(0.0)).otherwise(F.least(part, F.lit(1 - 1e-9))).alias("chance"))
 
 
-def _rank(u: Column, chance: Column) -> Column:
-    """Pareto's ranking variable q, as q / (1 + q), which lies in (0, 1)."""
+def pareto_rank(u: Column, chance: Column) -> Column:
+    """Pareto's ranking variable q, as q / (1 + q), which lies in (0, 1); ``chance`` is above 0."""
     q = (u / (1 - u)) / (chance / (1 - chance))
-    return F.when(chance > 0, q / (1 + q)).otherwise(F.lit(1.0))
+    return q / (1 + q)
 
 
-def _cell(rank: Column) -> Column:
-    return F.least(F.floor(rank * CELLS), F.lit(CELLS - 1)).cast("int")
+def _cell(rank: Column, depth: int) -> Column:
+    """Cell of a rank; a cell of one depth is ``CELLS`` of the next one."""
+    return F.floor(rank * F.lit(float(CELLS**depth)))
 
 
-def _first_over(cells: DataFrame, base: Column) -> DataFrame:
-    """of, cut: each source's first cell at whose end more words than its rest are reached."""
-    upto = base + F.sum("words").over(Window.partitionBy("source").orderBy("cell"))
-    over = cells.withColumn("upto", upto).filter("upto > rest")
-    return over.groupBy(F.col("source").alias("of")).agg(F.min_by(F.struct("cell", (F.col("upto") - F.col("words")).alias("before")), "cell").alias("cut"))
+def _first_over(cells: DataFrame, rests: DataFrame) -> DataFrame:
+    """source, rest, cell, before, rows: each source's first cell at whose end more words than its rest are reached.
 
+    ``rests`` has source, rest and before, the words in front of these cells; a source has at most ``CELLS``.
+    """
+    of = rests.select(F.col("source").alias("of"), "rest", F.col("before").alias("base"))
+    upto = F.col("base") + F.sum("words").over(Window.partitionBy("source").orderBy("cell"))
+    over = cells.join(of, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("upto", upto).filter("upto > rest")
+    return over.groupBy("source", "rest").agg(F.min_by(F.struct("cell", (F.col("upto") - F.col("words")).alias("before"), "rows"), "cell").alias("c")).select("source", "rest", "c.*")
 
-def plan_mix(rows: DataFrame, weights: Sequence[float], share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """One row a source: target, whole copies, words left for the sample, its cut cell.
 
-    ``rows`` has source, size (words) and u. All rows count.
-    """
-    sizes = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(ratio + F.lit(1e-9)).cast("int")
-    plan = (
-        source_targets(sizes, weights, share, cap)
-        .withColumn("whole", whole)
-        .withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-        .withColumn("chance", F.when(F.col("source_size") > 0, F.least(F.col("rest") / F.col("source_size"), F.lit(1 - 1e-9))).otherwise(F.lit(0.0)))
-        .withColumn("chance", F.when(F.col("chance") < 1e-9, F.lit(0.0)).otherwise(F.col("chance")))
-    )
-    plan = cut(plan, "mix-targets")
-    own = plan.select(F.col("source").alias("of"), "rest", "chance")
-    cells = cut(rows.join(own, F.col("source").eqNullSafe(F.col("of"))).groupBy("source", "rest", _cell(_rank(F.col("u"), F.col("chance"))).alias("cell")).agg(F.sum("size").alias("words")), "mix-cells")
-    group = F.floor(F.col("cell") / CELL_GROUP)
-    groups = cells.groupBy("source", "rest", group.alias("cell")).agg(F.sum("words").alias("words"))
-    coarse = _first_over(groups, F.lit(0)).select("of", F.col("cut.cell").alias("group"), F.col("cut.before").alias("base"))
-    inside = cells.join(coarse, F.col("source").eqNullSafe(F.col("of")) & (group == F.col("group"))).drop("of")
-    cuts = _first_over(inside, F.col("base"))
-    # Without a sample there is no cut, and no row needs to be put in order.
-    at = F.when(F.col("chance") > 0, F.col("cut.cell"))
-    return cut(
-        plan.join(cuts, F.col("source").eqNullSafe(F.col("of")), "left").select(
-            "source", "source_size", "target", "whole", "rest", "chance", F.coalesce(at, F.lit(CELLS)).alias("cut_cell"), F.coalesce("cut.before", F.lit(0)).alias("cut_before")
-        ),
-        "mix-plan",
-    )
+def _ranked(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` (source, size, u, ...) with mix_k, source_size, target, whole, chance and mix_rank (null without a chance)."""
+    of = classes.select(F.col("source").alias("mix_of"), F.col("k").alias("mix_of_k"), "source_size", "target", "whole", "chance")
+    joined = rows.join(of, F.col("source").eqNullSafe(F.col("mix_of")) & (size_class(F.col("size")) == F.col("mix_of_k"))).drop("mix_of", "mix_of_k")
+    return joined.withColumn("mix_rank", F.when(F.col("chance") > 0, pareto_rank(F.col("u"), F.col("chance"))))
+
 
+def plan_mix(rows: DataFrame, weights: Sequence[float], share: float = 1.5, cap: float = 2.0) -> Plan:
+    """What each size class of each source is due, and where each source's sample is cut. All rows count.
 
-def apply_mix(rows: DataFrame, plan: DataFrame, tie_break: Sequence[str]) -> DataFrame:
+    ``rows`` has source, size (words) and u. Sources of one class table fit in
+    memory only by their number times a handful; they are joined, not collected.
+    """
+    classes = cut(rows.groupBy("source", size_class(F.col("size")).alias("k")).agg(F.sum("size").cast("long").alias("words")), "mix-classes")
+    sizes = classes.groupBy("source").agg(F.sum("words").alias("source_size"))
+    due = cut(due_copies(classes, source_targets(sizes, weights, share, cap), cap), "mix-due")
+    rest = F.max("target") - F.sum(F.col("whole") * F.col("words"))
+    cuts = cut(due.groupBy("source").agg(F.greatest(F.lit(0.0), rest).alias("rest")).withColumn("before", F.lit(0).cast("long")), "mix-rests")
+    drawn = _ranked(rows.select("source", "size", "u"), due).filter(F.col("mix_rank").isNotNull())
+    for depth in range(1, MOST_DEPTH + 1):
+        inside = drawn
+        if depth > 1:
+            of = cuts.select(F.col("source").alias("of"), F.col("cell").alias("outer"))
+            inside = drawn.join(of, F.col("source").eqNullSafe(F.col("of")) & (_cell(F.col("mix_rank"), depth - 1) == F.col("outer"))).drop("of", "outer")
+        cells = inside.groupBy("source", _cell(F.col("mix_rank"), depth).alias("cell")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
+        cuts = cut(_first_over(cells, cuts), "mix-cuts")
+        most = cuts.agg(F.max("rows")).first()[0] or 0
+        if most <= EDGE_ROWS:
+            break
+    return Plan(due, cuts, depth, most)
+
+
+def apply_mix(rows: DataFrame, plan: Plan, tie_break: Sequence[str]) -> DataFrame:
     """``rows`` (source, size, u, ...) with source_size, target and copies.
 
-    The plan has one row a source, so the join is small on one side; a source's
-    rows are only ordered within its cut cell.
+    The plan has a handful of rows a source; a source's rows are only ordered
+    within its cut cell. Should more rows than fit one task have one rank, they
+    are equal, and which of them are taken makes no difference.
     """
-    of, rank, cell, before = (unused(rows, n) for n in ("of", "rank", "cell", "before"))
-    joined = rows.join(plan.withColumnRenamed("source", of), F.col("source").eqNullSafe(F.col(of))).withColumn(rank, _rank(F.col("u"), F.col("chance"))).withColumn(cell, _cell(F.col(rank)))
     kept = [*rows.columns, "source_size", "target"]
-    clear = joined.filter(F.col(cell) != F.col("cut_cell")).select(*kept, (F.col("whole") + (F.col(cell) < F.col("cut_cell")).cast("int") * (F.col("chance") > 0).cast("int")).alias("copies"))
-    order = Window.partitionBy("source").orderBy(rank, "u", *tie_break).rowsBetween(Window.unboundedPreceding, -1)
-    edge = joined.filter(F.col(cell) == F.col("cut_cell")).withColumn(before, F.col("cut_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    taken = (2 * F.col(before) + F.col("size") <= 2 * F.col("rest")) & (F.col("chance") > 0)
+    ranked = _ranked(rows, plan.classes)
+    of = plan.cuts.select(F.col("source").alias("mix_of"), F.col("rest").alias("mix_rest"), F.col("cell").alias("mix_cut"), F.col("before").alias("mix_before"))
+    joined = ranked.join(of, F.col("source").eqNullSafe(F.col("mix_of")), "left").drop("mix_of").withColumn("mix_cell", _cell(F.col("mix_rank"), plan.depth))
+    # Without a cell that passes the rest, all that have a chance are taken.
+    drawn = F.col("mix_rank").isNotNull() & F.coalesce(F.col("mix_cell") < F.col("mix_cut"), F.lit(True))
+    at_edge = F.coalesce(F.col("mix_cell") == F.col("mix_cut"), F.lit(False))
+    clear = joined.filter(~at_edge).select(*kept, (F.col("whole") + drawn.cast("int")).alias("copies"))
+    edge = joined.filter(at_edge)
+    if plan.edge_rows <= EDGE_ROWS:
+        order = Window.partitionBy("source").orderBy("mix_rank", "u", *tie_break).rowsBetween(Window.unboundedPreceding, -1)
+        edge = edge.withColumn("mix_upto", F.col("mix_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    else:
+        edge = numbered(edge, ["source"], "mix_number", "mix-equal").withColumn("mix_upto", F.col("mix_before") + F.col("mix_number") * F.col("size"))
+    taken = 2 * F.col("mix_upto") + F.col("size") <= 2 * F.col("mix_rest")
     return clear.union(edge.select(*kept, (F.col("whole") + taken.cast("int")).alias("copies")))
 
 
