@@ -14,10 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, unused
+from .common import cut, numbered, unused
 
 #: Rows a cell of a shard should hold at most when slots are numbered.
 CELL_ROWS = 2000
+#: A cell of more rows may hold one row many times over.
+CROWDED_ROWS = 32 * CELL_ROWS
 
 
 def _bid(key: Column, shard: int, weight: float) -> Column:
@@ -52,17 +54,32 @@ def number_slots(rows: DataFrame, shard_col: str, order: Sequence[str], hash_col
 
     A shard is never one task: its rows fall into cells by the high bits of the
     hash, cells are counted, and a row's slot is the rows of earlier cells and
-    its rank in its own. The number of cells follows the number of rows.
+    its rank in its own. The number of cells follows the number of rows. Rows
+    of one hash that are too many for a cell are equal rows; they come last in
+    their shard, numbered where they lie.
     """
     count, shards = rows.agg(F.count("*"), F.count_distinct(shard_col)).first()
     bits = min(20, max(6, math.ceil(math.log2(max(1, count) / max(1, shards) / CELL_ROWS + 1))))
-    cell, before = unused(rows, "cell"), unused(rows, "before")
+    cell, before, of = unused(rows, "cell"), unused(rows, "before"), unused(rows, "of_hash")
     placed = rows.withColumn(cell, F.shiftrightunsigned(F.col(hash_col), 64 - bits))
-    earlier = Window.partitionBy(shard_col).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy(shard_col, cell).agg(F.count("*").alias(before))
-    offsets = counts.withColumn(before, F.coalesce(F.sum(before).over(earlier), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy(shard_col, cell).orderBy(hash_col, *order))
-    return placed.join(offsets, [shard_col, cell]).withColumn("slot", (F.col(before) + rank - 1).cast("long")).drop(cell, before)
+
+    def in_cells(part: DataFrame) -> DataFrame:
+        earlier = Window.partitionBy(shard_col).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = part.groupBy(shard_col, cell).agg(F.count("*").alias(before)).withColumn(before, F.coalesce(F.sum(before).over(earlier), F.lit(0)))
+        rank = F.row_number().over(Window.partitionBy(shard_col, cell).orderBy(hash_col, *order))
+        return part.join(offsets, [shard_col, cell]).withColumn("slot", (F.col(before) + rank - 1).cast("long")).drop(cell, before)
+
+    crowded = placed.groupBy(shard_col, cell).agg(F.count("*").alias(before)).filter(F.col(before) > CROWDED_ROWS)
+    if crowded.isEmpty():
+        return in_cells(placed)
+    many = cut(placed.join(crowded.drop(before), [shard_col, cell], "left_semi").groupBy(shard_col, hash_col).agg(F.count("*").alias(before)).filter(F.col(before) > CROWDED_ROWS), "equal-rows")
+    rest = placed.join(many, [shard_col, hash_col], "left_anti")
+    earlier = Window.partitionBy(shard_col).orderBy(hash_col).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rest.groupBy(shard_col).agg(F.count("*").alias(cell))
+    bases = many.join(sizes, shard_col, "left").select(F.col(shard_col).alias(of + "_shard"), F.col(hash_col).alias(of), (F.coalesce(cell, F.lit(0)) + F.coalesce(F.sum(before).over(earlier), F.lit(0))).alias(before))
+    equal = numbered(placed.join(many, [shard_col, hash_col], "left_semi").select(*placed.columns), [shard_col, hash_col], "slot", "equal-slots")
+    put = equal.join(bases, (F.col(shard_col) == F.col(of + "_shard")) & (F.col(hash_col) == F.col(of))).withColumn("slot", F.col("slot") + F.col(before))
+    return in_cells(rest.select(*placed.columns)).unionByName(put.drop(cell, before, of, of + "_shard"))
 
 
 def shard_documents(docs: DataFrame, weights: Sequence[float], grown_weights: Sequence[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
