@@ -129,24 +129,33 @@ levels AS (
   FROM weighed WINDOW w AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 filled AS (SELECT *, most * open <= weight * avail AS is_full FROM levels),
 targets AS (SELECT source, source_size, CASE WHEN is_full THEN most ELSE weight * (max(CASE WHEN NOT is_full THEN avail / open END) OVER ()) END AS target FROM filled),
-plan AS (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END + 1e-9)::BIGINT AS whole FROM targets),
-rests AS (SELECT *, greatest(0, target - whole * source_size) AS rest FROM plan),
-ranked AS (
-  SELECT rows.*, source_size, target, whole, rest, coalesce(sum(size) OVER (PARTITION BY rows.source ORDER BY u, doc_id, size, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM rows JOIN rests ON rows.source IS NOT DISTINCT FROM rests.source)
-SELECT doc_id, size, source_size, target, ((whole + CASE WHEN source_size > 0 AND rest / source_size >= 1e-9 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM ranked
+classes AS (SELECT source, (length(bin(size)) - 1) // 4 AS k, sum(size)::BIGINT AS words FROM rows GROUP BY ALL),
+loads AS (SELECT c.source, k, words, source_size, target, pow(2.0::DOUBLE, k) AS weight, pow(2.0::DOUBLE, k) * words AS load FROM classes c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source),
+open_classes AS (
+  SELECT *, target - 2.0::DOUBLE * coalesce(sum(words) OVER e, 0) AS avail, sum(load) OVER (PARTITION BY source) - coalesce(sum(load) OVER e, 0) AS open
+  FROM loads WINDOW e AS (PARTITION BY source ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+full_classes AS (SELECT *, weight * avail >= 2.0::DOUBLE * open AS is_full FROM open_classes),
+copied AS (SELECT *, CASE WHEN is_full THEN 2.0::DOUBLE ELSE weight * (max(CASE WHEN NOT is_full THEN avail / open END) OVER (PARTITION BY source)) END AS copies FROM full_classes),
+due AS (SELECT *, floor(copies + 1e-9::DOUBLE)::BIGINT AS whole, copies - floor(copies + 1e-9::DOUBLE) AS part FROM copied),
+chances AS (SELECT *, CASE WHEN part < 1e-9::DOUBLE THEN 0.0::DOUBLE ELSE least(part, 1 - 1e-9::DOUBLE) END AS chance FROM due),
+rests AS (SELECT source, greatest(0, max(target) - sum(whole * words)::BIGINT) AS rest FROM chances GROUP BY source),
+odds AS (
+  SELECT r.*, source_size, target, whole, rest, CASE WHEN chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS q
+  FROM rows r JOIN chances c ON r.source IS NOT DISTINCT FROM c.source AND (length(bin(size)) - 1) // 4 = k JOIN rests t ON r.source IS NOT DISTINCT FROM t.source),
+ranked AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, u, doc_id, size, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM odds)
+SELECT doc_id, size, source_size, target, ((whole + CASE WHEN q IS NOT NULL AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM ranked
 """
 
 _OP9 = r"""
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -1, NULL, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, NULL, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 sized AS (
   SELECT *, length('<|im_start|>' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') || chr(10) || replace(replace(t, '\', '\\'), '<|', '<\|') || '<|im_end|>' || chr(10)) AS chars FROM turns)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role, t)) AS turns_sha256,
   coalesce(sum(length(t)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(chars)::BIGINT AS formatted_chars
-FROM sized GROUP BY conv_id
+FROM sized GROUP BY conv_id, alone
 """
 
 ORACLES = {"op5_url_filter": _OP5, "op6_quality_rules": _OP6, "op7_secret_scan": _OP7, "op8_mixing": _OP8, "op9_chat_format": _OP9}

@@ -3,12 +3,14 @@
 A turn's content is an ordered list of parts: text, image, audio or document. A
 visitor flattens them into one string, texts escaped, other parts as numbered
 placeholders; it records each attachment's reference and the tokens that a
-model will put in the placeholder's stead.
+model will put in the placeholder's stead. A part of another type is kept as an
+attachment of kind ``other``, a null part says nothing.
 
 Layout of a turn: ``<|im_start|>role\\n`` content ``<|im_end|>\\n``. In contents
 ``\\`` is written ``\\\\`` and ``<|`` is written ``<\\|``, in roles a line feed is
 also written ``\\n``; so control strings in the formatted text are the format's
-own, and reading back gives the very same roles and texts.
+own, and reading back gives the very same roles and texts. Text parts that meet
+are escaped as one text, so a control string cut over parts is escaped too.
 """
 
 from __future__ import annotations
@@ -70,20 +72,23 @@ class Flattener:
         self.size = 0
         self.turn = -1
         self.attachments: list[Attachment] = []
+        self.said: list[str] = []
 
     def write(self, text: str) -> None:
         self.out.append(text)
         self.size += len(text)
 
+    def flush(self) -> None:
+        """Write the texts said since the last placeholder, escaped as one."""
+        self.write(escape("".join(self.said)))
+        self.said.clear()
+
     def visit(self, part: Any) -> None:
-        kind = part["type"] or "text"
-        handler = getattr(self, f"visit_{kind}", None)
-        if handler is None:
-            raise ValueError(f"unknown part type: {kind}")
-        handler(part)
+        if part is not None:
+            getattr(self, f"visit_{part['type'] or 'text'}", self.visit_other)(part)
 
     def visit_text(self, part: Any) -> None:
-        self.write(escape(part["text"] or ""))
+        self.said.append(part["text"] or "")
 
     def visit_image(self, part: Any) -> None:
         patches = math.ceil((part["width"] or 0) / IMAGE_PATCH) * math.ceil((part["height"] or 0) / IMAGE_PATCH)
@@ -95,7 +100,11 @@ class Flattener:
     def visit_document(self, part: Any) -> None:
         self._attach("document", part, max(1, (part["pages"] or 1)) * DOCUMENT_TOKENS_A_PAGE)
 
+    def visit_other(self, part: Any) -> None:
+        self._attach("other", part, 1)
+
     def _attach(self, kind: str, part: Any, tokens: int) -> None:
+        self.flush()
         self.attachments.append(Attachment(kind, part["ref"] or "", self.turn, self.size, tokens))
         self.write(f"<|{kind}:{len(self.attachments) - 1}|>")
 
@@ -109,6 +118,7 @@ def format_conversation(turns: list[tuple[str | None, list[Any]]]) -> dict[str,
         first = visitor.size
         for part in parts:
             visitor.visit(part)
+        visitor.flush()
         if role == TRAINED_ROLE:
             loss.append((first, visitor.size))
         visitor.write(END + "\n")
@@ -116,7 +126,7 @@ def format_conversation(turns: list[tuple[str | None, list[Any]]]) -> dict[str,
 
 
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + r"\n", re.S)
-_HOLDER = re.compile(r"<\|(image|audio|document):\d+\|>")
+_HOLDER = re.compile(r"<\|(image|audio|document|other):\d+\|>")
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
@@ -162,8 +172,9 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 
     A conversation is one training sample and one row, so its turns meet in one
     task. Turns go by (turn, role, text), null turns first; repeated rows are
-    turns of their own; null roles and texts are empty; null conversation ids
-    are one conversation. An empty table gives no rows.
+    turns of their own; null roles and texts are empty. A row without a
+    conversation id is a conversation of its own, of null id. An empty table
+    gives no rows.
     """
     return gather_turns(rows, conv_col, turn_col, role_col, parts).select("conv_id", _format_column("turns").alias("f")).select("conv_id", "f.*")
 
@@ -171,8 +182,12 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 def gather_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts: Column | None = None) -> DataFrame:
     """conv_id, turns: the turns of each conversation in order."""
     parts = text_part(F.col("text")) if parts is None else parts
-    turns = rows.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), parts.cast(f"array<{PART}>").alias("parts")).alias("t"))
-    return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    turns = rows.select(
+        F.col(conv_col).alias("conv_id"),
+        F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id()).alias("alone"),
+        F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), parts.cast(f"array<{PART}>").alias("parts")).alias("t"),
+    )
+    return turns.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns")).drop("alone")
 
 
 @pandas_udf(DIGESTS)
