@@ -1,4 +1,5 @@
 import random
+import time
 
 from data import crowded, documents, empty, prose
 
@@ -78,9 +79,40 @@ def test_query_and_filter(spark):
 
 
 def test_blocks_see_every_item(spark):
-    bench = spark.createDataFrame([(i, prose(i, 20)) for i in range(30)], "item_id long, text string")
-    blocks = d.benchmark_blocks(bench, block_chars=500)
-    assert len(blocks) > 3 and sorted(i for b in blocks for i, _ in b) == list(range(30))
+    bench = spark.createDataFrame([(f"set-{i}", prose(i, 20)) for i in range(30)], "item_id string, text string")
+    blocks = list(d.benchmark_blocks(bench, block_chars=500))
+    assert len(blocks) > 3 and sorted(i for _, b in blocks for i, _ in b) == sorted(f"set-{i}" for i in range(30))
+    docs = spark.createDataFrame([(i, f"{prose(i, 20)} {prose(i + 1, 20)}") for i in range(0, 40, 2)], "doc_id long, text string")
+    one, many = ([tuple(r) for r in d.contaminations(docs, bench, block_chars=n).orderBy("doc_id", "item_id").collect()] for n in (10**6, 500))
+    assert one == many and [r[1] for r in one[:2]] == ["set-0", "set-1"] and len(one) == 30
+    assert d.drop_contaminated(docs, bench, block_chars=500).count() == d.drop_contaminated(docs, bench).count() == 5
+
+
+def test_texts_that_repeat_themselves_stay_fast():
+    rng = random.Random(4)
+    two = ["a", "b"]
+    cases = [("a b " * 10_000, "a b " * 500), (" ".join(rng.choices(two, k=20_000)), " ".join(rng.choices(two, k=1000))), ("a " * 20_000, "a " * 20_000)]
+    for text, item in cases:
+        began = time.perf_counter()
+        found = d.Benchmark([(1, item)]).search(text)
+        assert time.perf_counter() - began < 4
+        assert found and found[0]["coverage"] > 0.9
+
+
+def test_one_seed_of_many_items_is_no_work(spark):
+    """Items that share a phrase with a text but can't be covered are never tiled."""
+    bench = d.Benchmark([(i, f"what is the capital of {prose(i, 30)}") for i in range(2000)])
+    began = time.perf_counter()
+    assert not bench.search("what is the capital of " * 200) and time.perf_counter() - began < 1
+
+
+def test_rolling_hashes():
+    import numpy as np
+
+    ids = np.array([3, 1, 4, 1, 5, 9, 2, 6, 3, 1, 4, 1, 5], np.uint64)
+    for width in (1, 3, 5):
+        plain = [sum(int(t) * pow(d.BASE, k, 1 << 64) for k, t in enumerate(ids[i : i + width])) % (1 << 64) for i in range(len(ids) - width + 1)]
+        assert d.Rolling(ids).windows(width).tolist() == plain
 
 
 def test_items_without_an_id_count(spark):
