@@ -1,20 +1,29 @@
 """Main text of web pages by minimum-cut labelling of blocks.
 
-A page becomes blocks of text between block-level tags, each with the elements
-around it. A linear classifier turns a block's surroundings and text into
-log-odds of being content; these are the terminal capacities. Neighbouring
-blocks, and blocks of one parent, are joined by smoothness edges. The minimum
-cut between the terminals, found by max-flow, labels each block.
+A page becomes blocks of text between block-level tags, in the tree of their
+elements. A logistic classifier reads a block's own text and tag (length, marks,
+links, heading, list item) and its log-odds of being content are the block's
+terminal capacity. It learns from a bounded sample of pages of the very corpus,
+with the blocks under clear elements (article and main against nav, footer,
+aside and the like) as labelled rows, around a fixed prior.
+
+Smoothness edges join what lies together: neighbouring blocks, the more the
+nearer they are in the tree, blocks of one parent, and each block with the
+nearest element around it that is clear, which is a seed of its label. Seeds
+outweigh the classifier; where there are none, text and neighbours decide. The
+minimum cut between the terminals, found by max-flow, labels each block.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Sequence
 from html import unescape
-from typing import NamedTuple
+from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,52 +51,87 @@ BOILERPLATE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "adverti
 HEADER_NAMES = {"header", "masthead", "topbar", "branding"}
 CONTENT_NAMES = {"article", "content", "post", "entry", "main", "story", "body", "text"}
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-#: Log-odds in hundredths.
-PRIOR, IN_CONTENT, IN_BOILERPLATE, IN_NAMED_CONTENT, HEADING, LINKS, LONG, SENTENCE = 60, 400, -900, 200, 60, -500, 100, 60
-NEIGHBOUR, SAME_PARENT = 40, 60
+#: Pages and blocks a page that the classifier learns from at most, and blocks of either label that it needs.
+SAMPLE_PAGES, SAMPLE_BLOCKS, LEAST_BLOCKS = 1000, 64, 30
+#: Capacities, in hundredths of log-odds: the classifier's at most, of an edge to a seed by how clear it is, of neighbours and of siblings.
+MOST_TEXT, CLEAR_SEED, NAMED_SEED, CONTENT_NAME, NEIGHBOUR, SIBLING = 300, 600, 450, 150, 100, 30
+#: What the classifier is before it has seen a page, and how firmly (rows that each weight counts for).
+PRIOR = np.array([-1.0, 0.6, 0.6, -4.0, 0.6, -0.3])
+PRIOR_ROWS = 8.0
 
 
-class Element(NamedTuple):
-    tag: str
-    number: int
-    boilerplate: bool
-    sticky: bool
-    content: bool
-    named: bool
+class Element:
+    """An open element. ``seed`` is the nearest clear element at or around it: (strength, is content), or None."""
 
+    __slots__ = ("tag", "parent", "depth", "in_content", "sticky", "seed")
 
-class Block(NamedTuple):
-    text: str
-    elements: tuple[Element, ...]
-    link_chars: int
+    def __init__(self, tag: str, attributes: str, parent: Element | None):
+        found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
+        names = {p.lower() for p in NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")} if tag not in ("html", "body") else set()
+        role = found.get("role", "").lower()
+        self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 1
+        in_content, in_sticky, seed = (parent.in_content, parent.sticky, parent.seed) if parent else (False, False, None)
+        hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(found.get("style", "")))
+        # What is sticky holds for articles inside it too: a reader's comment is no article.
+        self.sticky = in_sticky or tag in BOILERPLATE_TAGS or bool(names & COMMENT_NAMES) or hidden or role in ROLES
+        content = (tag in CONTENT_TAGS or role in ("main", "article")) and not self.sticky
+        header = not in_content and (tag == "header" or bool(names & HEADER_NAMES))
+        if self.sticky and not in_sticky:
+            seed = (CLEAR_SEED, False)
+        elif content:
+            seed = (CLEAR_SEED, True)
+        elif not self.sticky and (header or names & BOILERPLATE_NAMES):
+            seed = (NAMED_SEED, False)
+        elif seed is None and names & CONTENT_NAMES:
+            seed = (CONTENT_NAME, True)
+        self.in_content, self.seed = in_content or content, seed
 
 
-def _element(tag: str, attributes: str, number: int, inside: Sequence[Element]) -> Element:
-    found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
-    names = {p.lower() for p in NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")} if tag not in ("html", "body") else set()
-    role = found.get("role", "").lower()
-    content = tag in CONTENT_TAGS or role in ("main", "article")
-    in_content = any(e.content for e in inside)
-    comments = bool(names & COMMENT_NAMES)
-    hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
-    sticky = tag in BOILERPLATE_TAGS or comments or hidden or role in ROLES
-    header = not in_content and (tag == "header" or bool(names & HEADER_NAMES))
-    return Element(tag, number, sticky or header or bool(names & BOILERPLATE_NAMES), sticky, content, bool(names & CONTENT_NAMES))
+class Block:
+    """A text, the innermost element around it and how many of its characters are in links."""
+
+    __slots__ = ("text", "element", "link_chars")
+
+    def __init__(self, text: str, element: Element | None, link_chars: int):
+        self.text, self.element, self.link_chars = text, element, link_chars
+
+
+class Stack:
+    """The open elements; finding the innermost of some tags takes no walk through the others."""
+
+    def __init__(self):
+        self.open: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+
+    def top(self) -> Element | None:
+        return self.open[-1] if self.open else None
+
+    def push(self, tag: str, attributes: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(Element(tag, attributes, self.top()))
+
+    def innermost(self, tags: set[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def close_from(self, place: int) -> None:
+        while len(self.open) > place:
+            self.places[self.open.pop().tag].pop()
 
 
 def blocks(html: str | None) -> list[Block]:
     """Non-empty text blocks in page order; white space is single, references are decoded."""
     html, out = html or "", []
-    stack: list[Element] = []
+    stack = Stack()
     parts: list[tuple[str, bool]] = []
-    links, at, number, skip = 0, 0, 0, []
+    links, at, skip = 0, 0, []
 
     def flush() -> None:
         text = " ".join(unescape("".join(t for t, _ in parts)).split())
         if text:
             inner = sum(len(" ".join(unescape(t).split())) for t, link in parts if link)
-            out.append(Block(text, tuple(stack), inner))
+            out.append(Block(text, stack.top(), inner))
         parts.clear()
 
     while at < len(html):
@@ -134,45 +178,61 @@ def blocks(html: str | None) -> list[Block]:
             continue
         links = 0
         if closing:
-            if any(e.tag == tag for e in stack):
-                while stack.pop().tag != tag:
-                    pass
+            place = stack.innermost({tag})
+            if place >= 0:
+                stack.close_from(place)
             continue
-        if tag in CLOSES_P and stack and stack[-1].tag == "p":
-            stack.pop()
+        if tag in CLOSES_P and stack.open and stack.open[-1].tag == "p":
+            stack.close_from(len(stack.open) - 1)
         if tag in ENDS:
-            deep = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in ENDS[tag] or stack[i].tag in SCOPES), None)
-            if deep is not None and stack[deep].tag in ENDS[tag]:
-                del stack[deep:]
-        number += 1
-        stack.append(_element(tag, m[3] or "", number, stack))
+            place = stack.innermost(ENDS[tag])
+            if place > stack.innermost(SCOPES - ENDS[tag]):
+                stack.close_from(place)
+        stack.push(tag, m[3] or "")
     flush()
     return out
 
 
-def cost(block: Block) -> int:
-    """Log-odds of content, in hundredths."""
-    inner = max((i for i, e in enumerate(block.elements) if e.content), default=None)
-    odds = PRIOR
-    if inner is not None:
-        odds += IN_CONTENT
-    # Wrappers outside the innermost article don't speak against it, boilerplate elements do.
-    if any(e.sticky or (e.boilerplate and (inner is None or i >= inner)) for i, e in enumerate(block.elements)):
-        odds += IN_BOILERPLATE
-    if inner is None and any(e.named for e in block.elements):
-        odds += IN_NAMED_CONTENT
-    if block.elements and re.fullmatch(r"h[1-6]", block.elements[-1].tag):
-        odds += HEADING
-    odds += int(LINKS * min(1.0, block.link_chars / len(block.text)) ** 2) if inner is None else 0
-    if len(block.text) > 120:
-        odds += LONG
-    if block.text[-1] in ".!?…\"'”)":
-        odds += SENTENCE
-    return odds
+HEADING = re.compile(r"h[1-6]")
+
+
+def features(block: Block) -> list[float]:
+    """What the classifier reads: the block's own text and tag, nothing around it."""
+    text, tag = block.text, block.element.tag if block.element else ""
+    return [1.0, math.log10(len(text)), float(text[-1] in ".!?…\"'”)"), min(1.0, block.link_chars / len(text)), float(HEADING.fullmatch(tag) is not None), float(tag in ("li", "dt", "dd", "td", "th"))]
+
+
+def fit_classifier(rows: Sequence[tuple[Sequence[float], bool]], steps: int = 25) -> np.ndarray:
+    """Weights of a logistic regression around ``PRIOR``, by Newton's method; the prior itself for too few rows."""
+    labels = Counter(bool(y) for _, y in rows)
+    if min(labels[True], labels[False]) < LEAST_BLOCKS:
+        return PRIOR
+    x, y = np.array([r for r, _ in rows]), np.array([float(v) for _, v in rows])
+    # Both labels weigh alike, so that pages of many small links don't turn everything into boilerplate.
+    share = np.where(y > 0, len(y) / (2 * labels[True]), len(y) / (2 * labels[False]))
+    w = PRIOR.copy()
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (share * (y - p)) - PRIOR_ROWS * (w - PRIOR)
+        curve = (x * (share * p * (1 - p))[:, None]).T @ x + PRIOR_ROWS * np.eye(len(w))
+        w = w + np.linalg.solve(curve, slope)
+    return np.round(w, 6)
+
+
+def clear_blocks(html: str | None) -> list[tuple[list[float], bool]]:
+    """Features and label of the blocks under a clear element, spread evenly over the page if they are many."""
+    clear = [b for b in blocks(html) if b.element and b.element.seed and b.element.seed[0] == CLEAR_SEED]
+    step = max(1, -(-len(clear) // SAMPLE_BLOCKS))
+    return [(features(b), b.element.seed[1]) for b in clear[::step]]
+
+
+def text_costs(found: Sequence[Block], weights: np.ndarray) -> list[int]:
+    """The classifier's log-odds of content of each block, in hundredths, within its limit."""
+    return [int(max(-MOST_TEXT, min(MOST_TEXT, round(100 * float(np.dot(features(b), weights)))))) for b in found]
 
 
 def minimum_cut(odds: Sequence[int], edges: Sequence[tuple[int, int, int]]) -> list[bool]:
-    """True for the nodes on the source side of a minimum cut; shortest augmenting paths.
+    """True for the nodes on the source side of a minimum cut; blocking flows over shortest paths.
 
     odds: positive ones are capacities from the source, negative ones to the sink.
     edges: (node, node, capacity both ways).
@@ -197,77 +257,143 @@ def minimum_cut(odds: Sequence[int], edges: Sequence[tuple[int, int, int]]) -> l
     for a, b, c in edges:
         add(a, b, c, c)
     while True:
-        via, queue = {source: -1}, deque([source])
-        while queue and sink not in via:
+        level, queue = {source: 0}, deque([source])
+        while queue:
             u = queue.popleft()
             for e in of[u]:
-                if room[e] > 0 and to[e] not in via:
-                    via[to[e]] = e
+                if room[e] > 0 and to[e] not in level:
+                    level[to[e]] = level[u] + 1
                     queue.append(to[e])
-        if sink not in via:
-            return [i in via for i in range(n)]
-        path, v = [], sink
-        while v != source:
-            path.append(via[v])
-            v = to[via[v] ^ 1]
-        flow = min(room[e] for e in path)
-        for e in path:
-            room[e] -= flow
-            room[e ^ 1] += flow
+        if sink not in level:
+            return [i in level for i in range(n)]
+        ahead, path, u = [0] * (n + 2), [], source
+        while True:
+            if u == sink:
+                flow = min(room[e] for e in path)
+                for k, e in enumerate(path):
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                full = next(k for k, e in enumerate(path) if not room[e])
+                u = to[path[full] ^ 1]
+                del path[full:]
+                continue
+            while ahead[u] < len(of[u]):
+                e = of[u][ahead[u]]
+                if room[e] > 0 and level.get(to[e]) == level[u] + 1:
+                    break
+                ahead[u] += 1
+            if ahead[u] < len(of[u]):
+                path.append(of[u][ahead[u]])
+                u = to[path[-1]]
+            elif path:
+                u = to[path.pop() ^ 1]
+                ahead[u] += 1
+            else:
+                break
+
+
+def _distance(a: Element | None, b: Element | None) -> int:
+    """Steps from one element to the other in the tree."""
+    steps = 0
+    while a is not b:
+        if (a.depth if a else 0) >= (b.depth if b else 0):
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
 
 
 def smoothness(found: Sequence[Block]) -> list[tuple[int, int, int]]:
-    """Edges of neighbours, and of each block with the next one of its parent element."""
+    """Edges of neighbours by their nearness in the tree, and of each block with the last one of its parent."""
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
-            edges.append((i - 1, i, NEIGHBOUR))
-        parent = b.elements[-2].number if len(b.elements) > 1 else 0
-        if parent in last:
-            edges.append((last[parent], i, SAME_PARENT))
+            edges.append((i - 1, i, round(2 * NEIGHBOUR / (2 + _distance(found[i - 1].element, b.element)))))
+        parent = id(b.element.parent) if b.element else 0
+        if last.get(parent, i - 1) < i - 1:
+            edges.append((last[parent], i, SIBLING))
         last[parent] = i
     return edges
 
 
-def main_text(html: str | None) -> str:
-    found = blocks(html)
-    if not found:
-        return ""
-    odds, edges = [cost(b) for b in found], smoothness(found)
-    # A node whose terminal outweighs all its edges is cut the same way whatever the rest does.
-    around = [0] * len(found)
+def seed_edges(found: Sequence[Block]) -> list[int]:
+    """Capacity of the edge from each block to its seed, positive for content; a seed stands on its label's terminal."""
+    seeds = [b.element.seed if b.element else None for b in found]
+    return [0 if s is None else s[0] if s[1] else -s[0] for s in seeds]
+
+
+def label_blocks(odds: Sequence[int], edges: Sequence[tuple[int, int, int]]) -> list[bool]:
+    """Labels of a minimum cut.
+
+    A node whose terminal outweighs all its edges is cut the same way whatever
+    the rest does, so flow is only sought among the others.
+    """
+    around = [0] * len(odds)
     for a, b, c in edges:
         around[a] += c
         around[b] += c
     fixed = [abs(o) > s for o, s in zip(odds, around)]
-    free = [i for i, f in enumerate(fixed) if not f]
     label = [o > 0 for o in odds]
-    if free:
-        place = {i: k for k, i in enumerate(free)}
-        rest, inner = [odds[i] for i in free], []
-        for a, b, c in edges:
-            if not fixed[a] and not fixed[b]:
-                inner.append((place[a], place[b], c))
-            elif not fixed[a]:
-                rest[place[a]] += c if label[b] else -c
-            elif not fixed[b]:
-                rest[place[b]] += c if label[a] else -c
-        for i, side in zip(free, minimum_cut(rest, inner)):
-            label[i] = side
-    return " ".join(b.text for b, keep in zip(found, label) if keep)
-
-
-@pandas_udf(T.StringType())
-def main_text_column(html: pd.Series) -> pd.Series:
-    return pd.Series([main_text(h) for h in html], dtype=object)
-
-
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    free = [i for i, f in enumerate(fixed) if not f]
+    place = {i: k for k, i in enumerate(free)}
+    rest, inner = [odds[i] for i in free], []
+    for a, b, c in edges:
+        if not fixed[a] and not fixed[b]:
+            inner.append((place[a], place[b], c))
+        elif not fixed[a]:
+            rest[place[a]] += c if label[b] else -c
+        elif not fixed[b]:
+            rest[place[b]] += c if label[a] else -c
+    for i, side in zip(free, minimum_cut(rest, inner)):
+        label[i] = side
+    return label
+
+
+def main_text(html: str | None, weights: np.ndarray = PRIOR) -> str:
+    found = blocks(html)
+    odds = [t + s for t, s in zip(text_costs(found, weights), seed_edges(found))]
+    return " ".join(b.text for b, keep in zip(found, label_blocks(odds, smoothness(found))) if keep)
+
+
+def cut_flips(html: str | None, weights: np.ndarray = PRIOR) -> tuple[int, int, int]:
+    """Blocks of a page, those that the cut labels against the classifier, and of these those that no seed turned."""
+    found = blocks(html)
+    texts, seeds = text_costs(found, weights), seed_edges(found)
+    label = label_blocks([t + s for t, s in zip(texts, seeds)], smoothness(found))
+    return len(found), sum((t > 0) != x for t, x in zip(texts, label)), sum((t + s > 0) != x for t, s, x in zip(texts, seeds, label))
+
+
+def learn_weights(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> np.ndarray:
+    """The classifier of a corpus: at most ``sample_pages`` pages by hash, ``SAMPLE_BLOCKS`` rows of six numbers each."""
+
+    @pandas_udf("array<struct<x:array<double>,y:boolean>>")
+    def rows(html: pd.Series) -> pd.Series:
+        return pd.Series([[{"x": x, "y": y} for x, y in clear_blocks(h)] for h in html])
+
+    keyed = pages.filter(F.col(html_col).isNotNull()).select(F.col(html_col).alias("h"), F.xxhash64(html_col).alias("k"))
+    # Equal pages count once; only hashes are sorted, and one of them comes to the driver.
+    last = keyed.select("k").distinct().orderBy("k").limit(sample_pages).agg(F.max("k")).first()[0]
+    got = keyed.filter(F.col("k") <= F.lit(last).cast("long")).select("k", rows("h").alias("r")).dropDuplicates(["k"]).collect()
+    return fit_classifier([(list(x.x), x.y) for row in sorted(got, key=lambda r: r.k) for x in row.r])
+
+
+def main_text_column(html: Any, weights: np.ndarray = PRIOR):
+    @pandas_udf(T.StringType())
+    def extracted(html: pd.Series) -> pd.Series:
+        return pd.Series([main_text(h, weights) for h in html], dtype=object)
+
+    return extracted(html)
+
+
+def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: np.ndarray | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row.
 
     Null and empty pages, and pages of boilerplate alone, have an empty text.
     Broken markup is read as far as it goes. Repeated rows come back each. An
-    empty table gives no rows.
+    empty table gives no rows. Without ``weights`` the classifier is learned
+    from a sample of ``pages``.
     """
-    text = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), main_text_column(F.col(html_col)).alias("text"))
+    weights = learn_weights(pages, html_col) if weights is None else weights
+    text = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), main_text_column(F.col(html_col), weights).alias("text"))
     return text.withColumn("n_chars", F.length("text").cast("long"))

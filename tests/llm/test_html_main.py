@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -51,6 +52,56 @@ def test_long_page():
     assert len(h.main_text(page)) == 20_000 * 11 - 1
 
 
+def blank_edges(page, weights=h.PRIOR):
+    found = h.blocks(page)
+    return " ".join(b.text for b, c in zip(found, h.text_costs(found, weights)) if c > 0)
+
+
+def test_edges_decide():
+    """Without edges the classifier alone takes adverts and comments for content and drops short lines of the article."""
+    article = "Head & line First para graph with a link inside. Second. Line Item Last <tag> 😀"
+    assert h.main_text(PAGE) == article != blank_edges(PAGE)
+    total, flipped, by_neighbours = h.cut_flips(PAGE)
+    assert total > 10 and flipped >= 5
+
+
+def test_neighbours_decide_where_nothing_is_clear():
+    prose = "<p>A paragraph of some length that reads like prose, more or less, to anybody at all.</p>"
+    page = f"<body><div>{prose * 3}<p>No</p>{prose * 3}</div><div><a href=a>One</a></div><div><a href=b>Two</a></div></body>"
+    assert " No " in h.main_text(page) and " No " not in blank_edges(page) and "One" not in h.main_text(page)
+    assert h.cut_flips(page)[2] > 0
+
+
+def test_labels_against_all_labellings():
+    """Dropping the nodes that are cut anyway leaves a least cut of the whole page."""
+    rng = random.Random(5)
+    for _ in range(80):
+        n = rng.randint(1, 9)
+        odds = [rng.choice([-600, 600, 0, *range(-90, 90, 7)]) for _ in range(n)]
+        edges = [(i, i + 1, rng.randint(0, 60)) for i in range(n - 1)] + [(rng.randrange(n), rng.randrange(n), 30) for _ in range(n)]
+        edges = [e for e in edges if e[0] != e[1]]
+        assert value(odds, edges, h.label_blocks(odds, edges)) == min(value(odds, edges, x) for x in itertools.product([False, True], repeat=n))
+
+
+def test_classifier_learns_from_clear_blocks(spark):
+    """Here content is short and boilerplate long: the corpus turns the prior round, for pages without clear elements too."""
+    content, other = "<p>ok</p>", "<p>" + "very long words without any sense in them " * 9 + "</p>"
+    clear = f"<article>{content * 3}</article><footer>{other}</footer><aside>{other}</aside>"
+    pages = spark.createDataFrame([(i, "u", clear + f"<!-- {i} -->") for i in range(40)] * 2, "page_id long, url string, html string")
+    weights = h.learn_weights(pages)
+    bare = f"<div>{content}</div><div><div><div>{other}</div></div></div>"
+    assert h.main_text(bare, weights) == "ok" and "ok" not in h.main_text(bare)
+    assert (h.learn_weights(pages.limit(3)) == h.PRIOR).all() and (h.learn_weights(pages.limit(0)) == h.PRIOR).all()
+
+
+def test_deep_and_wide_pages_stay_fast():
+    deep = "<div>" * 50_000 + "<p>some text here.</p>" + "</div>" * 50_000
+    for page in (deep, "<div><li>x" * 20_000, "<ul><li>" * 20_000 + "text", "<div><span>a</span>" * 20_000, "<p>Some words, of some length here</p><li>a</li>" * 10_000):
+        began = time.perf_counter()
+        h.main_text(page)
+        assert time.perf_counter() - began < 5
+
+
 def test_query(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "x", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = h.extract_pages(pages).collect()
