@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import builder_tokens, overlap_score
+from . import search
+from .retrieval import top_by
 
 
 def first_by_content(rows: DataFrame, key: Column, order: Sequence[Column]) -> DataFrame:
@@ -31,15 +34,17 @@ def quota(rows: DataFrame, per_task: int, task_order: Sequence[str], seed: int)
 def hard_negatives(corpus: DataFrame, queries: DataFrame, positives: DataFrame, n: int) -> DataFrame:
     """qid, doc_id, score, rank: documents that share most tokens with a query and aren't its positives.
 
-    Tokens that no query has are dropped before the shuffle.
+    Every task keeps its best rows a query, as many more as a query has positives.
     """
-    asked = queries.select("qid", builder_tokens(F.col("text")).alias("asked"))
-    docs = corpus.select("doc_id", builder_tokens(F.col("text")).alias("own"))
-    terms = asked.select("qid", F.explode("asked").alias("term"))
-    held = docs.select("doc_id", F.size("own").alias("n_own"), F.explode("own").alias("term"))
-    shared = held.join(terms, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("both"), F.first("n_own").alias("n_own"))
-    scored = shared.join(positives.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti").select("qid", "doc_id", F.round(F.col("both") / F.sqrt(F.greatest(F.lit(1), F.col("n_own"))), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))).filter(F.col("rank") <= n)
+    own = positives.select("qid", "doc_id").distinct()
+    most = own.groupBy("qid").count().agg(F.max("count")).first()[0] or 0
+    asked = queries.select("qid", builder_tokens(F.col("text")).alias("terms"))
+    kind = queries.schema["qid"].dataType
+    tokens = corpus.select("doc_id", builder_tokens(F.col("text")).alias("own"))
+    parts = [search.overlap_best(tokens, terms, kind, n + most, "doc_id") for terms in search.term_blocks(asked)]
+    if not parts:
+        return corpus.select(F.lit(None).cast(kind).alias("qid"), "doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    return top_by(reduce(DataFrame.unionByName, parts).join(own, ["qid", "doc_id"], "left_anti"), n, F.desc("score"), F.asc("doc_id"))
 
 
 def demo_cases(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, n: int) -> DataFrame:

@@ -11,20 +11,18 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import query_terms, tokenize
-from ..functions.vectors import dot, doubles, norm, unit_score
+from ..functions.vectors import doubles, unit_score
+from . import search
 
 #: Parameters of BM25 and of rank fusion, and the place of a chunk without one (fixed values).
 K1, B = 1.2, 0.75
 RRF_K = 60
 DEFAULT_ORDER = 1_000_000
-#: Queries whose vectors go to the workers at a time.
-QUERY_BLOCK = 4096
 
 
 def compile_filters(filters: dict[str, Any] | None, mandatory: dict[str, Any] | None = None, arrays: Sequence[str] = ()) -> Column:
@@ -55,94 +53,50 @@ def top_by(df: DataFrame, k: int, *order: Column, rank: str = "rank") -> DataFra
 def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
     """qid, id, score and rank of exact cosine search, score (1 + cos) / 2.
 
-    Queries come in ``qid`` and ``qvec``, and go to the workers in blocks of at
-    most about ``QUERY_BLOCK``. Filters apply before the search.
+    Queries come in ``qid`` and ``qvec``; one block of them is on the driver at a
+    time. Filters apply before the search. Vectors that are null, of another
+    length or not finite are left out; one of zeros scores 0.5.
     """
     base = corpus if where is None else corpus.filter(where)
-    # The norm of a vector is found once, not once a query.
-    own = base.select(F.col(id_col), doubles(F.col(vector)).alias("v")).withColumn("n", norm(F.col("v")))
-    asked = queries.select("qid", doubles(F.col("qvec")).alias("q")).withColumn("qn", norm(F.col("q")))
-    cosine = dot(F.col("v"), F.col("q")) / (F.col("n") * F.col("qn"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = []
-    for b in range(blocks):
-        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        scored = own.crossJoin(F.broadcast(part)).select("qid", id_col, F.round(unit_score(cosine), 6).alias("score"))
-        found.append(top_by(scored, k, F.desc("score"), F.asc(id_col)))
-    return reduce(DataFrame.unionByName, found)
-
-
-def vector_topk_blocks(corpus: DataFrame, queries: list[tuple[Any, list[float]]], k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Exact batch search by matrix products: each task keeps its own best k a query, then the best of those.
-
-    ``queries`` is a list on the driver, taken in blocks of ``QUERY_BLOCK``.
-    """
-    found = [_block_search(corpus, queries[at : at + QUERY_BLOCK], k, id_col, vector) for at in range(0, len(queries), QUERY_BLOCK)]
-    return top_by(reduce(DataFrame.unionByName, found), k, F.desc("score"), F.asc(id_col))
-
-
-def _block_search(corpus: DataFrame, block: list[tuple[Any, list[float]]], k: int, id_col: str, vector: str) -> DataFrame:
-    ids = [q for q, _ in block]
-    matrix = np.asarray([v for _, v in block], dtype=np.float64)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-
-    def best(batches):
-        keep = pd.DataFrame({"qid": [], id_col: [], "score": []})
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            v = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            scores = np.round(np.clip((1 + v @ matrix.T) / 2, 0, 1), 6)
-            some = min(k, len(pdf))
-            # Ties at the edge are all kept until ids decide.
-            edge = np.partition(scores, len(pdf) - some, axis=0)[len(pdf) - some]
-            row, col = np.nonzero(scores >= edge)
-            here = pd.DataFrame({"qid": [ids[c] for c in col], id_col: pdf[id_col].to_numpy()[row], "score": scores[row, col]})
-            keep = pd.concat([keep, here]) if len(keep) else here
-            keep = keep.sort_values(["qid", "score", id_col], ascending=[True, False, True]).groupby("qid").head(k)
-        yield keep.astype({id_col: "int64", "qid": "int64"})
-
-    return corpus.select(id_col, vector).mapInPandas(best, f"qid long, {id_col} long, score double")
-
-
-def bm25_scores(corpus: DataFrame, queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """qid, id and raw BM25 of one field for all matching documents.
-
-    ``queries`` has qid and terms. Only tokens that some query asks for leave
-    the scan; the length of a document is counted in place.
-    """
-    own = corpus.select(F.col(id_col), tokenize(F.col(text_col)).alias("tokens"))
-    lengths = own.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
-    asked = queries.select("qid", F.explode("terms").alias("term"))
-    wanted = asked.select("term").distinct()
-    tf = own.select(id_col, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy(id_col, "term").agg(F.first("dl").alias("dl"), F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    # What a term gives a document is the same for all queries, so it is found before they multiply the rows.
-    weighed = df.crossJoin(F.broadcast(lengths)).select("term", "avgdl", idf.alias("idf"))
-    given = tf.join(weighed, "term").select("term", id_col, (F.col("idf") * part).alias("part"))
-    return given.join(asked, "term").groupBy("qid", id_col).agg(F.sum("part").alias("raw"))
+    kind = queries.schema["qid"].dataType
+    parts = [search.nearest(base, [(r.qid, r.qvec) for r in block], kind, k, id_col, vector) for block in search.in_blocks(queries.select("qid", "qvec"))]
+    return top_by(reduce(DataFrame.unionByName, parts), k, F.desc("score"), F.asc(id_col))
+
+
+def vector_topk_blocks(corpus: DataFrame, queries: list[tuple[Any, list[float]]], k: int, id_col: str = "vec_id", vector: str = "embedding", qid_type: T.DataType = T.LongType()) -> DataFrame:
+    """``vector_topk`` for queries that the caller holds."""
+    blocks = [queries[at : at + search.QUERY_BLOCK] for at in range(0, len(queries), search.QUERY_BLOCK)] or [[]]
+    return top_by(reduce(DataFrame.unionByName, (search.nearest(corpus, b, qid_type, k, id_col, vector) for b in blocks)), k, F.desc("score"), F.asc(id_col))
+
+
+def field_tokens(corpus: DataFrame, fields: Sequence[str]) -> list[Column]:
+    """Tokens of each field; a list of texts is read as one text."""
+    said = lambda f: F.array_join(F.col(f), " ") if isinstance(corpus.schema[f].dataType, T.ArrayType) else F.col(f)
+    return [tokenize(said(f)).alias(f) for f in fields]
 
 
 def keyword_topk(corpus: DataFrame, queries: DataFrame, k: int, fields: dict[str, float], id_col: str = "doc_id") -> DataFrame:
-    """qid, id, raw, score and rank: the best boosted field, over the query's greatest.
+    """qid, id, raw, score and rank: BM25 of the best boosted field, over the query's greatest.
 
-    ``queries`` has qid and text.
+    ``queries`` has qid and text. The corpus is read twice, to count the asked
+    terms and to score; nothing but each task's best rows is shuffled.
     """
     asked = queries.select("qid", query_terms(F.col("text")).alias("terms"))
-    by_field = [bm25_scores(corpus, asked, id_col, f).select("qid", id_col, (F.col("raw") * boost).alias("raw")) for f, boost in fields.items()]
-    best = reduce(DataFrame.unionByName, by_field).groupBy("qid", id_col).agg(F.round(F.max("raw"), 6).alias("raw")) if len(by_field) > 1 else by_field[0].withColumn("raw", F.round("raw", 6))
-    top = top_by(best, k, F.desc("raw"), F.asc(id_col))
+    kind = queries.schema["qid"].dataType
+    tokens = corpus.select(id_col, *field_tokens(corpus, list(fields)))
+    parts = [search.keyword_best(tokens, terms, kind, k, id_col, fields, K1, B) for terms in search.term_blocks(asked)]
+    none = [corpus.sparkSession.createDataFrame([], T.StructType([T.StructField("qid", kind), corpus.schema[id_col], T.StructField("score", T.DoubleType())]))]
+    top = top_by(reduce(DataFrame.unionByName, parts or none).withColumnRenamed("score", "raw"), k, F.desc("raw"), F.asc(id_col))
     greatest = F.max("raw").over(Window.partitionBy("qid"))
     return top.withColumn("score", F.round(F.when(greatest > 0, F.col("raw") / greatest).otherwise(F.lit(0.0)), 6))
 
 
-def rrf_fuse(vector: DataFrame, keyword: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
+def rrf_fuse(vector: DataFrame, keyword: DataFrame, k: int, id_col: str = "doc_id", places: DataFrame | None = None) -> DataFrame:
     """Equal-weight reciprocal rank fusion, rescaled so that first in both gives 1.
 
-    Both inputs have qid, id, score and rank.
+    Both inputs have qid, id, score and rank. Equal scores go by chunk order,
+    then document id, both from ``places`` (id, chunk_order, doc_id) if it is
+    given, then by id; ids are compared as texts there.
     """
     v = vector.select("qid", id_col, F.col("score").alias("vector_score"), F.col("rank").alias("vector_rank"))
     w = keyword.select("qid", id_col, F.col("score").alias("keyword_score"), F.col("rank").alias("keyword_rank"))
@@ -155,21 +109,33 @@ def rrf_fuse(vector: DataFrame, keyword: DataFrame, k: int, id_col: str = "doc_i
         F.concat_ws(",", F.when(F.col("keyword_rank").isNotNull(), "keyword"), F.when(F.col("vector_rank").isNotNull(), "vector")).alias("channel_hits"),
         F.round((share("vector_rank") + share("keyword_rank")) / (2 / (RRF_K + 1)), 6).alias("fused_score"),
     )
-    return top_by(fused, k, F.desc("fused_score"), F.asc(id_col))
+    if places is None:
+        return top_by(fused, k, F.desc("fused_score"), F.asc(id_col))
+    at = places.select(id_col, chunk_order(F.col("chunk_order"), F.col(id_col).cast("string")).alias("at_place"), F.col("doc_id").cast("string").alias("at_doc"))
+    return top_by(fused.join(at, id_col, "left"), k, F.desc("fused_score"), F.asc("at_place"), F.asc("at_doc"), F.asc(F.col(id_col).cast("string"))).drop("at_place", "at_doc")
+
+
+#: Fields of a chunk that keyword search asks with their boosts, and that the rule reranker reads (fixed values).
+KEYWORD_FIELDS = {"doc_name": 2.0, "section_path": 2.0, "content": 1.0}
+RULE_FIELDS = ("doc_name", "section_path", "important_kwd", "important_tks", "question_kwd", "question_tks", "content")
 
 
-def rule_rerank(candidates: DataFrame, queries: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", bonus: float = 0.1) -> DataFrame:
+def rule_rerank(candidates: DataFrame, queries: DataFrame, corpus: DataFrame, id_col: str = "doc_id", fields: Sequence[str] = RULE_FIELDS, bonus: float = 0.1) -> DataFrame:
     """Candidates (qid, id, fused_score, keyword_score, vector_score) with rerank_score and rank.
 
-    A tenth is added for full coverage of the query's terms. Corpus rows are
-    fetched by id for the candidates alone.
+    A tenth is added for full coverage of the query's terms by the tokens of all
+    fields that the corpus has. Ties go by keyword score, chunk order, vector
+    score and id. Corpus rows are fetched by id for the candidates alone.
     """
     asked = queries.select("qid", query_terms(F.col("text")).alias("terms"))
-    texts = corpus.select(id_col, F.array_distinct(tokenize(F.col(text_col))).alias("own"))
+    own = F.array_distinct(F.concat(*field_tokens(corpus, [f for f in fields if f in corpus.columns])))
+    place = chunk_order(F.col("chunk_order") if "chunk_order" in corpus.columns else F.lit(None).cast("int"), F.col(id_col).cast("string"))
+    wanted = corpus.join(candidates.select(id_col).distinct(), id_col, "left_semi")
+    texts = wanted.select(id_col, own.alias("own"), place.alias("at_place"))
     covered = F.when(F.size("terms") > 0, F.size(F.array_intersect("terms", "own")) / F.size("terms")).otherwise(F.lit(0.0))
     scored = candidates.join(texts, id_col).join(asked, "qid").withColumn("rerank_score", F.round(F.least(F.lit(1.0), F.col("fused_score") + bonus * covered), 6)).drop("terms", "own", "rank")
-    order = [F.desc("rerank_score"), F.desc("keyword_score"), F.asc(id_col), F.desc("vector_score")]
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
+    order = [F.desc("rerank_score"), F.desc("keyword_score"), F.asc("at_place"), F.desc("vector_score"), F.asc(id_col)]
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).drop("at_place")
 
 
 def pair_text(doc_name: Column, section_path: Column, content: Column) -> Column:

@@ -37,14 +37,14 @@ def channels(questions: DataFrame, corpus: DataFrame, config: RetrievalConfig) -
     if config.mode in ("vector", "hybrid"):
         found["vector"] = r.vector_topk(corpus.filter(F.col("embedding").isNotNull()), questions, config.candidate_top_k, "chunk_id")
     if config.mode in ("keyword", "hybrid"):
-        found["keyword"] = r.keyword_topk(corpus, questions, config.candidate_top_k, {"content": 1.0}, "chunk_id").drop("raw")
+        found["keyword"] = r.keyword_topk(corpus, questions, config.candidate_top_k, r.KEYWORD_FIELDS, "chunk_id").drop("raw")
     return found
 
 
-def candidates(found: dict[str, DataFrame], config: RetrievalConfig) -> DataFrame:
+def candidates(found: dict[str, DataFrame], config: RetrievalConfig, corpus: DataFrame | None = None) -> DataFrame:
     """One list a question: qid, chunk_id, vector_score, keyword_score, channel_hits, fused_score, rank."""
     if len(found) == 2:
-        return r.rrf_fuse(found["vector"], found["keyword"], config.candidate_top_k, "chunk_id")
+        return r.rrf_fuse(found["vector"], found["keyword"], config.candidate_top_k, "chunk_id", corpus)
     ((name, only),) = found.items()
     own = lambda c: F.col("score") if c == name else F.lit(0.0)
     return only.select("qid", "chunk_id", own("vector").alias("vector_score"), own("keyword").alias("keyword_score"), F.lit(name).alias("channel_hits"), F.col("score").alias("fused_score"), "rank")
@@ -69,10 +69,10 @@ def retrieve(questions: DataFrame, chunks: DataFrame, config: RetrievalConfig =
     """
     asked = questions.filter(question_ok(F.col("text")))
     corpus = searchable(chunks, config)
-    fused = candidates(channels(asked, corpus, config), config)
+    fused = candidates(channels(asked, corpus, config), config, corpus)
     pool = fused.filter(F.col("rank") <= config.pool) if config.rerank else fused
     if config.rerank and config.reranker == "rule":
-        pool = r.rule_rerank(pool, asked, corpus, "chunk_id", "content")
+        pool = r.rule_rerank(pool, asked, corpus, "chunk_id")
     elif config.rerank and config.rerank_level == "child":
         pool = cross_encoder_rerank(pool, asked, corpus, predictor)
     score = "rerank_score" if "rerank_score" in pool.columns else "fused_score"

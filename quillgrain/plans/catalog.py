@@ -14,7 +14,7 @@ from ..config import ChunkConfig, EvidenceConfig, RetrievalConfig
 from ..functions import text as tx
 from ..functions.vectors import is_valid
 from ..functions.tokens import token_count
-from ..operators import chunking, citation, conversation, datasets, evidence, images, metrics, parsing, retrieval, retrieve, rewriting, runs, sessions
+from ..operators import chunking, citation, conversation, datasets, evidence, images, metrics, parsing, retrieval, retrieve, rewriting, runs, search, sessions
 from ..sources import registry, store
 
 K, POOL, DIM = 10, 30, 64
@@ -67,8 +67,8 @@ def vector_topk(spark, sf):
 @query(_TOP)
 def vector_topk_blocks(spark, sf):
     vectors = table(spark, sf, "embeddings")
-    # The asked set is on the driver by design: queries go out in blocks, the corpus stays.
-    asked = [(r.qid, r.qvec) for r in _asked(vectors).collect()]
+    # Here the caller holds the asked set; it goes out in blocks, the corpus stays.
+    asked = [(r.qid, r.qvec) for block in search.in_blocks(_asked(vectors)) for r in block]
     return retrieval.vector_topk_blocks(vectors, asked, K)
 
 
@@ -161,7 +161,8 @@ def rrf_hybrid(spark, sf):
   SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, keyword_score DESC, doc_id, vector_score DESC))::INTEGER AS rank FROM reranked"""
 )
 def rule_rerank(spark, sf):
-    return retrieval.rule_rerank(_hybrid(spark, sf), _questions(spark, sf), table(spark, sf, "documents"))
+    docs = table(spark, sf, "documents").withColumn("chunk_order", F.col("doc_id").cast("int"))
+    return retrieval.rule_rerank(_hybrid(spark, sf), _questions(spark, sf), docs, fields=["text"])
 
 
 _CAND = f"{_SCORED}, {_ranked('scored', POOL)}, cand AS (SELECT qid, vec_id, (vec_id // 4)::VARCHAR AS family, vec_id // 8 AS doc_id, score, score / 2 AS keyword_score, rank FROM ranked)"
@@ -539,8 +540,9 @@ def prompt_budget(spark, sf):
 
 # --- end to end, registry, sessions, providers -------------------------------------------------------------------------
 
-_CHUNKS = "chunks AS (SELECT vec_id AS doc_id, 'p' || (vec_id // 4) AS family, text, embedding FROM embeddings JOIN documents ON doc_id = vec_id)"
-_RETRIEVE = f"""{_CHUNKS}, {_TERMS}, {_bm25('text', 't', 'chunks')}, kwscored AS (SELECT qid, doc_id, round(raw, 6) AS raw FROM raw_t), {_ranked('kwscored', POOL, 'raw DESC, doc_id', 'kwranked')},
+_CHUNKS = "chunks AS (SELECT vec_id AS doc_id, 'p' || (vec_id // 4) AS family, text, source, lang, embedding FROM embeddings JOIN documents ON doc_id = vec_id)"
+_RETRIEVE = f"""{_CHUNKS}, {_TERMS}, {_bm25('text', 't', 'chunks')}, {_bm25('source', 's', 'chunks')}, {_bm25('lang', 'l', 'chunks')},
+  kwscored AS (SELECT qid, doc_id, round(max(raw), 6) AS raw FROM (SELECT * FROM raw_t UNION ALL SELECT qid, doc_id, 2 * raw FROM raw_s UNION ALL SELECT qid, doc_id, 2 * raw FROM raw_l) GROUP BY qid, doc_id), {_ranked('kwscored', POOL, 'raw DESC, doc_id', 'kwranked')},
   kw AS (SELECT qid, doc_id, round(CASE WHEN max(raw) OVER q > 0 THEN raw / max(raw) OVER q ELSE 0 END, 6) AS score, rank FROM kwranked WINDOW q AS (PARTITION BY qid)), vasked AS (SELECT item_id AS qid, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
   vscored AS (SELECT qid, doc_id, round(greatest(0, least(1, (1 + list_cosine_similarity(embedding::DOUBLE[], q)) / 2)), 6) AS score FROM chunks, vasked), {_ranked('vscored', POOL, 'score DESC, doc_id', 'vec')},
   fused AS (SELECT qid, doc_id, coalesce(kw.score, 0) AS keyword_score, round((coalesce(1.0::DOUBLE / (60 + vec.rank), 0) + coalesce(1.0::DOUBLE / (60 + kw.rank), 0)) / (2.0::DOUBLE / 61), 6) AS score FROM vec FULL OUTER JOIN kw USING (qid, doc_id)), {_ranked('fused', POOL, 'score DESC, doc_id', 'hybrid')},
@@ -554,7 +556,7 @@ def _chunk_table(spark: SparkSession, sf: str) -> DataFrame:
     vectors, docs = table(spark, sf, "embeddings"), table(spark, sf, "documents")
     parent = F.concat(F.lit("p"), F.floor(F.col("vec_id") / 4))
     kids = vectors.join(docs, F.col("vec_id") == F.col("doc_id")).select(
-        F.col("vec_id").cast("string").alias("chunk_id"), "vec_id", "doc_id", parent.alias("parent_id"), F.lit("child").alias("chunk_role"), F.lit(True).alias("retrieval_eligible"), F.col("vec_id").cast("int").alias("chunk_order"), F.lit("").alias("doc_name"), F.array().cast("array<string>").alias("section_path"), F.col("text").alias("content"), "embedding"
+        F.col("vec_id").cast("string").alias("chunk_id"), "vec_id", "doc_id", parent.alias("parent_id"), F.lit("child").alias("chunk_role"), F.lit(True).alias("retrieval_eligible"), F.col("vec_id").cast("int").alias("chunk_order"), F.col("source").alias("doc_name"), F.array("lang").alias("section_path"), F.col("text").alias("content"), "embedding"
     )
     heads = kids.select("parent_id").distinct().filter("cast(substring(parent_id, 2) AS int) % 3 <> 0").select(F.col("parent_id").alias("chunk_id"), F.lit("parent").alias("chunk_role"), F.lit(False).alias("retrieval_eligible"), F.lit("whole parent").alias("content"))
     return kids.drop("vec_id").unionByName(heads, allowMissingColumns=True)

@@ -1,9 +1,13 @@
 """Golden cases of retrieval: fusion, families, thresholds, step-back, search."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillgrain.operators import retrieval as r
+from quillgrain.operators import search
 
 
 def channel(spark, rows):
@@ -79,8 +83,6 @@ def test_pair_text(spark):
 
 
 def test_vector_search_ways_agree(spark):
-    import random
-
     rng = random.Random(2)
     data = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)]
     corpus = spark.createDataFrame(data, "vec_id long, embedding array<float>")
@@ -96,3 +98,53 @@ def test_bm25_prefers_rare_terms(spark):
     asked = spark.createDataFrame([(1, "common rare"), (2, "absent")], "qid int, text string")
     rows = r.keyword_topk(docs, asked, 5, {"text": 1.0}).orderBy("rank").collect()
     assert [(x.qid, x.doc_id) for x in rows] == [(1, 1), (1, 2)] and rows[0].score == 1.0
+
+
+def test_zero_null_and_odd_vectors(spark):
+    rows = [("a", [1.0, 0.0]), ("z", [0.0, 0.0]), ("n", None), ("s", [1.0]), ("i", [float("inf"), 1.0]), ("h", [None, 1.0]), (None, [1.0, 0.0]), ("b", [-1.0, 0.0])]
+    corpus = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "qid int, qvec array<double>")
+    got = [(x.qid, x.vec_id, x.score, x["rank"]) for x in r.vector_topk(corpus, asked, 5).orderBy("qid", "rank").collect()]
+    assert got == [(1, "a", 1.0, 1), (1, "z", 0.5, 2), (1, "b", 0.0, 3), (2, "a", 0.5, 1), (2, "b", 0.5, 2), (2, "z", 0.5, 3)]
+    assert r.vector_topk(corpus, asked.limit(0), 5).count() == 0 and r.vector_topk(corpus.limit(0), asked, 5).count() == 0
+
+
+def plain_bm25(docs, terms):
+    n, mean = len(docs), sum(map(len, docs.values())) / len(docs)
+    df = {t: sum(t in d for d in docs.values()) for t in terms}
+    return {i: sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * d.count(t) / (d.count(t) + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in terms if t in d) for i, d in docs.items()}
+
+
+@pytest.mark.parametrize("cells", [4_000_000, 60])
+def test_bm25_of_the_best_field(spark, monkeypatch, cells):
+    """All fields in one pass, questions and rows in blocks or not, equal the definition; a list is one text."""
+    monkeypatch.setattr(search, "MOST_CELLS", cells)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(f"c{i:03d}", rng.choice(words), [rng.choice(words), rng.choice(words)], " ".join(rng.choices(words, k=rng.randint(0, 20)))) for i in range(80)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_name string, section_path array<string>, content string")
+    asked = [(i, " ".join(rng.choices(words, k=4))) for i in range(6)] + [(9, ""), (10, None)]
+    got = {(x.qid, x.chunk_id): x.raw for x in r.keyword_topk(chunks, spark.createDataFrame(asked, "qid int, text string"), 100, r.KEYWORD_FIELDS, "chunk_id").collect()}
+    want = {}
+    for q, text in asked:
+        terms = set((text or "").split())
+        for boost, docs in ((2, {i: [n] for i, n, _, _ in rows}), (2, {i: p for i, _, p, _ in rows}), (1, {i: c.split() for i, _, _, c in rows})):
+            for i, raw in plain_bm25(docs, terms).items():
+                if raw > 0:
+                    want[q, i] = max(want.get((q, i), 0), boost * raw)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+def test_fusion_ties_go_by_place(spark):
+    """Equal scores: chunk order, then document, then chunk, ids as texts."""
+    v = spark.createDataFrame([(1, "x_ck_2", 1.0, 1), (1, "b", 0.5, 2)], "qid int, chunk_id string, score double, rank int")
+    k = spark.createDataFrame([(1, "y", 1.0, 1), (1, "a", 0.5, 2)], "qid int, chunk_id string, score double, rank int")
+    places = spark.createDataFrame([("x_ck_2", None, "d"), ("y", 1, "d"), ("a", 7, "d10"), ("b", 7, "d9")], "chunk_id string, chunk_order int, doc_id string")
+    assert [x.chunk_id for x in r.rrf_fuse(v, k, 9, "chunk_id", places).orderBy("rank").collect()] == ["y", "x_ck_2", "a", "b"]
+
+
+def test_rule_rerank_reads_all_fields(spark):
+    corpus = spark.createDataFrame([("a", "alpha", ["beta"], ["gamma"], "none", 5), ("b", "x", [], [], "alpha", 3), ("c", "x", [], [], "alpha", 2)], "chunk_id string, doc_name string, section_path array<string>, question_kwd array<string>, content string, chunk_order int")
+    pool = spark.createDataFrame([(1, i, 0.5, 0.2, 0.0, n) for n, i in enumerate("abc", 1)], "qid int, chunk_id string, fused_score double, keyword_score double, vector_score double, rank int")
+    rows = r.rule_rerank(pool, spark.createDataFrame([(1, "alpha beta gamma delta")], "qid int, text string"), corpus, "chunk_id").orderBy("rank").collect()
+    assert [(x.chunk_id, x.rerank_score) for x in rows] == [("a", 0.575), ("c", 0.525), ("b", 0.525)]
