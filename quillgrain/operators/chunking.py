@@ -8,23 +8,26 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
+from itertools import accumulate
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import ChunkConfig
-from ..functions.tokens import Counter, approximate_tokens, longest_prefix
+from ..functions.tokens import Counter, Ruler, approximate_tokens, ruler, token_count
 
 #: Name of the chunk profile, and where a text may be cut (fixed values).
 PROFILE = "parent-child-v3"
-_BREAK = re.compile(r"[。！？!?；;\n]|\s")
+_BREAK_CODES = np.array(sorted({*map(ord, "。！？!?；;\n"), *(i for i in range(0x3001) if chr(i).isspace())}), np.uint32)
 _ALONE_BEFORE = {"heading", "frontmatter", "hr"}
+#: What stands between the pieces of a parent (fixed value).
+JOINT = "\n\n"
 
 CHUNK_SCHEMA = T.StructType(
     [
@@ -61,19 +64,31 @@ def split_text(text: str, target: int, most: int, count: Counter = approximate_t
     A piece ends at the last break (mark or white space) within the target that
     leaves it at least half as long, else at the first break after it, else at the limit.
     """
+    return _split(ruler(text, count), target, most)
+
+
+def _breaks(codes: np.ndarray) -> np.ndarray:
+    """Offsets behind each character that a text may be cut after."""
+    marks = np.isin(codes, _BREAK_CODES)
+    return np.flatnonzero(marks) + 1
+
+
+def _split(measure: Ruler, target: int, most: int) -> list[tuple[int, int]]:
     if not 0 < target <= most:
         raise ValueError("0 < target <= most is needed")
+    size, breaks = len(measure.codes), _breaks(measure.codes)
     ranges, at = [], 0
-    while at < len(text):
-        limit = longest_prefix(text, at, len(text), most, count)
+    while at < size:
+        limit = measure.reach(at, size, most)
         if limit == at:
             raise ValueError("the budget doesn't hold a single character")
         stop = limit
-        if limit < len(text):
-            aim = longest_prefix(text, at, limit, target, count)
-            ends = [m.end() for m in _BREAK.finditer(text, at + max(1, (aim - at) // 2), limit)]
-            early = [e for e in ends if e <= aim]
-            stop = early[-1] if early else (ends[0] if ends else limit)
+        if limit < size:
+            aim = measure.reach(at, limit, target)
+            low, mid, high = np.searchsorted(breaks, [at + max(1, (aim - at) // 2) + 1, aim + 1, limit + 1])
+            # The last break up to the aim, or the first one behind it.
+            pick = mid - 1 if mid > low else mid
+            stop = int(breaks[pick]) if low <= pick < high else limit
         ranges.append((at, stop))
         at = stop
     return ranges
@@ -87,6 +102,7 @@ class Piece:
     block: dict[str, Any]
     offset: int
     kept_whole: bool
+    size: int
 
 
 @dataclass
@@ -97,25 +113,23 @@ class Parent:
     segments: list[tuple[int, int, Piece]] = field(init=False)
 
     def __post_init__(self):
-        self.text = "\n\n".join(p.text for p in self.pieces)
-        self.segments, at = [], 0
-        for p in self.pieces:
-            self.segments.append((at, at + len(p.text), p))
-            at += len(p.text) + 2
+        self.text = JOINT.join(p.text for p in self.pieces)
+        ends = accumulate(len(p.text) + len(JOINT) for p in self.pieces)
+        self.segments = [(end - len(JOINT) - len(p.text), end - len(JOINT), p) for end, p in zip(ends, self.pieces)]
 
 
 def pieces_of(blocks: Sequence[dict[str, Any]], config: ChunkConfig, count: Counter) -> list[Piece]:
     out = []
     for b in blocks:
         text = b["text"] or ""
-        whole = (b["block_type"] == "code" and config.preserve_code) or (b["block_type"] == "table" and config.preserve_table)
         if not text.strip():
             continue
-        if whole:
-            out.append(Piece(text, b, 0, True))
+        if (b["block_type"] == "code" and config.preserve_code) or (b["block_type"] == "table" and config.preserve_table):
+            out.append(Piece(text, b, 0, True, count(text)))
             continue
         lead, text = len(text) - len(text.lstrip()), text.strip()
-        out += [Piece(text[s:e], b, lead + s, False) for s, e in split_text(text, config.parent_target_tokens, config.parent_max_tokens, count)]
+        measure = ruler(text, count)
+        out += [Piece(text[s:e], b, lead + s, False, measure.count(s, e)) for s, e in _split(measure, config.parent_target_tokens, config.parent_max_tokens)]
     return out
 
 
@@ -123,15 +137,19 @@ def merge_parents(pieces: Sequence[Piece], config: ChunkConfig, count: Counter)
     """Greedy merging in order.
 
     Headings and the like start a parent, images and kept structures stand
-    alone, and a parent ends when the next piece would pass the target.
+    alone, and a parent ends when the next piece would pass the target. The
+    default counter's sizes add up; for another one the joined text is counted.
     """
     parents: list[Parent] = []
     held: list[Piece] = []
+    size = 0
 
     def close() -> None:
+        nonlocal size
         if held:
             parents.append(Parent(list(held)))
             held.clear()
+        size = 0
 
     for p in pieces:
         kind = p.block["block_type"]
@@ -141,11 +159,12 @@ def merge_parents(pieces: Sequence[Piece], config: ChunkConfig, count: Counter)
             continue
         if kind == "image" or (config.align_to_boundary and kind in _ALONE_BEFORE):
             close()
-        size = count("\n\n".join(x.text for x in [*held, p]))
-        if held and size > config.parent_target_tokens:
+        more = size + p.size if count is approximate_tokens or not held else count(JOINT.join(x.text for x in [*held, p]))
+        if held and more > config.parent_target_tokens:
             close()
-            size = count(p.text)
+            more = p.size
         held.append(p)
+        size = more
         if size > config.parent_max_tokens:
             raise ValueError("a parent passed its budget")
         if kind == "image" or size >= config.parent_target_tokens:
@@ -172,7 +191,7 @@ def chunk_document(doc_id: str, blocks: Sequence[dict[str, Any]], config: ChunkC
     """Parents and children of one document, each parent before its children."""
     stem, rows = f"{doc_id}_v3_{profile_hash(config)}", []
 
-    def row(role: str, text: str, span: dict[str, Any], parent: Parent, **more: Any) -> dict[str, Any]:
+    def row(role: str, text: str, span: dict[str, Any], parent: Parent, tokens: int, **more: Any) -> dict[str, Any]:
         own = {b["order"]: b for b in span["blocks"]}
         made = {
             "doc_id": doc_id,
@@ -191,17 +210,18 @@ def chunk_document(doc_id: str, blocks: Sequence[dict[str, Any]], config: ChunkC
             "start_char": span["start_char"],
             "end_char": span["end_char"],
             "accuracy": span["accuracy"],
-            "token_count": count(text),
+            "token_count": tokens,
             "preserve_structure": parent.kept_whole,
         } | more
         rows.append(made)
         return made
 
     for parent in merge_parents(pieces_of(blocks, config, count), config, count):
-        head = row("parent", parent.text, _span(parent.segments, 0, len(parent.text)), parent)
-        ranges = [(0, len(parent.text))] if parent.kept_whole else split_text(parent.text, config.child_target_tokens, config.child_max_tokens, count)
+        measure, size = ruler(parent.text, count), len(parent.text)
+        head = row("parent", parent.text, _span(parent.segments, 0, size), parent, measure.count(0, size))
+        ranges = [(0, size)] if parent.kept_whole else _split(measure, config.child_target_tokens, config.child_max_tokens)
         for s, e in ranges:
-            child = row("child", parent.text[s:e], _span(parent.segments, s, e), parent, parent_id=head["chunk_id"], parent_char_start=s, parent_char_end=e)
+            child = row("child", parent.text[s:e], _span(parent.segments, s, e), parent, measure.count(s, e), parent_id=head["chunk_id"], parent_char_start=s, parent_char_end=e)
             head["child_ids"].append(child["chunk_id"])
     return rows
 
@@ -217,6 +237,27 @@ def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), count:
     return docs.select("doc_id", "blocks").mapInPandas(run, CHUNK_SCHEMA)
 
 
+FAMILY_SCHEMA = "doc_id string, chunk_id string, content string, preserve_structure boolean, children array<struct<chunk_id:string,start:int,end:int,snippet:string>>"
+
+
+def chunk_families(docs: DataFrame, config: ChunkConfig = ChunkConfig(), count: Counter = approximate_tokens) -> DataFrame:
+    """Parents with their children's places and contents: what evidence is built from, made where the document is chunked."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for d, b in zip(pdf["doc_id"], pdf["blocks"]):
+                chunks = chunk_document(str(d), [_plain(x) for x in b], config, count)
+                kids: dict[str, list[dict[str, Any]]] = {}
+                for c in chunks:
+                    if c["parent_id"]:
+                        kids.setdefault(c["parent_id"], []).append({"chunk_id": c["chunk_id"], "start": c["parent_char_start"], "end": c["parent_char_end"], "snippet": c["content"]})
+                rows += [(c["doc_id"], c["chunk_id"], c["content"], c["preserve_structure"], kids.get(c["chunk_id"], [])) for c in chunks if c["chunk_role"] == "parent"]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_id", "content", "preserve_structure", "children"])
+
+    return docs.select("doc_id", "blocks").mapInPandas(run, FAMILY_SCHEMA)
+
+
 def _plain(block: Any) -> dict[str, Any]:
     block = block if isinstance(block, dict) else block.asDict(recursive=True)
     return block | {"section_path": list(block.get("section_path") if block.get("section_path") is not None else [])}
@@ -257,3 +298,25 @@ def invariant_violations(chunks: DataFrame, config: ChunkConfig = ChunkConfig())
 def overlapping(segments: Column, start: Column, end: Column) -> Column:
     """Segments (start, end half open) that overlap a range."""
     return F.filter(segments, lambda s: (s["end"] > start) & (s["start"] < end))
+
+
+def embedding_outcomes(chunks: DataFrame, model_limit: int, chunk_budget: int, count: Counter = approximate_tokens) -> DataFrame:
+    """``chunks`` with tokens and outcome: blank, over_model_limit, over_chunk_budget (kept structures may be) or ok.
+
+    Nothing is cut to fit; ``check_embeddable`` fails on what isn't ok.
+    """
+    counted = chunks.withColumn("tokens", token_count(F.col("content"), count))
+    outcome = (
+        F.when(F.trim("content") == "", "blank")
+        .when(F.col("tokens") > model_limit, "over_model_limit")
+        .when(~F.col("preserve_structure") & (F.col("tokens") > chunk_budget), "over_chunk_budget")
+        .otherwise("ok")
+    )
+    return counted.withColumn("outcome", outcome)
+
+
+def check_embeddable(chunks: DataFrame, model_limit: int, chunk_budget: int, count: Counter = approximate_tokens) -> DataFrame:
+    """``chunks`` as they are; one that can't be embedded whole fails its task."""
+    judged = embedding_outcomes(chunks, model_limit, chunk_budget, count)
+    ok = F.when(F.col("outcome") == "ok", F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("chunk can't be embedded: "), F.col("outcome"))))
+    return judged.filter(ok).select(*chunks.columns)

@@ -1,4 +1,9 @@
-"""Evidence windows around matched children, and the prompt budget."""
+"""Evidence windows around matched children, and the prompt budget.
+
+A window is an interval of its parent's text. Each match is given the widest
+interval around it that fits the budget, intervals that overlap become one while
+that fits, and the rest of the module turns intervals into rows.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +21,9 @@ from ..functions.tokens import Counter, approximate_tokens
 
 #: Tokens left free when a window is narrowed (fixed value).
 SLACK = 24
-WINDOWS = "qid string, chunk_id string, doc_id string, window_no int, content string, first int, last int, children array<string>"
+WINDOWS = "qid string, rank int, chunk_id string, doc_id string, window_no int, content string, first int, last int, children array<string>, match_first int, match_last int, whole boolean"
+
+Span = tuple[int, int]
 
 
 class OverBudget(ValueError):
@@ -25,106 +32,159 @@ class OverBudget(ValueError):
 
 @dataclass(frozen=True)
 class Child:
+    """A matched child; ``span`` is its place in the parent, None if it isn't known."""
+
     chunk_id: str
-    start: int | None
-    end: int | None
+    span: Span | None
     snippet: str = ""
 
 
 @dataclass(frozen=True)
-class Window:
-    """A part of a parent; first and last are its offsets there, None for a bare child."""
-
+class Parent:
     chunk_id: str
     doc_id: str
     content: str
-    first: int | None
-    last: int | None
     children: tuple[Child, ...]
     primary: str | None = None
     whole: bool = False
 
 
-def _focus(window: Window) -> Child | None:
-    return next((c for c in window.children if c.chunk_id == window.primary), window.children[0] if window.children else None)
+@dataclass(frozen=True)
+class Window:
+    """``span`` is its place in the parent, ``match`` that of what must stay visible; both None for a bare snippet."""
 
+    chunk_id: str
+    doc_id: str
+    content: str
+    span: Span | None
+    match: Span | None
+    children: tuple[str, ...] = ()
+    whole: bool = False
 
-def _touching(children: Sequence[Child], first: int, last: int) -> tuple[Child, ...]:
-    return tuple(c for c in children if c.start is not None and c.end is not None and c.start < last and c.end > first)
 
+# --- intervals -------------------------------------------------------------------------------------------------------
 
-def narrow(window: Window, budget: int, count: Counter = approximate_tokens) -> Window:
-    """The window if it fits, else what fits evenly around its primary child."""
-    fits = count(window.content) <= budget
-    if window.whole and not fits:
-        raise OverBudget("a kept structure passes the budget")
-    child = _focus(window)
-    if child is not None and window.first is not None and (child.start is None or child.end is None):
-        if count(child.snippet) > budget:
-            raise OverBudget("the matched child passes the budget")
-        return Window(child.chunk_id, window.doc_id, child.snippet, None, None, (child,), child.chunk_id)
-    if fits:
-        return window
-    if child is None or window.first is None:
-        raise ValueError("no matched child to stay around")
-    a, b, size = child.start - window.first, child.end - window.first, len(window.content)
-    if not 0 <= a < b <= size:
+
+def widest(text: str, match: Span, budget: int, count: Counter) -> Span:
+    """The match with as many characters on either side as the budget allows, clipped to the text."""
+    size = len(text)
+    if not 0 <= match[0] < match[1] <= size:
         raise ValueError("the matched child lies outside its parent")
-    if count(window.content[a:b]) > budget:
+
+    def grown(by: int) -> Span:
+        return max(0, match[0] - by), min(size, match[1] + by)
+
+    fits = bisect.bisect_right(range(max(match[0], size - match[1]) + 1), budget, key=lambda by: count(text[slice(*grown(by))]))
+    if not fits:
         raise OverBudget("the matched child passes the budget")
-    cut = lambda r: (max(0, a - r), min(size, b + r))
-    reach = bisect.bisect_right(range(1, max(a, size - b) + 1), budget, key=lambda r: count(window.content[slice(*cut(r))]))
-    left, right = cut(reach)
-    first, last = window.first + left, window.first + right
-    return replace(window, content=window.content[left:right], first=first, last=last, children=_touching(window.children, first, last) or (child,))
-
-
-def windows_of(parent: Window, budget: int, count: Counter = approximate_tokens) -> list[Window]:
-    """One window a child by place; touching neighbours become one while it fits the budget."""
-    if parent.whole:
-        return [parent]
-    if not parent.children or count(parent.content) <= budget:
-        return [narrow(parent, budget, count)]
-    out: list[Window] = []
-    for child in sorted(parent.children, key=lambda c: (c.start is None, c.start or 0)):
-        new = narrow(replace(parent, primary=child.chunk_id), budget, count)
-        old = out[-1] if out else None
-        if old and None not in (old.first, old.last, new.first, new.last) and new.first <= old.last:
-            first, last = min(old.first, new.first), max(old.last, new.last)
-            text = parent.content[first - parent.first : last - parent.first]
-            if count(text) <= budget:
-                out[-1] = replace(old, content=text, first=first, last=last, children=_touching(parent.children, first, last))
-                continue
-        out.append(new)
+    return grown(fits - 1)
+
+
+def merged(spans: Sequence[Span], fits) -> list[Span]:
+    """Intervals in order of place; one that overlaps its predecessor joins it if the union fits."""
+    out: list[Span] = []
+    for span in sorted(spans):
+        union = (out[-1][0], max(out[-1][1], span[1])) if out and span[0] <= out[-1][1] else None
+        if union and fits(union):
+            out[-1] = union
+        else:
+            out.append(span)
     return out
 
 
-def fit_prompt(fixed: int, candidates: Sequence[Window], config: EvidenceConfig, count: Counter = approximate_tokens, provider_limit: int = 0) -> tuple[list[Window], list[str]]:
-    """Windows taken in order while the prompt fits, narrowed where needed, and the ids dropped.
+# --- windows ---------------------------------------------------------------------------------------------------------
+
+
+def _primary(parent: Parent) -> Child | None:
+    named = [c for c in parent.children if c.chunk_id == parent.primary]
+    return (named or [*parent.children, None])[0]
+
+
+def _show(parent: Parent, span: Span) -> Window:
+    """The interval as a window; its match is the primary child if that is inside, else the first child that is."""
+    inside = [c for c in parent.children if c.span and c.span[0] < span[1] and c.span[1] > span[0]]
+    anchor = next((c for c in inside if c.chunk_id == parent.primary), inside[0] if inside else None)
+    return Window(parent.chunk_id, parent.doc_id, parent.content[slice(*span)], span, anchor.span if anchor else None, tuple(c.chunk_id for c in inside), parent.whole)
+
+
+def _snippet(parent: Parent, child: Child, budget: int, count: Counter) -> Window:
+    if count(child.snippet) > budget:
+        raise OverBudget("the matched child passes the budget")
+    return Window(child.chunk_id, parent.doc_id, child.snippet, None, None, (child.chunk_id,))
+
+
+def windows_of(parent: Parent, budget: int, count: Counter = approximate_tokens) -> list[Window]:
+    """The windows of a parent, by place.
+
+    A kept structure, and a parent within the budget, is one window. Children
+    whose place isn't known are shown as their snippets, if no window shows them.
+    """
+    everything, fits = (0, len(parent.content)), count(parent.content) <= budget
+    placed, lost = [c for c in parent.children if c.span], [c for c in parent.children if not c.span]
+    if parent.whole or (fits and (placed or not lost)):
+        return [_show(parent, everything)]
+    if fits:
+        return [_snippet(parent, _primary(parent), budget, count)]
+    if not parent.children:
+        raise ValueError("no matched child to stay around")
+    spans = merged([widest(parent.content, c.span, budget, count) for c in placed], lambda s: count(parent.content[slice(*s)]) <= budget)
+    return [_show(parent, s) for s in spans] + [_snippet(parent, c, budget, count) for c in lost]
+
+
+def narrow(window: Window, budget: int, count: Counter = approximate_tokens) -> Window:
+    """The window if it fits, else what fits around its match; offsets stay those of the parent."""
+    if count(window.content) <= budget:
+        return window
+    if window.whole or window.span is None or window.match is None:
+        raise OverBudget("nothing of the window can be left out")
+    start = window.span[0]
+    inside = (max(window.match[0], start) - start, min(window.match[1], window.span[1]) - start)
+    a, b = widest(window.content, inside, budget, count)
+    return replace(window, content=window.content[a:b], span=(start + a, start + b))
+
+
+def prompt_text(taken: Sequence[Window]) -> str:
+    return "\n\n".join(f"[{i}] {w.content}" for i, w in enumerate(taken, 1))
+
+
+def fit_prompt(fixed: int, candidates: Sequence[Window], config: EvidenceConfig, count: Counter = approximate_tokens, provider_limit: int = 0) -> tuple[list[Window], list[str], int]:
+    """Windows taken in order while the prompt fits, narrowed where needed; the ids dropped; the prompt's tokens.
 
     ``fixed`` is the size of the prompt without evidence.
     """
     limit = min(config.prompt_limit(provider_limit) - 1, fixed + config.evidence_max_tokens)
-    cost = lambda taken: fixed + count("\n\n".join(f"[{i}] {w.content}" for i, w in enumerate(taken, 1)))
     taken: list[Window] = []
     dropped: list[str] = []
+    used = fixed
     for w in candidates:
-        options = [w]
-        if cost([*taken, w]) > limit and config.mode != "child_only":
+        new, size = w, fixed + count(prompt_text([*taken, w]))
+        if size > limit and config.mode != "child_only":
             try:
-                options = [narrow(w, max(1, limit - cost(taken) - SLACK), count)]
+                new = narrow(w, max(1, limit - used - SLACK), count)
+                size = fixed + count(prompt_text([*taken, new]))
             except OverBudget:
-                options = []
-        if options and cost([*taken, *options]) <= limit:
-            taken += options
+                pass
+        if size <= limit:
+            taken, used = [*taken, new], size
         else:
             dropped.append(w.chunk_id)
-    return taken, dropped
+    return taken, dropped, used
+
+
+# --- tables ----------------------------------------------------------------------------------------------------------
+
 
+def _parent(row: Any) -> Parent:
+    place = lambda c: None if c["start"] is None or c["end"] is None else (int(c["start"]), int(c["end"]))
+    children = tuple(Child(str(c["chunk_id"]), place(c), c["snippet"] or "") for c in row["children"])
+    return Parent(str(row["chunk_id"]), str(row["doc_id"]), row["content"], children, row["primary_child"], bool(row["preserve_structure"]))
 
-def _window(row: Any) -> Window:
-    children = tuple(Child(str(c["chunk_id"]), None if c["start"] is None else int(c["start"]), None if c["end"] is None else int(c["end"]), c["snippet"] or "") for c in row["children"])
-    return Window(str(row["chunk_id"]), str(row["doc_id"]), row["content"], 0, len(row["content"]), children, row["primary_child"], bool(row["preserve_structure"]))
+
+def _shown(parent: Parent, config: EvidenceConfig, count: Counter) -> list[Window]:
+    child = _primary(parent)
+    if config.mode == "child_only" and child:
+        return [Window(child.chunk_id, parent.doc_id, child.snippet, None, None, (child.chunk_id,))]
+    return windows_of(parent, config.window_tokens, count) if config.mode == "window" else [_show(parent, (0, len(parent.content)))]
 
 
 def evidence_windows(results: DataFrame, config: EvidenceConfig = EvidenceConfig(), count: Counter = approximate_tokens) -> DataFrame:
@@ -133,45 +193,35 @@ def evidence_windows(results: DataFrame, config: EvidenceConfig = EvidenceConfig
     One row a parent in, its windows out; rows stay where they are.
     """
 
-    def of(parent: Window) -> list[Window]:
-        if config.mode == "child_only":
-            c = _focus(parent)
-            return [Window(c.chunk_id, parent.doc_id, c.snippet, None, None, (c,))] if c else [parent]
-        return [parent] if config.mode == "full_parent" else windows_of(parent, config.window_tokens, count)
-
     def run(batches):
         for pdf in batches:
             rows = [
-                (str(q), w.chunk_id, w.doc_id, n, w.content, w.first, w.last, [c.chunk_id for c in w.children])
-                for q, row in zip(pdf["qid"], pdf.to_dict("records"))
-                for n, w in enumerate(of(_window(row)))
+                (str(q), rank, w.chunk_id, w.doc_id, n, w.content, *(w.span or (None, None)), list(w.children), *(w.match or (None, None)), w.whole)
+                for q, rank, row in zip(pdf["qid"], pdf["rank"], pdf.to_dict("records"))
+                for n, w in enumerate(_shown(_parent(row), config, count))
             ]
-            out = pd.DataFrame(rows, columns=["qid", "chunk_id", "doc_id", "window_no", "content", "first", "last", "children"])
-            yield out.astype({"window_no": "int32", "first": "Int32", "last": "Int32"})
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in WINDOWS.split(", ")])
+            yield out.astype({"rank": "int32", "window_no": "int32", "first": "Int32", "last": "Int32", "match_first": "Int32", "match_last": "Int32"})
 
     top = results.filter(F.col("rank") <= config.context_top_k)
-    return top.select("qid", "chunk_id", "doc_id", "content", "children", "primary_child", "preserve_structure").mapInPandas(run, WINDOWS)
+    return top.select("qid", "rank", "chunk_id", "doc_id", "content", "children", "primary_child", "preserve_structure").mapInPandas(run, WINDOWS)
 
 
 def fit_prompts(windows: DataFrame, config: EvidenceConfig, fixed_tokens: int = 100, count: Counter = approximate_tokens) -> DataFrame:
-    """Windows (qid, chunk_id, window_no, content, first, last) that go in each question's prompt, in order.
+    """qid, n_evidence, n_dropped, used_tokens, evidence (the chunk ids taken, in order) of each question.
 
-    Taking windows is sequential within a question; a question holds at most the
-    windows of its ``context_top_k`` parents.
+    ``windows`` are those of ``evidence_windows``; they go in by rank of their
+    parent, then by place. Taking them is sequential within a question, which
+    holds at most the windows of its ``context_top_k`` parents.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["chunk_id", "window_no"])
-        parts = [Window(r["chunk_id"], r["doc_id"], r["content"], None if pd.isna(r["first"]) else int(r["first"]), None if pd.isna(r["last"]) else int(r["last"]), ()) for r in pdf.to_dict("records")]
-        taken, dropped = fit_prompt(fixed_tokens, [_self_matched(w) for w in parts], config, count)
-        return pd.DataFrame({"qid": [pdf["qid"].iloc[0]], "n_evidence": [len(taken)], "n_dropped": [len(dropped)], "used_tokens": [fixed_tokens + sum(count(w.content) for w in taken)]})
-
-    return windows.groupBy("qid").applyInPandas(run, "qid string, n_evidence long, n_dropped long, used_tokens long")
+    def span(a: Any, b: Any) -> Span | None:
+        return None if pd.isna(a) else (int(a), int(b))
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["rank", "chunk_id", "window_no"])
+        parts = [Window(r["chunk_id"], r["doc_id"], r["content"], span(r["first"], r["last"]), span(r["match_first"], r["match_last"]), (), bool(r["whole"])) for r in pdf.to_dict("records")]
+        taken, dropped, used = fit_prompt(fixed_tokens, parts, config, count)
+        return pd.DataFrame({"qid": [pdf["qid"].iloc[0]], "n_evidence": [len(taken)], "n_dropped": [len(dropped)], "used_tokens": [used], "evidence": [[w.chunk_id for w in taken]]})
 
-def _self_matched(window: Window) -> Window:
-    """A window that counts as its own match's surroundings: its middle character is what must stay."""
-    if window.first is None:
-        return window
-    middle = window.first + len(window.content) // 2
-    return replace(window, children=(Child(window.chunk_id, middle, middle + 1),), primary=window.chunk_id)
+    return windows.groupBy("qid").applyInPandas(run, "qid string, n_evidence long, n_dropped long, used_tokens long, evidence array<string>")

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..config import ChunkConfig, EvidenceConfig, RetrievalConfig
 from ..functions import text as tx
 from ..functions.vectors import is_valid
-from ..functions.tokens import token_count
 from ..operators import chunking, citation, conversation, datasets, evidence, images, metrics, parsing, retrieval, retrieve, rewriting, runs, search, sessions
 from ..sources import registry, store
 
@@ -475,8 +474,28 @@ def merge_parents(spark, sf):
     return parents.select("doc_id", "chunk_id", F.size("child_ids").alias("n_children"), "token_count", F.length("content").alias("n_chars"))
 
 
-@query("SELECT unnest(['children_tile_parent', 'links_both_ways', 'token_budget', 'distinct_ids']) AS rule, 0::BIGINT AS violations")
+_BARE = "regexp_replace({}, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', '', 'g')"
+
+
+@query(f"SELECT doc_id::VARCHAR AS doc_id, md5({_BARE.format('text')}) AS parents, md5({_BARE.format('text')}) AS children, 0::BIGINT AS over_budget, 0::BIGINT AS untiled FROM documents WHERE {_BARE.format('text')} <> ''")
 def chunk_invariants(spark, sf):
+    """Of each document: parents and children say all of its text in order, keep their budgets, and children tile their parents."""
+    chunks = chunking.chunk_documents(_blocks(spark, sf), _CONFIG)
+    parent = F.col("chunk_role") == "parent"
+    over = ~F.col("preserve_structure") & (F.col("token_count") > F.when(parent, _CONFIG.parent_max_tokens).otherwise(_CONFIG.child_max_tokens))
+    texts = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(role, F.struct("chunk_order", "content")))), lambda c: c["content"]), "")
+    bare = lambda t: F.md5(F.regexp_replace(t, r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+", ""))
+    size = F.length("content")
+    return chunks.groupBy("doc_id").agg(
+        bare(texts(parent)).alias("parents"),
+        bare(texts(~parent)).alias("children"),
+        F.count_if(over).alias("over_budget"),
+        F.coalesce(F.sum(F.when(parent, size).otherwise(-size)), F.lit(0)).cast("long").alias("untiled"),
+    )
+
+
+@query("SELECT rule, 0::BIGINT AS violations FROM (SELECT unnest(['children_tile_parent', 'links_both_ways', 'token_budget', 'distinct_ids']) AS rule) WHERE EXISTS (SELECT 1 FROM documents)")
+def chunk_violations(spark, sf):
     return chunking.invariant_violations(chunking.chunk_documents(_blocks(spark, sf), _CONFIG), _CONFIG)
 
 
@@ -517,25 +536,60 @@ def interval_overlap(spark, sf):
 
 
 def _results(spark: SparkSession, sf: str) -> DataFrame:
-    """Parents of every document with their second child as the match; rank 1 a question."""
-    chunks = chunking.chunk_documents(_blocks(spark, sf), _CONFIG)
-    kids = chunks.filter("chunk_role = 'child'").groupBy(F.col("parent_id").alias("pid")).agg(F.sort_array(F.collect_list(F.struct(F.col("parent_char_start").alias("start"), F.col("parent_char_end").alias("end"), "chunk_id", F.substring("content", 1, 160).alias("snippet")))).alias("kids"))
-    parents = chunks.filter("chunk_role = 'parent'").join(kids, F.col("chunk_id") == F.col("pid"))
-    # The matches of a parent: its first and its last child.
-    ends = F.array_distinct(F.array(F.element_at("kids", 1), F.element_at("kids", -1)))
-    matched = F.transform(ends, lambda k: F.struct(k["chunk_id"].alias("chunk_id"), k["start"].alias("start"), k["end"].alias("end"), k["snippet"].alias("snippet")))
-    return parents.select(F.col("doc_id").alias("qid"), F.lit(1).alias("rank"), "chunk_id", "doc_id", "content", matched.alias("children"), F.element_at(ends, -1)["chunk_id"].alias("primary_child"), "preserve_structure")
+    """Parents of every document with their first and last child as matches, the last one primary; ranks from the end of the document."""
+    families = chunking.chunk_families(_blocks(spark, sf), _CONFIG)
+    ends = F.array_distinct(F.array(F.element_at("children", 1), F.element_at("children", -1)))
+    number = F.regexp_extract("chunk_id", r"_([0-9]+)$", 1).cast("int")
+    return families.select(F.col("doc_id").alias("qid"), F.when(number < 3, number + 1).otherwise(3).alias("rank"), "chunk_id", "doc_id", "content", ends.alias("children"), F.element_at(ends, -1)["chunk_id"].alias("primary_child"), "preserve_structure")
 
 
 @query()
 def evidence_windows(spark, sf):
-    return evidence.evidence_windows(_results(spark, sf), EvidenceConfig(window_tokens=256))
+    found = evidence.evidence_windows(_results(spark, sf), EvidenceConfig(window_tokens=256))
+    return found.select("qid", "rank", "chunk_id", "window_no", "content", "first", "last")
 
 
 @query()
 def prompt_budget(spark, sf):
     windows = evidence.evidence_windows(_results(spark, sf), EvidenceConfig(window_tokens=256))
-    return evidence.fit_prompts(windows, EvidenceConfig(evidence_max_tokens=512))
+    return evidence.fit_prompts(windows, EvidenceConfig(evidence_max_tokens=512)).select("qid", "n_evidence", "n_dropped", "used_tokens")
+
+
+#: Windows of a whole document as one parent: the places of its matches, and whether the prompt holds them, follow from SQL alone.
+_SHOWN = """WITH texts AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 40),
+  spans AS (SELECT doc_id, n, text, 10 AS a, 30 AS b, n - 30 AS c, n - 10 AS d FROM texts),
+  reach AS (SELECT *, greatest(0, a - 20) AS l1, least(n, b + 20) AS r1, greatest(0, c - 20) AS l2, least(n, d + 20) AS r2 FROM spans),
+  wide AS (SELECT *, (l2 <= r1 AND greatest(r1, r2) - l1 <= 60) AS one FROM reach)"""
+
+
+@query(
+    f"""{_SHOWN} SELECT doc_id::VARCHAR AS qid, 0::INTEGER AS window_no, substr(text, 1, n) AS content, 0::INTEGER AS first, n::INTEGER AS last FROM wide WHERE n <= 60
+  UNION ALL SELECT doc_id::VARCHAR, 0, substr(text, l1 + 1, r1 - l1), l1::INTEGER, r1::INTEGER FROM wide WHERE n > 60
+  UNION ALL SELECT doc_id::VARCHAR, 1, substr(text, l2 + 1, r2 - l2), l2::INTEGER, r2::INTEGER FROM wide WHERE n > 60"""
+)
+def windows_by_characters(spark, sf):
+    """Windows under a counter of characters: 60 around matches of 20 near either end of every document."""
+    docs = table(spark, sf, "documents").filter(F.length("text") >= 40)
+    n = F.length("text")
+    match = lambda name, a, b: F.struct(F.lit(name).alias("chunk_id"), a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit("").alias("snippet"))
+    matches = F.array(match("head", F.lit(10), F.lit(30)), match("tail", n - 30, n - 10))
+    rows = docs.select(F.col("doc_id").alias("qid"), F.lit(1).alias("rank"), F.col("doc_id").alias("chunk_id"), "doc_id", F.col("text").alias("content"), matches.alias("children"), F.lit("head").alias("primary_child"), F.lit(False).alias("preserve_structure"))
+    return evidence.evidence_windows(rows, EvidenceConfig(window_tokens=60), len).select("qid", "window_no", "content", "first", "last")
+
+
+@query(
+    """WITH parts AS (SELECT doc_id, i AS rank, substr(text, (i - 1) * 200 + 1, 200) AS content FROM documents, range(1, 6) r(i) WHERE length(text) > (i - 1) * 200),
+  sized AS (SELECT *, 4 + length(content) AS cost, sum(4 + length(content)) OVER w + 2 * (row_number() OVER w - 1) AS used FROM parts WINDOW w AS (PARTITION BY doc_id ORDER BY rank))
+  SELECT doc_id::VARCHAR AS qid, count(*) FILTER (used <= 500) AS n_evidence, count(*) FILTER (used > 500) AS n_dropped, (100 + coalesce(max(used) FILTER (used <= 500), 0))::BIGINT AS used_tokens FROM sized GROUP BY doc_id"""
+)
+def prompt_by_characters(spark, sf):
+    """Ranked parts of every document put in a prompt of 500 characters, whole or not at all."""
+    docs = table(spark, sf, "documents")
+    parts = docs.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank"), "text").filter(F.length("text") > (F.col("rank") - 1) * 200)
+    rows = parts.select(F.col("doc_id").cast("string").alias("qid"), "rank", F.concat(F.lit("c"), 9 - F.col("rank")).alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("window_no"), F.substring("text", (F.col("rank") - 1) * 200 + 1, F.lit(200)).alias("content"))
+    null = F.lit(None).cast("int")
+    windows = rows.select("*", null.alias("first"), null.alias("last"), F.array().cast("array<string>").alias("children"), null.alias("match_first"), null.alias("match_last"), F.lit(False).alias("whole"))
+    return evidence.fit_prompts(windows, EvidenceConfig(mode="child_only", evidence_max_tokens=500), 100, len).select("qid", "n_evidence", "n_dropped", "used_tokens")
 
 
 # --- end to end, registry, sessions, providers -------------------------------------------------------------------------
@@ -650,11 +704,12 @@ def session_commits(spark, sf):
     return sessions.replay_commits(log, max_turns=50)
 
 
-@query()
+@query(
+    r"""WITH sized AS (SELECT doc_id, text, len(regexp_extract_all(coalesce(text, ''), '[\x{3400}-\x{9fff}]|[\p{L}\p{N}_]{1,4}|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x{85}\p{Z}]'))::INTEGER AS tokens FROM documents)
+  SELECT doc_id, tokens, CASE WHEN trim(text) = '' THEN 'blank' WHEN tokens > 3072 THEN 'over_model_limit' WHEN tokens > 192 THEN 'over_chunk_budget' ELSE 'ok' END AS outcome FROM sized"""
+)
 def embedding_budget(spark, sf):
-    tokens = token_count(F.col("text"))
-    counted = table(spark, sf, "documents").select("doc_id", tokens.alias("tokens"), (F.trim("text") == "").alias("blank"))
-    return counted.select("doc_id", "tokens", F.when(F.col("blank"), "blank").when(F.col("tokens") > 3072, "over_model_limit").when(F.col("tokens") > 192, "over_chunk_budget").otherwise("ok").alias("outcome"))
+    return chunking.embedding_outcomes(table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), F.lit(False).alias("preserve_structure")), 3072, 192).select("doc_id", "tokens", "outcome")
 
 
 @query()

@@ -64,6 +64,26 @@ def test_html_and_text():
     assert [b["span"]["accuracy"] for b in plain] == ["exact", "exact"] and plain[1]["span"]["start_line"] == 3
 
 
+def test_places_are_found_in_order():
+    source = "# One *two*\n\ntwo `two`\r\n> three\u3000four"
+    found = list(p.places(source, ["One two", "two", "missing", "two", "threefour", "one"]))
+    assert [source[f["start_char"] : f["end_char"]] if f["start_char"] is not None else None for f in found] == ["One *two", "two", None, "two", "three\u3000four", None]
+    assert [f["start_line"] for f in found] == [1, 3, None, 3, 4, None] and {f["accuracy"] for f in found} == {"line_only", "unavailable"}
+    assert [f["accuracy"] for f in p.places("a  b\n\nc", ["a  b", "c"], verbatim=True)] == ["exact", "exact"]
+
+
+def test_readers_take_further_types(spark):
+    docs = spark.createDataFrame([("1", "pdf", b"%PDF page one"), ("2", "md", b"# Title"), ("3", "pdf", b"broken")], "doc_id string, file_type string, content binary")
+
+    def text_layer(data):
+        if not data.startswith(b"%PDF"):
+            raise ValueError("no PDF")
+        return data[5:].decode()
+
+    got = {r.doc_id: (r.blocks and r.blocks[0].text, r.error) for r in p.parse_documents(docs, {"pdf": text_layer}).collect()}
+    assert got == {"1": ("page one", None), "2": ("Title", None), "3": (None, "ValueError: no PDF")}
+
+
 def test_errors_are_rows(spark):
     docs = spark.createDataFrame([("1", "txt", "hi"), ("2", "exe", "x"), ("3", "md", " "), ("4", None, None)], "doc_id string, file_type string, content string")
     parsed = p.parse_documents(docs)
@@ -84,6 +104,24 @@ def test_chunks_keep_everything(spark):
     assert chunks.count() == len(rows) and {r.violations for r in c.invariant_violations(chunks, SMALL).collect()} == {0}
 
 
+def test_default_and_other_counters_chunk_alike():
+    """The default counter measures without reading again; the same counter under another name reads every range."""
+    other = lambda t: approximate_tokens(t)
+    for text in (MARKDOWN, "word " * 900, "x" * 3000, "a.b;c\n\nd " * 300, "数据" * 300 + " ends", ""):
+        blocks = p.parse_text(text)
+        assert c.chunk_document("d", blocks, SMALL) == c.chunk_document("d", blocks, SMALL, other)
+
+
+def test_embedding_checks(spark):
+    rows = [("ok", "two words", False), ("blank", " ", False), ("long", "word " * 30, False), ("table", "word " * 30, True), ("huge", "word " * 99, True)]
+    df = spark.createDataFrame(rows, "chunk_id string, content string, preserve_structure boolean")
+    got = {r.chunk_id: r.outcome for r in c.embedding_outcomes(df, 50, 20).collect()}
+    assert got == {"ok": "ok", "blank": "blank", "long": "over_chunk_budget", "table": "ok", "huge": "over_model_limit"}
+    assert c.check_embeddable(df.filter("chunk_id in ('ok', 'table')"), 50, 20).count() == 2
+    with pytest.raises(Exception, match="over_chunk_budget"):
+        c.check_embeddable(df.filter("chunk_id = 'long'"), 50, 20).count()
+
+
 def test_image_stands_alone():
     blocks = [{"text": t, "block_type": k, "order": i, "section_path": [], "span": None} for i, (t, k) in enumerate([("a", "paragraph"), ("pic", "image"), ("b", "paragraph")], 1)]
     assert [r["content"] for r in c.chunk_document("d", blocks) if r["chunk_role"] == "parent"] == ["a", "pic", "b"]
@@ -106,36 +144,85 @@ def test_interleave(spark):
 
 def parent(words=200, at=(0, 150), size=10, **more):
     text = " ".join(f"w{i:03d}" for i in range(words))
-    kids = tuple(e.Child(f"c{i}", i * 5, (i + size) * 5 - 1, text[i * 5 : (i + size) * 5 - 1]) for i in at)
-    return e.Window("p", "d", text, 0, len(text), kids, **more)
+    kids = tuple(e.Child(f"c{i}", (i * 5, (i + size) * 5 - 1), text[i * 5 : (i + size) * 5 - 1]) for i in at)
+    return e.Parent("p", "d", text, kids, **more)
 
 
 def test_two_windows_and_absolute_offsets():
     whole = parent()
     found = e.windows_of(whole, 40)
-    assert len(found) == 2 and all(whole.content[w.first : w.last] == w.content and approximate_tokens(w.content) <= 40 for w in found)
+    assert len(found) == 2 and all(whole.content[slice(*w.span)] == w.content and approximate_tokens(w.content) <= 40 for w in found)
     again = e.narrow(found[1], 25)
-    assert whole.content[again.first : again.last] == again.content and found[1].first <= again.first
+    assert whole.content[slice(*again.span)] == again.content and found[1].span[0] <= again.span[0] <= again.match[0] and again.match[1] <= again.span[1]
     assert len(e.windows_of(parent(at=(0, 5)), 60)) == 1
 
 
+def test_windows_against_trying_every_radius():
+    """Of all symmetric windows around a match, the widest that fits; overlaps join while the union fits."""
+    whole = parent(at=(3, 60, 75, 190))
+    for budget in (11, 25, 60, 120, 199):
+        best = []
+        for c in whole.children:
+            tries = [(max(0, c.span[0] - r), min(len(whole.content), c.span[1] + r)) for r in range(len(whole.content))]
+            best.append(max((t for t in tries if approximate_tokens(whole.content[slice(*t)]) <= budget), key=lambda t: t[1] - t[0]))
+        joined = []
+        for span in best:
+            union = (joined[-1][0], max(span[1], joined[-1][1])) if joined and span[0] <= joined[-1][1] else None
+            if union and approximate_tokens(whole.content[slice(*union)]) <= budget:
+                joined[-1] = union
+            else:
+                joined.append(span)
+        assert [w.span for w in e.windows_of(whole, budget)] == joined
+
+
 def test_windows_at_the_edges():
-    lost = e.Window("p", "d", "text", 0, 4, (e.Child("c", None, None, "snip"),))
-    assert e.narrow(lost, 10).content == "snip" and e.narrow(lost, 10).chunk_id == "c"
+    lost = e.Parent("p", "d", "text", (e.Child("c", None, "snip"),))
+    assert [(w.content, w.chunk_id) for w in e.windows_of(lost, 10)] == [("snip", "c")]
     with pytest.raises(e.OverBudget):
-        e.narrow(parent(whole=True), 10)
+        e.narrow(e.windows_of(parent(whole=True), 10)[0], 10)
     with pytest.raises(ValueError):
-        e.narrow(parent(at=(500,)), 40)
+        e.windows_of(parent(at=(500,)), 40)
     with pytest.raises(e.OverBudget):
-        e.narrow(parent(), 3)
-    assert e.windows_of(parent(whole=True), 10) == [parent(whole=True)]
+        e.windows_of(parent(), 3)
+    with pytest.raises(ValueError):
+        e.windows_of(parent(at=()), 40)
+    (kept,) = e.windows_of(parent(whole=True), 10)
+    assert kept.content == parent().content and kept.whole and kept.children == ("c0", "c150")
 
 
 def test_prompt_budget():
     config = EvidenceConfig(evidence_max_tokens=120)
-    taken, dropped = e.fit_prompt(50, e.windows_of(parent(), 100), config)
-    assert len(taken) == 1 and dropped == ["p"] or len(taken) == 2
-    assert e.fit_prompt(50, [parent()], EvidenceConfig(evidence_max_tokens=120, mode="child_only")) == ([], ["p"])
+    taken, dropped, used = e.fit_prompt(50, e.windows_of(parent(), 100), config)
+    assert used == 50 + approximate_tokens(e.prompt_text(taken)) <= 170 and len(taken) + len(dropped) == 2
+    whole = e.windows_of(parent(), 1000)
+    assert e.fit_prompt(50, whole, EvidenceConfig(evidence_max_tokens=120, mode="child_only")) == ([], ["p"], 50)
+    # Narrowed to the room there is, around the primary child.
+    near_end = e.windows_of(parent(primary="c150"), 1000)
+    (cut,), dropped, used = e.fit_prompt(50, near_end, config)
+    assert not dropped and used <= 170 and "w155" in cut.content and "w000" not in cut.content
+
+
+def test_best_evidence_goes_in_first(spark):
+    """Rank decides, not the chunk's id; under a tight budget the worse evidence is what is dropped."""
+    rows = [("q", 2, "a_worse", "d", "worse " * 30, [("c2", 0, 5, "worse")], "c2", False), ("q", 1, "z_best", "d", "best " * 30, [("c1", 0, 4, "best")], "c1", False)]
+    results = spark.createDataFrame(rows, "qid string, rank int, chunk_id string, doc_id string, content string, children array<struct<chunk_id:string,start:int,end:int,snippet:string>>, primary_child string, preserve_structure boolean")
+    windows = e.evidence_windows(results)
+    assert [x.evidence for x in e.fit_prompts(windows, EvidenceConfig(evidence_max_tokens=500)).collect()] == [["z_best", "a_worse"]]
+    (tight,) = e.fit_prompts(windows, EvidenceConfig(evidence_max_tokens=40)).collect()
+    assert tight.evidence == ["z_best"] and tight.n_dropped == 1 and tight.used_tokens <= 140
+    (first,) = e.evidence_windows(results, EvidenceConfig(context_top_k=1)).select("chunk_id").collect()
+    assert first.chunk_id == "z_best"
+
+
+def test_prompt_keeps_the_match_when_windows_shrink(spark):
+    """A match near the end of its window is what stays."""
+    text = "filler " * 200 + "needle in here"
+    at = text.index("needle")
+    rows = [("q", 1, "p", "d", text, [("c", at, len(text), "needle in here")], "c", False)]
+    results = spark.createDataFrame(rows, "qid string, rank int, chunk_id string, doc_id string, content string, children array<struct<chunk_id:string,start:int,end:int,snippet:string>>, primary_child string, preserve_structure boolean")
+    w = e.evidence_windows(results, EvidenceConfig(window_tokens=1000)).first()
+    window = e.Window(w.chunk_id, w.doc_id, w.content, (w["first"], w["last"]), (w.match_first, w.match_last), tuple(w.children), w.whole)
+    assert "needle" in e.narrow(window, 60).content and approximate_tokens(e.narrow(window, 60).content) <= 60
 
 
 def test_citations(spark):

@@ -84,6 +84,9 @@ def test_summaries():
     assert out["status"] == "compacted" and out["summarized_through"] == 3 and [t["seq"] for t in out["turns"]] == [4, 5]
     out = rw.prepare_history(turns, "", 10, 100, 100, lambda s, t: t + t)
     assert out["status"] == "failed" and out["dropped"] == [1, 2, 3] and out["summary"] == ""
+    again = rw.prepare_history(turns, "", 10, 100, 100, None, tried={out["candidate"]})
+    assert again["reason"] == "already_tried" and again["dropped"] == [1, 2, 3]
+    assert [t["seq"] for t in rw.working_turns([*turns, {"seq": 9, "status": "failed"}], 3)] == [4, 5]
     with pytest.raises(ValueError):
         rw.prepare_history(turns[:1], "", 10, 20, 100, lambda s, t: "x")
     seen = []

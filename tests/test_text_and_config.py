@@ -1,9 +1,11 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillgrain.config import ChunkConfig, EvidenceConfig, RetrievalConfig, merge_settings
 from quillgrain.functions import providers, text as tx
-from quillgrain.functions.tokens import approximate_tokens, longest_prefix
+from quillgrain.functions.tokens import approximate_tokens, ruler, token_count
 from quillgrain.functions.vectors import is_valid, normalized
 
 
@@ -56,10 +58,26 @@ def test_vectors(spark):
 def test_tokens():
     assert approximate_tokens("") == 0 and approximate_tokens("数据 abcde.") == 5
     text = "word " * 50
-    end = longest_prefix(text, 0, len(text), 10, approximate_tokens)
+    end = ruler(text, approximate_tokens).reach(0, len(text), 10)
     assert approximate_tokens(text[:end]) <= 10 < approximate_tokens(text[: end + 2])
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab_9 \n.é数据😀\x1c", max_size=60), st.integers(0, 60), st.integers(0, 60), st.integers(1, 9))
+def test_ruler_measures_like_counting(text, a, b, budget):
+    """Ranges that start or end within a word included; the reach is the furthest end within the budget."""
+    start, stop = sorted((min(a, len(text)), min(b, len(text))))
+    default, other = ruler(text, approximate_tokens), ruler(text, lambda t: approximate_tokens(t))
+    assert default.count(start, stop) == approximate_tokens(text[start:stop]) == other.count(start, stop)
+    assert default.reach(start, stop, budget) == other.reach(start, stop, budget)
+
+
+def test_token_column(spark):
+    rows = ["", None, "数据 abcde.", "a\x1cb é9_ü\u00a0x\u3000y", "long_word_of_many_letters, 12345!"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    assert [r[0] for r in df.select(token_count(F.col("t"))).collect()] == [approximate_tokens(r or "") for r in rows]
+
+
 def test_providers(spark):
     df = spark.createDataFrame([("a b",), ("c",)], "t string")
     vectors = [r[0] for r in df.select(providers.embed(F.col("t"), lambda: providers.hash_embedding, 32)).collect()]
