@@ -69,3 +69,16 @@ def completion_state(finish_reason: Column) -> Column:
 
 def storage_bytes(rows: DataFrame, key: str, payload: str) -> DataFrame:
     return rows.groupBy(key).agg(F.coalesce(F.sum(F.octet_length(payload)), F.lit(0)).cast("long").alias("bytes"))
+
+
+def working_turns(turns: DataFrame, sessions: DataFrame, session: str = "session_id") -> DataFrame:
+    """Answered turns that their session's summary doesn't hold yet (turns: seq, status; sessions: summarized_through)."""
+    through = sessions.select(session, F.coalesce("summarized_through", F.lit(0)).alias("through"))
+    return turns.join(through, session).filter((F.col("seq") > F.col("through")) & (F.col("status") == "answered")).drop("through")
+
+
+def history_within(turns: DataFrame, max_turns: int, token_budget: int, byte_budget: int, conv: str = "conv_id") -> DataFrame:
+    """(conv, turn_no, tokens, bytes): the latest whole turns, at most ``max_turns``, within both budgets; none if the last one doesn't fit."""
+    back = Window.partitionBy(conv).orderBy(F.desc("turn_no"))
+    placed = turns.withColumn("used_tokens", F.sum("tokens").over(back)).withColumn("used_bytes", F.sum("bytes").over(back)).withColumn("age", F.row_number().over(back))
+    return placed.filter((F.col("age") <= max_turns) & (F.col("used_tokens") <= token_budget) & (F.col("used_bytes") <= byte_budget)).drop("used_tokens", "used_bytes")

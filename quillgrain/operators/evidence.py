@@ -208,7 +208,7 @@ def evidence_windows(results: DataFrame, config: EvidenceConfig = EvidenceConfig
 
 
 def fit_prompts(windows: DataFrame, config: EvidenceConfig, fixed_tokens: int = 100, count: Counter = approximate_tokens) -> DataFrame:
-    """qid, n_evidence, n_dropped, used_tokens, evidence (the chunk ids taken, in order) of each question.
+    """qid, n_evidence, n_dropped, used_tokens, evidence (the chunk ids taken, in order) and shown (their ranks and contents) of each question.
 
     ``windows`` are those of ``evidence_windows``; they go in by rank of their
     parent, then by place. Taking them is sequential within a question, which
@@ -220,8 +220,9 @@ def fit_prompts(windows: DataFrame, config: EvidenceConfig, fixed_tokens: int =
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank", "chunk_id", "window_no"])
+        ranks = {(r["chunk_id"], r["doc_id"]): int(r["rank"]) for r in pdf.to_dict("records")}
         parts = [Window(r["chunk_id"], r["doc_id"], r["content"], span(r["first"], r["last"]), span(r["match_first"], r["match_last"]), (), bool(r["whole"])) for r in pdf.to_dict("records")]
         taken, dropped, used = fit_prompt(fixed_tokens, parts, config, count)
-        return pd.DataFrame({"qid": [pdf["qid"].iloc[0]], "n_evidence": [len(taken)], "n_dropped": [len(dropped)], "used_tokens": [used], "evidence": [[w.chunk_id for w in taken]]})
+        return pd.DataFrame({"qid": [pdf["qid"].iloc[0]], "n_evidence": [len(taken)], "n_dropped": [len(dropped)], "used_tokens": [used], "evidence": [[w.chunk_id for w in taken]], "shown": [[{"rank": ranks[w.chunk_id, w.doc_id], "content": w.content} for w in taken]]})
 
-    return windows.groupBy("qid").applyInPandas(run, "qid string, n_evidence long, n_dropped long, used_tokens long, evidence array<string>")
+    return windows.groupBy("qid").applyInPandas(run, "qid string, n_evidence long, n_dropped long, used_tokens long, evidence array<string>, shown array<struct<rank:int,content:string>>")

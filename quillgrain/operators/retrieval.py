@@ -150,18 +150,21 @@ def family_key(parent_id: Column, chunk_id: Column) -> Column:
     return F.coalesce(F.nullif(parent_id.cast("string"), F.lit("")), chunk_id.cast("string"))
 
 
+#: Scores that a family takes over from its members where they have them.
+FAMILY_SCORES = ("score", "keyword_score", "vector_score", "fused_score", "rerank_score")
+
+
 def expand_families(candidates: DataFrame, parents: DataFrame | None, how: str = "max") -> DataFrame:
     """Children (qid, chunk_id, family, score, keyword_score, rank) to families with rank.
 
-    Scores are the mean or the greatest of the members; the primary child is the
-    best one. Parents (family, content) replace their children; a family whose
-    parent is missing or empty keeps its primary child.
+    Every score is the mean or the greatest of the members'; the primary child
+    is the best one. Parents (family, content) replace their children; a family
+    whose parent is missing or empty keeps its primary child.
     """
     take = {"mean": F.avg, "max": F.max}[how]
     best = F.struct(F.col("score"), F.col("keyword_score"), (-F.col("rank")).alias("place"), F.col("chunk_id"))
     grouped = candidates.groupBy("qid", "family").agg(
-        F.round(take("score"), 6).alias("score"),
-        F.round(take("keyword_score"), 6).alias("keyword_score"),
+        *(F.round(take(c), 6).alias(c) for c in FAMILY_SCORES if c in candidates.columns),
         F.count("*").alias("members"),
         F.max_by("chunk_id", best).alias("primary_child"),
         F.min("rank").alias("first_rank"),

@@ -7,14 +7,16 @@ questions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import RetrievalConfig
-from ..functions.providers import Predictor, cross_scores
+from ..config import EvidenceConfig, RetrievalConfig
+from ..functions.providers import Answerer, Embedder, Predictor, cross_scores, embed
 from ..functions.text import query_terms
+from ..functions.tokens import Counter, approximate_tokens
 from . import retrieval as r
 
 SCORES = ("score", "vector_score", "keyword_score", "fused_score", "rerank_score")
@@ -59,44 +61,95 @@ def cross_encoder_rerank(pool: DataFrame, questions: DataFrame, corpus: DataFram
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).drop("text", "passage", "chunk_order")
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, config: RetrievalConfig = RetrievalConfig(), predictor: Callable[[], Predictor] | None = None) -> tuple[DataFrame, DataFrame]:
+def embed_questions(questions: DataFrame, embedder: Callable[[], Embedder], dim: int) -> DataFrame:
+    """(qid, text, ...) with qvec from the provider."""
+    return questions.withColumn("qvec", embed(F.col("text"), embedder, dim))
+
+
+def retrieve(
+    questions: DataFrame, chunks: DataFrame, config: RetrievalConfig = RetrievalConfig(), predictor: Callable[[], Predictor] | None = None, embedder: Callable[[], Embedder] | None = None, dim: int | None = None, vector_profile: dict | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Families for each question, and one trace row a question.
 
-    questions: qid, text, qvec. chunks: chunk_id, doc_id, parent_id, chunk_role,
-    retrieval_eligible, chunk_order, doc_name, section_path, content, embedding.
-    The rerank pool is the head of the fused list; what lies behind it is not
-    returned. Questions that mayn't be asked get no results.
+    questions: qid, text, qvec (or none, and an ``embedder`` of ``dim``). chunks:
+    chunk_id, doc_id, parent_id, chunk_role, retrieval_eligible, chunk_order,
+    doc_name, section_path, content, embedding. The rerank pool is the head of
+    the fused list; what lies behind it is not returned. If the reranking
+    provider fails, the fused list stands and the trace says why. Questions that
+    mayn't be asked get no results. ``vector_profile`` holds whatever the
+    caller's filters say.
     """
     asked = questions.filter(question_ok(F.col("text")))
-    corpus = searchable(chunks, config)
+    if embedder is not None and "qvec" not in questions.columns and config.mode != "keyword":
+        asked = embed_questions(asked, embedder, dim)
+    corpus = searchable(chunks, config, vector_profile)
     fused = candidates(channels(asked, corpus, config), config, corpus)
-    pool = fused.filter(F.col("rank") <= config.pool) if config.rerank else fused
+    pool, reason = fused.filter(F.col("rank") <= config.pool) if config.rerank else fused, None
     if config.rerank and config.reranker == "rule":
         pool = r.rule_rerank(pool, asked, corpus, "chunk_id")
     elif config.rerank and config.rerank_level == "child":
-        pool = cross_encoder_rerank(pool, asked, corpus, predictor)
+        pool, reason = reranked_or_fused(cross_encoder_rerank(pool, asked, corpus, predictor), fused)
     score = "rerank_score" if "rerank_score" in pool.columns else "fused_score"
     own = corpus.select("chunk_id", "doc_id", r.family_key(F.col("parent_id"), F.col("chunk_id")).alias("family"))
     scored = pool.withColumn("score", F.col(score)).join(own, "chunk_id")
     parents = chunks.filter("chunk_role = 'parent'").select(F.col("chunk_id").cast("string").alias("family"), "content", "doc_name", "section_path", "chunk_order")
+    kept = scored.filter(F.col("score") >= config.threshold)
+    results = None
     if config.rerank and config.rerank_level == "parent":
         # Children only gather the parents; the encoder reads whole parents and its score meets the threshold.
-        families = r.expand_families(scored, None, "mean").withColumnRenamed("family", "chunk_id").select("qid", "chunk_id", F.col("score").alias("fused_score"), "keyword_score", F.lit(0.0).alias("vector_score"), "rank")
-        ranked = cross_encoder_rerank(families, asked, parents.withColumnRenamed("family", "chunk_id"), predictor)
-        kept = ranked.filter(F.col("rerank_score") >= config.threshold).select("qid", F.col("chunk_id").alias("family"), F.col("rerank_score").alias("score"), "rank")
-        results = r.top_by(kept.drop("rank"), config.top_k, F.desc("score"), F.asc("family"))
-    else:
-        kept = scored.filter(F.col("score") >= config.threshold)
+        families = r.expand_families(scored, None, "mean").withColumnRenamed("family", "chunk_id").select("qid", "chunk_id", F.col("score").alias("fused_score"), "keyword_score", "vector_score", "rank")
+        ranked, reason = reranked_or_fused(cross_encoder_rerank(families, asked, parents.withColumnRenamed("family", "chunk_id"), predictor), None)
+        if ranked is not None:
+            kept = ranked.filter(F.col("rerank_score") >= config.threshold).select("qid", F.col("chunk_id").alias("family"), F.col("rerank_score").alias("score"), "keyword_score", "vector_score", "fused_score", "rerank_score")
+            results = r.top_by(kept, config.top_k, F.desc("score"), F.asc("family"))
+    if results is None:
         results = r.expand_families(kept, parents.select("family", "content"), config.aggregation).filter(F.col("rank") <= config.top_k)
     trace = questions.select("qid").join(_counts(scored, kept, results), "qid", "left").select(
         "qid",
         *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_candidates", "n_eligible", "n_returned")),
         F.coalesce("avg_score", F.lit(0.0)).alias("avg_score"),
         F.when(F.coalesce("n_returned", F.lit(0)) > 0, "ok").otherwise("no_evidence").alias("status"),
+        F.lit(config.rerank_level if config.rerank else None).cast("string").alias("rerank_level"),
+        F.lit(config.aggregation).alias("aggregation"),
+        F.lit(reason).cast("string").alias("fallback_reason"),
     )
     return results, trace
 
 
+def evidence_of(results: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Ranked families with what evidence is built from: content, matched children with their places, primary child.
+
+    chunks also have parent_char_start and parent_char_end. A family without a
+    parent stands for its primary child.
+    """
+    place = lambda c: F.col(c).cast("int")
+    child = F.struct(F.col("chunk_id").cast("string").alias("chunk_id"), place("parent_char_start").alias("start"), place("parent_char_end").alias("end"), F.col("content").alias("snippet"))
+    kids = chunks.filter("chunk_role = 'child'").select("doc_id", "doc_name", "section_path", "content", F.col("chunk_id").alias("primary_child"), child.alias("child"))
+    heads = chunks.filter("chunk_role = 'parent'").select(F.col("chunk_id").cast("string").alias("family"), F.nullif("content", F.lit("")).alias("whole"), F.coalesce("preserve_structure", F.lit(False)).alias("kept") if "preserve_structure" in chunks.columns else F.lit(False).alias("kept"))
+    joined = results.join(kids, "primary_child").join(heads, "family", "left")
+    return joined.select(
+        "qid", "rank", "score", F.when(F.col("whole").isNull(), F.col("child.chunk_id")).otherwise(F.col("family")).alias("chunk_id"), "doc_id", "doc_name", "section_path",
+        F.coalesce("whole", "content").alias("content"), F.array("child").alias("children"), F.col("child.chunk_id").alias("primary_child"), F.coalesce("kept", F.lit(False)).alias("preserve_structure"),
+    )
+
+
+def ask(questions: DataFrame, chunks: DataFrame, answerer: Callable[[], Answerer], config: RetrievalConfig = RetrievalConfig(), evidence_config: EvidenceConfig = EvidenceConfig(), fixed_tokens: int = 100, count: Counter = approximate_tokens, **providers) -> DataFrame:
+    """Questions to cited answers: qid, status, answer, citations.
+
+    Retrieval, evidence windows, the prompt budget and the provider, one after
+    the other; questions without evidence aren't sent.
+    """
+    from . import evidence, rewriting
+
+    results, _ = retrieve(questions, chunks, config, **providers)
+    ranked = evidence_of(results, chunks)
+    windows = evidence.evidence_windows(ranked, evidence_config, count)
+    chosen = evidence.fit_prompts(windows, evidence_config, fixed_tokens, count).select("qid", F.posexplode("shown").alias("place", "w"))
+    names = ranked.select(F.col("qid").cast("string").alias("qid"), "rank", F.col("doc_name").alias("name"), F.array_join("section_path", " > ").alias("path"))
+    told = chosen.select("qid", "place", F.col("w.rank").alias("rank"), F.col("w.content").alias("content")).join(names, ["qid", "rank"]).select("qid", "place", "name", "path", "content")
+    return rewriting.answer(questions.select(F.col("qid").cast("string").alias("qid"), "text"), told, answerer)
+
+
 def _counts(scored: DataFrame, kept: DataFrame, results: DataFrame) -> DataFrame:
     one = scored.groupBy("qid").agg(F.count("*").alias("n_candidates"))
     two = kept.groupBy("qid").agg(F.count("*").alias("n_eligible"))
@@ -104,7 +157,7 @@ def _counts(scored: DataFrame, kept: DataFrame, results: DataFrame) -> DataFrame
     return one.join(two, "qid", "left").join(three, "qid", "left")
 
 
-def reranked_or_fused(reranked: DataFrame, fused: DataFrame) -> tuple[DataFrame, str | None]:
+def reranked_or_fused(reranked: DataFrame, fused: DataFrame | None) -> tuple[DataFrame | None, str | None]:
     """The reranked rows, or the whole fused list and a reason if the provider fails.
 
     A reranker runs lazily, so its rows are written to the checkpoint folder to see.
@@ -112,7 +165,9 @@ def reranked_or_fused(reranked: DataFrame, fused: DataFrame) -> tuple[DataFrame,
     try:
         return reranked.checkpoint(), None
     except Exception as error:  # noqa: BLE001  any failure of a provider falls back
-        return fused, f"{type(error).__name__}: {str(error)[:200]}"
+        # A worker's own error is a line in the middle of what the engine says.
+        own = re.findall(r"^(?:\w+\.)*\w*(?:Error|Exception): .+$", str(error), re.M)
+        return fused, (own[-1] if own else f"{type(error).__name__}: {error}")[:200]
 
 
 def check_scores(rows: DataFrame) -> DataFrame:

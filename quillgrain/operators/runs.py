@@ -11,11 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import builder_tokens, normalize_lines, overlap_score, stable_id
 from ..sources.store import fingerprint
-from .datasets import choose, first_by_content, keep_rerank, quota, sample_order
-
-
-#: Prefixes of stable ids (fixed values).
-QUERY_PREFIX, DOCUMENT_PREFIX = "crud_q_", "crud_"
+from .datasets import DOCUMENT_PREFIX, QUERY_PREFIX, choose, first_by_content, keep_rerank, quota, sample_order
 
 
 def run_rows(queries: DataFrame, results: DataFrame, channel: str) -> DataFrame:
@@ -71,13 +67,16 @@ def build_dataset(rows: DataFrame, distractors: DataFrame, task_docs: dict[str,
     qrels = queries.select("query_id", F.explode("texts").alias("text")).select("query_id", stable_id(DOCUMENT_PREFIX, F.col("text")).alias("doc_id"), F.lit(1).alias("relevance"), "text").distinct()
     positives = qrels.groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("source", F.lit("positive"))
     asked = queries.agg(F.array_distinct(F.flatten(F.collect_set(builder_tokens(F.col("question"))))).alias("asked"))
+    # Only ids and scores are ranked; the texts of the chosen ones are fetched last.
     pool = first_by_content(distractors.select(stable_id(DOCUMENT_PREFIX, F.col("text")).alias("doc_id"), "text"), F.col("doc_id"), [F.col("text")]).join(positives.select("doc_id"), "doc_id", "left_anti")
-    scored = pool.crossJoin(F.broadcast(asked)).select("doc_id", "text", F.round(overlap_score(builder_tokens(F.col("text")), F.col("asked")), 6).alias("score"))
+    scored = pool.crossJoin(F.broadcast(asked)).select("doc_id", F.round(overlap_score(builder_tokens(F.col("text")), F.col("asked")), 6).alias("score"))
     need = max(0, corpus_size - positives.count())
-    hard = scored.orderBy(F.desc("score"), "doc_id").limit(min(n_hard, need))
-    rest = scored.join(hard.select("doc_id"), "doc_id", "left_anti").orderBy(sample_order(F.col("doc_id"), seed + 1), "doc_id").limit(max(0, need - n_hard))
-    corpus = positives.unionByName(hard.select("doc_id", "text", F.lit("hard_negative").alias("source"))).unionByName(rest.select("doc_id", "text", F.lit("random_negative").alias("source")))
-    return {"corpus": corpus, "queries": queries.drop("texts", "position"), "qrels": qrels.drop("text")}
+    hard = scored.orderBy(F.desc("score"), "doc_id").limit(min(n_hard, need)).select("doc_id", F.lit("hard_negative").alias("source"))
+    rest = pool.select("doc_id").join(hard.select("doc_id"), "doc_id", "left_anti").orderBy(sample_order(F.col("doc_id"), seed + 1), "doc_id").limit(max(0, need - n_hard)).select("doc_id", F.lit("random_negative").alias("source"))
+    others = pool.join(hard.unionByName(rest), "doc_id").select("doc_id", "text", "source")
+    corpus = positives.unionByName(others)
+    references = queries.join(qrels.groupBy("query_id").agg(F.sort_array(F.collect_set("doc_id")).alias("expected_doc_ids")), "query_id").select("query_id", "answer", "expected_doc_ids")
+    return {"corpus": corpus, "queries": queries.drop("texts", "position"), "qrels": qrels.drop("text"), "references": references}
 
 
 def lock(rows: Sequence[dict[str, Any]], metrics: Sequence[str], baseline: dict[str, Any], reranked: dict[str, Any]) -> dict[str, Any]:

@@ -237,16 +237,24 @@ def threshold_funnel(spark, sf):
 
 _METRICS = [*(f"hit_{k}" for k in metrics.CUTOFFS), *(f"recall_{k}" for k in metrics.CUTOFFS), "mrr_10", "ndcg_10"]
 _SCORE_SQL = f"""{_SCORED}, {_ranked('scored', POOL)}, qs AS (SELECT vec_id AS qid, label AS task FROM embeddings WHERE vec_id % 50 = 0),
-  rels AS (SELECT qid, vec_id FROM qs JOIN embeddings ON label = task), nrel AS (SELECT qid, count(*) AS n FROM rels GROUP BY qid),
+  rels AS (SELECT qid, vec_id FROM qs JOIN embeddings ON label = task AND vec_id // 50 = qid // 50), nrel AS (SELECT qid, count(*) AS n FROM rels GROUP BY qid),
   found AS (SELECT qid, {', '.join(f'count(*) FILTER (rank <= {k}) AS f{k}' for k in metrics.CUTOFFS)}, min(rank) FILTER (rank <= 10) AS first, sum(1 / log2(rank + 1)) FILTER (rank <= 10) AS dcg FROM ranked JOIN rels USING (qid, vec_id) GROUP BY qid),
   per AS (SELECT qid, task, {', '.join(f'CASE WHEN f{k} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit_{k}' for k in metrics.CUTOFFS)}, {', '.join(f'round(coalesce(f{k}, 0) / n::DOUBLE, 6) AS recall_{k}' for k in metrics.CUTOFFS)},
     round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr_10, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(10, n) + 1), lambda r: 1 / log2(r + 1))), 6) AS ndcg_10 FROM qs JOIN nrel USING (qid) LEFT JOIN found USING (qid))"""
 
 
+def _qrels(vectors: DataFrame) -> DataFrame:
+    """Relevant to a question are the vectors of its label in its block of fifty ids: they grow with the questions, not with their square."""
+    block = lambda c: F.floor(F.col(c) / 50)
+    asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("task"), block("vec_id").alias("own"))
+    own = vectors.select("vec_id", "label", block("vec_id").alias("block"))
+    return asked.join(own, (F.col("task") == F.col("label")) & (F.col("own") == F.col("block"))).select("qid", "vec_id")
+
+
 def _per_query(spark: SparkSession, sf: str, run: DataFrame | None = None) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("task"))
-    qrels = queries.join(vectors.select(F.col("vec_id").alias("doc_id"), "label"), F.col("task") == F.col("label")).select("qid", "doc_id")
+    qrels = _qrels(vectors).withColumnRenamed("vec_id", "doc_id")
     run = _pool(spark, sf) if run is None else run
     return metrics.score_queries(queries, qrels, run.withColumnRenamed("vec_id", "doc_id"))
 
@@ -262,28 +270,25 @@ def metrics_grouped(spark, sf):
 
 
 @query(
-    f"""WITH {_SCORED}, {_ranked('scored', POOL)}, rels AS (SELECT qid, vec_id, CASE WHEN qid = vec_id THEN 3 WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END AS rel FROM (SELECT a.vec_id AS qid, b.vec_id FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 50 = 0)),
+    f"""WITH {_SCORED}, {_ranked('scored', POOL)}, rels AS (SELECT qid, vec_id, CASE WHEN qid = vec_id THEN 3 WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END AS rel FROM (SELECT a.vec_id AS qid, b.vec_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id // 50 = b.vec_id // 50 WHERE a.vec_id % 50 = 0)),
   ideal AS (SELECT qid, sum((2.0::DOUBLE ^ rel - 1) / log2(r + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, vec_id) AS r FROM rels) WHERE r <= 10 GROUP BY qid),
   got AS (SELECT qid, sum((2.0::DOUBLE ^ rel - 1) / log2(rank + 1)) AS dcg FROM ranked JOIN rels USING (qid, vec_id) WHERE rank <= 10 GROUP BY qid)
   SELECT qid, round(CASE WHEN idcg > 0 THEN coalesce(dcg, 0) / idcg ELSE 0 END, 6) AS ndcg FROM ideal LEFT JOIN got USING (qid)"""
 )
 def ndcg_graded(spark, sf):
     vectors = table(spark, sf, "embeddings")
-    asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label")
-    qrels = asked.join(vectors.select(F.col("vec_id").alias("doc_id"), "label"), "label").select("qid", "doc_id", F.when(F.col("qid") == F.col("doc_id"), 3).when(F.col("doc_id") % 2 == 0, 2).otherwise(1).alias("rel"))
+    qrels = _qrels(vectors).select("qid", F.col("vec_id").alias("doc_id")).select("qid", "doc_id", F.when(F.col("qid") == F.col("doc_id"), 3).when(F.col("doc_id") % 2 == 0, 2).otherwise(1).alias("rel"))
     return metrics.graded_ndcg(qrels, _pool(spark, sf).withColumnRenamed("vec_id", "doc_id"))
 
 
-@query(f"WITH {_SCORED}, {_ranked('scored', POOL)}, cuts AS (SELECT unnest([5, 10, 30])::INTEGER AS candidate_k), rels AS (SELECT a.vec_id AS qid, b.vec_id FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 50 = 0) SELECT candidate_k, round(avg(f / n::DOUBLE), 6) AS recall_10, count(*) AS queries FROM (SELECT candidate_k, qid, count(*) FILTER (vec_id IN (SELECT vec_id FROM rels r WHERE r.qid = x.qid)) AS f FROM (SELECT * FROM cuts, ranked WHERE rank <= candidate_k AND rank <= 10) x GROUP BY ALL) JOIN (SELECT qid, count(*) AS n FROM rels GROUP BY qid) USING (qid) GROUP BY candidate_k")
+@query(f"WITH {_SCORED}, {_ranked('scored', POOL)}, cuts AS (SELECT unnest([5, 10, 30])::INTEGER AS candidate_k), rels AS (SELECT a.vec_id AS qid, b.vec_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id // 50 = b.vec_id // 50 WHERE a.vec_id % 50 = 0) SELECT candidate_k, round(avg(f / n::DOUBLE), 6) AS recall_10, count(*) AS queries FROM (SELECT candidate_k, qid, count(*) FILTER (vec_id IN (SELECT vec_id FROM rels r WHERE r.qid = x.qid)) AS f FROM (SELECT * FROM cuts, ranked WHERE rank <= candidate_k AND rank <= 10) x GROUP BY ALL) JOIN (SELECT qid, count(*) AS n FROM rels GROUP BY qid) USING (qid) GROUP BY candidate_k")
 def sweep_candidate_k(spark, sf):
     scored = lambda run: _recall(spark, sf, run)
     return datasets.sweep_candidate_k(_pool(spark, sf), [5, 10, 30], scored)
 
 
 def _recall(spark: SparkSession, sf: str, run: DataFrame) -> DataFrame:
-    vectors = table(spark, sf, "embeddings")
-    asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label")
-    rels = asked.join(vectors.select("vec_id", "label"), "label").select("qid", "vec_id")
+    rels = _qrels(table(spark, sf, "embeddings"))
     hits = run.filter("rank <= 10").join(rels, ["qid", "vec_id"], "left_semi").groupBy("qid").agg(F.count("*").alias("f"))
     per = rels.groupBy("qid").agg(F.count("*").alias("n")).join(hits, "qid", "left")
     return per.agg(F.round(F.avg(F.coalesce("f", F.lit(0)) / F.col("n")), 6).alias("recall_10"), F.count("*").alias("queries"))
@@ -625,14 +630,14 @@ def _retrieved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {_RETRIEVE} SELECT qid, family, score, keyword_score, members, primary_child, parent_found, rank FROM results")
 def retrieve_families(spark, sf):
-    return _retrieved(spark, sf)[0].withColumn("primary_child", F.col("primary_child").cast("long"))
+    return _retrieved(spark, sf)[0].select("qid", "family", "score", "keyword_score", "members", F.col("primary_child").cast("long").alias("primary_child"), "parent_found", "rank")
 
 
 @query(
     f"WITH {_RETRIEVE} SELECT item_id AS qid, coalesce(c.n, 0) AS n_candidates, coalesce(e.n, 0) AS n_eligible, coalesce(r.n, 0) AS n_returned, coalesce(r.s, 0) AS avg_score, CASE WHEN coalesce(r.n, 0) > 0 THEN 'ok' ELSE 'no_evidence' END AS status FROM benchmark LEFT JOIN (SELECT qid, count(*) AS n FROM hybrid GROUP BY qid) c ON c.qid = item_id LEFT JOIN (SELECT qid, count(*) AS n FROM eligible GROUP BY qid) e ON e.qid = item_id LEFT JOIN (SELECT qid, count(*) AS n, round(avg(score), 4) AS s FROM results GROUP BY qid) r ON r.qid = item_id"
 )
 def retrieve_trace(spark, sf):
-    return _retrieved(spark, sf)[1]
+    return _retrieved(spark, sf)[1].select("qid", "n_candidates", "n_eligible", "n_returned", "avg_score", "status")
 
 
 @query()
@@ -722,7 +727,7 @@ def build_dataset(spark, sf):
     return built["corpus"].select("doc_id", "source")
 
 
-_DOC_SCORE = _SCORE_SQL.replace("rels AS (SELECT qid, vec_id FROM qs JOIN embeddings ON label = task)", "rels AS (SELECT DISTINCT qid, embeddings.vec_id // 8 AS vec_id FROM qs JOIN embeddings ON label = task)").replace(
+_DOC_SCORE = _SCORE_SQL.replace("rels AS (SELECT qid, vec_id FROM qs JOIN embeddings ON label = task AND vec_id // 50 = qid // 50)", "rels AS (SELECT DISTINCT qid, embeddings.vec_id // 8 AS vec_id FROM qs JOIN embeddings ON label = task AND embeddings.vec_id // 50 = qid // 50)").replace(
     "FROM ranked JOIN rels", "FROM docs JOIN rels"
 ).replace(
     ", qs AS (",
@@ -736,8 +741,7 @@ def evaluate_documents(spark, sf):
     """Search, family and document ranking, and metrics, end to end."""
     vectors = table(spark, sf, "embeddings")
     queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("task"))
-    doc = F.floor(F.col("vec_id") / 8).alias("doc_id")
-    qrels = queries.join(vectors.select(doc, "label").distinct(), F.col("task") == F.col("label")).select("qid", "doc_id")
+    qrels = _qrels(vectors).select("qid", F.floor(F.col("vec_id") / 8).alias("doc_id")).distinct()
     run = retrieval.rank_documents(_children(spark, sf))
     return metrics.macro_average(metrics.score_queries(queries, qrels, run), "task", _METRICS)
 

@@ -52,6 +52,38 @@ def test_failed_reranker_falls_back(spark):
     assert rt.reranked_or_fused(fused, fused.limit(0))[1] is None
 
 
+def test_retrieve_survives_its_reranker(spark):
+    """A provider that fails costs the reranking, not the answer; the trace says why."""
+
+    def down():
+        raise RuntimeError("no model")
+
+    for level in ("child", "parent"):
+        config = RetrievalConfig(rerank=True, reranker="cross_encoder", rerank_level=level, top_k=2)
+        results, trace = rt.retrieve(questions(spark), chunk_table(spark), config, down)
+        plain = rt.retrieve(questions(spark), chunk_table(spark), RetrievalConfig(top_k=2))[0]
+        pick = lambda df: sorted((r.qid, r["rank"], r.family, r.score) for r in df.collect())
+        assert pick(results) == pick(plain)
+        row = trace.filter("qid = 1").first()
+        assert "no model" in row.fallback_reason and row.rerank_level == level and row.aggregation == "max" and row.status == "ok"
+
+
+def test_questions_to_cited_answers(spark):
+    chunks = chunk_table(spark).withColumn("parent_char_start", F.when(F.col("parent_id").isNotNull(), 0)).withColumn("parent_char_end", F.when(F.col("parent_id").isNotNull(), 5))
+    seen = []
+
+    def answerer():
+        return lambda prompts: [f"All said [1]. {p.count('[2]')}" for p in prompts]
+
+    asked = questions(spark).drop("qvec")
+    embedder = lambda: lambda texts: [[1.0, 0.0] for _ in texts]
+    got = {r.qid: r for r in rt.ask(asked, chunks, answerer, RetrievalConfig(top_k=2), embedder=embedder, dim=2).collect()}
+    assert got["1"].status == "ok" and got["1"].answer.startswith("All said [1]. 1") and [(c.citation_index, c.name) for c in got["1"].citations] == [(1, "doc")]
+    assert got["2"].status == "no_evidence" and got["2"].citations == [] and not seen
+    none = rt.ask(asked, chunks.limit(0), answerer, RetrievalConfig(mode="keyword"))
+    assert {r.status for r in none.collect()} == {"no_evidence"}
+
+
 def test_scores_are_checked(spark):
     ok = spark.createDataFrame([(0.5, None), (1.0, 0.0)], "score double, rerank_score double")
     assert rt.check_scores(ok).count() == 2
