@@ -26,20 +26,23 @@ def approximate_tokens(text: str) -> int:
     return len(_PIECE.findall(text))
 
 
+def _kind(c: str) -> int:
+    if c.isspace():
+        return _SPACE
+    return _LETTER if (c.isalnum() or c == "_") and not "㐀" <= c <= "鿿" else _ALONE
+
+
 _kinds: list[np.ndarray] = []
 
 
-def _kind_table() -> np.ndarray:
+def _kinds_of(codes: np.ndarray) -> np.ndarray:
     """Whether each code point is white space, a letter of a word or a token alone."""
     if not _kinds:
-        kinds = np.full(0x110000, _ALONE, np.uint8)
-        for c in map(chr, range(0x110000)):
-            if c.isspace():
-                kinds[ord(c)] = _SPACE
-            elif (c.isalnum() or c == "_") and not "㐀" <= c <= "鿿":
-                kinds[ord(c)] = _LETTER
-        _kinds.append(kinds)
-    return _kinds[0]
+        _kinds.append(np.fromiter((_kind(chr(i)) for i in range(0x10000)), np.uint8, 0x10000))
+    out = _kinds[0][np.minimum(codes, 0xFFFF)]
+    far = np.flatnonzero(codes > 0xFFFF)
+    out[far] = [_kind(chr(i)) for i in codes[far].tolist()]
+    return out
 
 
 class Ruler:
@@ -51,7 +54,7 @@ class Ruler:
 
     def __init__(self, text: str):
         self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kinds = _kind_table()[self.codes]
+        kinds = _kinds_of(self.codes)
         letter = kinds == _LETTER
         begins = letter & ~np.concatenate([[False], letter[:-1]])
         at = np.arange(len(kinds))

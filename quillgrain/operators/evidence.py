@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,10 @@ from ..functions.tokens import Counter, approximate_tokens
 SLACK = 24
 WINDOWS = "qid string, rank int, chunk_id string, doc_id string, window_no int, content string, first int, last int, children array<string>, match_first int, match_last int, whole boolean"
 
+PROMPTS = pa.schema(
+    [("qid", pa.string()), ("n_evidence", pa.int64()), ("n_dropped", pa.int64()), ("used_tokens", pa.int64()), ("evidence", pa.list_(pa.string())), ("shown", pa.list_(pa.struct([("rank", pa.int32()), ("content", pa.string())])))]
+)
+
 Span = tuple[int, int]
 
 
@@ -215,14 +220,20 @@ def fit_prompts(windows: DataFrame, config: EvidenceConfig, fixed_tokens: int =
     holds at most the windows of its ``context_top_k`` parents.
     """
 
-    def span(a: Any, b: Any) -> Span | None:
-        return None if pd.isna(a) else (int(a), int(b))
+    def span(a: int | None, b: int | None) -> Span | None:
+        return None if a is None else (a, b)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "chunk_id", "window_no"])
-        ranks = {(r["chunk_id"], r["doc_id"]): int(r["rank"]) for r in pdf.to_dict("records")}
-        parts = [Window(r["chunk_id"], r["doc_id"], r["content"], span(r["first"], r["last"]), span(r["match_first"], r["match_last"]), (), bool(r["whole"])) for r in pdf.to_dict("records")]
+    def one(rows: list[dict[str, Any]]) -> tuple[int, int, int, list[str], list[dict[str, Any]]]:
+        parts = [Window(r["chunk_id"], r["doc_id"], r["content"], span(r["first"], r["last"]), span(r["match_first"], r["match_last"]), (), bool(r["whole"])) for r in rows]
+        ranks = {(r["chunk_id"], r["doc_id"]): r["rank"] for r in rows}
         taken, dropped, used = fit_prompt(fixed_tokens, parts, config, count)
-        return pd.DataFrame({"qid": [pdf["qid"].iloc[0]], "n_evidence": [len(taken)], "n_dropped": [len(dropped)], "used_tokens": [used], "evidence": [[w.chunk_id for w in taken]], "shown": [[{"rank": ranks[w.chunk_id, w.doc_id], "content": w.content} for w in taken]]})
+        return len(taken), len(dropped), used, [w.chunk_id for w in taken], [{"rank": ranks[w.chunk_id, w.doc_id], "content": w.content} for w in taken]
+
+    def run(batches):
+        for batch in batches:
+            made = [(q, *one(rows)) for q, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_pylist([dict(zip(PROMPTS.names, m)) for m in made], PROMPTS)
 
-    return windows.groupBy("qid").applyInPandas(run, "qid string, n_evidence long, n_dropped long, used_tokens long, evidence array<string>, shown array<struct<rank:int,content:string>>")
+    fields = ["rank", "chunk_id", "window_no", "doc_id", "content", "first", "last", "match_first", "match_last", "whole"]
+    gathered = windows.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
+    return gathered.select(F.col("qid").cast("string").alias("qid"), "rows").mapInArrow(run, "qid string, n_evidence long, n_dropped long, used_tokens long, evidence array<string>, shown array<struct<rank:int,content:string>>")

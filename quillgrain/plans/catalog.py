@@ -560,17 +560,10 @@ def prompt_budget(spark, sf):
     return evidence.fit_prompts(windows, EvidenceConfig(evidence_max_tokens=512)).select("qid", "n_evidence", "n_dropped", "used_tokens")
 
 
-#: Windows of a whole document as one parent: the places of its matches, and whether the prompt holds them, follow from SQL alone.
-_SHOWN = """WITH texts AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 40),
-  spans AS (SELECT doc_id, n, text, 10 AS a, 30 AS b, n - 30 AS c, n - 10 AS d FROM texts),
-  reach AS (SELECT *, greatest(0, a - 20) AS l1, least(n, b + 20) AS r1, greatest(0, c - 20) AS l2, least(n, d + 20) AS r2 FROM spans),
-  wide AS (SELECT *, (l2 <= r1 AND greatest(r1, r2) - l1 <= 60) AS one FROM reach)"""
-
-
 @query(
-    f"""{_SHOWN} SELECT doc_id::VARCHAR AS qid, 0::INTEGER AS window_no, substr(text, 1, n) AS content, 0::INTEGER AS first, n::INTEGER AS last FROM wide WHERE n <= 60
-  UNION ALL SELECT doc_id::VARCHAR, 0, substr(text, l1 + 1, r1 - l1), l1::INTEGER, r1::INTEGER FROM wide WHERE n > 60
-  UNION ALL SELECT doc_id::VARCHAR, 1, substr(text, l2 + 1, r2 - l2), l2::INTEGER, r2::INTEGER FROM wide WHERE n > 60"""
+    """WITH texts AS (SELECT doc_id::VARCHAR AS qid, text, length(text) AS n FROM documents WHERE length(text) >= 40)
+  SELECT qid, 0::INTEGER AS window_no, substr(text, 1, least(n, 60)) AS content, 0::INTEGER AS first, least(n, 60)::INTEGER AS last FROM texts
+  UNION ALL SELECT qid, 1, substr(text, n - 59, 60), (n - 60)::INTEGER, n::INTEGER FROM texts WHERE n > 60"""
 )
 def windows_by_characters(spark, sf):
     """Windows under a counter of characters: 60 around matches of 20 near either end of every document."""
@@ -583,9 +576,10 @@ def windows_by_characters(spark, sf):
 
 
 @query(
-    """WITH parts AS (SELECT doc_id, i AS rank, substr(text, (i - 1) * 200 + 1, 200) AS content FROM documents, range(1, 6) r(i) WHERE length(text) > (i - 1) * 200),
-  sized AS (SELECT *, 4 + length(content) AS cost, sum(4 + length(content)) OVER w + 2 * (row_number() OVER w - 1) AS used FROM parts WINDOW w AS (PARTITION BY doc_id ORDER BY rank))
-  SELECT doc_id::VARCHAR AS qid, count(*) FILTER (used <= 500) AS n_evidence, count(*) FILTER (used > 500) AS n_dropped, (100 + coalesce(max(used) FILTER (used <= 500), 0))::BIGINT AS used_tokens FROM sized GROUP BY doc_id"""
+    """WITH cuts AS (SELECT doc_id::VARCHAR AS qid, least(5, length(text) // 200) AS whole, CASE WHEN length(text) < 1000 THEN length(text) % 200 ELSE 0 END AS rest FROM documents WHERE length(text) > 0),
+  fitted AS (SELECT *, least(whole, 2) AS taken, CASE least(whole, 2) WHEN 0 THEN 0 WHEN 1 THEN 204 ELSE 410 END AS used FROM cuts),
+  ended AS (SELECT *, rest > 0 AND used + CASE WHEN taken > 0 THEN 2 ELSE 0 END + 4 + rest <= 500 AS fits FROM fitted)
+  SELECT qid, (taken + fits::INTEGER)::BIGINT AS n_evidence, (whole - taken + (rest > 0 AND NOT fits)::INTEGER)::BIGINT AS n_dropped, (100 + used + CASE WHEN fits THEN CASE WHEN taken > 0 THEN 2 ELSE 0 END + 4 + rest ELSE 0 END)::BIGINT AS used_tokens FROM ended"""
 )
 def prompt_by_characters(spark, sf):
     """Ranked parts of every document put in a prompt of 500 characters, whole or not at all."""
