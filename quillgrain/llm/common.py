@@ -44,6 +44,18 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker, over its tasks.
+
+    Functions come to the workers by value, and their module's globals with them.
+    """
+    import sys
+    import types
+
+    name = "quillgrain_worker_cache"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 

@@ -24,11 +24,13 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 SAMPLE_ROWS = 6000
+#: Bytes of text that the fit takes at most.
+SAMPLE_BYTES = 128 << 20
 BUCKETS = 1 << 15
 DIMS = 48
 NONZERO = 4
@@ -183,8 +185,8 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """A model of at most ``sample_rows`` labelled rows outside the held-out fold.
+def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> QualityModel:
+    """A model of at most ``sample_rows`` labelled rows outside the held-out fold, ``sample_bytes`` of text in all.
 
     The ids are chosen by hash, at most ``sample_rows`` of them, so they can be
     broadcast; rows come in order of id, label and text, so refits agree.
@@ -192,7 +194,10 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
     chosen = usable.select(F.col(id_col).alias("chosen_id"), F.col(label_col).alias("chosen_label")).distinct().orderBy(F.xxhash64("chosen_id"), "chosen_id", "chosen_label").limit(sample_rows)
     own = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text"))
-    rows = own.join(F.broadcast(chosen), F.col("own_id") == F.col("chosen_id")).orderBy(F.xxhash64("own_id"), "own_id", "chosen_label", F.xxhash64("own_text")).limit(sample_rows).select("own_text", "chosen_label").collect()
+    order = [F.xxhash64("own_id"), F.col("own_id"), F.col("chosen_label"), F.xxhash64("own_text")]
+    some = own.join(F.broadcast(chosen), F.col("own_id") == F.col("chosen_id")).orderBy(*order).limit(sample_rows)
+    upto = F.sum(F.coalesce(F.octet_length("own_text"), F.lit(0))).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = some.withColumn("upto", upto).filter(F.col("upto") <= sample_bytes).orderBy(*order).select("own_text", "chosen_label").collect()
     return QualityModel().fit([r[0] for r in rows], [int(r[1]) for r in rows])
 
 

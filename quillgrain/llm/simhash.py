@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .common import cut, forget, unused
+from .common import cut, forget, unused, worker_cache
 from .components import components
 
 SEED = 42
@@ -122,17 +122,16 @@ class Golay:
         return found, use
 
 
-_golay: list[Golay] = []
-
-
 def golay_keys(prints: np.ndarray) -> list[np.ndarray]:
     """The keys of each fingerprint (uint64): 3 to 18."""
-    if not _golay:
-        _golay.append(Golay())
+    cache = worker_cache()
+    if "golay" not in cache:
+        cache["golay"] = Golay()
+    golay = cache["golay"]
     parts = [((prints >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64) for shift, bits in SEGMENTS]
     keys, use = [], []
     for j in range(3):
-        found, counts = _golay[0].indices(parts[(j + 1) % 3])
+        found, counts = golay.indices(parts[(j + 1) % 3])
         keys.append((np.int64(j) << 34) | (parts[j][:, None] << 12) | found)
         use.append(counts)
     keys, use = np.concatenate(keys, axis=1), np.concatenate(use, axis=1)

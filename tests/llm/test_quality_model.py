@@ -50,3 +50,47 @@ def test_long_text_is_read_whole():
     text = prose(1, 50) + " end&&&"
     found, *_ , total = q.counted(text * 40_000)
     assert found["&&&"] > 39_000 and total > 2_000_000
+
+
+def test_scores_against_a_plain_forward_pass():
+    """Word vectors, pooling, network and temperature, written out without arrays."""
+    import math
+
+    good, bad = labelled(120)
+    texts, labels = [t for _, t in good + bad], [1] * len(good) + [0] * len(bad)
+    model = q.QualityModel().fit(texts, labels)
+    # A word's vector: the index vectors within two words of it over the sample, at unit length.
+    index, word = q.QualityModel().index.tolist(), q.bucket(q.TOKEN.findall(texts[0])[3])
+    total, documents_with = [0.0] * q.DIMS, 0
+    for t in texts:
+        ids = [q.bucket(x) for x in q.TOKEN.findall(t)]
+        documents_with += word in ids
+        for i, w in enumerate(ids):
+            if w == word:
+                for j in range(max(0, i - q.WINDOW), min(len(ids), i + q.WINDOW + 1)):
+                    if j != i:
+                        total = [a + b for a, b in zip(total, index[ids[j]])]
+    size = math.sqrt(sum(x * x for x in total))
+    want = [x / size for x in total] if documents_with >= q.MIN_DOCUMENTS else [0.0] * q.DIMS
+    assert np.allclose(model.vectors[word], want, atol=1e-5)
+    for text in [texts[0], texts[-1], "", "one", "a a A!! 7"]:
+        tokens = q.TOKEN.findall(text)
+        x = [0.0] * (q.DIMS + 7)
+        if tokens:
+            weights = [float(model.weight[q.bucket(t)]) for t in tokens]
+            mean = [sum(w * float(model.vectors[q.bucket(t)][d]) for w, t in zip(weights, tokens)) / sum(weights) for d in range(q.DIMS)]
+            n, kinds = len(tokens), set(tokens)
+            x = [*mean, math.sqrt(sum(m * m for m in mean)), len(kinds) / n**0.75, math.log1p(n), sum(len(t) > 1 and t.isupper() for t in tokens) / n, sum(a == b for a, b in zip(tokens, tokens[1:])) / n, max(map(tokens.count, kinds)) / n, sum(not t[0].isalnum() for t in tokens) / n]
+        net = {k: v.tolist() for k, v in model.net.items()}
+        z = [max(-6.0, min(6.0, (a - m) / s)) for a, m, s in zip(x, net["mean"], net["scale"])]
+        hidden = [math.tanh(sum(a * net["w1"][i][h] for i, a in enumerate(z)) + net["b1"][h]) for h in range(q.HIDDEN)]
+        logit = sum(a * b for a, b in zip(hidden, net["w2"])) + net["b2"][0]
+        assert abs(model.score([text])[0] - 1 / (1 + math.exp(-logit / model.temperature))) < 1e-4
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    good, bad = labelled(60)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in good + bad], documents(spark).schema)
+    labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad], "doc_id long, quality int")
+    assert q.fit_on_labels(docs, labels, sample_bytes=100).net is None
+    assert q.fit_on_labels(docs, labels).net is not None
