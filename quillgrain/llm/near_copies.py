@@ -38,6 +38,8 @@ SAMPLE_ONE_IN = 16
 COMMON_ROWS = 64
 #: So many common shingles are put last; more stay in place, which costs work and no pair.
 MOST_COMMON = 50_000
+#: Names of texts (8 bytes each) that are sent to every task at most.
+MOST_SENT = 500_000
 #: Bytes of a shingle's hash that whole sets are compared by.
 HASH_BYTES = 5
 SKETCH = T.StructType(
@@ -67,7 +69,8 @@ def _prefix_column(n: Column) -> Column:
 
 
 def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
-    late = np.isin(shingles, common)
+    """The text's keys; ``common`` is in order."""
+    late = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles if len(common) else np.zeros(len(shingles), bool)
     return np.concatenate([shingles[~late], shingles[late]])[: prefix_length(len(shingles))]
 
 
@@ -101,7 +104,7 @@ def common_shingles(docs: DataFrame, text_col: str = "text", one_in: int = SAMPL
 
     some = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(one_in)) == 0).select(F.explode(shingles(F.col(text_col))).alias("key"))
     often = some.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > max(1, rows // one_in))
-    return np.array([r.key for r in often.orderBy(F.desc("rows"), "key").select("key").head(most)], np.int64)
+    return np.sort(np.array([r.key for r in often.orderBy(F.desc("rows"), "key").select("key").head(most)], np.int64))
 
 
 def sketches(docs: DataFrame, text_col: str, common: np.ndarray) -> Column:
@@ -125,11 +128,14 @@ def sketches(docs: DataFrame, text_col: str, common: np.ndarray) -> Column:
 def _verified(made: DataFrame, pairs: DataFrame) -> DataFrame:
     """The distinct pairs (u, v) whose whole sets reach 0.8. Only sets that some pair needs are moved, each once a pair."""
     pairs = cut(pairs, "candidates")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
+    names = wanted = cut(pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct(), "wanted")
+    if wanted.count() <= MOST_SENT:
+        # Few enough names to send to every task: then only the sets asked for move, else all do once.
+        wanted = F.broadcast(wanted)
     sets = cut(made.select("sig", "hashes").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("hashes").alias("hashes")), "sets", large=True)
     a, b = (sets.select(F.col("sig").alias(x), F.col("hashes").alias(x + "_set")) for x in ("u", "v"))
     found = cut(pairs.join(a, "u").join(b, "v").filter(_near("u_set", "v_set")).select("u", "v"), "near-pairs", large=True)
-    forget(pairs, sets)
+    forget(pairs, sets, names)
     return found
 
 
