@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, html_main, mixing, quality_model, quality_rules, secret_scan, sharding, simhash, url_filter
+from . import chat_format, collocations, decontaminate, html_main, mixing, order_minhash, quality_model, quality_rules, secret_scan, sharding, simhash, url_filter, whitening
 from .common import table
 
 SHARDS = 40
@@ -57,7 +57,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_simhash, op4_sharding, op5_url_filter, op6_quality_rules, op7_secret_scan, op8_mixing, op9_chat_format, op10_html_extraction)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_simhash, op4_sharding, op5_url_filter, op6_quality_rules, op7_secret_scan, op8_mixing, op9_chat_format, op10_html_extraction, op11_whitening, op12_order_minhash, op13_collocations)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -158,4 +170,23 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM sized GROUP BY conv_id, alone
 """
 
-ORACLES = {"op5_url_filter": _OP5, "op6_quality_rules": _OP6, "op7_secret_scan": _OP7, "op8_mixing": _OP8, "op9_chat_format": _OP9}
+_OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+parts AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM parts GROUP BY lang),
+grams AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase FROM parts, range(1, 6) s(size)),
+counts AS (SELECT lang, size, phrase, count(*)::HUGEINT AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS first, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+  FROM counts, range(1, 5) c(k) WHERE k < size),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, k, x.a AS l, y.a AS r, n, (1000 * cuts.a * n) // (x.a * y.a) AS score
+  FROM cuts JOIN counts x ON cuts.lang = x.lang AND first = x.phrase JOIN counts y ON cuts.lang = y.lang AND rest = y.phrase JOIN totals ON cuts.lang = totals.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM lowest s WHERE NOT EXISTS (SELECT 1 FROM counts c WHERE c.lang = s.lang AND c.a >= s.a AND length(c.phrase) > length(s.phrase) AND contains(' ' || c.phrase || ' ', ' ' || s.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op13_collocations": _OP13, "op5_url_filter": _OP5, "op6_quality_rules": _OP6, "op7_secret_scan": _OP7, "op8_mixing": _OP8, "op9_chat_format": _OP9}
