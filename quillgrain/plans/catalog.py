@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import ChunkConfig, EvidenceConfig, RetrievalConfig
 from ..functions import text as tx
 from ..functions.vectors import is_valid
-from ..operators import chunking, citation, conversation, datasets, evidence, images, metrics, parsing, retrieval, retrieve, rewriting, runs, search, sessions
+from ..operators import chunking, citation, conversation, datasets, evidence, graph_index, images, metrics, parsing, retrieval, retrieve, rewriting, runs, search, sessions
 from ..sources import registry, store
 
 K, POOL, DIM = 10, 30, 64
@@ -71,6 +71,13 @@ def vector_topk_blocks(spark, sf):
     return retrieval.vector_topk_blocks(vectors, asked, K)
 
 
+@query(_TOP)
+def vector_topk_graph(spark, sf):
+    """Search over graphs; on these tables it finds all that exact search finds, with a part of the cosines."""
+    vectors = table(spark, sf, "embeddings")
+    return graph_index.graph_topk(graph_index.graph_parts(vectors), _asked(vectors), K, ef=40).drop("evaluated")
+
+
 @query(f"WITH {_SCORED}, {_ranked('(SELECT * FROM scored WHERE label IN (0, 1, 2))', K)} SELECT qid, vec_id, score, rank FROM ranked")
 def vector_topk_filtered(spark, sf):
     vectors = table(spark, sf, "embeddings")
