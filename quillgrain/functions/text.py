@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -43,6 +44,24 @@ def tokenize(text: Column) -> Column:
     return F.when(whole.rlike(CJK_PATTERN), F.flatten(F.transform(F.regexp_extract_all(whole, F.lit(TOKEN_PATTERN), F.lit(0)), of))).otherwise(fast)
 
 
+_RUN = re.compile("[A-Za-z0-9_+#.]+|[一-鿿]+")
+
+
+def tokens_of(text: str | None) -> list[str]:
+    """What ``tokenize`` makes of one text, for functions that run in Python anyway."""
+    out: list[str] = []
+    for run in _RUN.findall(text or ""):
+        if run[0] < "一":
+            token = run.lower().strip("._")
+            if token:
+                out.append(token)
+        else:
+            chars = [c for c in run if c not in CJK_STOP]
+            out += chars
+            out += [a + b for a, b in zip(chars, chars[1:])]
+    return out
+
+
 def query_terms(text: Column) -> Column:
     """Distinct tokens without the query stop terms."""
     return F.array_except(F.array_distinct(tokenize(text)), F.array(*map(F.lit, QUERY_STOP)))

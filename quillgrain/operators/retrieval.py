@@ -69,22 +69,26 @@ def vector_topk_blocks(corpus: DataFrame, queries: list[tuple[Any, list[float]]]
     return top_by(reduce(DataFrame.unionByName, (search.nearest(corpus, b, qid_type, k, id_col, vector) for b in blocks)), k, F.desc("score"), F.asc(id_col))
 
 
+def field_texts(corpus: DataFrame, fields: Sequence[str]) -> list[Column]:
+    """The text of each field; a list of texts is read as one text."""
+    return [(F.array_join(F.col(f), " ") if isinstance(corpus.schema[f].dataType, T.ArrayType) else F.col(f)).alias(f) for f in fields]
+
+
 def field_tokens(corpus: DataFrame, fields: Sequence[str]) -> list[Column]:
-    """Tokens of each field; a list of texts is read as one text."""
-    said = lambda f: F.array_join(F.col(f), " ") if isinstance(corpus.schema[f].dataType, T.ArrayType) else F.col(f)
-    return [tokenize(said(f)).alias(f) for f in fields]
+    """Tokens of each field."""
+    return [tokenize(said).alias(f) for f, said in zip(fields, field_texts(corpus, fields))]
 
 
 def keyword_topk(corpus: DataFrame, queries: DataFrame, k: int, fields: dict[str, float], id_col: str = "doc_id") -> DataFrame:
     """qid, id, raw, score and rank: BM25 of the best boosted field, over the query's greatest.
 
-    ``queries`` has qid and text. The corpus is read twice, to count the asked
-    terms and to score; nothing but each task's best rows is shuffled.
+    ``queries`` has qid and text. The corpus is read once, to count the asked
+    terms; nothing but each task's best rows is shuffled.
     """
     asked = queries.select("qid", query_terms(F.col("text")).alias("terms"))
     kind = queries.schema["qid"].dataType
-    tokens = corpus.select(id_col, *field_tokens(corpus, list(fields)))
-    parts = [search.keyword_best(tokens, terms, kind, k, id_col, fields, K1, B) for terms in search.term_blocks(asked)]
+    texts = corpus.select(id_col, *field_texts(corpus, list(fields)))
+    parts = [search.keyword_best(texts, terms, kind, k, id_col, fields, K1, B) for terms in search.term_blocks(asked)]
     none = [corpus.sparkSession.createDataFrame([], T.StructType([T.StructField("qid", kind), corpus.schema[id_col], T.StructField("score", T.DoubleType())]))]
     top = top_by(reduce(DataFrame.unionByName, parts or none).withColumnRenamed("score", "raw"), k, F.desc("raw"), F.asc(id_col))
     greatest = F.max("raw").over(Window.partitionBy("qid"))

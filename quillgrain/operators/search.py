@@ -13,11 +13,14 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.text import tokens_of
+
 #: Questions a pass takes at most, and cells that a score matrix or a question-by-term matrix may have.
 QUERY_BLOCK = 4096
 MOST_CELLS = 4_000_000
@@ -130,10 +133,10 @@ class Terms:
     def __init__(self, asked: Sequence[tuple[Any, Sequence[str]]]):
         self.qids = [q for q, _ in asked]
         self.terms = sorted({t for _, terms in asked for t in terms or ()})
-        place = {t: i for i, t in enumerate(self.terms)}
+        self.place = {t: i for i, t in enumerate(self.terms)}
         self.wanted = np.zeros((len(asked), len(self.terms)))
         for n, (_, terms) in enumerate(asked):
-            self.wanted[n, [place[t] for t in terms or ()]] = 1.0
+            self.wanted[n, [self.place[t] for t in terms or ()]] = 1.0
 
     def counts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """How often each asked term stands in each row's tokens, and the number of tokens of each row."""
@@ -144,6 +147,21 @@ class Terms:
         size = len(column) * len(self.terms)
         return np.bincount(row[hit] * len(self.terms) + found[hit], minlength=size).reshape(len(column), -1).astype(float), lengths.astype(float)
 
+    def summed(self, rows: int, row: np.ndarray, term: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Rows by questions: the values of each row's terms, summed for the questions that ask for them.
+
+        Only the terms that the rows hold take part.
+        """
+        held, column = np.unique(term, return_inverse=True)
+        out = np.zeros((rows, len(self.qids)))
+        step = max(1, MOST_CELLS // max(1, len(held)))
+        for at in range(0, rows, step):
+            own = (row >= at) & (row < at + step)
+            part = np.zeros((min(step, rows - at), len(held)))
+            part[row[own] - at, column[own]] = value[own]
+            out[at : at + step] = part @ self.wanted[:, held].T
+        return out
+
 
 def term_blocks(asked: DataFrame) -> Iterator[Terms]:
     """Asked questions (qid, terms) in blocks whose question-by-term matrix is of bounded size."""
@@ -161,57 +179,104 @@ def term_blocks(asked: DataFrame) -> Iterator[Terms]:
             yield Terms(held)
 
 
-def _steps(batches: Iterator[pa.RecordBatch], terms: Terms) -> Iterator[pa.RecordBatch]:
-    step = max(1, MOST_CELLS // max(1, len(terms.terms)))
-    for whole in batches:
-        for at in range(0, whole.num_rows, step):
-            yield whole.slice(at, step)
+def count_terms(texts: DataFrame, terms: Terms, fields: Sequence[str]) -> DataFrame:
+    """id, lengths (tokens of each field), hits (field * terms + term) and times: what BM25 needs of each row.
+
+    ``texts`` has the id and the text of each field. It is the one pass over them:
+    statistics and scores both come from these rows, which executors keep.
+    """
+    id_type = texts.schema[0].dataType
+    schema = T.StructType([texts.schema[0], *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("lengths", "hits", "times"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for row in zip(*columns):
+                lengths, found = [], {}
+                for f, text in enumerate(row[1:]):
+                    tokens = tokens_of(text)
+                    lengths.append(len(tokens))
+                    for t in tokens:
+                        if (at := terms.place.get(t)) is not None:
+                            at += f * len(terms.terms)
+                            found[at] = found.get(at, 0) + 1
+                rows.append((row[0], lengths, list(found), list(found.values())))
+            kinds = [to_arrow_type(id_type), *[pa.list_(pa.int32())] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, kinds)], names=schema.names)
+
+    return kept(texts.mapInArrow(run, schema))
+
+
+#: Frames that executors keep; the oldest goes when there are more. One that has gone is computed again when it is asked.
+MOST_KEPT = 4
+_kept: list[DataFrame] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    _kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    while len(_kept) > MOST_KEPT:
+        old = _kept.pop(0)
+        if old.sparkSession.sparkContext._jsc is not None:
+            old.unpersist()
+    return df
 
 
-def _statistics(tokens: DataFrame, terms: Terms, fields: Sequence[str]) -> tuple[int, dict[str, float], dict[str, np.ndarray]]:
+def _flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _statistics(counted: DataFrame, terms: Terms, fields: Sequence[str]) -> tuple[int, dict[str, float], dict[str, np.ndarray]]:
     """Rows, mean length of each field, and of each field how many rows have each term. Tasks send sums."""
+    size = len(fields) * len(terms.terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, total, df = 0, np.zeros(len(fields)), np.zeros((len(fields), len(terms.terms)), np.int64)
-        for batch in _steps(batches, terms):
-            rows += batch.num_rows
-            for f in range(len(fields)):
-                counts, lengths = terms.counts(batch.column(f + 1))
-                total[f] += lengths.sum()
-                df[f] += (counts > 0).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([rows] * len(fields), pa.int64()), pa.array(range(len(fields)), pa.int32()), pa.array(total), pa.array(df.tolist(), pa.list_(pa.int64()))], names=["rows", "field", "total", "df"])
-
-    per_task = tokens.mapInArrow(run, "rows long, field int, total double, df array<long>")
-    counts = per_task.select("field", F.posexplode("df").alias("term", "n")).groupBy("field", "term").agg(F.sum("n").alias("n")).filter("n > 0").collect()
-    means = per_task.groupBy("field").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total")).collect()
-    df = {f: np.zeros(len(terms.terms)) for f in fields}
-    for r in counts:
-        df[fields[r.field]][r.term] = r.n
-    rows = max((r.rows for r in means), default=0)
-    return rows, {fields[r.field]: r.total / max(1, r.rows) for r in means}, df
-
-
-def keyword_best(tokens: DataFrame, terms: Terms, qid_type: T.DataType, k: int, id_col: str, boosts: dict[str, float], k1: float, b: float) -> DataFrame:
-    """Each task's best rows by BM25 of the best field; ``tokens`` has the id and an array of tokens a field.
-
-    One pass counts the terms, one scores. Rows without an asked term don't match.
+        sums = np.zeros(1 + len(fields) + size, np.int64)
+        for batch in batches:
+            sums[0] += batch.num_rows
+            sums[1 : 1 + len(fields)] += _flat(batch.column(1)).reshape(-1, len(fields)).sum(axis=0)
+            sums[1 + len(fields) :] += np.bincount(_flat(batch.column(2)), minlength=size)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], names=["at", "n"])
+
+    sums = np.zeros(1 + len(fields) + size)
+    for r in counted.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        sums[r.at] = r.n
+    df = sums[1 + len(fields) :].reshape(len(fields), len(terms.terms))
+    return int(sums[0]), {f: sums[1 + n] / max(1, sums[0]) for n, f in enumerate(fields)}, {f: df[n] for n, f in enumerate(fields)}
+
+
+def term_weights(rows: int, df: np.ndarray) -> np.ndarray:
+    return np.log(1 + (rows - df + 0.5) / (df + 0.5))
+
+
+def saturation(times: np.ndarray, length: np.ndarray, mean: float, k1: float, b: float) -> np.ndarray:
+    return times / (times + k1 * (1 - b + b * length / (mean or 1.0)))
+
+
+def keyword_best(texts: DataFrame, terms: Terms, qid_type: T.DataType, k: int, id_col: str, boosts: dict[str, float], k1: float, b: float) -> DataFrame:
+    """Each task's best rows by BM25 of the best field; ``texts`` has the id and a text a field.
+
+    Rows without an asked term don't match.
     """
     fields = list(boosts)
-    rows, mean, df = _statistics(tokens, terms, fields)
-    weights = {f: np.log(1 + (rows - df[f] + 0.5) / (df[f] + 0.5)) for f in fields}
+    counted = count_terms(texts, terms, fields)
+    rows, mean, df = _statistics(counted, terms, fields)
+    weights = {f: term_weights(rows, df[f]) for f in fields}
 
     def scores(batch: pa.RecordBatch) -> np.ndarray:
         best = np.full((batch.num_rows, len(terms.qids)), -np.inf)
+        lengths = _flat(batch.column(1)).reshape(-1, len(fields))
+        hits, times = _flat(batch.column(2)), _flat(batch.column(3)).astype(float)
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))
         for n, f in enumerate(fields):
-            for at in range(0, batch.num_rows, step := max(1, MOST_CELLS // max(1, len(terms.terms)))):
-                tf, lengths = terms.counts(batch.column(n + 1).slice(at, step))
-                part = tf / (tf + k1 * (1 - b + b * lengths[:, None] / (mean[f] or 1.0))) * weights[f]
-                found = boosts[f] * (part @ terms.wanted.T)
-                own = best[at : at + step]
-                np.maximum(own, np.where(found > 0, found, -np.inf), out=own)
+            own = hits // max(1, len(terms.terms)) == n
+            term = hits[own] - n * len(terms.terms)
+            found = boosts[f] * terms.summed(batch.num_rows, row[own], term, saturation(times[own], lengths[row[own], n], mean[f], k1, b) * weights[f][term])
+            np.maximum(best, np.where(found > 0, found, -np.inf), out=best)
         return np.round(best, 6)
 
-    return best_rows(tokens, id_col, terms.qids, qid_type, k, scores)
+    return best_rows(counted, id_col, terms.qids, qid_type, k, scores)
 
 
 def overlap_best(tokens: DataFrame, terms: Terms, qid_type: T.DataType, k: int, id_col: str) -> DataFrame:

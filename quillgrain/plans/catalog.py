@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import ChunkConfig, EvidenceConfig, RetrievalConfig
 from ..functions import text as tx
 from ..functions.vectors import is_valid
-from ..operators import chunking, citation, conversation, datasets, evidence, graph_index, images, metrics, parsing, retrieval, retrieve, rewriting, runs, search, sessions
+from ..operators import chunking, citation, conversation, datasets, evidence, graph_index, images, keyword_index, metrics, parsing, retrieval, retrieve, rewriting, runs, search, sessions
 from ..sources import registry, store
 
 K, POOL, DIM = 10, 30, 64
@@ -139,6 +139,17 @@ def bm25_best_fields(spark, sf):
     return retrieval.keyword_topk(table(spark, sf, "documents"), _questions(spark, sf), POOL, {"lang": 2.0, "text": 1.0})
 
 
+@query(ORACLES["bm25_best_fields"].replace("SELECT qid, doc_id, raw, round(CASE WHEN max(raw) OVER q > 0 THEN raw / max(raw) OVER q ELSE 0 END, 6) AS score, rank FROM ranked WINDOW q AS (PARTITION BY qid)", "SELECT qid, doc_id, raw, rank FROM ranked"))
+def bm25_stored_index(spark, sf):
+    """The same from postings that are written once and read by term."""
+    folder = store.scratch_dir(spark)
+    docs = store.VersionedTable(spark, f"{folder}/documents", buckets=8)
+    docs.write(table(spark, sf, "documents"))
+    index = keyword_index.KeywordIndex(spark, f"{folder}/postings", docs, {"lang": 2.0, "text": 1.0}, "doc_id")
+    index.build()
+    return index.topk(_questions(spark, sf), POOL)[0]
+
+
 # --- fusion, reranking, families -------------------------------------------------------------------------------------
 
 _HYBRID = f"""{_KEYWORD}, vasked AS (SELECT item_id AS qid, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
@@ -149,11 +160,11 @@ _HYBRID = f"""{_KEYWORD}, vasked AS (SELECT item_id AS qid, embedding::DOUBLE[]
   {_ranked('fused', POOL, 'fused_score DESC, doc_id', 'hybrid')}"""
 
 
-def _hybrid(spark: SparkSession, sf: str) -> DataFrame:
+def _hybrid(spark: SparkSession, sf: str, keyword: DataFrame | None = None) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     asked = table(spark, sf, "benchmark").join(vectors, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("qid"), F.col("embedding").alias("qvec"))
     found = retrieval.vector_topk(vectors, asked, POOL).withColumnRenamed("vec_id", "doc_id")
-    return retrieval.rrf_fuse(found, _keyword(spark, sf), POOL)
+    return retrieval.rrf_fuse(found, _keyword(spark, sf) if keyword is None else keyword, POOL)
 
 
 @query(f"WITH {_HYBRID} SELECT qid, doc_id, vector_score, keyword_score, channel_hits, fused_score, rank FROM hybrid")
@@ -227,8 +238,9 @@ def dedupe_by_doc(spark, sf):
     f"WITH {_HYBRID}, two AS (SELECT qid, doc_id, fused_score AS score, 0 AS source FROM hybrid UNION ALL SELECT qid, doc_id, score, 1 FROM kw), best AS (SELECT * FROM two QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, source) = 1), {_ranked('best', K, 'score DESC, doc_id')} SELECT qid, doc_id, score, source, rank FROM ranked"
 )
 def step_back_merge(spark, sf):
-    first = _hybrid(spark, sf).withColumnRenamed("fused_score", "score")
-    return retrieval.merge_step_back(first, _keyword(spark, sf), K)
+    keyword = _keyword(spark, sf)
+    first = _hybrid(spark, sf, keyword).withColumnRenamed("fused_score", "score")
+    return retrieval.merge_step_back(first, keyword, K)
 
 
 @query(

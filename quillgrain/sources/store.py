@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 import uuid
 from collections.abc import Callable
 from typing import Any, NamedTuple
@@ -28,6 +29,21 @@ from pyspark.sql import types as T
 from ..functions.vectors import is_valid
 
 
+_private: dict[str, str] = {}
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder that all executors share, below spark.checkpoint.dir; a local master without one gets a private one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        context = spark.sparkContext
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _private.setdefault(context.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="quillgrain-")
+        _private[context.applicationId] = folder
+    return f"{folder.rstrip('/')}/quillgrain/{uuid.uuid4().hex}"
+
+
 class Conflict(RuntimeError):
     """Another writer has changed the same buckets."""
 
@@ -41,10 +57,14 @@ class Staged(NamedTuple):
 
 
 class VersionedTable:
-    """``bucket_by`` names the column that places a row; rows with a null there share a bucket."""
+    """``bucket_by`` names the column that places a row; rows with a null there share a bucket.
+
+    Within a file rows lie in the order of ``sort_by``, so a filter on these
+    columns skips most of it.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, bucket_by: str = "doc_id", buckets: int = 64):
-        self.spark, self.path, self.bucket_by, self.buckets = spark, path.rstrip("/"), bucket_by, buckets
+    def __init__(self, spark: SparkSession, path: str, bucket_by: str = "doc_id", buckets: int = 64, sort_by: tuple[str, ...] = ()):
+        self.spark, self.path, self.bucket_by, self.buckets, self.sort_by = spark, path.rstrip("/"), bucket_by, buckets, sort_by
 
     # --- files
 
@@ -114,7 +134,8 @@ class VersionedTable:
         while name in df.columns:
             name = "_" + name
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        df.withColumn(name, self._bucket()).repartition(name).write.partitionBy(name).parquet(folder)
+        dealt = df.withColumn(name, self._bucket()).repartition(name)
+        (dealt.sortWithinPartitions(name, *self.sort_by) if self.sort_by else dealt).write.partitionBy(name).parquet(folder)
         made = {n.split("=")[1]: f"{folder}/{n}" for n in self._names(folder) if "=" in n}
         return Staged(self.version() if base is None else base, {str(b): made.get(str(b)) for b in (range(self.buckets) if touched is None else touched)}, json.loads(df.schema.json()))
 
