@@ -1,12 +1,13 @@
 """Phrase collocations per language, mined from n-gram counts.
 
 Each text's n-grams become rows, hash-aggregated per language. A phrase seen
-``least`` times is made of phrases seen that often, so three passes over the
-texts keep the aggregation small without losing any: words; then pairs of
-frequent words; then longer phrases all of whose pairs are frequent. A pass
-knows the frequent phrases of the one before as a bitmap of their hashes, whose
-size is a parameter and doesn't grow with the corpus. Hashes that collide let
-more rows through to be counted; the counts themselves are of the phrases.
+``least`` times is made of phrases seen that often, so passes over the texts
+narrow down what has to be aggregated: words; then pairs of frequent words; then
+longer phrases all of whose pairs are frequent. These passes count hashes of 40
+bits in place of phrases. A hash counts at least as often as each of its
+phrases, so none that is frequent is lost; the last pass counts the phrases
+whose hash is frequent. What a pass knows of the ones before are bitmaps whose
+size is a parameter and doesn't grow with the corpus.
 
 Scores are exact: products are decimals of 38 digits, which hold 1000 * a * n
 for corpora of up to 10^17 words.
@@ -16,7 +17,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ from .common import cut
 
 #: Bytes of text that are turned into n-grams at a time.
 BLOCK = 1 << 21
+#: Bits of the hashes that are counted.
+KEY_BITS = 40
 #: A language's best phrases are first ranked within this many shares of them.
 SHARES = 64
 #: What bitmap_bucket_number counts in (fixed value).
@@ -111,59 +113,67 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-def _ngram_rows(docs: DataFrame, widths: Sequence[int], known: int, bitmap) -> DataFrame:
-    """(lang, phrase, a): the n-grams of the given widths, counted within a block of texts.
+def _frequent(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
+    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _hash_rows(docs: DataFrame, widths: Sequence[int], known: int, bitmap) -> DataFrame:
+    """(key, a): hashes of the n-grams of the given widths, counted within a block of texts.
 
     ``bitmap`` is a broadcast of the frequent phrases of ``known`` words; an
-    n-gram that holds another is left out. With widths of 1 an empty phrase
-    carries the number of words.
+    n-gram that holds another is left out.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value if bitmap else None
         for batch in batches:
             for part in _blocks(batch):
                 found = Words(part.column("text"))
-                langs = part.column("lang")
-                if bits is not None:
-                    place = _run_hashes(found.hashes(_salts(langs)), known) >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
-                    frequent = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                hashes = found.hashes(_salts(part.column("lang")))
+                frequent = _frequent(bitmap.value, _run_hashes(hashes, known)) if bitmap else None
+                keys = []
                 for width in widths:
                     use = found.runs(width)
-                    if bits is not None:
-                        for j in range(width - known + 1):
-                            use = use & frequent[j : j + len(use)]
-                    at = np.flatnonzero(use)
-                    own = pa.table({"lang": langs.take(pa.array(found.text[at])), "phrase": found.phrases(at, width)})
-                    counted = own.group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")])
-                    yield from _as_batches(counted)
-                    if width == 1:
-                        sums = own.group_by("lang", use_threads=False).aggregate([([], "count_all")])
-                        yield from _as_batches(sums.append_column("phrase", pa.array([""] * len(sums), pa.large_string())))
+                    for j in range(width - known + 1) if bitmap else ():
+                        use = use & frequent[j : j + len(use)]
+                    keys.append(_run_hashes(hashes, width)[use] >> np.uint64(64 - KEY_BITS))
+                key, counts = np.unique(np.concatenate(keys), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key.astype(np.int64)), "a": pa.array(counts.astype(np.int64))})
 
-    return docs.mapInArrow(rows, "lang string, phrase string, a long")
+    return docs.mapInArrow(rows, "key long, a long")
 
 
-def _as_batches(counted: pa.Table) -> list[pa.RecordBatch]:
-    return pa.table({"lang": counted["lang"].cast(pa.string()), "phrase": counted["phrase"].cast(pa.string()), "a": counted["count_all"].cast(pa.int64())}).to_batches(1 << 17)
+def _bitmap(counted: DataFrame, least: int, filter_bits: int):
+    """A broadcast bitmap of the hashes that count ``least`` times or more, 2^filter_bits bits in all."""
+    place = F.shiftright("key", KEY_BITS - filter_bits) + 1
+    frequent = counted.groupBy("key").agg(F.sum("a").alias("a")).filter(F.col("a") >= least).select(place.alias("place"))
+    parts = frequent.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()
+    bits = np.zeros((1 << filter_bits) // 8, np.uint8)
+    for r in parts:
+        bits[(r.bucket - 1) * BUCKET // 8 :][: BUCKET // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+    return counted.sparkSession.sparkContext.broadcast(bits)
 
 
-def _bitmap(frequent: DataFrame, width: int, filter_bits: int):
-    """A broadcast bitmap of the hashes of phrases, 2^filter_bits bits in all."""
+def _phrase_rows(docs: DataFrame, max_n: int, bitmaps: Sequence) -> DataFrame:
+    """(lang, phrase, a): the n-grams whose hash is frequent, counted within a block; an empty phrase carries the number of words."""
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _blocks(batch):
                 found = Words(part.column("text"))
-                place = _run_hashes(found.hashes(_salts(part.column("lang"))), width) >> np.uint64(64 - filter_bits)
-                yield pa.RecordBatch.from_pydict({"place": place[found.runs(width)].astype(np.int64) + 1})
+                langs = part.column("lang")
+                hashes = found.hashes(_salts(langs))
+                yield from _counted(langs.take(pa.array(found.text)), pa.nulls(len(found.text), pa.large_string()).fill_null(""))
+                for width in range(1, max_n + 1):
+                    at = np.flatnonzero(found.runs(width) & _frequent(bitmaps[min(width, len(bitmaps)) - 1].value, _run_hashes(hashes, width)))
+                    yield from _counted(langs.take(pa.array(found.text[at])), found.phrases(at, width))
 
-    marks = frequent.select("lang", F.col("phrase").alias("text")).mapInArrow(places, "place long")
-    parts = marks.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()
-    bits = np.zeros(max(1 << filter_bits, BUCKET) // 8, np.uint8)
-    for r in parts:
-        bits[(r.bucket - 1) * BUCKET // 8 :][: BUCKET // 8] = np.frombuffer(bytes(r.bits), np.uint8)
-    return frequent.sparkSession.sparkContext.broadcast(bits)
+    return docs.mapInArrow(rows, "lang string, phrase string, a long")
+
+
+def _counted(langs: pa.Array, phrases: pa.Array) -> list[pa.RecordBatch]:
+    counted = pa.table({"lang": langs, "phrase": phrases}).group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")])
+    return pa.table({"lang": counted["lang"].cast(pa.string()), "phrase": counted["phrase"].cast(pa.string()), "a": counted["count_all"].cast(pa.int64())}).to_batches(1 << 17)
 
 
 def frequent_phrases(docs: DataFrame, least: int, max_n: int, text_col: str = "text", lang_col: str = "lang", filter_bits: int = 26) -> DataFrame:
@@ -171,18 +181,15 @@ def frequent_phrases(docs: DataFrame, least: int, max_n: int, text_col: str = "t
 
     The empty phrase of each language has its number of words.
     """
-    if filter_bits < 15:
-        raise ValueError("a bitmap has 2^15 bits or more")
+    if not 15 <= filter_bits <= KEY_BITS:
+        raise ValueError(f"a bitmap has 2^15 to 2^{KEY_BITS} bits")
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    found, bitmap = [], None
+    bitmaps: list = []
     for widths in ((1,), (2,), tuple(range(3, max_n + 1))):
-        if not widths or widths[0] > max_n:
-            break
-        counted = _ngram_rows(own, widths, widths[0] - 1, bitmap).groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
-        found.append(cut(counted.filter((F.col("a") >= least) | (F.col("phrase") == "")), f"phrases-{widths[0]}", large=True))
-        if widths[0] < max_n and widths[0] < 3:
-            bitmap = _bitmap(found[-1].filter("phrase <> ''"), widths[0], filter_bits)
-    return reduce(DataFrame.unionByName, found)
+        if widths and widths[0] <= max_n:
+            bitmaps.append(_bitmap(_hash_rows(own, widths, len(bitmaps), bitmaps[-1] if bitmaps else None), least, filter_bits))
+    counted = _phrase_rows(own, max_n, bitmaps).groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+    return cut(counted.filter((F.col("a") >= least) | (F.col("phrase") == "")), "phrases", large=True)
 
 
 def _joined(parts: Column, first, length) -> Column:
