@@ -28,6 +28,8 @@ from .common import cut
 
 #: Bytes of text that are turned into n-grams at a time.
 BLOCK = 1 << 21
+#: Phrases that a task holds counted before it sends them.
+HELD = 1 << 19
 #: Bits of the hashes that are counted.
 KEY_BITS = 40
 #: A language's best phrases are first ranked within this many shares of them.
@@ -155,25 +157,41 @@ def _bitmap(counted: DataFrame, least: int, filter_bits: int):
 
 
 def _phrase_rows(docs: DataFrame, max_n: int, bitmaps: Sequence) -> DataFrame:
-    """(lang, phrase, a): the n-grams whose hash is frequent, counted within a block; an empty phrase carries the number of words."""
+    """(lang, phrase, a): the n-grams whose hash is frequent, counted within a task; an empty phrase carries the number of words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for batch in batches:
             for part in _blocks(batch):
                 found = Words(part.column("text"))
                 langs = part.column("lang")
                 hashes = found.hashes(_salts(langs))
-                yield from _counted(langs.take(pa.array(found.text)), pa.nulls(len(found.text), pa.large_string()).fill_null(""))
+                held.append(_counted(langs.take(pa.array(found.text)), pa.nulls(len(found.text), pa.large_string()).fill_null("")))
                 for width in range(1, max_n + 1):
                     at = np.flatnonzero(found.runs(width) & _frequent(bitmaps[min(width, len(bitmaps)) - 1].value, _run_hashes(hashes, width)))
-                    yield from _counted(langs.take(pa.array(found.text[at])), found.phrases(at, width))
+                    held.append(_counted(langs.take(pa.array(found.text[at])), found.phrases(at, width)))
+                if sum(map(len, held)) > 2 * HELD:
+                    held = [_merged(held)]
+                    if len(held[0]) > HELD:
+                        yield from _sent(held.pop())
+        if held:
+            yield from _sent(_merged(held))
 
     return docs.mapInArrow(rows, "lang string, phrase string, a long")
 
 
-def _counted(langs: pa.Array, phrases: pa.Array) -> list[pa.RecordBatch]:
+def _sent(counted: pa.Table) -> list[pa.RecordBatch]:
+    return counted.set_column(1, "phrase", counted["phrase"].cast(pa.string())).to_batches(1 << 17)
+
+
+def _counted(langs: pa.Array, phrases: pa.Array) -> pa.Table:
     counted = pa.table({"lang": langs, "phrase": phrases}).group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")])
-    return pa.table({"lang": counted["lang"].cast(pa.string()), "phrase": counted["phrase"].cast(pa.string()), "a": counted["count_all"].cast(pa.int64())}).to_batches(1 << 17)
+    return counted.rename_columns(["lang", "phrase", "a"])
+
+
+def _merged(parts: Sequence[pa.Table]) -> pa.Table:
+    sums = pa.concat_tables(parts).group_by(["lang", "phrase"], use_threads=False).aggregate([("a", "sum")])
+    return pa.table({"lang": sums["lang"].cast(pa.string()), "phrase": sums["phrase"].cast(pa.large_string()), "a": sums["a_sum"].cast(pa.int64())})
 
 
 def frequent_phrases(docs: DataFrame, least: int, max_n: int, text_col: str = "text", lang_col: str = "lang", filter_bits: int = 26) -> DataFrame:
