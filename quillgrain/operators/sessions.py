@@ -1,8 +1,4 @@
-"""Session state as folds over request logs.
-
-State lives in an append log; the state of a session is a fold over its events
-in order, done inside an array aggregate, so sessions are independent rows.
-"""
+"""Sessions and requests as tables, and the replay of a commit log through keyed state."""
 
 from __future__ import annotations
 
@@ -19,28 +15,13 @@ def replay_commits(events: DataFrame, max_turns: int = MAX_TURNS, max_bytes: int
 
     A commit counts if its version is the current one, the session hasn't
     expired and capacity holds; it adds a turn, raises the version and renews
-    the expiry.
+    the expiry. Rows of one session go through keyed state in the order of seq.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("seq", "expected_version", "bytes", "at")))
-    start = F.struct(F.lit(0).cast("long").alias("version"), F.lit(0).cast("long").alias("turns"), F.lit(0).cast("long").alias("bytes"), F.lit(None).cast("double").alias("expires"), F.lit(0).cast("long").alias("conflicts"), F.lit(0).cast("long").alias("expired"), F.lit(0).cast("long").alias("full"))
-
-    def step(s: Column, e: Column) -> Column:
-        expired = F.coalesce(e["at"] >= s["expires"], F.lit(False))
-        stale = ~expired & (e["expected_version"] != s["version"])
-        full = ~expired & ~stale & ((s["turns"] + 1 > max_turns) | (s["bytes"] + e["bytes"] > max_bytes))
-        ok = ~expired & ~stale & ~full
-        n = lambda c: c.cast("int").cast("long")
-        return F.struct(
-            (s["version"] + n(ok)).alias("version"),
-            (s["turns"] + n(ok)).alias("turns"),
-            (s["bytes"] + F.when(ok, e["bytes"]).otherwise(0)).cast("long").alias("bytes"),
-            F.when(ok, e["at"] + ttl).otherwise(s["expires"]).alias("expires"),
-            (s["conflicts"] + n(stale)).alias("conflicts"),
-            (s["expired"] + n(expired)).alias("expired"),
-            (s["full"] + n(full)).alias("full"),
-        )
-
-    return events.groupBy("session_id").agg(ordered.alias("log")).select("session_id", F.aggregate("log", start, step).alias("s")).select("session_id", "s.*")
+    from ..streaming.sessions import session_states
+
+    kind = events.schema["session_id"].dataType
+    found = session_states(events.withColumn("op", F.lit("turn")), ttl=ttl, max_turns=max_turns, max_bytes=max_bytes)
+    return found.filter("outcome = 'state'").select(F.col("session_id").cast(kind).alias("session_id"), "version", "turns", "bytes", "expires", "conflicts", "expired", "full")
 
 
 def compact_ok(through: Column, covered: Column, n_turns: Column, summary: Column) -> Column:

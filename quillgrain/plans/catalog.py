@@ -716,7 +716,18 @@ def rewrite_status(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", made.alias("r")).select("item_id", "r.status", "r.reason", F.col("r.query").alias("asked"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE log AS (SELECT user_id AS session_id, floor(value / 20)::BIGINT AS wanted, strlen(props)::BIGINT AS size, epoch(ts::TIMESTAMP) AS said, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+  s AS (
+    SELECT DISTINCT session_id, 0::BIGINT AS n, 0::BIGINT AS version, 0::BIGINT AS turns, 0::BIGINT AS bytes, NULL::DOUBLE AS expires, 0::BIGINT AS conflicts, 0::BIGINT AS expired, 0::BIGINT AS "full" FROM log
+    UNION ALL
+    SELECT session_id, n, version + ok::BIGINT, turns + ok::BIGINT, bytes + CASE WHEN ok THEN size ELSE 0 END, CASE WHEN ok THEN said + 2592000 ELSE expires END, conflicts + stale::BIGINT, expired + gone::BIGINT, "full" + (NOT (ok OR stale OR gone))::BIGINT
+    FROM (
+      SELECT s.session_id, l.n, version, turns, bytes, expires, conflicts, expired, "full", size, said, coalesce(said >= expires, false) AS gone, NOT coalesce(said >= expires, false) AND wanted <> version AS stale,
+        NOT coalesce(said >= expires, false) AND wanted = version AND turns < 50 AND bytes + size <= 16777216 AS ok
+      FROM s JOIN log l ON l.session_id = s.session_id AND l.n = s.n + 1))
+  SELECT session_id, version, turns, bytes, expires, conflicts, expired, "full" FROM s QUALIFY n = max(n) OVER (PARTITION BY session_id)"""
+)
 def session_commits(spark, sf):
     log = table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.floor(F.col("value") / 20).cast("long").alias("expected_version"), F.octet_length("props").cast("long").alias("bytes"), F.col("ts").cast("timestamp").cast("double").alias("at"))
     return sessions.replay_commits(log, max_turns=50)
