@@ -7,7 +7,6 @@ questions.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -53,10 +52,11 @@ def candidates(found: dict[str, DataFrame], config: RetrievalConfig, corpus: Dat
 
 
 def cross_encoder_rerank(pool: DataFrame, questions: DataFrame, corpus: DataFrame, predictor: Callable[[], Predictor]) -> DataFrame:
-    """Pool rows with the provider's score of (question, name + path + content), best first."""
+    """Pool rows with the provider's score of (question, name + path + content), best first, and the error of a pair without one."""
     said = r.pair_text(F.col("doc_name"), F.coalesce("section_path", F.array().cast("array<string>")), F.col("content"))
     pairs = pool.drop("rank").join(corpus.select("chunk_id", said.alias("passage"), "chunk_order"), "chunk_id").join(questions.select("qid", "text"), "qid")
-    scored = pairs.withColumn("rerank_score", F.round(cross_scores(F.col("text"), F.col("passage"), predictor), 6))
+    said = pairs.withColumn("said", cross_scores(F.col("text"), F.col("passage"), predictor))
+    scored = said.withColumn("rerank_score", F.round("said.score", 6)).withColumn("error", F.col("said.error")).drop("said")
     order = [F.desc("rerank_score"), F.desc("fused_score"), F.desc("keyword_score"), F.asc("chunk_order"), F.desc("vector_score"), F.asc("chunk_id")]
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).drop("text", "passage", "chunk_order")
 
@@ -74,9 +74,10 @@ def retrieve(
     questions: qid, text, qvec (or none, and an ``embedder`` of ``dim``). chunks:
     chunk_id, doc_id, parent_id, chunk_role, retrieval_eligible, chunk_order,
     doc_name, section_path, content, embedding. The rerank pool is the head of
-    the fused list; what lies behind it is not returned. If the reranking
-    provider fails, the fused list stands and the trace says why. Questions that
-    mayn't be asked get no results. ``vector_profile`` holds whatever the
+    the fused list; what lies behind it is not returned. A question for which
+    the reranking provider fails keeps its fused list, and its trace says why.
+    The provider's scores are written to the checkpoint folder, so it is asked
+    once. Questions that mayn't be asked get no results. ``vector_profile`` holds whatever the
     caller's filters say.
     """
     asked = questions.filter(question_ok(F.col("text")))
@@ -84,34 +85,37 @@ def retrieve(
         asked = embed_questions(asked, embedder, dim)
     corpus = searchable(chunks, config, vector_profile)
     fused = candidates(channels(asked, corpus, config), config, corpus)
-    pool, reason = fused.filter(F.col("rank") <= config.pool) if config.rerank else fused, None
+    pool = fused.filter(F.col("rank") <= config.pool) if config.rerank else fused
+    failed = None
     if config.rerank and config.reranker == "rule":
         pool = r.rule_rerank(pool, asked, corpus, "chunk_id")
     elif config.rerank and config.rerank_level == "child":
-        pool, reason = reranked_or_fused(cross_encoder_rerank(pool, asked, corpus, predictor), fused)
-    score = "rerank_score" if "rerank_score" in pool.columns else "fused_score"
+        ranked = cross_encoder_rerank(pool, asked, corpus, predictor).checkpoint()
+        failed = failures(ranked)
+        pool = per_question(ranked.drop("error"), fused, failed)
+    score = F.coalesce("rerank_score", "fused_score") if "rerank_score" in pool.columns else F.col("fused_score")
     own = corpus.select("chunk_id", "doc_id", r.family_key(F.col("parent_id"), F.col("chunk_id")).alias("family"))
-    scored = pool.withColumn("score", F.col(score)).join(own, "chunk_id")
+    scored = pool.withColumn("score", score).join(own, "chunk_id")
     parents = chunks.filter("chunk_role = 'parent'").select(F.col("chunk_id").cast("string").alias("family"), "content", "doc_name", "section_path", "chunk_order")
     kept = scored.filter(F.col("score") >= config.threshold)
-    results = None
+    results = r.expand_families(kept, parents.select("family", "content"), config.aggregation).filter(F.col("rank") <= config.top_k)
     if config.rerank and config.rerank_level == "parent":
         # Children only gather the parents; the encoder reads whole parents and its score meets the threshold.
         families = r.expand_families(scored, None, "mean").withColumnRenamed("family", "chunk_id").select("qid", "chunk_id", F.col("score").alias("fused_score"), "keyword_score", "vector_score", "rank")
-        ranked, reason = reranked_or_fused(cross_encoder_rerank(families, asked, parents.withColumnRenamed("family", "chunk_id"), predictor), None)
-        if ranked is not None:
-            kept = ranked.filter(F.col("rerank_score") >= config.threshold).select("qid", F.col("chunk_id").alias("family"), F.col("rerank_score").alias("score"), "keyword_score", "vector_score", "fused_score", "rerank_score")
-            results = r.top_by(kept, config.top_k, F.desc("score"), F.asc("family"))
-    if results is None:
-        results = r.expand_families(kept, parents.select("family", "content"), config.aggregation).filter(F.col("rank") <= config.top_k)
-    trace = questions.select("qid").join(_counts(scored, kept, results), "qid", "left").select(
+        ranked = cross_encoder_rerank(families, asked, parents.withColumnRenamed("family", "chunk_id"), predictor).checkpoint()
+        failed = failures(ranked)
+        best = ranked.filter(F.col("rerank_score") >= config.threshold).select("qid", F.col("chunk_id").alias("family"), F.col("rerank_score").alias("score"), "keyword_score", "vector_score", "fused_score", "rerank_score")
+        kept = per_question(best, kept, failed)
+        results = per_question(r.top_by(best, config.top_k, F.desc("score"), F.asc("family")), results, failed)
+    reasons = failed if failed is not None else questions.select("qid", F.lit(None).cast("string").alias("fallback_reason")).limit(0)
+    trace = questions.select("qid").join(_counts(scored, kept, results), "qid", "left").join(reasons, "qid", "left").select(
         "qid",
         *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_candidates", "n_eligible", "n_returned")),
         F.coalesce("avg_score", F.lit(0.0)).alias("avg_score"),
         F.when(F.coalesce("n_returned", F.lit(0)) > 0, "ok").otherwise("no_evidence").alias("status"),
         F.lit(config.rerank_level if config.rerank else None).cast("string").alias("rerank_level"),
         F.lit(config.aggregation).alias("aggregation"),
-        F.lit(reason).cast("string").alias("fallback_reason"),
+        "fallback_reason",
     )
     return results, trace
 
@@ -157,17 +161,14 @@ def _counts(scored: DataFrame, kept: DataFrame, results: DataFrame) -> DataFrame
     return one.join(two, "qid", "left").join(three, "qid", "left")
 
 
-def reranked_or_fused(reranked: DataFrame, fused: DataFrame | None) -> tuple[DataFrame | None, str | None]:
-    """The reranked rows, or the whole fused list and a reason if the provider fails.
+def failures(ranked: DataFrame) -> DataFrame:
+    """(qid, fallback_reason) of the questions for which a pair has no score."""
+    return ranked.filter(F.col("error").isNotNull()).groupBy("qid").agg(F.min("error").alias("fallback_reason"))
 
-    A reranker runs lazily, so its rows are written to the checkpoint folder to see.
-    """
-    try:
-        return reranked.checkpoint(), None
-    except Exception as error:  # noqa: BLE001  any failure of a provider falls back
-        # A worker's own error is a line in the middle of what the engine says.
-        own = re.findall(r"^(?:\w+\.)*\w*(?:Error|Exception): .+$", str(error), re.M)
-        return fused, (own[-1] if own else f"{type(error).__name__}: {error}")[:200]
+
+def per_question(reranked: DataFrame, fused: DataFrame, failed: DataFrame) -> DataFrame:
+    """The reranked rows of each question, the fused ones where the provider failed."""
+    return reranked.join(failed.select("qid"), "qid", "left_anti").unionByName(fused.join(failed.select("qid"), "qid", "left_semi"), allowMissingColumns=True)
 
 
 def check_scores(rows: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgrain.config import RetrievalConfig
+from quillgrain.functions.providers import isolated
 from quillgrain.operators import images, retrieval, retrieve as rt, rewriting as rw, runs, sessions as ss
 from quillgrain.sources import registry
 
@@ -44,12 +45,61 @@ def test_cross_encoder_levels(spark):
     assert {r.family for r in rows} == {"p1"}
 
 
-def test_failed_reranker_falls_back(spark):
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    fused = spark.createDataFrame([(1, "c")], "qid int, chunk_id string")
-    kept, reason = rt.reranked_or_fused(fused.withColumn("x", F.raise_error(F.lit("down"))), fused)
-    assert kept.count() == 1 and "down" in reason
-    assert rt.reranked_or_fused(fused, fused.limit(0))[1] is None
+def test_failures_stand_alone():
+    """A poisoned batch is halved; the calls follow its bad items, not its length."""
+    calls = []
+
+    def call(items):
+        calls.append(len(items))
+        if {13, 64} & set(items):
+            raise RuntimeError("bad item")
+        return [2 * i for i in items]
+
+    got = isolated(call, list(range(100)))
+    assert [(i, g) for i, g in enumerate(got) if g[1]] == [(13, (None, "RuntimeError: bad item")), (64, (None, "RuntimeError: bad item"))]
+    assert all(g == (2 * i, None) for i, g in enumerate(got) if i not in (13, 64)) and len(calls) < 32
+    assert [e for _, e in isolated(lambda items: [1], [1, 2, 3])] == [None] * 3
+    assert all("another number" in e for _, e in isolated(lambda items: [], [1, 2, 3]))
+
+
+def test_one_poisoned_pair_leaves_the_other_questions_reranked(spark):
+    asked = questions(spark).filter("qid = 1")
+    asked = asked.unionByName(asked.withColumn("qid", F.lit(5))).unionByName(asked.withColumn("qid", F.lit(6)).withColumn("text", F.concat("text", F.lit(" poison"))))
+
+    def model():
+        def scores(pairs):
+            if any("poison" in q for q, _ in pairs):
+                raise RuntimeError("poisoned")
+            return [len(passage) / 10 - 2 for _, passage in pairs]
+
+        return scores
+
+    for level in ("child", "parent"):
+        config = RetrievalConfig(rerank=True, reranker="cross_encoder", rerank_level=level, top_k=2, threshold=0.0)
+        pick = lambda df: sorted((r.qid, r["rank"], r.family, r.score) for r in df.collect())
+        results, trace = rt.retrieve(asked, chunk_table(spark), config, model)
+        good = rt.retrieve(asked.filter("qid < 6"), chunk_table(spark), config, model)[0]
+        plain = rt.retrieve(asked.filter("qid = 6"), chunk_table(spark), RetrievalConfig(top_k=2, threshold=0.0))[0]
+        assert pick(results) == sorted(pick(good) + pick(plain)) and pick(good) != []
+        assert {r.qid: r.fallback_reason for r in trace.collect()} == {1: None, 5: None, 6: "RuntimeError: poisoned"}
+
+
+def test_described_images(spark):
+    rows = [("a", b"good", None, "alt", "cap"), ("b", b"bad", None, "", None), ("c", b"x" * 50, None, "big", None), ("d", None, "remote", "far", None), ("e", b"prose", None, None, None), ("f", None, None, None, None)]
+    images_ = spark.createDataFrame(rows, "asset_id string, content binary, skip_reason string, alt string, caption string").coalesce(1)
+
+    def vision():
+        def say(contents):
+            if any(bytes(c) == b"bad" for c in contents):
+                raise OSError("unreadable")
+            return ["no json here" if bytes(c) == b"prose" else '{"ocr_text": "words"}' for c in contents]
+
+        return say
+
+    got = {r.asset_id: (r.status, r.reason) for r in images.describe(images_, vision, 20).collect()}
+    assert got == {"a": ("success", None), "b": ("failed", "OSError: unreadable"), "c": ("failed", "too_large"), "d": ("skipped", "remote"), "e": ("failed", "no_description"), "f": ("failed", "no_content")}
+    said = {r.asset_id: r.said for r in images.describe(images_, vision, 20).collect()}
+    assert "words" in said["a"] and "cap" in said["a"] and said["d"].endswith("far（未索引：remote）")
 
 
 def test_retrieve_survives_its_reranker(spark):
