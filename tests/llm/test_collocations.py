@@ -55,7 +55,6 @@ def test_a_full_bitmap_and_small_blocks_lose_nothing(spark, monkeypatch):
     """Every bit is set sooner or later; then all n-grams are counted, with the same result."""
     rows = [(" ".join(f"w{random.Random(i).randrange(9)}{j % 7}" for j in range(200)), "en") for i in range(12)] + [(noise(7, 300), "en")]
     monkeypatch.setattr(c, "BLOCK", 400)
-    monkeypatch.setattr(c, "HELD", 50)
     check(spark, rows, filter_bits=15)
 
 
