@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EvidenceConfig
-from ..functions.tokens import Counter, approximate_tokens
+from ..functions.tokens import Counter, Ruler, approximate_tokens, ruler
 
 #: Tokens left free when a window is narrowed (fixed value).
 SLACK = 24
@@ -70,16 +70,15 @@ class Window:
 # --- intervals -------------------------------------------------------------------------------------------------------
 
 
-def widest(text: str, match: Span, budget: int, count: Counter) -> Span:
-    """The match with as many characters on either side as the budget allows, clipped to the text."""
-    size = len(text)
+def widest(size: int, match: Span, budget: int, tokens: Ruler) -> Span:
+    """The match with as many characters on either side as the budget allows, clipped to the text of that size."""
     if not 0 <= match[0] < match[1] <= size:
         raise ValueError("the matched child lies outside its parent")
 
     def grown(by: int) -> Span:
         return max(0, match[0] - by), min(size, match[1] + by)
 
-    fits = bisect.bisect_right(range(max(match[0], size - match[1]) + 1), budget, key=lambda by: count(text[slice(*grown(by))]))
+    fits = bisect.bisect_right(range(max(match[0], size - match[1]) + 1), budget, key=lambda by: tokens.count(*grown(by)))
     if not fits:
         raise OverBudget("the matched child passes the budget")
     return grown(fits - 1)
@@ -124,7 +123,9 @@ def windows_of(parent: Parent, budget: int, count: Counter = approximate_tokens)
     A kept structure, and a parent within the budget, is one window. Children
     whose place isn't known are shown as their snippets, if no window shows them.
     """
-    everything, fits = (0, len(parent.content)), count(parent.content) <= budget
+    tokens = ruler(parent.content, count)
+    everything = (0, len(parent.content))
+    fits = tokens.count(*everything) <= budget
     placed, lost = [c for c in parent.children if c.span], [c for c in parent.children if not c.span]
     if parent.whole or (fits and (placed or not lost)):
         return [_show(parent, everything)]
@@ -132,7 +133,7 @@ def windows_of(parent: Parent, budget: int, count: Counter = approximate_tokens)
         return [_snippet(parent, _primary(parent), budget, count)]
     if not parent.children:
         raise ValueError("no matched child to stay around")
-    spans = merged([widest(parent.content, c.span, budget, count) for c in placed], lambda s: count(parent.content[slice(*s)]) <= budget)
+    spans = merged([widest(len(parent.content), c.span, budget, tokens) for c in placed], lambda s: tokens.count(*s) <= budget)
     return [_show(parent, s) for s in spans] + [_snippet(parent, c, budget, count) for c in lost]
 
 
@@ -144,7 +145,7 @@ def narrow(window: Window, budget: int, count: Counter = approximate_tokens) ->
         raise OverBudget("nothing of the window can be left out")
     start = window.span[0]
     inside = (max(window.match[0], start) - start, min(window.match[1], window.span[1]) - start)
-    a, b = widest(window.content, inside, budget, count)
+    a, b = widest(len(window.content), inside, budget, ruler(window.content, count))
     return replace(window, content=window.content[a:b], span=(start + a, start + b))
 
 

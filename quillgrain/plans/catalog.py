@@ -580,34 +580,42 @@ def prompt_budget(spark, sf):
 
 
 @query(
-    """WITH texts AS (SELECT doc_id::VARCHAR AS qid, text, length(text) AS n FROM documents WHERE length(text) >= 40)
-  SELECT qid, 0::INTEGER AS window_no, substr(text, 1, least(n, 60)) AS content, 0::INTEGER AS first, least(n, 60)::INTEGER AS last FROM texts
-  UNION ALL SELECT qid, 1, substr(text, n - 59, 60), (n - 60)::INTEGER, n::INTEGER FROM texts WHERE n > 60"""
+    """WITH texts AS (SELECT doc_id::VARCHAR AS qid, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+  matches AS (SELECT *, unnest(range(0, (n - 30) // 70 + 1))::INTEGER AS i FROM texts WHERE n > 60),
+  places AS (SELECT *, greatest(0, least(70 * i - 10, n - 60))::INTEGER AS first, least(n, greatest(70 * i + 50, 60))::INTEGER AS last FROM matches)
+  SELECT qid, 0::INTEGER AS window_no, t AS content, 0::INTEGER AS first, n::INTEGER AS last FROM texts WHERE n <= 60
+  UNION ALL SELECT qid, i, substr(t, first + 1, last - first), first, last FROM places"""
 )
 def windows_by_characters(spark, sf):
-    """Windows under a counter of characters: 60 around matches of 20 near either end of every document."""
-    docs = table(spark, sf, "documents").filter(F.length("text") >= 40)
-    n = F.length("text")
-    match = lambda name, a, b: F.struct(F.lit(name).alias("chunk_id"), a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit("").alias("snippet"))
-    matches = F.array(match("head", F.lit(10), F.lit(30)), match("tail", n - 30, n - 10))
-    rows = docs.select(F.col("doc_id").alias("qid"), F.lit(1).alias("rank"), F.col("doc_id").alias("chunk_id"), "doc_id", F.col("text").alias("content"), matches.alias("children"), F.lit("head").alias("primary_child"), F.lit(False).alias("preserve_structure"))
+    """Windows under a counter of characters: 60 around a match of 20 in every 70 characters of every document."""
+    text = F.coalesce("text", F.lit(""))
+    n = F.length(text)
+    place = lambda i: F.struct(i.cast("string").alias("chunk_id"), (70 * i + 10).cast("int").alias("start"), (70 * i + 30).cast("int").alias("end"), F.lit("").alias("snippet"))
+    none = F.array().cast("array<struct<chunk_id:string,start:int,end:int,snippet:string>>")
+    matches = F.when(n >= 30, F.transform(F.sequence(F.lit(0), F.floor((n - 30) / 70).cast("int")), place)).otherwise(none)
+    docs = table(spark, sf, "documents")
+    rows = docs.select(F.col("doc_id").alias("qid"), F.lit(1).alias("rank"), F.col("doc_id").alias("chunk_id"), "doc_id", text.alias("content"), matches.alias("children"), F.lit("0").alias("primary_child"), F.lit(False).alias("preserve_structure"))
     return evidence.evidence_windows(rows, EvidenceConfig(window_tokens=60), len).select("qid", "window_no", "content", "first", "last")
 
 
 @query(
-    """WITH cuts AS (SELECT doc_id::VARCHAR AS qid, least(5, length(text) // 200) AS whole, CASE WHEN length(text) < 1000 THEN length(text) % 200 ELSE 0 END AS rest FROM documents WHERE length(text) > 0),
-  fitted AS (SELECT *, least(whole, 2) AS taken, CASE least(whole, 2) WHEN 0 THEN 0 WHEN 1 THEN 204 ELSE 410 END AS used FROM cuts),
-  ended AS (SELECT *, rest > 0 AND used + CASE WHEN taken > 0 THEN 2 ELSE 0 END + 4 + rest <= 500 AS fits FROM fitted)
-  SELECT qid, (taken + fits::INTEGER)::BIGINT AS n_evidence, (whole - taken + (rest > 0 AND NOT fits)::INTEGER)::BIGINT AS n_dropped, (100 + used + CASE WHEN fits THEN CASE WHEN taken > 0 THEN 2 ELSE 0 END + 4 + rest ELSE 0 END)::BIGINT AS used_tokens FROM ended"""
+    """WITH parts AS (SELECT doc_id::VARCHAR AS qid, length(text) // 200 AS whole, length(text) % 200 AS rest FROM documents WHERE length(text) > 0),
+  taken AS (SELECT *, least(whole, 3) AS n, CASE least(whole, 3) WHEN 0 THEN 0 WHEN 1 THEN 204 WHEN 2 THEN 410 ELSE 410 + 6 + 116 END AS used FROM parts),
+  ended AS (SELECT *, used + CASE WHEN n > 0 THEN 2 ELSE 0 END + 4 + rest AS more, rest > 0 AND used + CASE WHEN n > 0 THEN 2 ELSE 0 END + 4 + rest <= 550 AS fits FROM taken)
+  SELECT qid, (n + fits::INTEGER)::BIGINT AS n_evidence, (whole - n + (rest > 0 AND NOT fits)::INTEGER)::BIGINT AS n_dropped, (100 + CASE WHEN fits THEN more ELSE used END)::BIGINT AS used_tokens,
+    CASE WHEN whole >= 3 THEN md5(substr(text, 443, 116)) END AS narrowed FROM ended JOIN documents ON qid = doc_id::VARCHAR"""
 )
 def prompt_by_characters(spark, sf):
-    """Ranked parts of every document put in a prompt of 500 characters, whole or not at all."""
-    docs = table(spark, sf, "documents")
-    parts = docs.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank"), "text").filter(F.length("text") > (F.col("rank") - 1) * 200)
-    rows = parts.select(F.col("doc_id").cast("string").alias("qid"), "rank", F.concat(F.lit("c"), 9 - F.col("rank")).alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("window_no"), F.substring("text", (F.col("rank") - 1) * 200 + 1, F.lit(200)).alias("content"))
-    null = F.lit(None).cast("int")
-    windows = rows.select("*", null.alias("first"), null.alias("last"), F.array().cast("array<string>").alias("children"), null.alias("match_first"), null.alias("match_last"), F.lit(False).alias("whole"))
-    return evidence.fit_prompts(windows, EvidenceConfig(mode="child_only", evidence_max_tokens=500), 100, len).select("qid", "n_evidence", "n_dropped", "used_tokens")
+    """Each document's parts of 200 characters put in a prompt of 550, the third of them narrowed around its match."""
+    docs = table(spark, sf, "documents").filter(F.length("text") > 0)
+    start = (F.col("rank") - 1) * 200
+    parts = docs.select("doc_id", F.explode(F.sequence(F.lit(1), F.ceil(F.length("text") / 200).cast("int"))).alias("rank"), "text")
+    rows = parts.select(F.col("doc_id").cast("string").alias("qid"), "rank", F.concat(F.lit("c"), "rank").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("window_no"), F.substring("text", start + 1, F.lit(200)).alias("content"))
+    full, at = F.length("content") == 200, start.cast("int")
+    windows = rows.select("*", at.alias("first"), (at + F.length("content")).alias("last"), F.array().cast("array<string>").alias("children"), F.when(full, at + 80).alias("match_first"), F.when(full, at + 120).alias("match_last"), F.lit(False).alias("whole"))
+    made = evidence.fit_prompts(windows, EvidenceConfig(mode="window", evidence_max_tokens=550), 100, len)
+    third = F.get(F.filter("shown", lambda w: w["rank"] == 3), 0)["content"]
+    return made.select("qid", "n_evidence", "n_dropped", "used_tokens", F.when(F.length(third) == 116, F.md5(third)).alias("narrowed"))
 
 
 # --- end to end, registry, sessions, providers -------------------------------------------------------------------------
