@@ -1,17 +1,21 @@
 """Main text of web pages by minimum-cut labelling of blocks.
 
 A page becomes blocks of text between block-level tags, in the tree of their
-elements. A logistic classifier reads a block's own text and tag (length, marks,
-links, heading, list item) and its log-odds of being content are the block's
-terminal capacity. It learns from a bounded sample of pages of the very corpus,
-with the blocks under clear elements (article and main against nav, footer,
-aside and the like) as labelled rows, around a fixed prior.
+elements. A classifier's log-odds of being content are a block's terminal
+capacity. Most of it is learned from the text alone (length, marks, links,
+heading): a logistic regression fitted on a bounded sample of pages of the very
+corpus, whose labels are the elements that say what they hold (article and main
+against nav, footer, aside and the like), around a fixed prior. Two features
+have fixed weights, as those labels can't teach them: which of these elements
+the block is in, and whether an element around it is named as an advert, a
+reader's comment, a cookie notice and so on. A name counts only if all its parts
+do ('share-buttons', not 'share-price').
 
 Smoothness edges join what lies together: neighbouring blocks, the more the
-nearer they are in the tree, blocks of one parent, and each block with the
-nearest element around it that is clear, which is a seed of its label. Seeds
-outweigh the classifier; where there are none, text and neighbours decide. The
-minimum cut between the terminals, found by max-flow, labels each block.
+nearer they are in the tree, and blocks of one parent. Edges and terminals are
+of one size, so a short line within an article is kept by its neighbours though
+its text alone reads like boilerplate. The minimum cut between the terminals,
+found by max-flow, labels each block.
 """
 
 from __future__ import annotations
@@ -30,13 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?:"[^"]*"|'[^']*')|[^>])*+)(?:>|\Z)""", re.S)
+#: A value without quotes runs to white space or the tag's end.
+ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(?!["'])([^\s>]+)))?""")
 #: Elements whose contents are no text of the page.
-SKIPPED = {"script", "style", "noscript", "template", "head", "title", "textarea", "select", "option", "button", "svg", "iframe", "object", "canvas", "math", "audio", "video"}
+SKIPPED = {"script", "style", "noscript", "template", "head", "title", "textarea", "select", "option", "button", "svg", "iframe", "object", "canvas", "audio", "video"}
 #: Of these, those whose contents are not markup.
 RAW = {"script", "style", "title", "textarea", "iframe"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "label", "output", "img", "input", "picture", "source", "track", "map", "area", "nobr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "label", "output", "img", "input", "picture", "source", "track", "map", "area", "nobr", "math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mstyle", "semantics"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: An opening tag ends these open ones.
 CLOSES_P = {"p", "div", "article", "section", "aside", "nav", "header", "footer", "main", "form", "ul", "ol", "dl", "table", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "figure", "fieldset", "hr", "address", "details", "menu"}
@@ -45,48 +50,62 @@ SCOPES = {"ul", "ol", "dl", "table", "article", "section", "nav", "aside", "div"
 
 CONTENT_TAGS = {"article", "main"}
 BOILERPLATE_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog", "toolbar"}
-COMMENT_NAMES = {"comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "discussion"}
-BOILERPLATE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promoted", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "share", "sharing", "social", "related", "recommended", "recommendations", "newsletter", "subscribe", "subscription", "signup", "popup", "modal", "overlay", "widget", "widgets", "login", "toolbar", "pagination", "pager", "paywall", "alert", "disclaimer", "skip"}
-HEADER_NAMES = {"header", "masthead", "topbar", "branding"}
-CONTENT_NAMES = {"article", "content", "post", "entry", "main", "story", "body", "text"}
-NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alertdialog", "toolbar"}
+#: Parts of class and id names: readers' comments, what else is no article, and words that may stand beside these.
+COMMENT_NAMES = {"comment", "comments", "commentlist", "disqus", "respond", "replies"}
+BOILERPLATE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "cookie", "cookies", "consent", "gdpr", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "topbar", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "signup", "popup", "modal", "overlay", "login", "toolbar", "pagination", "pager", "paywall"}
+BESIDE_NAMES = {"area", "banner", "bar", "block", "bottom", "box", "buttons", "container", "content", "form", "global", "header", "holder", "icons", "inner", "items", "label", "left", "link", "links", "list", "main", "media", "message", "notice", "notices", "outer", "page", "panel", "popular", "posts", "primary", "right", "row", "section", "site", "slot", "stories", "thread", "toggle", "top", "unit", "widget", "widgets", "wrap", "wrapper"}
+NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: Pages and blocks a page that the classifier learns from at most, and blocks of either label that it needs.
 SAMPLE_PAGES, SAMPLE_BLOCKS, LEAST_BLOCKS = 1000, 64, 30
-#: Capacities, in hundredths of log-odds: the classifier's at most, of an edge to a seed by how clear it is, of neighbours and of siblings.
-MOST_TEXT, CLEAR_SEED, NAMED_SEED, CONTENT_NAME, NEIGHBOUR, SIBLING = 300, 600, 450, 150, 100, 30
+#: Capacities, in hundredths of log-odds: of the text at most; of being in content elements, in boilerplate ones, and outside
+#: the content elements of a page that has some; of a name; of neighbours in the tree and of siblings further off.
+MOST_TEXT, IN_CONTENT, IN_BOILERPLATE, OUTSIDE, NAMED, NEIGHBOUR, SIBLING = 190, 150, -300, -200, -400, 100, 20
 #: What the classifier is before it has seen a page, and how firmly (rows that each weight counts for).
-PRIOR = np.array([-1.0, 0.6, 0.6, -4.0, 0.6, -0.3])
+PRIOR = np.array([-1.0, 0.6, 0.6, -4.0, 0.6])
 PRIOR_ROWS = 8.0
 
 
+def name_kind(names: str) -> str | None:
+    """'comment' or 'boilerplate' if one of the class or id names says so with all its parts, else None."""
+    kind = None
+    for name in names.split():
+        parts = {p.lower() for p in NAME_PARTS.findall(name)}
+        if parts <= COMMENT_NAMES | BOILERPLATE_NAMES | BESIDE_NAMES:
+            if parts & COMMENT_NAMES:
+                return "comment"
+            if parts & BOILERPLATE_NAMES:
+                kind = "boilerplate"
+    return kind
+
+
 class Element:
-    """An open element. ``seed`` is the nearest clear element at or around it: (strength, is content), or None."""
+    """An open element. ``kind`` says what the nearest clear element at or around it holds: content, boilerplate or None.
 
-    __slots__ = ("tag", "parent", "depth", "in_content", "sticky", "seed")
+    What a boilerplate element or a reader's comment holds stays so for articles
+    inside it; other names end at the next article.
+    """
+
+    __slots__ = ("tag", "parent", "depth", "kind", "named")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
-        names = {p.lower() for p in NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")} if tag not in ("html", "body") else set()
+        named = name_kind(f"{found.get('class', '')} {found.get('id', '')}") if tag not in ("html", "body") else None
         role = found.get("role", "").lower()
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 1
-        in_content, in_sticky, seed = (parent.in_content, parent.sticky, parent.seed) if parent else (False, False, None)
+        self.kind, self.named = (parent.kind, parent.named) if parent else (None, None)
         hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(found.get("style", "")))
-        # What is sticky holds for articles inside it too: a reader's comment is no article.
-        self.sticky = in_sticky or tag in BOILERPLATE_TAGS or bool(names & COMMENT_NAMES) or hidden or role in ROLES
-        content = (tag in CONTENT_TAGS or role in ("main", "article")) and not self.sticky
-        header = not in_content and (tag == "header" or bool(names & HEADER_NAMES))
-        if self.sticky and not in_sticky:
-            seed = (CLEAR_SEED, False)
-        elif content:
-            seed = (CLEAR_SEED, True)
-        elif not self.sticky and (header or names & BOILERPLATE_NAMES):
-            seed = (NAMED_SEED, False)
-        elif seed is None and names & CONTENT_NAMES:
-            seed = (CONTENT_NAME, True)
-        self.in_content, self.seed = in_content or content, seed
+        if self.kind is not False:
+            if tag in BOILERPLATE_TAGS or hidden or role in ROLES or (tag == "header" and self.kind is None):
+                self.kind = False
+            elif tag in CONTENT_TAGS or role in ("main", "article"):
+                self.kind = True
+                if self.named == "boilerplate":
+                    self.named = None
+        if self.named != "comment":
+            self.named = named or self.named
 
 
 class Block:
@@ -199,7 +218,7 @@ HEADING = re.compile(r"h[1-6]")
 def features(block: Block) -> list[float]:
     """What the classifier reads: the block's own text and tag, nothing around it."""
     text, tag = block.text, block.element.tag if block.element else ""
-    return [1.0, math.log10(len(text)), float(text[-1] in ".!?…\"'”)"), min(1.0, block.link_chars / len(text)), float(HEADING.fullmatch(tag) is not None), float(tag in ("li", "dt", "dd", "td", "th"))]
+    return [1.0, math.log10(len(text)), float(text[-1] in ".!?…\"'”)"), min(1.0, block.link_chars / len(text)), float(HEADING.fullmatch(tag) is not None)]
 
 
 def fit_classifier(rows: Sequence[tuple[Sequence[float], bool]], steps: int = 25) -> np.ndarray:
@@ -221,14 +240,21 @@ def fit_classifier(rows: Sequence[tuple[Sequence[float], bool]], steps: int = 25
 
 def clear_blocks(html: str | None) -> list[tuple[list[float], bool]]:
     """Features and label of the blocks under a clear element, spread evenly over the page if they are many."""
-    clear = [b for b in blocks(html) if b.element and b.element.seed and b.element.seed[0] == CLEAR_SEED]
+    clear = [b for b in blocks(html) if b.element and b.element.kind is not None and not b.element.named]
     step = max(1, -(-len(clear) // SAMPLE_BLOCKS))
-    return [(features(b), b.element.seed[1]) for b in clear[::step]]
-
-
-def text_costs(found: Sequence[Block], weights: np.ndarray) -> list[int]:
-    """The classifier's log-odds of content of each block, in hundredths, within its limit."""
-    return [int(max(-MOST_TEXT, min(MOST_TEXT, round(100 * float(np.dot(features(b), weights)))))) for b in found]
+    return [(features(b), b.element.kind) for b in clear[::step]]
+
+
+def block_costs(found: Sequence[Block], weights: np.ndarray) -> list[int]:
+    """The classifier's log-odds of content of each block, in hundredths: the text's within its limit, then the two fixed features."""
+    any_content = any(b.element and b.element.kind for b in found)
+    out = []
+    for b in found:
+        kind, named = (b.element.kind, b.element.named) if b.element else (None, None)
+        text = int(max(-MOST_TEXT, min(MOST_TEXT, round(100 * float(np.dot(features(b), weights))))))
+        place = (OUTSIDE if any_content else 0) if kind is None else IN_CONTENT if kind else IN_BOILERPLATE
+        out.append(text + place + (NAMED if named else 0))
+    return out
 
 
 def minimum_cut(odds: Sequence[int], edges: Sequence[tuple[int, int, int]]) -> list[bool]:
@@ -305,11 +331,12 @@ def _distance(a: Element | None, b: Element | None) -> int:
 
 
 def smoothness(found: Sequence[Block]) -> list[tuple[int, int, int]]:
-    """Edges of neighbours by their nearness in the tree, and of each block with the last one of its parent."""
+    """Edges of neighbours, whole for siblings and less with each further step in the tree, and of each block with the last one of its parent."""
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
-            edges.append((i - 1, i, round(2 * NEIGHBOUR / (2 + _distance(found[i - 1].element, b.element)))))
+            further = max(0, _distance(found[i - 1].element, b.element) - 2)
+            edges.append((i - 1, i, round(NEIGHBOUR / (1 + 3 * further))))
         parent = id(b.element.parent) if b.element else 0
         if last.get(parent, i - 1) < i - 1:
             edges.append((last[parent], i, SIBLING))
@@ -317,12 +344,6 @@ def smoothness(found: Sequence[Block]) -> list[tuple[int, int, int]]:
     return edges
 
 
-def seed_edges(found: Sequence[Block]) -> list[int]:
-    """Capacity of the edge from each block to its seed, positive for content; a seed stands on its label's terminal."""
-    seeds = [b.element.seed if b.element else None for b in found]
-    return [0 if s is None else s[0] if s[1] else -s[0] for s in seeds]
-
-
 def label_blocks(odds: Sequence[int], edges: Sequence[tuple[int, int, int]]) -> list[bool]:
     """Labels of a minimum cut.
 
@@ -352,16 +373,14 @@ def label_blocks(odds: Sequence[int], edges: Sequence[tuple[int, int, int]]) ->
 
 def main_text(html: str | None, weights: np.ndarray = PRIOR) -> str:
     found = blocks(html)
-    odds = [t + s for t, s in zip(text_costs(found, weights), seed_edges(found))]
-    return " ".join(b.text for b, keep in zip(found, label_blocks(odds, smoothness(found))) if keep)
+    return " ".join(b.text for b, keep in zip(found, label_blocks(block_costs(found, weights), smoothness(found))) if keep)
 
 
-def cut_flips(html: str | None, weights: np.ndarray = PRIOR) -> tuple[int, int, int]:
-    """Blocks of a page, those that the cut labels against the classifier, and of these those that no seed turned."""
+def cut_flips(html: str | None, weights: np.ndarray = PRIOR) -> tuple[int, int]:
+    """Blocks of a page, and those that the edges turn: the cut labels them against their own terminal."""
     found = blocks(html)
-    texts, seeds = text_costs(found, weights), seed_edges(found)
-    label = label_blocks([t + s for t, s in zip(texts, seeds)], smoothness(found))
-    return len(found), sum((t > 0) != x for t, x in zip(texts, label)), sum((t + s > 0) != x for t, s, x in zip(texts, seeds, label))
+    costs = block_costs(found, weights)
+    return len(found), sum((c > 0) != x for c, x in zip(costs, label_blocks(costs, smoothness(found))))
 
 
 def learn_weights(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> np.ndarray:
