@@ -106,6 +106,18 @@ def forget(*frames: DataFrame) -> None:
             _delete(*entry)
 
 
+def written() -> set[str]:
+    """What ``cut`` wrote and is still there."""
+    return {path for _, path in _written}
+
+
+def forget_since(before: set[str], kept: DataFrame) -> None:
+    """Delete what was written since, but for ``kept``; nothing that is still to be computed may read it."""
+    for entry in [e for e in _written if e[1] not in before and e[1] != kept.cut_path]:
+        _written.remove(entry)
+        _delete(*entry)
+
+
 def release() -> None:
     """Delete all that ``cut`` wrote; results not yet read are gone afterwards."""
     while _written:

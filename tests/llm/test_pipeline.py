@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from quillgrain.llm import decontaminate, mixing, quality_rules, simhash
-from quillgrain.llm.common import DOCUMENT_COLUMNS
+from quillgrain.llm.common import DOCUMENT_COLUMNS, written
 
 
 def _write(spark, tmp_path):
@@ -37,6 +37,12 @@ def test_stages_one_by_one(spark, tmp_path):
     assert sorted(map(str, at.collect())) == sorted(map(str, p.run(spark, sf).collect()))
 
 
+def test_nothing_but_the_last_stage_is_left(spark, tmp_path):
+    before = written()
+    rows = p.run(spark, _write(spark, tmp_path))
+    assert len(written() - before) == 1 and rows.count() > 0
+
+
 def test_empty_tables(spark, tmp_path):
     sf = str(tmp_path)
     documents(spark).limit(0).write.parquet(f"{sf}/documents.parquet")
