@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgrain.llm import catalog, decontaminate, mixing, near_copies, quality_rules, sharding
-from quillgrain.llm.common import DOCUMENT_COLUMNS, cut, table
+from quillgrain.llm.common import DOCUMENT_COLUMNS, cut, forget_since, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +40,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's result is written and read again before the next one starts."""
-    docs = table(spark, sf_dir, "documents").select(*DOCUMENT_COLUMNS)
+    """Each stage's result is written and read again before the next one starts; what it and the stage before it wrote goes then."""
+    docs, before = table(spark, sf_dir, "documents").select(*DOCUMENT_COLUMNS), written()
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        docs = cut(stage(spark, docs, sf_dir), name, large=True)
+        forget_since(before, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
