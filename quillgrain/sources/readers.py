@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +33,34 @@ def read_texts(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
     return valid.select("path", source_type(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("file_type"), (F.validate_utf8(said) if strict else said).alias("content"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, block, at) of text files: block is where the line's split starts, at rises by one from line to line of a split."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+
+
+def bad_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """(file, line, value) of the lines that are no JSON object of the schema; blank ones are none of them.
+
+    Splits count their lines, and the counts of a file's earlier splits are
+    summed, so a line has its number in the file though no task reads it whole.
+    """
+    kind = spark.createDataFrame([], schema).schema
+    corrupt = "_corrupt"
+    while corrupt in kind.names:
+        corrupt = "_" + corrupt
+    lines = numbered_lines(spark, path)
+    parsed = F.from_json("value", T.StructType([*kind.fields, T.StructField(corrupt, T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
+    bad = lines.withColumn("parsed", parsed).filter((F.trim("value") != "") & (F.col("parsed").isNull() | F.col(f"parsed.{corrupt}").isNotNull())).drop("parsed")
+    earlier = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("lines")).withColumn("earlier", earlier)
+    return bad.join(splits, ["file", "block"]).select("file", (F.col("earlier") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """JSON lines under a schema; blank lines are skipped, bad ones fail the read."""
+    """JSON lines under a schema; blank lines are skipped, bad ones raise with the file and line of the first three."""
+    bad = bad_lines(spark, path, schema).orderBy("file", "line").limit(3).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r.file} line {r.line}: {r.value[:80]!r} is no row of the schema" for r in bad))
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 

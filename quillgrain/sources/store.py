@@ -160,9 +160,13 @@ class VersionedTable:
         """``df`` becomes the whole table."""
         return self.commit(self.stage(df))
 
-    def _change(self, keys: DataFrame, key: str, made: Callable[[DataFrame], DataFrame], fresh: DataFrame | None) -> int:
-        """Rewrite the buckets that ``keys`` may touch: those of their documents, all if they don't name documents."""
-        base = self.version()
+    def _change(self, keys: DataFrame, key: str, made: Callable[[DataFrame], DataFrame], fresh: DataFrame | None, base: int | None = None) -> int:
+        """Rewrite the buckets that ``keys`` may touch: those of their documents, all if they don't name documents.
+
+        With ``base`` the change counts on these buckets being as they were in
+        that version, and raises a Conflict if they aren't.
+        """
+        base = self.version() if base is None else base
         if not base:
             return self.write(fresh) if fresh is not None else 0
         held = self._held(base)
@@ -185,10 +189,16 @@ class VersionedTable:
         """All rows of the documents in ``rows`` are replaced: stale chunks go with the same switch."""
         return self._change(rows, doc, lambda old: replaced(old, rows, doc), rows)
 
-    def delete(self, keys: DataFrame, key: str) -> int:
+    def delete(self, keys: DataFrame, key: str, base: int | None = None) -> int:
         """Rows of these keys go. Only a key that is the document tells its bucket."""
         named = keys.select(key).distinct()
-        return self._change(named, key, lambda old: old.join(named, key, "left_anti"), None)
+        return self._change(named, key, lambda old: old.join(named, key, "left_anti"), None, base)
+
+    def update(self, keys: DataFrame, key: str, changes: dict[str, Any], base: int | None = None) -> int:
+        """Rows of these keys get new values in some columns."""
+        named = keys.select(key).distinct().withColumn("_named", F.lit(True))
+        value = lambda old, c: F.when(F.col("_named"), F.lit(changes[c]).cast(old.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in changes else F.col(c)
+        return self._change(named.drop("_named"), key, lambda old: old.join(named, key, "left").select(*(value(old, c) for c in old.columns)), None, base)
 
     def vacuum(self, keep: int = 2) -> int:
         """Delete the folders that none of the last ``keep`` versions names; readers of older ones fail. Run without writers."""
