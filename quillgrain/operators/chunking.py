@@ -174,7 +174,7 @@ def merge_parents(pieces: Sequence[Piece], config: ChunkConfig, count: Counter)
 
 
 def _span(segments: Sequence[tuple[int, int, Piece]], start: int, end: int) -> dict[str, Any]:
-    """Source offsets of a range of a parent; exact only if all its blocks are."""
+    """Source offsets of a range of a parent; exact only if all its blocks are and stand in the source as in the parent."""
     inside = [s for s in segments if s[1] > start and s[0] < end] or list(segments[:1])
     spans = [s[2].block.get("span") or {} for s in inside]
     located = [x for x in spans if x.get("start_char") is not None]
@@ -184,6 +184,8 @@ def _span(segments: Sequence[tuple[int, int, Piece]], start: int, end: int) -> d
         a, b = inside[0], inside[-1]
         first = a[2].block["span"]["start_char"] + a[2].offset + max(0, start - a[0])
         last = b[2].block["span"]["start_char"] + b[2].offset + min(end, b[1]) - b[0]
+        # Blocks may lie further apart in the source than in their parent.
+        accuracy = "exact" if last - first == end - start else "line_only"
     return {"start_char": first, "end_char": last, "accuracy": accuracy, "blocks": [s[2].block for s in inside]}
 
 

@@ -64,12 +64,28 @@ def test_html_and_text():
     assert [b["span"]["accuracy"] for b in plain] == ["exact", "exact"] and plain[1]["span"]["start_line"] == 3
 
 
-def test_places_are_found_in_order():
-    source = "# One *two*\n\ntwo `two`\r\n> three\u3000four"
-    found = list(p.places(source, ["One two", "two", "missing", "two", "threefour", "one"]))
-    assert [source[f["start_char"] : f["end_char"]] if f["start_char"] is not None else None for f in found] == ["One *two", "two", None, "two", "three\u3000four", None]
-    assert [f["start_line"] for f in found] == [1, 3, None, 3, 4, None] and {f["accuracy"] for f in found} == {"line_only", "unavailable"}
-    assert [f["accuracy"] for f in p.places("a  b\n\nc", ["a  b", "c"], verbatim=True)] == ["exact", "exact"]
+def test_places_are_those_the_parsers_read():
+    source = "# One *two*\n\ntwo `two`\r\n> three\u3000four\n\nSet\next\n---\n- item two\n\nplain line\n"
+    blocks = p.parse_markdown(source)
+    assert [(b["text"], source[b["span"]["start_char"] : b["span"]["end_char"]], b["span"]["start_line"], b["span"]["end_line"], b["span"]["accuracy"]) for b in blocks] == [
+        ("One two", "# One *two*", 1, 1, "line_only"),
+        ("two two three\u3000four", "two `two`\r\n> three\u3000four", 3, 4, "line_only"),
+        ("Set ext", "Set\next\n---", 6, 8, "line_only"),
+        ("item two", "- item two", 9, 9, "line_only"),
+        ("plain line", "plain line", 11, 11, "exact"),
+    ]
+    page = "<h1>A &amp; b</h1>\n<p>one <b>two</b>\n three</p><div>two</div> two <table>\n<tr><td>1</td></tr></table><p>two"
+    said = [(b["text"], page[b["span"]["start_char"] : b["span"]["end_char"]], b["span"]["start_line"], b["span"]["accuracy"]) for b in p.parse_html(page)]
+    assert said == [
+        ("A & b", "A &amp; b", 1, "line_only"),
+        ("one two three", "one <b>two</b>\n three", 2, "line_only"),
+        ("two", "two", 3, "exact"),
+        ("two", "two", 3, "exact"),
+        ("<table>\n<tr><td>1</td></tr></table>", "<table>\n<tr><td>1</td></tr></table>", 3, "exact"),
+        ("two", "two", 4, "exact"),
+    ]
+    plain = "\n a  b \n \n\nc\nd"
+    assert [(b["text"], plain[b["span"]["start_char"] : b["span"]["end_char"]], b["span"]["start_line"], b["span"]["end_line"]) for b in p.parse_text(plain)] == [("a  b", "a  b", 2, 2), ("c\nd", "c\nd", 5, 6)]
 
 
 def test_readers_take_further_types(spark):
@@ -92,13 +108,14 @@ def test_errors_are_rows(spark):
 
 
 def test_chunks_keep_everything(spark):
-    blocks = p.parse_markdown(MARKDOWN + "\n\nlong words " * 60)
+    text = MARKDOWN + "\n\nlong words " * 60
+    blocks = p.parse_markdown(text)
     rows = c.chunk_document("d", blocks, SMALL)
     assert [r["chunk_order"] for r in rows] == list(range(len(rows))) and rows == c.chunk_document("d", blocks, SMALL)
     kept = [r for r in rows if r["preserve_structure"] and r["chunk_role"] == "parent"]
     assert [r["block_types"] for r in kept] == [["code"], ["table"]]
     exact = [r for r in rows if r["accuracy"] == "exact" and r["chunk_role"] == "child"]
-    assert exact and all(MARKDOWN[r["start_char"] : r["end_char"]] == r["content"] for r in exact)
+    assert exact and all(text[r["start_char"] : r["end_char"]] == r["content"] for r in exact)
     df = spark.createDataFrame([("d", blocks)], p.PARSED.names[:2] and p.T.StructType(p.PARSED.fields[:2]))
     chunks = c.chunk_documents(df, SMALL)
     assert chunks.count() == len(rows) and {r.violations for r in c.invariant_violations(chunks, SMALL).collect()} == {0}
