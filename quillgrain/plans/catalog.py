@@ -527,12 +527,24 @@ def _parsed(spark: SparkSession, sf: str) -> DataFrame:
     return parsing.parse_documents(table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.lit(".HTML").alias("file_type"), F.col("html").alias("content")))
 
 
-@query()
+#: The pages' markup in SQL: what isn't text goes, inline tags become marks, and each other tag begins a part.
+_PARTS = r"""bare AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->|<!DOCTYPE[^>]*>|<head>.*?</head>|<script.*?</script>|<style.*?</style>', '', 'gs'), '</?(b|a|i|em|strong|span)( [^>]*)?>', chr(1), 'g'), '<br[^>]*>', chr(2), 'g') AS h FROM pages),
+  parts AS (SELECT page_id, unnest(regexp_extract_all(h, '<[^>]+>[^<]*')) AS part, generate_subscripts(regexp_extract_all(h, '<[^>]+>[^<]*'), 1) AS i FROM bare),
+  cut AS (SELECT page_id, i, regexp_extract(part, '^<(/?[a-zA-Z0-9]+)', 1) AS tag, regexp_replace(regexp_replace(regexp_extract(part, '^<[^>]+>(.*)$', 1, 's'), '^[\s\x01\x02]+', ''), '\s+$', '') AS raw FROM parts),
+  read AS (SELECT *, replace(replace(raw, chr(1), ''), chr(2), ' ') AS t FROM cut),
+  named AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&copy;?', '©', 'g'), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g') AS u FROM read),
+  said AS (SELECT *, trim(regexp_replace(regexp_replace(replace(u, '&middot;', '·'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM named),
+  blocks AS (SELECT page_id AS doc_id, (row_number() OVER (PARTITION BY page_id ORDER BY i))::INTEGER AS "order", CASE WHEN tag IN ('h1', 'h2', 'h3') THEN 'heading' WHEN tag = 'li' THEN 'list' WHEN tag = 'pre' THEN 'code' ELSE 'paragraph' END AS block_type, text,
+    CASE WHEN raw = text AND NOT contains(raw, '&') THEN 'exact' ELSE 'line_only' END AS accuracy FROM said WHERE text <> '')"""
+
+
+@query(f'WITH {_PARTS} SELECT doc_id::VARCHAR AS doc_id, "order", block_type, text, accuracy FROM blocks')
 def parse_html_blocks(spark, sf):
     return _parsed(spark, sf).select("doc_id", F.inline("blocks")).select("doc_id", "order", "block_type", "text", F.col("span.accuracy").alias("accuracy"))
 
 
-@query()
+@query(f"""WITH {_PARTS}, placed AS (SELECT doc_id, coalesce(last_value(CASE WHEN block_type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY "order"), '') AS path FROM blocks)
+  SELECT doc_id::VARCHAR AS doc_id, path, count(*) AS blocks FROM placed GROUP BY ALL""")
 def section_paths(spark, sf):
     blocks = _parsed(spark, sf).select("doc_id", F.inline("blocks"))
     return blocks.groupBy("doc_id", F.array_join("section_path", " > ").alias("path")).agg(F.count("*").alias("blocks"))
