@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from quillgrain.config import ChunkConfig, EvidenceConfig, RetrievalConfig
 from quillgrain.functions import providers
-from quillgrain.operators import chunking, datasets, metrics, parsing, retrieve, runs
-from quillgrain.sources import store
+from quillgrain.operators import chunking, datasets, evaluation, metrics, parsing, retrieve, runs
+from quillgrain.sources import embedding_log, store
 
 DIM = 32
 METRICS = [*(f"hit_{k}" for k in metrics.CUTOFFS), *(f"recall_{k}" for k in metrics.CUTOFFS), "mrr_10", "ndcg_10"]
@@ -81,6 +81,8 @@ def build(spark: SparkSession, a: argparse.Namespace) -> None:
     made = runs.build_dataset(table(spark, a.input), table(spark, a.distractors), json.loads(a.tasks), a.per_task, a.dev_per_task, a.corpus_size, a.hard)
     for name, rows in made.items():
         rows.write.mode("overwrite").parquet(f"{a.output}/{name}")
+    parameters = {"tasks": json.loads(a.tasks), "per_task": a.per_task, "dev_per_task": a.dev_per_task, "corpus_size": a.corpus_size, "hard": a.hard}
+    store.write_dataset({name: spark.read.parquet(f"{a.output}/{name}") for name in made}, f"{a.output}/lines", parameters)
 
 
 def validate(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -128,8 +130,28 @@ def sweep(spark: SparkSession, a: argparse.Namespace) -> None:
     print(json.dumps({"picks": out["picks"], "locked": datasets.compose(base, out["picks"], datasets.keep_rerank(without, with_it))}, sort_keys=True))
 
 
-COMMANDS = {"index": index, "rebuild": rebuild, "run-retrieval": run_retrieval, "run-qa": run_qa, "build": build, "validate": validate, "score": score, "report": report, "sweep": sweep}
-OPTIONS = {"input": None, "output": None, "index": None, "dataset": None, "distractors": None, "config": "{}", "axes": "{}", "tasks": "{}", "counts": "{}", "split": "all", "embedder": None, "predictor": None, "answerer": None}
+def embed(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Vectors of a chunk table, resumed where an earlier run stopped."""
+    chunks = store.VersionedTable(spark, a.index).read().select("chunk_id", "content", "retrieval_eligible")
+    log = embedding_log.EmbeddingLog(spark, a.output, a.dim, {"embedder": a.embedder or "hash"})
+    print(json.dumps(log.run(chunks, provider(a.embedder, lambda: providers.hash_embedding)), sort_keys=True))
+
+
+def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Document search over the vectors that ``embed`` wrote to --input, scored on a dataset; --exclusions has documents that can't be parsed."""
+    log = embedding_log.EmbeddingLog(spark, a.input, a.dim, {"embedder": a.embedder or "hash"})
+    kids = store.VersionedTable(spark, a.index).read().filter("chunk_role = 'child' AND retrieval_eligible")
+    chunks = kids.select("chunk_id", "doc_id", F.coalesce("parent_id", "chunk_id").alias("family")).join(log.vectors(), "chunk_id")
+    corpus, queries, qrels = (table(spark, f"{a.dataset}/{n}") for n in ("corpus", "queries", "qrels"))
+    asked = queries.select(F.col("query_id").alias("qid"), F.col("question").alias("text"))
+    vectors = retrieve.embed_questions(asked, provider(a.embedder, lambda: providers.hash_embedding), a.dim)
+    excluded = table(spark, a.exclusions).select("doc_id") if a.exclusions else corpus.select("doc_id").limit(0)
+    judged = qrels.select(F.col("query_id").alias("qid"), "doc_id", F.col("relevance").alias("rel"))
+    print(json.dumps(evaluation.evaluate(corpus, chunks, excluded, asked, vectors, judged).first().asDict(), sort_keys=True))
+
+
+COMMANDS = {"embed": embed, "evaluate": evaluate, "index": index, "rebuild": rebuild, "run-retrieval": run_retrieval, "run-qa": run_qa, "build": build, "validate": validate, "score": score, "report": report, "sweep": sweep}
+OPTIONS = {"input": None, "output": None, "index": None, "dataset": None, "distractors": None, "exclusions": None, "config": "{}", "axes": "{}", "tasks": "{}", "counts": "{}", "split": "all", "embedder": None, "predictor": None, "answerer": None}
 NUMBERS = {"dim": DIM, "per-task": 100, "dev-per-task": 20, "corpus-size": 1000, "hard": 100}
 
 

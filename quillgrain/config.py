@@ -119,3 +119,21 @@ def merge_settings(base: dict[str, Any], over: dict[str, Any], path: str = "") -
             value = merge_settings(base[key], value, where)
         merged[key] = value
     return merged
+
+
+def read_settings(spark, *paths: str) -> dict[str, Any]:
+    """Settings of JSON or TOML files, read through Spark; each file is laid on the ones before it, whose keys it may not add to."""
+    import json
+    import tomllib
+
+    merged: dict[str, Any] | None = None
+    for path in paths:
+        text = "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
+        try:
+            own = tomllib.loads(text) if path.endswith(".toml") else json.loads(text)
+        except ValueError as error:
+            raise ValueError(f"{path}: {error}") from error
+        if not isinstance(own, dict):
+            raise ValueError(f"{path}: a section is expected")
+        merged = own if merged is None else merge_settings(merged, own)
+    return merged or {}

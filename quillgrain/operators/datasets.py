@@ -66,9 +66,15 @@ def same_set(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def subsample(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, n_queries: int, n_docs: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Queries with positives first, all their positives in the pool, the rest filled at random; qrels restricted."""
+    """Queries with positives, all their positives in the pool, the rest filled at random; qrels restricted.
+
+    Fewer queries with positives than asked for raise.
+    """
     positive = qrels.filter("rel > 0")
     chosen = queries.join(positive.select("qid").distinct(), "qid", "left_semi").orderBy(sample_order(F.col("qid"), seed), "qid").limit(n_queries)
+    held = chosen.count()
+    if held < n_queries:
+        raise ValueError(f"only {held} of {n_queries} queries have a positive")
     own = qrels.join(chosen.select("qid"), "qid", "left_semi")
     forced = own.filter("rel > 0").select("doc_id").distinct()
     pool = corpus.join(forced.withColumn("forced", F.lit(0)), "doc_id", "left").orderBy(F.coalesce("forced", F.lit(1)), sample_order(F.col("doc_id"), seed), "doc_id").limit(n_docs).drop("forced")

@@ -44,6 +44,17 @@ def macro_average(per_query: DataFrame, task: str, metrics: Sequence[str]) -> Da
     return grouped.select(F.when(F.col("whole") == 1, F.lit("overall")).otherwise(F.col(task).cast("string")).alias("task_group"), "queries", *metrics)
 
 
+def qrels_coverage(qrels: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row: queries judged, relevant pairs of asked queries, those whose document can be found, and their share.
+
+    qrels: qid, doc_id, rel; corpus has the doc_id of what is indexed. A pair counts once.
+    """
+    pairs = qrels.filter("rel > 0").select("qid", "doc_id").distinct().join(queries.select("qid").distinct(), "qid", "left_semi")
+    found = pairs.join(corpus.select("doc_id", F.lit(True).alias("found")).distinct(), "doc_id", "left")
+    counts = found.agg(F.count_distinct("qid").alias("judged_queries"), F.count("*").alias("relevant_pairs"), F.count("found").alias("retrievable_pairs"))
+    return counts.withColumn("coverage", F.round(F.when(F.col("relevant_pairs") > 0, F.col("retrievable_pairs") / F.col("relevant_pairs")).otherwise(0.0), 6))
+
+
 def graded_ndcg(qrels: DataFrame, run: DataFrame, depth: int = 10) -> DataFrame:
     """qid, ndcg with gain 2^rel - 1; the ideal order comes from all judgements."""
     gain = F.pow(F.lit(2.0), F.col("rel")) - 1

@@ -535,7 +535,7 @@ _PARTS = r"""bare AS (SELECT page_id, regexp_replace(regexp_replace(regexp_repla
   named AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&copy;?', '©', 'g'), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g') AS u FROM read),
   said AS (SELECT *, trim(regexp_replace(regexp_replace(replace(u, '&middot;', '·'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM named),
   blocks AS (SELECT page_id AS doc_id, (row_number() OVER (PARTITION BY page_id ORDER BY i))::INTEGER AS "order", CASE WHEN tag IN ('h1', 'h2', 'h3') THEN 'heading' WHEN tag = 'li' THEN 'list' WHEN tag = 'pre' THEN 'code' ELSE 'paragraph' END AS block_type, text,
-    CASE WHEN raw = text AND NOT contains(raw, '&') THEN 'exact' ELSE 'line_only' END AS accuracy FROM said WHERE text <> '')"""
+    CASE WHEN raw = text THEN 'exact' ELSE 'line_only' END AS accuracy FROM said WHERE text <> '')"""
 
 
 @query(f'WITH {_PARTS} SELECT doc_id::VARCHAR AS doc_id, "order", block_type, text, accuracy FROM blocks')
@@ -790,6 +790,17 @@ def evaluate_documents(spark, sf):
     return metrics.macro_average(metrics.score_queries(queries, qrels, run), "task", _METRICS)
 
 
+@query(
+    """WITH pairs AS (SELECT DISTINCT doc_id % 50 AS qid, doc_id FROM labels WHERE quality > 0 AND doc_id % 50 IN (SELECT item_id FROM benchmark))
+  SELECT count(DISTINCT qid) AS judged_queries, count(*) AS relevant_pairs, count(d.id) AS retrievable_pairs, round(CASE WHEN count(*) > 0 THEN count(d.id) / count(*)::DOUBLE ELSE 0 END, 6) AS coverage
+  FROM pairs LEFT JOIN (SELECT DISTINCT doc_id AS id FROM documents WHERE lang = 'en') d ON d.id = doc_id"""
+)
+def qrels_coverage(spark, sf):
+    """How many of the judged pairs a search over the English documents can find."""
+    qrels = table(spark, sf, "labels").select((F.col("doc_id") % 50).alias("qid"), "doc_id", F.col("quality").alias("rel"))
+    return metrics.qrels_coverage(qrels, table(spark, sf, "documents").filter("lang = 'en'"), _questions(spark, sf))
+
+
 @query(
     ORACLES["hard_negatives"].replace("SELECT * FROM (SELECT *,", "SELECT qid, doc_id, 'distractor' AS kind, rank AS place FROM (SELECT *,", 1)
     + " UNION ALL SELECT item_id, doc_id, 'positive', 1::INTEGER FROM benchmark JOIN documents ON doc_id = item_id"

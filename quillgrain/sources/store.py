@@ -233,6 +233,21 @@ def check_index_rows(chunks: DataFrame, dim: int) -> DataFrame:
     return chunks.filter(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("bad vector of "), F.col("chunk_id")))))
 
 
+def bad_index_rows(chunks: DataFrame, dim: int) -> DataFrame:
+    """(chunk_id, reason) of the rows that may not be indexed."""
+    eligible, vector = F.coalesce(F.col("retrieval_eligible"), F.lit(False)), F.col("embedding")
+    reason = F.when(eligible & vector.isNull(), "no vector").when(eligible & ~is_valid(vector, dim), "invalid vector").when(~eligible & vector.isNotNull(), "vector of a row that isn't searched")
+    return chunks.select("chunk_id", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def require_index_rows(chunks: DataFrame, dim: int, named: int = 3) -> DataFrame:
+    """``chunks`` if all rows may be indexed; else an error that names the first of them, before anything is written."""
+    bad = bad_index_rows(chunks, dim).orderBy("chunk_id").limit(named).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r.chunk_id}: {r.reason}" for r in bad))
+    return chunks
+
+
 def index_counts(chunks: DataFrame) -> DataFrame:
     """Per document: rows, parents, children."""
     return chunks.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("chunk_role") == "parent").alias("parents"), F.count_if(F.col("chunk_role") == "child").alias("children"))
@@ -342,6 +357,32 @@ def manifest(spark: SparkSession, path: str) -> list[dict[str, Any]]:
     return [r.asDict() for r in rows.collect()]
 
 
+def write_dataset(tables: dict[str, DataFrame], path: str, parameters: dict[str, Any]) -> dict[str, Any]:
+    """Tables as JSON lines in the order of their first column, with a manifest: parameters, rows of each table and the digest of each file."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, rows in tables.items():
+        # A range of keys a file, so files in order are the table in order.
+        write_jsonl(rows.repartitionByRange(F.col(rows.columns[0])).sortWithinPartitions(*rows.columns[:1]), f"{path}/{name}.jsonl")
+    said = {"parameters": parameters, "fingerprint": fingerprint(parameters), "tables": _table_digests(spark, path, list(tables))}
+    spark.createDataFrame([(json.dumps(said, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    return said
+
+
+def _table_digests(spark: SparkSession, path: str, names: list[str]) -> dict[str, Any]:
+    out = {}
+    for name in sorted(names):
+        files = [f for f in manifest(spark, f"{path}/{name}.jsonl") if f["bytes"] and f["name"].startswith("part-")]
+        whole = hashlib.sha256("".join(f["sha256"] for f in files).encode()).hexdigest()
+        out[name] = {"bytes": sum(f["bytes"] for f in files), "lines": sum(f["lines"] for f in files), "files": len(files), "sha256": whole}
+    return out
+
+
+def dataset_changes(spark: SparkSession, path: str) -> dict[str, Any]:
+    """The tables of a written dataset that aren't what its manifest says, with what they are now."""
+    said = json.loads(spark.read.text(f"{path}/manifest").first()[0])["tables"]
+    return {name: now for name, now in _table_digests(spark, path, list(said)).items() if now != said[name]}
+
+
 def fingerprint(config: dict[str, Any], digits: int = 16) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()[:digits]
 

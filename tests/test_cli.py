@@ -5,6 +5,7 @@ import json
 import pytest
 
 from quillgrain.__main__ import main
+from quillgrain.sources import store
 
 
 def test_from_rows_to_report(spark, tmp_path, capsys):
@@ -39,3 +40,17 @@ def test_from_rows_to_report(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["locked"]["mode"] == "keyword"
     with pytest.raises(SystemExit, match="isn't sound"):
         run("score", "--input", p("run"), "--dataset", p("set"), "--output", p("metrics"), "--split", "dev")
+
+    run("embed", "--index", p("index"), "--output", p("vectors"))
+    first = json.loads(capsys.readouterr().out)
+    run("embed", "--index", p("index"), "--output", p("vectors"))
+    again = json.loads(capsys.readouterr().out)
+    assert first["made"] == first["rows"] > 0 and again == first | {"made": 0, "ranges": 0}
+    run("evaluate", "--input", p("vectors"), "--index", p("index"), "--dataset", p("set"))
+    figures = json.loads(capsys.readouterr().out)
+    assert figures["queries"] == 4 and figures["coverage"] == 1.0 and figures["recall_10"] == 1.0 and 0 < figures["ndcg_10"] <= 1
+    assert store.dataset_changes(spark, p("set/lines")) == {}
+    changed = next((tmp_path / "set" / "lines" / "queries.jsonl").glob("part-*"))
+    changed.with_name(f".{changed.name}.crc").unlink()
+    changed.write_text("{}\n")
+    assert list(store.dataset_changes(spark, p("set/lines"))) == ["queries"]
