@@ -23,6 +23,17 @@ def first_by_content(rows: DataFrame, key: Column, order: Sequence[Column]) -> D
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__r = 1").drop("__r")
 
 
+def exact_dedup(rows: DataFrame, text: Column, id_col: str, columns: Sequence[str]) -> DataFrame:
+    """(content_id, id, columns): of rows that say the same the one of the least id; copies are aggregated where they lie first."""
+    named = rows.select(id_col, *columns, F.sha2(text, 256).alias("content_id"))
+    return named.groupBy("content_id").agg(F.min(id_col).alias(id_col), *(F.min_by(c, id_col).alias(c) for c in columns))
+
+
+def counts_by(rows: DataFrame, key: str, column: str, values: Sequence[str]) -> DataFrame:
+    """Rows of each key by the given values of a column, zeros kept, and in total."""
+    return rows.groupBy(key).agg(*(F.count_if(F.col(column) == v).alias(v) for v in values), F.count("*").alias("total"))
+
+
 def sample_order(key: Column, seed: int) -> Column:
     """A seeded shuffle as an order: any engine with MD5 draws the same sample."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))

@@ -66,10 +66,11 @@ def build_dataset(rows: DataFrame, distractors: DataFrame, task_docs: dict[str,
     queries = chosen.withColumn("split", F.when(place <= dev_per_task, "dev").otherwise("test")).withColumn("query_id", stable_id(QUERY_PREFIX, F.col("task"), F.col("event_id"), F.col("question")))
     qrels = queries.select("query_id", F.explode("texts").alias("text")).select("query_id", stable_id(DOCUMENT_PREFIX, F.col("text")).alias("doc_id"), F.lit(1).alias("relevance"), "text").distinct()
     positives = qrels.groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("source", F.lit("positive"))
-    asked = queries.agg(F.array_distinct(F.flatten(F.collect_set(builder_tokens(F.col("question"))))).alias("asked"))
+    asked = queries.select(F.explode(builder_tokens(F.col("question"))).alias("term")).distinct().withColumn("asked", F.lit(True))
     # Only ids and scores are ranked; the texts of the chosen ones are fetched last.
     pool = first_by_content(distractors.select(stable_id(DOCUMENT_PREFIX, F.col("text")).alias("doc_id"), "text"), F.col("doc_id"), [F.col("text")]).join(positives.select("doc_id"), "doc_id", "left_anti")
-    scored = pool.crossJoin(F.broadcast(asked)).select("doc_id", F.round(overlap_score(builder_tokens(F.col("text")), F.col("asked")), 6).alias("score"))
+    terms = pool.select("doc_id", builder_tokens(F.col("text")).alias("own")).select("doc_id", F.size("own").alias("n"), F.explode_outer("own").alias("term"))
+    scored = terms.join(asked, "term", "left").groupBy("doc_id", "n").agg(F.count("asked").alias("both")).select("doc_id", F.round(F.col("both") / F.sqrt(F.greatest(F.lit(1), F.col("n"))), 6).alias("score"))
     need = max(0, corpus_size - positives.count())
     hard = scored.orderBy(F.desc("score"), "doc_id").limit(min(n_hard, need)).select("doc_id", F.lit("hard_negative").alias("source"))
     rest = pool.select("doc_id").join(hard.select("doc_id"), "doc_id", "left_anti").orderBy(sample_order(F.col("doc_id"), seed + 1), "doc_id").limit(max(0, need - n_hard)).select("doc_id", F.lit("random_negative").alias("source"))

@@ -7,6 +7,8 @@ log. Vector queries are the rows whose vec_id is divisible by 50.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,9 +68,9 @@ def vector_topk(spark, sf):
 @query(_TOP)
 def vector_topk_blocks(spark, sf):
     vectors = table(spark, sf, "embeddings")
-    # Here the caller holds the asked set; it goes out in blocks, the corpus stays.
-    asked = [(r.qid, r.qvec) for block in search.in_blocks(_asked(vectors)) for r in block]
-    return retrieval.vector_topk_blocks(vectors, asked, K)
+    # Here the caller holds a block of the asked set at a time; the corpus stays.
+    parts = [retrieval.vector_topk_blocks(vectors, [(r.qid, r.qvec) for r in block], K) for block in search.in_blocks(_asked(vectors))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(_TOP)
@@ -420,8 +422,7 @@ def owner_authorised(spark, sf):
 
 @query("SELECT min(doc_id) AS doc_id, sha256(trim(text)) AS content_id, arg_min(source, doc_id) AS source FROM documents GROUP BY sha256(trim(text))")
 def exact_dedup_documents(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.sha2(F.trim("text"), 256).alias("content_id"), "source")
-    return docs.groupBy("content_id").agg(F.min("doc_id").alias("doc_id"), F.min_by("source", "doc_id").alias("source"))
+    return datasets.exact_dedup(table(spark, sf, "documents"), F.trim("text"), "doc_id", ["source"])
 
 
 @query("SELECT doc_id, 'doc_' || substr(sha256(source || chr(31) || trim(text)), 1, 24) AS stable_id FROM documents")
@@ -470,7 +471,7 @@ def validator_violations(spark, sf):
 
 @query("SELECT lang, count(*) FILTER (source = 'src0') AS src0, count(*) FILTER (source = 'src1') AS src1, count(*) AS total FROM documents GROUP BY lang")
 def dataset_counts(spark, sf):
-    return table(spark, sf, "documents").groupBy("lang").agg(F.count_if(F.col("source") == "src0").alias("src0"), F.count_if(F.col("source") == "src1").alias("src1"), F.count("*").alias("total"))
+    return datasets.counts_by(table(spark, sf, "documents"), "lang", "source", ["src0", "src1"])
 
 
 @query("SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}]+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS digest FROM documents")
@@ -761,7 +762,21 @@ def embedding_budget(spark, sf):
     return chunking.embedding_outcomes(table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), F.lit(False).alias("preserve_structure")), 3072, 192).select("doc_id", "tokens", "outcome")
 
 
-@query()
+_LINES = "array_to_string(list_filter(list_transform(string_split({}, chr(10)), lambda x: trim(regexp_replace(x, '[\\t-\\r\\x1c-\\x20\\x{{85}}\\x{{a0}}]+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
+_OWN_TERMS = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda w: length(w) > 1))"
+
+
+@query(
+    f"""WITH tasks AS (SELECT item_id % 2 AS task, item_id::VARCHAR AS event_id, {_LINES.format("b.text")} AS question, {_LINES.format("d.text")} AS news FROM benchmark b JOIN documents d ON item_id = doc_id),
+  chosen AS (SELECT * FROM tasks WHERE question <> '' AND news <> '' QUALIFY row_number() OVER (PARTITION BY task ORDER BY md5('42:' || event_id), event_id) <= 5),
+  positives AS (SELECT DISTINCT 'crud_' || substr(sha256(news), 1, 24) AS doc_id FROM chosen), asked AS (SELECT DISTINCT unnest({_OWN_TERMS.format("question")}) AS term FROM chosen),
+  texts AS (SELECT DISTINCT {_LINES.format("text")} AS text FROM documents),
+  pool AS (SELECT 'crud_' || substr(sha256(text), 1, 24) AS doc_id, {_OWN_TERMS.format("text")} AS own FROM texts WHERE 'crud_' || substr(sha256(text), 1, 24) NOT IN (SELECT doc_id FROM positives)),
+  scored AS (SELECT doc_id, round(len(list_intersect(own, coalesce(every, []))) / sqrt(greatest(1, len(own))), 6) AS score FROM pool, (SELECT list(term) AS every FROM asked)), need AS (SELECT greatest(0, 100 - count(*)) AS n FROM positives),
+  hard AS (SELECT doc_id FROM scored QUALIFY row_number() OVER (ORDER BY score DESC, doc_id) <= least(20, (SELECT n FROM need))),
+  rest AS (SELECT doc_id FROM pool WHERE doc_id NOT IN (SELECT doc_id FROM hard) QUALIFY row_number() OVER (ORDER BY md5('43:' || doc_id), doc_id) <= greatest(0, (SELECT n FROM need) - 20))
+  SELECT doc_id, 'positive' AS source FROM positives UNION ALL SELECT doc_id, 'hard_negative' FROM hard UNION ALL SELECT doc_id, 'random_negative' FROM rest"""
+)
 def build_dataset(spark, sf):
     """A dataset whose questions are benchmark texts and whose references are documents."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
