@@ -82,10 +82,11 @@ def test_providers(spark):
     df = spark.createDataFrame([("a b",), ("c",)], "t string")
     vectors = [r[0] for r in df.select(providers.embed(F.col("t"), lambda: providers.hash_embedding, 32)).collect()]
     assert all(len(v) == 32 and abs(sum(x * x for x in v) - 1) < 1e-6 for v in vectors)
-    scores = [r[0] for r in df.select(providers.cross_scores(F.col("t"), F.col("t"), lambda: lambda pairs: [0.0] * len(pairs))).collect()]
-    assert scores == [0.5, 0.5]
-    with pytest.raises(Exception, match="one finite score"):
-        df.select(providers.cross_scores(F.col("t"), F.col("t"), lambda: lambda pairs: [float("inf")] * len(pairs))).collect()
+    scored = lambda model: [tuple(r[0]) for r in df.select(providers.cross_scores(F.col("t"), F.col("t"), lambda: model)).collect()]
+    assert scored(lambda pairs: [0.0] * len(pairs)) == [(0.5, None)] * 2
+    # A score that isn't finite is its pair's failure, not the batch's.
+    found = scored(lambda pairs: [float("inf") if q == "c" else 0.0 for q, _ in pairs])
+    assert found[0] == (0.5, None) and found[1][0] is None and "one finite score" in found[1][1]
 
 
 def test_config_is_strict():
