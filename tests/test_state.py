@@ -203,7 +203,9 @@ def test_datasets(spark):
     corpus = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id int, text string")
     queries = spark.createDataFrame([(i, "text") for i in range(5)], "qid int, text string")
     qrels = spark.createDataFrame([(0, 3, 1), (1, 4, 1), (2, 5, 0)], "qid int, doc_id int, rel int")
-    pool, chosen, own = d.subsample(corpus, queries, qrels, 5, 6, 1)
+    with pytest.raises(ValueError, match="only 2 of 5"):
+        d.subsample(corpus, queries, qrels, 5, 6, 1)
+    pool, chosen, own = d.subsample(corpus, queries, qrels, 2, 6, 1)
     assert sorted(r.qid for r in chosen.collect()) == [0, 1] and {3, 4} <= {r.doc_id for r in pool.collect()} and pool.count() == 6 and own.count() == 2
     bad = {r.rule: r.violations for r in d.violations(corpus.unionByName(corpus.limit(1)), queries, qrels).collect()}
     assert bad["corpus_id_unique"] == 1 and bad["query_has_positive"] == 3
