@@ -225,20 +225,32 @@ def threshold_funnel(candidates: DataFrame, threshold: float, top_k: int, sample
 
 
 def vector_topk_lsh(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", bucket: float = 1.0, tables: int = 6, radius: float = 1.6) -> DataFrame:
-    """Approximate batch search: random projections of unit vectors, joined by bucket and verified.
+    """Approximate batch search: random projections of unit vectors; rows that share a bucket with a question are verified.
 
-    Both sides are hashed and joined, so nothing is broadcast; ``radius`` bounds
-    the distance of pairs. Every row is indexed.
+    Every row is hashed where it lies. Questions come in blocks with their hashes,
+    and each task keeps its best rows of those that share a bucket in any table
+    and are nearer than ``radius``: pairs are never written, only each task's best.
+    Vectors that are null or not finite are left out.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     from ..functions.vectors import normalized
 
-    own = corpus.select(F.col(id_col), array_to_vector(normalized(doubles(F.col(vector)))).alias("features"))
-    asked = queries.select("qid", array_to_vector(normalized(doubles(F.col("qvec")))).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(own)
-    near = model.approxSimilarityJoin(own, asked, radius, "distance")
-    # Of unit vectors: distance^2 = 2 - 2 cos.
-    scored = near.select(F.col("datasetB.qid").alias("qid"), F.col(f"datasetA.{id_col}").alias(id_col), F.round(unit_score(1 - F.col("distance") * F.col("distance") / 2), 6).alias("score"))
-    return top_by(scored, k, F.desc("score"), F.asc(id_col))
+    def units(rows: DataFrame, key: str, value: str) -> DataFrame:
+        finite = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        return rows.filter(F.coalesce(finite, F.lit(False))).select(key, array_to_vector(normalized(doubles(F.col(value)))).alias("features"))
+
+    own, asked = units(corpus, id_col, vector), units(queries, "qid", "qvec")
+    kind = queries.schema["qid"].dataType
+    # Fitting reads the vectors' length, which an empty table doesn't have.
+    model = None if own.isEmpty() else BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(own)
+    if model is None:
+        none = corpus.sparkSession.createDataFrame([], T.StructType([T.StructField("qid", kind), corpus.schema[id_col], T.StructField("score", T.DoubleType())]))
+        return top_by(none, k, F.desc("score"), F.asc(id_col))
+
+    def hashed(rows: DataFrame, key: str) -> DataFrame:
+        return model.transform(rows).select(key, vector_to_array("features").alias("unit"), F.transform("hashes", lambda h: vector_to_array(h)[0]).alias("buckets"))
+
+    parts = [search.near_in_buckets(hashed(own, id_col), [(r.qid, r.unit, r.buckets) for r in block], kind, k, id_col, radius) for block in search.in_blocks(hashed(asked, "qid"))]
+    return top_by(reduce(DataFrame.unionByName, parts), k, F.desc("score"), F.asc(id_col))

@@ -152,6 +152,17 @@ def test_lsh_recall(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_lsh_pairs_stay_in_their_task(spark):
+    """No join and no shuffle but that of each task's best; bad vectors are left out."""
+    rows = [(i, [1.0, float(i % 5), float(i % 3)]) for i in range(60)] + [(100, None), (101, [1.0, None, 0.0]), (102, [float("nan"), 1.0, 1.0])]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = corpus.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    found = retrieval.vector_topk_lsh(corpus, asked, 10)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.qid, r.vec_id) for r in found.collect()} == {(r.qid, r.vec_id) for r in retrieval.vector_topk(corpus, asked, 10).collect()}
+    assert retrieval.vector_topk_lsh(corpus.limit(0), asked, 10).collect() == []
+
+
 def test_rewrite(spark):
     replies = {"a": '{"standalone_query": " new "}', "b": "no json", "c": '{"standalone_query": "' + "long " * 400 + '"}'}
     df = spark.createDataFrame([(k, "old " + k) for k in replies], "p string, q string")
