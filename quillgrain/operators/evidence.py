@@ -25,7 +25,7 @@ SLACK = 24
 WINDOWS = "qid string, rank int, chunk_id string, doc_id string, window_no int, content string, first int, last int, children array<string>, match_first int, match_last int, whole boolean"
 
 PROMPTS = pa.schema(
-    [("qid", pa.string()), ("n_evidence", pa.int64()), ("n_dropped", pa.int64()), ("used_tokens", pa.int64()), ("evidence", pa.list_(pa.string())), ("shown", pa.list_(pa.struct([("rank", pa.int32()), ("content", pa.string())])))]
+    [("qid", pa.string()), ("n_evidence", pa.int64()), ("n_dropped", pa.int64()), ("used_tokens", pa.int64()), ("evidence", pa.list_(pa.string())), ("shown", pa.list_(pa.struct([("rank", pa.int32()), ("content", pa.string()), ("narrowed", pa.bool_())])))]
 )
 
 Span = tuple[int, int]
@@ -214,7 +214,7 @@ def evidence_windows(results: DataFrame, config: EvidenceConfig = EvidenceConfig
 
 
 def fit_prompts(windows: DataFrame, config: EvidenceConfig, fixed_tokens: int = 100, count: Counter = approximate_tokens) -> DataFrame:
-    """qid, n_evidence, n_dropped, used_tokens, evidence (the chunk ids taken, in order) and shown (their ranks and contents) of each question.
+    """qid, n_evidence, n_dropped, used_tokens, evidence (the chunk ids taken, in order) and shown (their ranks, contents and whether these were narrowed) of each question.
 
     ``windows`` are those of ``evidence_windows``; they go in by rank of their
     parent, then by place. Taking them is sequential within a question, which
@@ -228,7 +228,8 @@ def fit_prompts(windows: DataFrame, config: EvidenceConfig, fixed_tokens: int =
         parts = [Window(r["chunk_id"], r["doc_id"], r["content"], span(r["first"], r["last"]), span(r["match_first"], r["match_last"]), (), bool(r["whole"])) for r in rows]
         ranks = {(r["chunk_id"], r["doc_id"]): r["rank"] for r in rows}
         taken, dropped, used = fit_prompt(fixed_tokens, parts, config, count)
-        return len(taken), len(dropped), used, [w.chunk_id for w in taken], [{"rank": ranks[w.chunk_id, w.doc_id], "content": w.content} for w in taken]
+        whole = set(parts)
+        return len(taken), len(dropped), used, [w.chunk_id for w in taken], [{"rank": ranks[w.chunk_id, w.doc_id], "content": w.content, "narrowed": w not in whole} for w in taken]
 
     def run(batches):
         for batch in batches:
@@ -237,4 +238,4 @@ def fit_prompts(windows: DataFrame, config: EvidenceConfig, fixed_tokens: int =
 
     fields = ["rank", "chunk_id", "window_no", "doc_id", "content", "first", "last", "match_first", "match_last", "whole"]
     gathered = windows.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
-    return gathered.select(F.col("qid").cast("string").alias("qid"), "rows").mapInArrow(run, "qid string, n_evidence long, n_dropped long, used_tokens long, evidence array<string>, shown array<struct<rank:int,content:string>>")
+    return gathered.select(F.col("qid").cast("string").alias("qid"), "rows").mapInArrow(run, "qid string, n_evidence long, n_dropped long, used_tokens long, evidence array<string>, shown array<struct<rank:int,content:string,narrowed:boolean>>")

@@ -42,3 +42,14 @@ def test_query(spark, oracle, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_last_part_as_long_as_a_narrowed_one(spark, tmp_path):
+    """A third part of 116 characters is shown whole; only a narrowed one has a digest."""
+    rows = [(1, "x" * 516), (2, "y" * 600), (3, "z" * 515)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["prompt_by_characters"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()['prompt_by_characters']})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
