@@ -14,12 +14,14 @@ from itertools import accumulate
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import ChunkConfig
+from ..functions.batches import records, rows_of
 from ..functions.tokens import Counter, Ruler, approximate_tokens, ruler, token_count
 
 #: Name of the chunk profile, and where a text may be cut (fixed values).
@@ -231,33 +233,37 @@ def chunk_document(doc_id: str, blocks: Sequence[dict[str, Any]], config: ChunkC
 def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), count: Counter = approximate_tokens) -> DataFrame:
     """doc_id and blocks (array of structs) to chunk rows."""
 
+    schema = to_arrow_schema(CHUNK_SCHEMA)
+
     def run(batches):
-        for pdf in batches:
-            rows = [r for d, b in zip(pdf["doc_id"], pdf["blocks"]) for r in chunk_document(str(d), [_plain(x) for x in b], config, count)]
-            yield pd.DataFrame(rows, columns=CHUNK_SCHEMA.names).astype({"chunk_order": "int32", "token_count": "int32"}, errors="ignore")
+        for rows in rows_of(batches):
+            yield from records([c for r in rows for c in chunk_document(str(r["doc_id"]), [_plain(x) for x in r["blocks"]], config, count)], schema)
 
-    return docs.select("doc_id", "blocks").mapInPandas(run, CHUNK_SCHEMA)
+    return docs.select("doc_id", "blocks").mapInArrow(run, CHUNK_SCHEMA)
 
 
 FAMILY_SCHEMA = "doc_id string, chunk_id string, content string, preserve_structure boolean, children array<struct<chunk_id:string,start:int,end:int,snippet:string>>"
+FAMILIES = pa.schema(
+    [("doc_id", pa.string()), ("chunk_id", pa.string()), ("content", pa.string()), ("preserve_structure", pa.bool_()), ("children", pa.list_(pa.struct([("chunk_id", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("snippet", pa.string())])))]
+)
 
 
 def chunk_families(docs: DataFrame, config: ChunkConfig = ChunkConfig(), count: Counter = approximate_tokens) -> DataFrame:
     """Parents with their children's places and contents: what evidence is built from, made where the document is chunked."""
 
+    def families(doc_id: str, blocks: Sequence[dict[str, Any]]) -> list[dict[str, Any]]:
+        kids: dict[str, list[dict[str, Any]]] = {}
+        chunks = chunk_document(doc_id, [_plain(x) for x in blocks], config, count)
+        for c in chunks:
+            if c["parent_id"]:
+                kids.setdefault(c["parent_id"], []).append({"chunk_id": c["chunk_id"], "start": c["parent_char_start"], "end": c["parent_char_end"], "snippet": c["content"]})
+        return [{"doc_id": c["doc_id"], "chunk_id": c["chunk_id"], "content": c["content"], "preserve_structure": c["preserve_structure"], "children": kids.get(c["chunk_id"], [])} for c in chunks if c["chunk_role"] == "parent"]
+
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for d, b in zip(pdf["doc_id"], pdf["blocks"]):
-                chunks = chunk_document(str(d), [_plain(x) for x in b], config, count)
-                kids: dict[str, list[dict[str, Any]]] = {}
-                for c in chunks:
-                    if c["parent_id"]:
-                        kids.setdefault(c["parent_id"], []).append({"chunk_id": c["chunk_id"], "start": c["parent_char_start"], "end": c["parent_char_end"], "snippet": c["content"]})
-                rows += [(c["doc_id"], c["chunk_id"], c["content"], c["preserve_structure"], kids.get(c["chunk_id"], [])) for c in chunks if c["chunk_role"] == "parent"]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_id", "content", "preserve_structure", "children"])
-
-    return docs.select("doc_id", "blocks").mapInPandas(run, FAMILY_SCHEMA)
+        for rows in rows_of(batches):
+            yield from records([f for r in rows for f in families(str(r["doc_id"]), r["blocks"])], FAMILIES)
+
+    return docs.select("doc_id", "blocks").mapInArrow(run, FAMILY_SCHEMA)
 
 
 def _plain(block: Any) -> dict[str, Any]:
