@@ -12,18 +12,22 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EvidenceConfig
+from ..functions.batches import records, rows_of
 from ..functions.tokens import Counter, Ruler, approximate_tokens, ruler
 
 #: Tokens left free when a window is narrowed (fixed value).
 SLACK = 24
 WINDOWS = "qid string, rank int, chunk_id string, doc_id string, window_no int, content string, first int, last int, children array<string>, match_first int, match_last int, whole boolean"
 
+WINDOW_ROWS = pa.schema(
+    [("qid", pa.string()), ("rank", pa.int32()), ("chunk_id", pa.string()), ("doc_id", pa.string()), ("window_no", pa.int32()), ("content", pa.string()), ("first", pa.int32()), ("last", pa.int32())]
+    + [("children", pa.list_(pa.string())), ("match_first", pa.int32()), ("match_last", pa.int32()), ("whole", pa.bool_())]
+)
 PROMPTS = pa.schema(
     [("qid", pa.string()), ("n_evidence", pa.int64()), ("n_dropped", pa.int64()), ("used_tokens", pa.int64()), ("evidence", pa.list_(pa.string())), ("shown", pa.list_(pa.struct([("rank", pa.int32()), ("content", pa.string()), ("narrowed", pa.bool_())])))]
 )
@@ -200,17 +204,16 @@ def evidence_windows(results: DataFrame, config: EvidenceConfig = EvidenceConfig
     """
 
     def run(batches):
-        for pdf in batches:
-            rows = [
-                (str(q), rank, w.chunk_id, w.doc_id, n, w.content, *(w.span or (None, None)), list(w.children), *(w.match or (None, None)), w.whole)
-                for q, rank, row in zip(pdf["qid"], pdf["rank"], pdf.to_dict("records"))
-                for n, w in enumerate(_shown(_parent(row), config, count))
+        for rows in rows_of(batches):
+            shown = [
+                (str(r["qid"]), r["rank"], w.chunk_id, w.doc_id, n, w.content, *(w.span or (None, None)), list(w.children), *(w.match or (None, None)), w.whole)
+                for r in rows
+                for n, w in enumerate(_shown(_parent(r), config, count))
             ]
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in WINDOWS.split(", ")])
-            yield out.astype({"rank": "int32", "window_no": "int32", "first": "Int32", "last": "Int32", "match_first": "Int32", "match_last": "Int32"})
+            yield from records([dict(zip(WINDOW_ROWS.names, s)) for s in shown], WINDOW_ROWS)
 
     top = results.filter(F.col("rank") <= config.context_top_k)
-    return top.select("qid", "rank", "chunk_id", "doc_id", "content", "children", "primary_child", "preserve_structure").mapInPandas(run, WINDOWS)
+    return top.select("qid", "rank", "chunk_id", "doc_id", "content", "children", "primary_child", "preserve_structure").mapInArrow(run, WINDOWS)
 
 
 def fit_prompts(windows: DataFrame, config: EvidenceConfig, fixed_tokens: int = 100, count: Counter = approximate_tokens) -> DataFrame:
@@ -232,9 +235,8 @@ def fit_prompts(windows: DataFrame, config: EvidenceConfig, fixed_tokens: int =
         return len(taken), len(dropped), used, [w.chunk_id for w in taken], [{"rank": ranks[w.chunk_id, w.doc_id], "content": w.content, "narrowed": w not in whole} for w in taken]
 
     def run(batches):
-        for batch in batches:
-            made = [(q, *one(rows)) for q, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_pylist([dict(zip(PROMPTS.names, m)) for m in made], PROMPTS)
+        for asked in rows_of(batches):
+            yield from records([dict(zip(PROMPTS.names, (a["qid"], *one(a["rows"])))) for a in asked], PROMPTS)
 
     fields = ["rank", "chunk_id", "window_no", "doc_id", "content", "first", "last", "match_first", "match_last", "whole"]
     gathered = windows.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
