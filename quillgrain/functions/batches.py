@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 
 #: Bytes and rows of a batch that become Python objects at a time. One row may be larger.
@@ -30,9 +29,9 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict[str, Any]]]
             yield part.to_pylist()
 
 
-def series_parts(texts: pd.Series, rows: int = PART_ROWS) -> Iterator[pd.Series]:
-    for at in range(0, len(texts), rows):
-        yield texts.iloc[at : at + rows]
+def array_parts(values: pa.Array, rows: int = PART_ROWS) -> Iterator[pa.Array]:
+    for at in range(0, len(values), rows):
+        yield values.slice(at, rows)
 
 
 def records(rows: list[dict[str, Any]], schema: pa.Schema, size: int = 4 * PART_ROWS) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,10 @@
-import pandas as pd
 import pyarrow as pa
 import pytest
 
 from quillgrain.config import ChunkConfig, EvidenceConfig
 from quillgrain.functions import batches
 from quillgrain.operators import chunking, evidence, parsing
+from quillgrain.plans import catalog
 
 
 def test_parts_are_small_and_whole():
@@ -13,7 +13,7 @@ def test_parts_are_small_and_whole():
     parts = list(batches.parts(batch, 1 << 20))
     assert [t for p in parts for t in p.column(0).to_pylist()] == texts
     assert all(p.num_rows <= batches.PART_ROWS and (p.num_rows == 1 or p.nbytes <= 2 << 20) for p in parts)
-    assert list(batches.parts(batch.slice(0, 0))) == [] and [len(s) for s in batches.series_parts(pd.Series(range(5)), 2)] == [2, 2, 1]
+    assert list(batches.parts(batch.slice(0, 0))) == [] and [len(s) for s in batches.array_parts(pa.array(range(5)), 2)] == [2, 2, 1]
 
 
 def largest_out(made, batch: pa.RecordBatch) -> int:
@@ -64,5 +64,14 @@ def test_a_large_batch_goes_through_in_small_parts(monkeypatch, step):
 
 def test_image_references_come_in_small_parts():
     udf = parsing._refs_udf()
-    out = list(udf.func(iter([pd.Series(["![a](b.png)"] * 6000)])))
+    out = list(udf.func(iter([pa.array(["![a](b.png)"] * 6000)])))
     assert sum(map(len, out)) == 6000 and max(map(len, out)) <= batches.PART_ROWS
+
+
+def test_image_references_are_read_once(spark, tmp_path):
+    """The query's plan reads each text in one Python step, not in one for a filter and one for the rows."""
+    spark.createDataFrame([(1, "a", "s"), (2, "![x](y.png)", "t"), (3, "", "u")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    refs = catalog.image_refs(spark, str(tmp_path))
+    plan = refs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("refs(") > 0 and plan.count("ArrowEvalPython") == 1
+    assert sorted((r.doc_id, r.n_refs, r.path, r.start_char) for r in refs.collect()) == [(1, 1, "img/s.png", 3), (2, 1, "y.png", 0), (3, 1, "img/u.png", 2)]
