@@ -134,7 +134,8 @@ class VersionedTable:
         while name in df.columns:
             name = "_" + name
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        dealt = df.withColumn(name, self._bucket()).repartition(name)
+        # Rebalanced, not repartitioned: a large bucket goes to several tasks, so none sorts a share of the table that grows with it.
+        dealt = df.withColumn(name, self._bucket()).hint("rebalance", F.col(name))
         (dealt.sortWithinPartitions(name, *self.sort_by) if self.sort_by else dealt).write.partitionBy(name).parquet(folder)
         made = {n.split("=")[1]: f"{folder}/{n}" for n in self._names(folder) if "=" in n}
         return Staged(self.version() if base is None else base, {str(b): made.get(str(b)) for b in (range(self.buckets) if touched is None else touched)}, json.loads(df.schema.json()))

@@ -79,3 +79,22 @@ def test_segments_that_cannot_win_are_not_read(spark, tmp_path):
     assert segments > 60 and read <= 12
     blocks = index._asked_blocks(index.table.read(), ki.search.Terms([(1, ["rare"])]))
     assert {r.term for r in blocks.select("term").collect()} == {"rare"} and "PushedFilters: [IsNotNull(term), EqualTo(term,rare)]" in blocks._jdf.queryExecution().toString().replace("In(term, [rare])", "EqualTo(term,rare)")
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    """No task sorts a whole bucket, whose share of the table is fixed; rows stay in the bucket of their document."""
+    from pyspark.sql import functions as F
+
+    from quillgrain.sources.store import VersionedTable
+
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        rows = spark.range(0, 20_000, 1, 8).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+        table = VersionedTable(spark, f"{tmp_path}/t", buckets=2, sort_by=("text",))
+        table.write(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    files = table.read().select(F.input_file_name().alias("f"), table._bucket().alias("b"), "doc_id")
+    found = files.groupBy("f").agg(F.count("*").alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi")).collect()
+    assert len(found) >= 4 and sum(r.n for r in found) == 20_000 and all(r.lo == r.hi for r in found)
