@@ -70,10 +70,10 @@ def query_terms(text: Column) -> Column:
 def builder_tokens(text: Column) -> Column:
     """Distinct ASCII words of two or more characters, and pairs over all CJK characters, gaps ignored."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    ascii_words = F.filter(F.regexp_extract_all(low, F.lit(r"[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) > 1)
-    chars = F.regexp_extract_all(low, F.lit(r"[\x{3400}-\x{9fff}]"), F.lit(0))
-    pairs = F.filter(_grams(chars), lambda g: F.length(g) == 2)
-    return F.array_distinct(F.concat(ascii_words, pairs))
+    words = F.regexp_extract_all(low, F.lit(r"[a-z0-9]{2,}"), F.lit(0))
+    # The look-ahead gives the pair at each character in one pass; a lambda would extract the characters anew for each pair.
+    pairs = F.regexp_extract_all(F.regexp_replace(low, r"[^\x{3400}-\x{9fff}]+", ""), F.lit("(?=(..))"), F.lit(1))
+    return F.array_distinct(F.when(low.rlike(r"[\x{3400}-\x{9fff}]"), F.concat(words, pairs)).otherwise(words))
 
 
 def overlap_score(doc_tokens: Column, query_tokens: Column) -> Column:
@@ -88,8 +88,8 @@ def _nfkc(text: pd.Series) -> pd.Series:
 
 def normalize_lines(text: Column) -> Column:
     """Line ends unified, white space collapsed in each line, blank lines dropped."""
-    lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
-    return F.array_join(F.filter(F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), r"^ | $", "")), lambda x: x != ""), "\n")
+    lines = F.split(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), "\n")
+    return F.array_join(F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != ""), "\n")
 
 
 def normalize_text(text: Column) -> Column:

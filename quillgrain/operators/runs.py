@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import builder_tokens, normalize_lines, overlap_score, stable_id
 from ..sources.store import fingerprint
-from .datasets import DOCUMENT_PREFIX, QUERY_PREFIX, choose, first_by_content, keep_rerank, quota, sample_order
+from .datasets import DOCUMENT_PREFIX, QUERY_PREFIX, choose, keep_rerank, quota, sample_order
+from .search import kept
 
 
 def run_rows(queries: DataFrame, results: DataFrame, channel: str) -> DataFrame:
@@ -61,20 +62,26 @@ def build_dataset(rows: DataFrame, distractors: DataFrame, task_docs: dict[str,
     texts = F.slice(F.array(*(clean(c) for c in news)), F.lit(1), F.try_element_at(wanted, F.col("task")))
     usable = rows.select("task", "position", F.trim(F.col("ID").cast("string")).alias("event_id"), clean("event").alias("event"), clean("questions").alias("question"), clean("answers").alias("answer"), texts.alias("texts"))
     usable = usable.filter((F.col("event_id") != "") & (F.col("question") != "") & (F.col("answer") != "") & F.forall("texts", lambda t: t != ""))
-    chosen = quota(usable, per_task, list(task_docs), seed)
+    # Bounded by the quotas; kept, so that the rows are read once, and the count tells Spark that the asked terms are few.
+    chosen = kept(quota(usable, per_task, list(task_docs), seed))
     place = F.row_number().over(Window.partitionBy("task").orderBy(sample_order(F.col("event_id"), seed), "event_id"))
     queries = chosen.withColumn("split", F.when(place <= dev_per_task, "dev").otherwise("test")).withColumn("query_id", stable_id(QUERY_PREFIX, F.col("task"), F.col("event_id"), F.col("question")))
     qrels = queries.select("query_id", F.explode("texts").alias("text")).select("query_id", stable_id(DOCUMENT_PREFIX, F.col("text")).alias("doc_id"), F.lit(1).alias("relevance"), "text").distinct()
     positives = qrels.groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("source", F.lit("positive"))
     asked = queries.select(F.explode(builder_tokens(F.col("question"))).alias("term")).distinct().withColumn("asked", F.lit(True))
-    # Only ids and scores are ranked; the texts of the chosen ones are fetched last.
-    pool = first_by_content(distractors.select(stable_id(DOCUMENT_PREFIX, F.col("text")).alias("doc_id"), "text"), F.col("doc_id"), [F.col("text")]).join(positives.select("doc_id"), "doc_id", "left_anti")
-    terms = pool.select("doc_id", builder_tokens(F.col("text")).alias("own")).select("doc_id", F.size("own").alias("n"), F.explode_outer("own").alias("term"))
-    scored = terms.join(asked, "term", "left").groupBy("doc_id", "n").agg(F.count("asked").alias("both")).select("doc_id", F.round(F.col("both") / F.sqrt(F.greatest(F.lit(1), F.col("n"))), 6).alias("score"))
     need = max(0, corpus_size - positives.count())
-    hard = scored.orderBy(F.desc("score"), "doc_id").limit(min(n_hard, need)).select("doc_id", F.lit("hard_negative").alias("source"))
+    # Each text is read once, where it lies; only ids and scores are shuffled, kept and ranked.
+    terms = distractors.select(stable_id(DOCUMENT_PREFIX, F.col("text")).alias("doc_id"), builder_tokens(F.col("text")).alias("own")).select("doc_id", F.size("own").alias("n"), F.explode_outer("own").alias("term"))
+    # Copies of a text have one id and add to both counts alike, so the quotient is that of one copy.
+    both = F.expr("count(asked) * greatest(1, n) div count(*)")
+    scored = kept(terms.join(asked, "term", "left").groupBy("doc_id", "n").agg(both.alias("both")).select("doc_id", F.round(F.col("both") / F.sqrt(F.greatest(F.lit(1), F.col("n"))), 6).alias("score")))
+    pool = scored.join(positives.select("doc_id"), "doc_id", "left_anti")
+    hard = pool.orderBy(F.desc("score"), "doc_id").limit(min(n_hard, need)).select("doc_id", F.lit("hard_negative").alias("source"))
     rest = pool.select("doc_id").join(hard.select("doc_id"), "doc_id", "left_anti").orderBy(sample_order(F.col("doc_id"), seed + 1), "doc_id").limit(max(0, need - n_hard)).select("doc_id", F.lit("random_negative").alias("source"))
-    others = pool.join(hard.unionByName(rest), "doc_id").select("doc_id", "text", "source")
+    others = hard.unionByName(rest)
+    # The texts of the chosen ones are fetched last, by an outer join that falls away where only ids are asked for.
+    texts = distractors.select(stable_id(DOCUMENT_PREFIX, F.col("text")).alias("doc_id"), "text").join(others.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    others = others.join(texts, "doc_id", "left").select("doc_id", "text", "source")
     corpus = positives.unionByName(others)
     references = queries.join(qrels.groupBy("query_id").agg(F.sort_array(F.collect_set("doc_id")).alias("expected_doc_ids")), "query_id").select("query_id", "answer", "expected_doc_ids")
     return {"corpus": corpus, "queries": queries.drop("texts", "position"), "qrels": qrels.drop("text"), "references": references}

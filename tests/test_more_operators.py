@@ -1,5 +1,8 @@
 """Orchestration, providers, sessions, registry, images, datasets."""
 
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,6 +231,30 @@ def test_dataset_builder(spark):
     assert built["qrels"].join(built["corpus"], "doc_id", "left_anti").count() == 0
 
 
+def test_dataset_builder_reads_each_text_once(spark):
+    """Ids and sources take one pass over the texts; copies, also in other tasks, change no score."""
+    rows = spark.createDataFrame([("a", i, f"e{i}", "e", f"red green blue {i}0", "answer", f"news {i}") for i in range(3)], "task string, position int, ID string, event string, questions string, answers string, news1 string")
+    texts = ["red and green and blue things", "red green", "blue blue blue sky over the sea", "", "x", "news 1", *(f"other text {i} of many" for i in range(14))]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    held = texts + texts[:1] * 9 + texts[2:3] * 4
+    built = runs.build_dataset(rows, spark.createDataFrame([(t,) for t in held], "text string").repartition(4).mapInPandas(counted, "text string"), {"a": 1}, 3, 1, 12, 4)
+    got = {r.doc_id: r.source for r in built["corpus"].select("doc_id", "source").collect()}
+    assert read.value == len(held)
+    name = lambda t: "crud_" + hashlib.sha256(t.encode()).hexdigest()[:24]
+    own = {name(t): set(re.findall("[a-z0-9]{2,}", t)) for t in texts if t != "news 1"}
+    asked = {"red", "green", "blue", "00", "10", "20"}
+    hard = sorted(own, key=lambda d: (-round(len(own[d] & asked) / max(1, len(own[d])) ** 0.5, 6), d))[:4]
+    rest = sorted(set(own) - set(hard), key=lambda d: hashlib.md5(f"43:{d}".encode()).hexdigest())[:5]
+    assert got == {name(f"news {i}"): "positive" for i in range(3)} | dict.fromkeys(hard, "hard_negative") | dict.fromkeys(rest, "random_negative")
+    assert {r.doc_id: name(r.text) for r in built["corpus"].collect()} == {d: d for d in got}
+
+
 def test_runs_and_lock(spark):
     queries = spark.createDataFrame([("1", "q"), ("2", "r")], "qid string, question string")
     results = spark.createDataFrame([("1", "d", 0.5, 1), ("1", "d", 0.4, 2), ("1", "e", 0.3, 3)], "qid string, doc_id string, score double, rank int")

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,3 +104,24 @@ def test_config_is_strict():
     for bad in ({"x": 1}, {"a": 1}, {"a": {"z": 1}}):
         with pytest.raises(ValueError):
             merge_settings({"a": {"b": 1}}, bad)
+
+
+def test_builder_tokens_of_odd_and_long_texts(spark):
+    """Pairs over gaps, runs of one character, and 40,000 CJK characters in one pass."""
+
+    def plain(text):
+        low = (text or "").lower()
+        chars = re.findall("[\u3400-\u9fff]", low)
+        return list(dict.fromkeys([w for w in re.findall("[a-z0-9]+", low) if len(w) > 1] + [a + b for a, b in zip(chars, chars[1:])]))
+
+    texts = [None, "", "a", "AB a1 ab-AB_c9", "中", "中 x文\n国\u2028文 ab国", "é中ÀB鿿㐀", "中中中", "😀中😀文 z" + "q" * 3, "".join(chr(0x4E00 + i * 7919 % 20000) + "。 " for i in range(40_000))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r[1] for r in df.select("i", tx.builder_tokens(F.col("t"))).orderBy("i").collect()] == [plain(t) for t in texts]
+
+
+def test_normalize_lines_of_odd_texts(spark):
+    texts = [None, "", " ", "\r", "\r\n\r", "a\r\rb\r\nc\n\rd", "  a \t b\u00a0\u3000c \n\x0b\n \u2028 d\u0085", "a\x1c b", "x" + " " * 50_000 + "y"]
+    space = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+    plain = lambda t: "\n".join(x for line in re.sub("\r\n?", "\n", t).split("\n") if (x := re.sub(space, " ", line).strip(" ")))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r[1] for r in df.select("i", tx.normalize_lines(F.col("t"))).orderBy("i").collect()] == [None if t is None else plain(t) for t in texts]
