@@ -60,8 +60,10 @@ def build_dataset(rows: DataFrame, distractors: DataFrame, task_docs: dict[str,
     news = [c for c in ("news1", "news2", "news3") if c in rows.columns]
     wanted = F.create_map(*(F.lit(x) for pair in task_docs.items() for x in pair))
     texts = F.slice(F.array(*(clean(c) for c in news)), F.lit(1), F.try_element_at(wanted, F.col("task")))
-    usable = rows.select("task", "position", F.trim(F.col("ID").cast("string")).alias("event_id"), clean("event").alias("event"), clean("questions").alias("question"), clean("answers").alias("answer"), texts.alias("texts"))
-    usable = usable.filter((F.col("event_id") != "") & (F.col("question") != "") & (F.col("answer") != "") & F.forall("texts", lambda t: t != ""))
+    # Spark may run this filter on all texts before rows are joined, so it asks for one visible character and normalizes none.
+    raw = F.slice(F.array(*(F.coalesce(F.col(c), F.lit("")) for c in news)), F.lit(1), F.try_element_at(wanted, F.col("task")))
+    usable = rows.filter(F.forall(raw, lambda t: t.rlike(r"(?U)\S"))).select("task", "position", F.trim(F.col("ID").cast("string")).alias("event_id"), clean("event").alias("event"), clean("questions").alias("question"), clean("answers").alias("answer"), texts.alias("texts"))
+    usable = usable.filter((F.col("event_id") != "") & (F.col("question") != "") & (F.col("answer") != ""))
     # Bounded by the quotas; kept, so that the rows are read once, and the count tells Spark that the asked terms are few.
     chosen = kept(quota(usable, per_task, list(task_docs), seed))
     place = F.row_number().over(Window.partitionBy("task").orderBy(sample_order(F.col("event_id"), seed), "event_id"))

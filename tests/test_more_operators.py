@@ -255,6 +255,14 @@ def test_dataset_builder_reads_each_text_once(spark):
     assert {r.doc_id: name(r.text) for r in built["corpus"].collect()} == {d: d for d in got}
 
 
+def test_dataset_builder_wants_visible_texts(spark):
+    """An event is used only if each of its task's texts has a character that isn't white space."""
+    texts = {"e1": ("a", "b"), "e2": ("a", " \u3000\r\n\u2028"), "e3": (None, "b"), "e4": ("\u00a0", "b"), "e5": ("\x1c", "."), "e6": ("a", "")}
+    rows = spark.createDataFrame([(t, i, f"{t}{e}", "e", "question", "answer", *texts[e]) for t in ("one", "two", "odd") for i, e in enumerate(texts)], "task string, position int, ID string, event string, questions string, answers string, news1 string, news2 string")
+    built = runs.build_dataset(rows, spark.createDataFrame([("x y",)], "text string"), {"one": 1, "two": 2}, 9, 1, 9, 1)
+    assert {r.event_id for r in built["queries"].collect()} == {"onee1", "onee2", "onee5", "onee6", "twoe1", "twoe5"}
+
+
 def test_runs_and_lock(spark):
     queries = spark.createDataFrame([("1", "q"), ("2", "r")], "qid string, question string")
     results = spark.createDataFrame([("1", "d", 0.5, 1), ("1", "d", 0.4, 2), ("1", "e", 0.3, 3)], "qid string, doc_id string, score double, rank int")
